@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import gc
 import tempfile
 import uuid
 
@@ -43,12 +43,16 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 
 def drop_stored(*dfs: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, and lets Spark's cleaner find the shuffle files of finished steps."""
     for df in dfs:
         path = getattr(df, "_codeseam_path", None)
         if path:
             jvm = df.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    if dfs:
+        gc.collect()
+        dfs[0].sparkSession._jvm.System.gc()
 
 
 def ascii_words(text: str | None, lower: bool) -> list[bytes]:
@@ -89,6 +93,3 @@ def sliced(texts: list, max_chars: int = 4_000_000):
     if start < len(texts):
         yield start, len(texts)
 
-
-def sequence_numbers():
-    return itertools.count()

@@ -2,26 +2,82 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import chat, decontaminate, language, licences, packing, pii, quality, substrings
 from .common import table
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
+    return chat.digest_chat(chat.format_chat(turns.union(extra)))
+
+
 def op2_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out(4, 2)))
+    return language.identify(docs, model).select("doc_id", language.held_out(4, 2), "lang_pred", "score")
+
+
+def op4_license_scan(spark, sf_dir):
+    return licences.licence_report(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return decontaminate.digest_contamination(found)
+
+
+def op6_pii(spark, sf_dir):
+    return pii.digest_pii(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op7_quality(spark, sf_dir):
+    labels = quality.not_held_out(table(spark, sf_dir, "labels"))
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", language.held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_substring_dedup(spark, sf_dir):
+    return substrings.digest_substrings(substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=50))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op2_near_dedup": op2_near_dedup,
-    "op9_exact_dedup": op9_exact_dedup,
-}
+def op10_packing(spark, sf_dir):
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_near_dedup, op3_language_id, op4_license_scan, op5_decontaminate, op6_pii, op7_quality, op8_substring_dedup, op9_exact_dedup, op10_packing)}
 
 #: Where DuckDB can express the result over whole tables.
 ORACLES = {
+    "op1_chat_format": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\||/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g') AS escaped FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text), '')) AS turns_sha256,
+               coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+               sum(length(role) + length(escaped) + 23)::BIGINT AS formatted_chars, 0::BIGINT AS attachment_tokens
+        FROM e GROUP BY conv_id""",
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents),
              g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY h)
