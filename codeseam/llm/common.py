@@ -75,11 +75,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """One 64-bit hash for each run of n consecutive words."""
-    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
-    for k in range(n):
-        out = mix(out + hashes[k : len(hashes) - n + 1 + k] + np.uint64(k + 1))
-    return out
+    """One 64-bit hash for each run of n consecutive words, joined from runs of 1, 2, 4, ... words."""
+    count = len(hashes) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64)
+    out, used, run, size = None, 0, hashes, 1
+    while True:
+        if n & size:
+            part = run[used : used + count]
+            out = mix(part + np.uint64(n)) if out is None else mix(out + part)
+            used += size
+        if used == n:
+            return out
+        run = mix(run[:-size] * np.uint64(0x9FB21C651E98DF25) + run[size:])
+        size *= 2
 
 
 def sliced(texts: list, max_chars: int = 4_000_000):

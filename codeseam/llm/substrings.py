@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, shingle_hashes, stored, word_hashes
+from .common import drop_stored, shingle_hashes, sliced, stored, word_hashes
 
 PHRASE = 8
 SHARD_WINDOWS, TASK_SEGMENTS = 100_000, 40_000  # confirmed windows of an automaton, segments of a task, about
@@ -98,8 +98,13 @@ def _segments(out):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["anchor", "segment", "doc_id", "start", "text"])
 
 
-def window_hashes(words: list[bytes], window: int) -> np.ndarray:
-    return shingle_hashes(word_hashes(words), window).view(np.int64)
+def window_hashes(texts: list[str], window: int) -> list[np.ndarray]:
+    """Hashes of the windows of each text, computed over all words at once."""
+    words = [words_of(t) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    flat = shingle_hashes(word_hashes([w for ws in words for w in ws]), window).view(np.int64)
+    ends = np.cumsum(sizes)
+    return [flat[e - n : max(e - n, e - window + 1)] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
 def windows_of(distinct: DataFrame, window: int) -> DataFrame:
@@ -107,12 +112,10 @@ def windows_of(distinct: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found, rows = [], []
-            for i, text in enumerate(batch.column(3)):
-                found.append(window_hashes(words_of(text.as_py()), window))
-                rows.append(np.full(len(found[-1]), i))
-            if found:
-                at = pa.array(np.concatenate(rows))
+            texts = batch.column(3).to_pylist()
+            for lo, hi in sliced(texts):
+                found = window_hashes(texts[lo:hi], window)
+                at = pa.array(np.repeat(np.arange(lo, hi), [len(x) for x in found]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(found)), batch.column(1).take(at), batch.column(2).take(at)], ["anchor", "window", "low", "high"])
 
     return distinct.select("anchor", "low", "high", "text").mapInArrow(run, "anchor long, window long, low long, high long")
@@ -127,18 +130,18 @@ def locate(distinct: DataFrame, confirmed: DataFrame, window: int) -> DataFrame:
     segments = distinct.select(shard, "anchor", "segment", "text")
     parts = segments.groupBy("shard").agg(F.ceil(F.count("*") / TASK_SEGMENTS).cast("int").alias("parts"))
     dealt = segments.join(parts, "shard").select("shard", F.pmod(F.xxhash64("segment"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "anchor", F.col("segment").alias("key"), F.lit(None).cast("long").alias("low"), "text")
-    # the phrase comes with a window: the words of the anchor in the segment it was first seen in
     known = confirmed.select(shard, "anchor", "window", "low").join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "anchor", F.col("window").alias("key"), "low", F.lit(None).cast("string").alias("text"))
     rows = known.union(dealt).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "anchor")
 
     def run(batches):
-        at, known, phrases, automaton, held = None, {}, set(), None, []
+        at, known, phrases, held = None, {}, set(), []
 
         def compiled(texts):
             """Automaton of the phrases of confirmed anchors, cut from the shard's segments that have them."""
             out = ahocorasick.Automaton()
             for anchor, text in texts:
                 words = words_of(text)
+                # all windows of a segment hold its anchor: it lies where the first and the last window meet
                 for p in np.flatnonzero(shingle_hashes(word_hashes(words), PHRASE).view(np.int64) == anchor)[:1]:
                     out.add_word(" " + b" ".join(words[p : p + PHRASE]).decode("utf-8", "surrogatepass") + " ", anchor)
             if len(out):
@@ -151,13 +154,11 @@ def locate(distinct: DataFrame, confirmed: DataFrame, window: int) -> DataFrame:
                 firsts.setdefault(anchor, text)
             automaton = compiled([(a, t) for a, t in firsts.items() if a in phrases])
             ids, keys, hits = [], [], []
-            if len(automaton):
-                for anchor, key, text in segments:
-                    padded = f" {text} "
-                    windows, found = None, {}
+            for lo in range(0, len(segments) if len(automaton) else 0, 4000):
+                part = segments[lo : lo + 4000]
+                for (anchor, key, text), windows in zip(part, window_hashes([x[2] for x in part], window)):
+                    padded, windows, found = f" {text} ", windows.tolist(), {}
                     for end, got in automaton.iter(padded):
-                        if windows is None:
-                            windows = window_hashes(words_of(text), window).tolist()
                         place = padded.count(" ", 0, end) - PHRASE
                         for s in range(max(0, place - window + PHRASE), min(place, len(windows) - 1) + 1):
                             low = known.get((got, windows[s]))
