@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, drop_stored, mix, shingle_hashes, stored, word_hashes
+from .common import ascii_words, drop_stored, mix, shingle_hashes, sliced, stored, word_hashes
 from .components import components
 
 SEED = 20240607
@@ -43,23 +43,26 @@ def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**63, count, dtype=np.uint64) | np.uint64(1), rng.integers(1, 2**63, count, dtype=np.uint64)
 
 
-def min_max(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """The minimum and the maximum of the set under each permutation: 2 values per evaluation."""
-    low, high = np.empty(len(mul), np.uint64), np.empty(len(mul), np.uint64)
+def min_max(sets: list[np.ndarray], mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """For each of the non-empty sets its minimum and its maximum under each permutation: 2 values per evaluation."""
+    flat = np.concatenate(sets)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    out = np.empty((2 * len(mul), len(sets)), np.uint64)
     for k in range(len(mul)):
-        v = shingles * mul[k] + add[k]
-        low[k], high[k] = v.min(), v.max()
-    return np.concatenate([low, high])
+        v = flat * mul[k] + add[k]
+        out[k] = np.minimum.reduceat(v, starts)
+        out[k + len(mul)] = np.maximum.reduceat(v, starts)
+    return out.T
 
 
-def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band. Value k and k + half come from one permutation; a band never takes both."""
-    half = len(signature) // 2
+def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys (sets x bands). Values k and k + half come from one permutation; a band never takes both."""
+    half = signatures.shape[1] // 2
     at = np.arange(bands * rows).reshape(bands, rows)
     pick = np.where(np.arange(rows) < (rows + 1) // 2, 0, half) + at % half
-    out = np.arange(1, bands + 1, dtype=np.uint64)
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(signatures), 1))
     for r in range(rows):
-        out = mix(out + signature[pick[:, r]])
+        out = mix(out + signatures[:, pick[:, r]])
     return out.view(np.int64)
 
 
@@ -70,13 +73,14 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     def run(batches):
         mul, add = permutations(half)
         for batch in batches:
-            n, key, keys = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), shingle)
-                n.append(len(s))
-                key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(band_keys(min_max(s, mul, add), bands, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "keys"])
+            texts = batch.column(1).to_pylist()
+            for lo, hi in sliced(texts, 400_000):
+                sets = [shingle_set(t, shingle) for t in texts[lo:hi]]
+                full = [s for s in sets if len(s)]
+                found = iter(band_keys(min_max(full, mul, add), bands, rows).tolist() if full else [])
+                keys = [next(found) if len(s) else None for s in sets]
+                key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>")
 
