@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import basename, file_type, glob_regex, is_test_file
 from ..schemas import IGNORED_DIRS, IGNORED_FILES
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode(raw: pd.Series) -> pd.Series:
     """utf-8, then utf-16 (with its mark), then latin-1, which never fails."""
 

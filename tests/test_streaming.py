@@ -1,5 +1,7 @@
 import os
 
+from pyspark.sql import functions as F
+
 from codeseam.adapters import usage_v
 from codeseam.operators import usage
 from codeseam.streaming import usage_stream
@@ -10,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def run(spark, build, name, mode, tmp_path):
     source = str(tmp_path / "in")
     if not os.path.isdir(source):
-        usage_v(spark, SF).withColumn("timestamp", usage_v(spark, SF).timestamp.cast("timestamp")).coalesce(1).write.parquet(source)
+        usage_v(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp")).coalesce(1).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     q = build(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     q.awaitTermination(120)
