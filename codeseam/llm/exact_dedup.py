@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, drop_stored, mix, stored
 
-SHARD_KEYS = 32_768  # digests in a shard of the index, about
+SHARD_KEYS = 4_096  # digests in a shard of the index, about
 GAMMA, MAX_LEVELS = 2.0, 64
 
 
