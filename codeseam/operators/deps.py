@@ -64,3 +64,22 @@ def closure(edges: DataFrame, rounds: int = 20) -> DataFrame:
             return seen
         n = m
     return seen
+
+
+def out_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose source is one of nodes (column node)."""
+    return edges.join(nodes.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
+
+
+def in_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return edges.join(nodes.select(F.col("node").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+
+
+def report_rows(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Rows of the dependency table: type, optional flag and whether there are advisories."""
+    return vulnerable(packages, advisories).select("manifest", "position", "package_manager", "package", "version", F.coalesce("licence", F.lit("Unknown")).alias("licence"), F.when(F.col("dev"), "development").otherwise("production").alias("type"), F.when(F.col("optional"), "Yes").otherwise("No").alias("optional"), F.when(F.col("has_vulnerabilities"), "Yes").otherwise("No").alias("vulnerable"))
+
+
+def direct_tree(packages: DataFrame) -> DataFrame:
+    """manifest -> its packages, distinct and in order."""
+    return packages.groupBy("manifest").agg(F.array_sort(F.collect_set("package")).alias("packages"))

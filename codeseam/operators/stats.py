@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -104,3 +104,51 @@ def file_order(findings: DataFrame) -> DataFrame:
 
 def page(rows: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(key)).offset(offset).limit(limit)
+
+
+def total(findings: DataFrame) -> DataFrame:
+    return findings.agg(F.count("*").alias("total"))
+
+
+def by_category(findings: DataFrame) -> DataFrame:
+    """Findings of each kind of pattern; other types are no patterns."""
+    kind = F.when(F.col("finding_type").isin("design_pattern", "anti_pattern", "code_smell"), F.col("finding_type")).otherwise("none")
+    return findings.groupBy(kind.alias("category")).count().withColumnRenamed("count", "n")
+
+
+def weakness_stats(findings: DataFrame, mapping: dict) -> DataFrame:
+    """Findings with a weakness, and how many different weaknesses and categories there are."""
+    rows = findings.select(*(c.alias(k) for k, c in mapping.items())).where(F.size("cwe_ids") > 0)
+    sets = rows.agg(F.count("*").alias("n"), F.collect_set("cwe_ids").alias("c"), F.collect_set("owasp_categories").alias("o"))
+    return sets.select("n", F.size(F.array_distinct(F.flatten("c"))).cast("long").alias("cwes"), F.size(F.array_distinct(F.flatten("o"))).cast("long").alias("categories"))
+
+
+def pattern_summary(rows: DataFrame) -> DataFrame:
+    """Counts by kind and by three levels of severity."""
+    kinds = [F.count_if(F.col("finding_type") == k).alias(k) for k in ("design_pattern", "anti_pattern", "code_smell")]
+    levels = [F.count_if(F.col("severity").isin(*names)).alias(k) for k, names in (("high", ("critical", "high")), ("medium", ("medium",)), ("low", ("low", "info")))]
+    return rows.agg(F.count("*").alias("total"), *kinds, *levels, F.countDistinct("file_path").alias("files"))
+
+
+def profile(samples: DataFrame, name: str, value: str) -> DataFrame:
+    """Of each name: count, least, most, mean, total and exact median."""
+    return samples.groupBy(name).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.bround(F.avg(value), 6).alias("mean"), F.sum(value).alias("total"), F.percentile(value, F.lit(0.5)).alias("median"))
+
+
+def fastest(samples: DataFrame, name: str, value: str) -> DataFrame:
+    return samples.agg(F.min_by(name, F.struct(value, name)).alias("best"), F.min(value).alias("value"))
+
+
+def grade(debt: Column, lines: Column) -> Column:
+    """A letter by debt for each thousand lines; no lines: N/A."""
+    ratio = debt / F.greatest(lines / 1000, F.lit(1))
+    return F.when(lines == 0, "N/A").when(ratio <= 1, "A").when(ratio <= 3, "B").when(ratio <= 7, "C").when(ratio <= 15, "D").otherwise("F")
+
+
+def table_view(findings: DataFrame, page_size: int = 25, number: int = 0) -> DataFrame:
+    """A page of the findings table: most severe first, in arrival order within a severity."""
+    return findings.orderBy(severity_ordinal().desc(), "ingest_seq").offset(page_size * number).limit(page_size)
+
+
+def arrival(findings: DataFrame, n: int) -> DataFrame:
+    return findings.orderBy("ingest_seq").limit(n)

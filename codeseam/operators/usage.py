@@ -112,3 +112,38 @@ def replay_limiter(usage: DataFrame, limit: int = 40_000) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(waits, pa.float64())], ["request_id", "wait"])
 
     return rows.mapInArrow(run, "request_id long, wait double")
+
+
+def replay_bucket(usage: DataFrame, rate: float = 2.0, burst: float = 5.0) -> DataFrame:
+    """request_id, granted: a token bucket of each model, asked for one token in time order; streams per model."""
+    rows = usage.select("model", F.col("timestamp").cast("timestamp").cast("double").alias("t"), "request_id").repartition("model").sortWithinPartitions("model", "t", "request_id")
+
+    def run(batches):
+        at, bucket = None, None
+        for batch in batches:
+            granted = []
+            for model, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if model != at:
+                    at, bucket = model, TokenBucket(rate, burst)
+                granted.append(bucket.try_acquire(t))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(granted, pa.bool_())], ["request_id", "granted"])
+
+    return rows.mapInArrow(run, "request_id long, granted boolean")
+
+
+def limiter_status(usage: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
+    """Requests, tokens and what is left in the window that ends with the last request."""
+    last = usage.agg(F.max("timestamp").alias("last"))
+    held = usage.join(F.broadcast(last), F.col("timestamp") >= F.col("last") - F.make_dt_interval(secs=F.lit(seconds)))  # one row
+    used = F.coalesce(F.sum("input_tokens"), F.lit(0))
+    return held.agg(F.count("*").alias("requests"), used.alias("used"), F.greatest(limit - used, F.lit(0)).alias("remaining"))
+
+
+def since(rows: DataFrame, as_of: str, days: int, column: str = "timestamp") -> DataFrame:
+    """Rows of the last days before as_of, which is a parameter so that runs can be repeated."""
+    return rows.where(F.col(column) >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days)))
+
+
+def sampled(usage: DataFrame, every: str, value: str) -> DataFrame:
+    """Mean, least and most of a value in windows of time."""
+    return usage.groupBy(F.window(F.col("timestamp").cast("timestamp"), every).alias("w")).agg(F.bround(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "mean", "least", "most")

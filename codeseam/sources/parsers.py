@@ -113,7 +113,7 @@ def python_edges(ast_nodes: DataFrame) -> DataFrame:
     n = ast_nodes.where(F.col("node_type").isin("Import", "ImportFrom"))
     names = ast_nodes.where("node_type = 'alias'").select(F.col("path").alias("p"), F.col("parent_id").alias("pid"), F.col("name").alias("what"))
     full = F.when(F.col("node_type") == "Import", F.col("what")).when(F.col("what") == "*", F.col("name")).when(F.col("name").rlike(r"^\.*$"), F.concat("name", "what")).otherwise(F.concat("name", F.lit("."), "what"))
-    return n.join(names, (n.path == names.p) & (n.node_id == names.pid)).select("path", full.alias("target"), "line", F.col("name").startswith(".").alias("is_relative"))
+    return n.join(names, (n.path == names.p) & (n.node_id == names.pid)).select("path", full.alias("target"), "line", F.coalesce(F.col("name").startswith("."), F.lit(False)).alias("is_relative"))
 
 
 def python_symbols(ast_nodes: DataFrame) -> DataFrame:
