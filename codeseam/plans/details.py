@@ -79,7 +79,7 @@ _code("c01_python_edges", python_code, _tree(lambda t: parsers.python_edges(t).s
 _code("c03_python_symbols", python_code, _tree(lambda t: parsers.python_symbols(t).groupBy("path", "kind").agg(F.count("*").alias("n"))), "SELECT path, 'function' AS kind, CAST(2 + n + (p % 3 = 0)::INT + 2 * (p % 5 = 0)::INT AS BIGINT) AS n FROM part_v UNION ALL SELECT path, 'class', CAST(1 + (p % 3 = 0)::INT + (p % 5 = 0)::INT AS BIGINT) FROM part_v")
 _code("c05_python_nodes", python_code, _tree(lambda t: t.where("node_type in ('FunctionDef', 'ClassDef', 'If', 'ImportFrom')").groupBy("node_type").agg(F.count("*").alias("n"))), """SELECT 'FunctionDef' AS node_type, CAST(sum(2 + n + (p % 3 = 0)::INT + 2 * (p % 5 = 0)::INT) AS BIGINT) AS n FROM part_v
     UNION ALL SELECT 'ClassDef', CAST(sum(1 + (p % 3 = 0)::INT + (p % 5 = 0)::INT) AS BIGINT) FROM part_v UNION ALL SELECT 'If', CAST(sum(1 + n % 8 + (p % 3 = 0)::INT) AS BIGINT) FROM part_v UNION ALL SELECT 'ImportFrom', count(*) FROM part_v""")
-_code("c08_external", python_code, _tree(lambda t: parsers.python_edges(t).where("not is_relative").groupBy("target").agg(F.count("*").alias("n"))), "SELECT target, count(*) AS n FROM (SELECT 'm' || n AS target FROM part_v UNION ALL SELECT 'pkg' || (n % 7) || '.x' || (p % 5) FROM part_v) GROUP BY 1")
+_code("c01_import_counts", python_code, _tree(lambda t: parsers.python_edges(t).where("not is_relative").groupBy("target").agg(F.count("*").alias("n"))), "SELECT target, count(*) AS n FROM (SELECT 'm' || n AS target FROM part_v UNION ALL SELECT 'pkg' || (n % 7) || '.x' || (p % 5) FROM part_v) GROUP BY 1")
 _code("e02_python_complexity", python_code, _tree(lambda t: parsers.python_complexity(t)), "SELECT path, CAST(2 + n % 8 + (p % 3 = 0)::INT AS BIGINT) AS complexity FROM part_v")
 _code("d04_god_class", python_code, _tree(lambda t: parsers.god_classes(t).select("file_path", "message")), "SELECT path AS file_path, 'C' || p || ' does too much' AS message FROM part_v WHERE n > 20")
 _code("d05_long_method", python_code, _tree(lambda t: parsers.long_methods(t).select("file_path", "message")), "SELECT path AS file_path, CASE WHEN p % 2 = 0 THEN 'create_' ELSE 'run_' END || p || ' has ' || (n + 3) || ' lines' AS message FROM part_v WHERE n + 3 > 50")
@@ -148,7 +148,7 @@ _DEBT = "floor((CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in DE
 _f("g01_in_file", lambda f: findings.in_file(f, "/src/user_7.py").select("ingest_seq"), "SELECT ingest_seq FROM findings_v WHERE file_path = '/src/user_7.py'")
 _f("g03_allow_all", lambda f: findings.with_type(findings.with_severity(f, []), ["code_smell"]).select("ingest_seq"), "SELECT ingest_seq FROM findings_v WHERE finding_type = 'code_smell'")
 _f("g13_cutoff", lambda f: usage.since(f, "2024-01-20 00:00:00", 7, "detected_at").select("ingest_seq"), "SELECT ingest_seq FROM findings_v WHERE detected_at >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY")
-_f("f11_table_view", lambda f: stats.table_view(f, 25, 1).select("ingest_seq", "severity"), f"SELECT ingest_seq, severity FROM findings_v ORDER BY {ORD} DESC, ingest_seq LIMIT 25 OFFSET 25")
+_f("j11_table_view", lambda f: stats.table_view(f, 25, 1).select("ingest_seq", "severity"), f"SELECT ingest_seq, severity FROM findings_v ORDER BY {ORD} DESC, ingest_seq LIMIT 25 OFFSET 25")
 _f("i05_total", stats.total, "SELECT count(*) AS total FROM findings_v")
 _f("i08_categories", stats.by_category, "SELECT CASE WHEN finding_type IN ('design_pattern','anti_pattern','code_smell') THEN finding_type ELSE 'none' END AS category, count(*) AS n FROM findings_v GROUP BY 1")
 _f("i09_weaknesses", lambda f: stats.weakness_stats(f, enrich.security_map(F.replace("message", F.lit("error"), F.lit("authentication")))), "SELECT count(*) AS n, CAST(2 AS BIGINT) AS cwes, CAST(1 AS BIGINT) AS categories FROM findings_v WHERE contains(message, 'error')")
