@@ -55,11 +55,19 @@ def min_max(sets: list[np.ndarray], mul: np.ndarray, add: np.ndarray) -> np.ndar
     return out.T
 
 
-def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Keys (sets x bands). Values k and k + half come from one permutation; a band never takes both."""
-    half = signatures.shape[1] // 2
+def band_columns(bands: int, rows: int) -> np.ndarray:
+    """Signature columns of each band: every value serves once, minima and maxima alternate.
+
+    Columns k and k + half are the minimum and maximum of permutation k. The bands go over the
+    permutations twice, the second time with the other kind of each; a band never takes both of one."""
+    half = (bands * rows + 1) // 2
     at = np.arange(bands * rows).reshape(bands, rows)
-    pick = np.where(np.arange(rows) < (rows + 1) // 2, 0, half) + at % half
+    return at % half + half * ((at % half + at // half) % 2)
+
+
+def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys (sets x bands) from the values that band_columns deals to each band."""
+    pick = band_columns(bands, rows)
     out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(signatures), 1))
     for r in range(rows):
         out = mix(out + signatures[:, pick[:, r]])

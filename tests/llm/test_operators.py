@@ -291,3 +291,22 @@ def test_anchor_is_of_the_words():
     a, p = substrings.anchors(w, 50)
     b, q = substrings.anchors([b"zz"] + w, 50)
     assert (p[a] == q[b][1:]).all() and Counter(a).most_common(1)[0][1] <= 43
+
+
+@pytest.mark.parametrize("bands, rows", [(32, 4), (5, 3), (7, 2)])
+def test_bands_are_independent(bands, rows):
+    """No value serves two bands, no band takes one permutation twice; pairs are missed as rarely as that predicts."""
+    from codeseam.llm import near_dedup as nd
+
+    columns, half = nd.band_columns(bands, rows), (bands * rows + 1) // 2
+    assert len(np.unique(columns)) == bands * rows
+    assert all(len(set(c % half)) == rows for c in columns)
+    rng, missed, pairs, s = np.random.default_rng(5), 0, 3000, 0.6
+    mul, add = nd.permutations(half)
+    for _ in range(pairs // 500):
+        base = [rng.integers(0, 2**63, 80, dtype=np.uint64) for _ in range(500)]  # 48 of 80 in both
+        a, b = ([x[:64] for x in base], [np.r_[x[:48], x[64:]] for x in base])
+        ka, kb = (nd.band_keys(nd.min_max(x, mul, add), bands, rows) for x in (a, b))
+        missed += int((ka != kb).all(axis=1).sum())
+    expected = pairs * (1 - s**rows) ** bands
+    assert abs(missed - expected) < 5 * np.sqrt(expected + 1), (missed, expected)
