@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -32,19 +33,43 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "All-rights-reserved": "All rights reserved.",
+    "Copyright": "Copyright <year>",
+    "Copyright-c": "Copyright (c)",
+    "SPDX": "SPDX-License-Identifier:",
 }
-_TRIGGER = re.compile(r"licen[sc]e|copyright|permission|redistribut|public domain|software foundation", re.I)
-TRIGGER_SQL = "(?i)licen[sc]e|copyright|permission|redistribut|public domain|software foundation"
+#: Words that notices use and other texts seldom do: preferred as trigger words.
+_TELLING = re.compile(r"licen[sc]e|copyright|permission|redistribut|reserved|domain|foundation")
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-/][A-Za-z0-9]+)*")
+_YEAR = re.compile(r"(?:19|20)\d\d(?:[-/](?:19|20)?\d\d)*")
+#: What follows the tag of an SPDX line: identifiers joined by operators.
+_SPDX = re.compile(r":?[ \t]*(\(*[A-Za-z0-9.+:-]*[A-Za-z0-9+]\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+:-]*[A-Za-z0-9+]\)*)*)")
 BEFORE, AFTER = 200, 480
-MIN_SAVING = 0.25
+MIN_SAVING, MAX_DIFFERENCES = 0.25, 0.15
 
 
-def blocks(text: str):
-    """Character ranges around trigger words; ranges that touch are one, cut at CUT characters."""
+def wanted_words(wording: str) -> list[str]:
+    """The words of a template; <year> stands for any year or range of years."""
+    return re.findall(rf"<year>|{_WORD.pattern}", wording.lower())
+
+
+def triggers(templates: dict[str, str], max_differences: float = MAX_DIFFERENCES) -> str:
+    """A regular expression (of Python and Java) that matches in every text with a wording near a template: of
+    each template it has one word more than may differ, so one of them is always left as it was."""
+    out = set()
+    for wording in templates.values():
+        words = wanted_words(wording)
+        plain = sorted(set(words) - {"<year>"}, key=lambda w: (not _TELLING.search(w), -len(w), w))
+        out |= set(plain[: int(max_differences * len(words)) + 1])
+    least = [w for w in sorted(out) if not any(x != w and x in w for x in out)]
+    return "(?i)" + ("|".join(w.replace(".", "[.]") for w in least) or "(?!)")
+
+
+def blocks(text: str, trigger: re.Pattern, before: int = BEFORE, after: int = AFTER):
+    """Character ranges around trigger words; ranges that touch are one."""
     lo = hi = None
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
+    for m in trigger.finditer(text):
+        a, b = max(0, m.start() - before), min(len(text), m.end() + after)
         if hi is not None and a <= hi:
             hi = b
         else:
@@ -55,28 +80,40 @@ def blocks(text: str):
         yield lo, hi
 
 
+def word(text: str) -> str:
+    return "<year>" if _YEAR.fullmatch(text) else text.lower()
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, min_saving: float = MIN_SAVING, max_differences: float = 0.15):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, min_saving: float = MIN_SAVING, max_differences: float = MAX_DIFFERENCES):
         self.min_saving, self.max_differences = min_saving, max_differences
+        self.trigger = re.compile(triggers(templates, max_differences))
+        longest = max(map(len, templates.values()), default=0) * 5 // 4  # a trigger may be a notice's last word, or its first
+        self.before, self.after = max(BEFORE, longest), max(AFTER, longest)
         self.plain = zstandard.ZstdCompressor(level=19)
         self.templates = {}
         for name, wording in templates.items():
             raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates[name] = (zstandard.ZstdCompressor(level=19, dict_data=raw), _WORD.findall(wording.lower()))
+            words = wanted_words(wording)
+            self.templates[name] = (zstandard.ZstdCompressor(level=19, dict_data=raw), words, Counter(words))
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the size they save of the block, as a share of what they could save at most."""
+        """Templates by the size they save of the block, as a share of what they could save at most; those that
+        more words of the block differ from than confirm() accepts are left out."""
+        held = Counter(word(m[0]) for m in _WORD.finditer(block))
+        near = [(name, compressor, words) for name, (compressor, words, need) in self.templates.items() if (need - held).total() <= self.max_differences * len(words)]
+        return sorted(zip(self.savings(block, near), (name for name, _, _ in near)), key=lambda x: (-x[0], x[1]))
+
+    def savings(self, block: str, templates: list[tuple]) -> list[float]:
+        if not templates:
+            return []
         raw = block.encode("utf-8", "surrogatepass")
         base = len(self.plain.compress(raw))
-        out = []
-        for name, (compressor, words) in self.templates.items():
-            saved = base - len(compressor.compress(raw))
-            out.append((saved / max(1, min(base, sum(map(len, words)))), name))
-        return sorted(out, key=lambda x: (-x[0], x[1]))
+        return [(base - len(compressor.compress(raw))) / max(1, min(base, sum(len(w) for w in words if w != "<year>"))) for _, compressor, words in templates]
 
     def confirm(self, block: str, name: str) -> tuple[int, int, list[str]] | None:
         """Range of the wording in the block and its exact differences from the template; None if too many."""
-        found = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
+        found = [(word(m[0]), m.start(), m.end()) for m in _WORD.finditer(block)]
         want = self.templates[name][1]
         match = difflib.SequenceMatcher(None, [w for w, _, _ in found], want, autojunk=False)
         same = [m for m in match.get_matching_blocks() if m.size]
@@ -98,22 +135,25 @@ class Scanner:
         changed = sum(max(len(d.split(" -> ")[0].split()), len(d.split(" -> ")[-1].split())) for d in differences)
         if changed > self.max_differences * len(want):
             return None
-        return found[a][1], found[b - 1][2], differences
+        end = found[b - 1][2]
+        if name == "SPDX" and (more := _SPDX.match(block, end)):
+            end = more.end(1)
+        return found[a][1], end, differences
 
     def scan(self, text: str | None):
         """(start, end, template, saving, differences) in text order; ranges don't overlap."""
         out = []
-        for lo, hi in blocks(text or ""):
+        for lo, hi in blocks(text or "", self.trigger, self.before, self.after):
             rest = [(lo, hi)]
             while rest:
                 a, b = rest.pop()
                 for saving, name in self.ranked(text[a:b]):
-                    if saving < self.min_saving:
-                        break
                     got = self.confirm(text[a:b], name)
-                    if got:
+                    if got and saving < self.min_saving:  # in a long block a short notice saves little: it's measured alone
+                        saving = self.savings(text[a + got[0] : a + got[1]], [(name, *self.templates[name][:2])])[0]
+                    if got and saving >= self.min_saving:
                         out.append((a + got[0], a + got[1], name, saving, got[2]))
-                        rest += [(x, y) for x, y in ((a, a + got[0]), (a + got[1], b)) if _TRIGGER.search(text, x, y)]
+                        rest += [(x, y) for x, y in ((a, a + got[0]), (a + got[1], b)) if self.trigger.search(text, x, y)]
                         break
         return sorted(out)
 
@@ -138,7 +178,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], [x.split()[0] for x in FOUND.split(", ")])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(TRIGGER_SQL))
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(triggers(templates)))
     return wanted.mapInArrow(run, FOUND)
 
 

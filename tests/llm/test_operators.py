@@ -286,6 +286,20 @@ def test_licences(spark, nothing):
     assert texts[1][f.start : f.end].startswith("licensed under") and f.differences == ["license -> licence"]
 
 
+def test_licence_templates_propose_blocks(spark):
+    filler = " ".join(w for i, w in corpus() if w)[:900]
+    notices = {"All-rights-reserved": "All rights reserved", "SPDX": "SPDX-License-Identifier: GPL-2.0-only OR MIT", "Copyright": "Copyright \u00a9 2019-2021", "MIT": "Released under the MIT License"}
+    texts = {name: f"{filler}\n{notice}{tail}\n{filler}" for name, notice in notices.items() for tail in [" Jane" if name == "Copyright" else ""]}
+    d = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {(r.doc_id, r.licence, texts[r.licence][r.start : r.end]) for r in licences.scan_licences(d).collect()}
+    assert got == {(i, name, notice) for i, (name, notice) in enumerate(notices.items())}
+    own = {"DE": "Alle Rechte vorbehalten."}
+    mine = spark.createDataFrame([(0, f"{filler}\nAlle Rechte vorbehalten.\n{filler}")], "doc_id long, text string")
+    assert [r.licence for r in licences.scan_licences(mine, own).collect()] == ["DE"]
+    late = licences.TEMPLATES["MIT-text"].replace("Permission", "Authorisation").replace("restriction", "limits").replace("documentation", "papers")
+    assert [x[2] for x in licences.Scanner().scan(f"{filler}\n{late}\n{filler}")] == ["MIT-text"]
+
+
 def test_anchor_is_of_the_words():
     w = [str(k % 37).encode() for k in range(120)]
     a, p = substrings.anchors(w, 50)
