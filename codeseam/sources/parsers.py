@@ -14,6 +14,12 @@ NODE = "path string, node_id int, parent_id int, depth int, node_type string, na
 _NODE = pa.schema([("path", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("node_type", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32())])
 
 
+def assigned(node: ast.Assign) -> list[str]:
+    """The names among an assignment's targets, and in its tuple and list targets."""
+    parts = [e for t in node.targets for e in (t.elts if isinstance(t, (ast.Tuple, ast.List)) else [t])]
+    return [e.id for e in parts if isinstance(e, ast.Name)]
+
+
 def python_nodes_of(source: str) -> list[dict]:
     """Flat syntax nodes with a name or a statement's place; a syntax error gives one node Error."""
     try:
@@ -31,6 +37,8 @@ def python_nodes_of(source: str) -> list[dict]:
             name = "." * node.level + (node.module or "")
         if isinstance(node, ast.BoolOp):
             name = str(len(node.values))
+        if isinstance(node, ast.Assign):
+            name = ",".join(assigned(node)) or None
         out.append(dict(node_id=me, parent_id=parent, depth=depth, node_type=type(node).__name__, name=name if isinstance(name, str) else None, line=getattr(node, "lineno", None), end_line=getattr(node, "end_lineno", None)))
         todo.extend((c, me, depth + 1) for c in reversed(list(ast.iter_child_nodes(node))))
     return out
@@ -117,9 +125,10 @@ def python_edges(ast_nodes: DataFrame) -> DataFrame:
 
 
 def python_symbols(ast_nodes: DataFrame) -> DataFrame:
+    """Functions, classes and assigned names (an Assign node's name has all of its targets')."""
     t = F.col("node_type")
-    kind = F.when(t.isin("FunctionDef", "AsyncFunctionDef"), "function").when(t == "ClassDef", "class")
-    return ast_nodes.where(kind.isNotNull()).select("path", kind.alias("kind"), "name").distinct()
+    kind = F.when(t.isin("FunctionDef", "AsyncFunctionDef"), "function").when(t == "ClassDef", "class").when(t == "Assign", "variable")
+    return ast_nodes.where(kind.isNotNull() & F.col("name").isNotNull()).select("path", kind.alias("kind"), F.explode(F.split("name", ",")).alias("name")).distinct()
 
 
 def python_complexity(ast_nodes: DataFrame) -> DataFrame:

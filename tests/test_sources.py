@@ -53,6 +53,11 @@ def test_python(spark):
     assert parsers.nodes(one(spark, "def ("), "python").first().node_type == "Error"
 
 
+def test_python_variables(spark):
+    n = parsers.nodes(one(spark, "a = b = 1\n(c, d.e), f = g\nh, *i = [j, k] = l\nm: int = 1\nn += 1\nclass O:\n    p = [q for q in r]\n"), "python")
+    assert {r.name for r in parsers.python_symbols(n).where("kind = 'variable'").collect()} == {"a", "b", "f", "h", "j", "k", "p"}
+
+
 def test_other_parsers(spark):
     j = parsers.nodes(one(spark, '{"a":{"b":1},"c":[{"d":2}]}'), "json")
     assert {r.key for r in parsers.key_paths(j).collect()} == {"a", "a.b", "c", "c[0].d"}
