@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,12 +21,30 @@ def assigned(node: ast.Assign) -> list[str]:
     return [e.id for e in parts if isinstance(e, ast.Name)]
 
 
+#: What ast.parse raises for texts that aren't Python, or nest too deep.
+UNPARSED = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def _recovered(source: str) -> list[dict]:
+    """Import, definition and assignment nodes of a text that can't be parsed, by the regex forms."""
+    out = []
+    forms = [*EDGE_FORMS["python"], *SYMBOL_FORMS["python"]]
+    for kind, m in sorted(((kind, m) for kind, rx in forms for m in re.finditer(rx, source)), key=lambda x: x[1].start(1)):
+        node_type = {"import": "Import", "from": "ImportFrom", "function": "FunctionDef", "class": "ClassDef", "variable": "Assign"}[kind]
+        line, me = source.count("\n", 0, m.start(1)) + 1, len(out) + 1
+        out.append(dict(node_id=me, parent_id=0, depth=1, node_type=node_type, name=None if kind == "import" else m[1], line=line, end_line=None))
+        if kind in ("import", "from"):  # the forms name the module only
+            out.append(dict(node_id=me + 1, parent_id=me, depth=2, node_type="alias", name=m[1] if kind == "import" else "*", line=line, end_line=None))
+    return out
+
+
 def python_nodes_of(source: str) -> list[dict]:
-    """Flat syntax nodes with a name or a statement's place; a syntax error gives one node Error."""
+    """Flat syntax nodes with a name or a statement's place; a syntax error gives a node Error, and below it what
+    the regex forms find of imports and symbols."""
     try:
         top = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        return [dict(node_id=0, parent_id=None, depth=0, node_type="Error", name=str(e), line=getattr(e, "lineno", None), end_line=None)]
+    except UNPARSED as e:
+        return [dict(node_id=0, parent_id=None, depth=0, node_type="Error", name=str(e), line=getattr(e, "lineno", None), end_line=None), *_recovered(source)]
     out, todo = [], [(top, None, 0)]
     while todo:
         node, parent, depth = todo.pop()
@@ -152,11 +171,12 @@ def god_classes(ast_nodes: DataFrame, methods: int = 20, attributes: int = 15) -
 
 
 def structural_findings_of(source: str) -> list[tuple]:
-    """Detectors that need the shape of the tree: singleton, factory, observer, deep nesting, duplicate code."""
+    """Detectors that need the shape of the tree: singleton, factory, observer, deep nesting, duplicate code; a text
+    that can't be parsed gives analysis_error."""
     try:
         top = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return []
+    except UNPARSED as e:
+        return [(getattr(e, "lineno", None), "code_smell", "analysis_error", "error", f"Analysis failed: {e}")]
     out, bodies = [], {}
     for node in ast.walk(top):
         if isinstance(node, ast.ClassDef):
@@ -252,6 +272,7 @@ def _named(kind: str, regex: str) -> Column:
 
 #: Forms in which symbols are declared.
 SYMBOL_FORMS = {
+    "python": [("function", r"(?m)^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("), ("class", r"(?m)^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)\s*[:(]"), ("variable", r"(?m)^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=(?!=)")],
     "javascript": [("function", r"function\s+([A-Za-z_$][\w$]*)"), ("function", r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)\n]*\)\s*=>"), ("class", r"class\s+([A-Za-z_$][\w$]*)"), ("variable", r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)")],
     "typescript": [("class", r"(?:interface|enum|namespace)\s+([A-Za-z_$][\w$]*)"), ("class", r"type\s+([A-Za-z_$][\w$]*)\s*=")],
     "css": [("class", r"\.([A-Za-z_-][\w-]*)\s*[,{:]"), ("variable", r"(--[\w-]+)\s*:")],

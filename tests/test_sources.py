@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from codeseam.functions import text
 from codeseam.operators import batching, cachetable
 from codeseam.plans import pipeline
@@ -58,6 +60,19 @@ def test_python_variables(spark):
     assert {r.name for r in parsers.python_symbols(n).where("kind = 'variable'").collect()} == {"a", "b", "f", "h", "j", "k", "p"}
 
 
+def test_python_with_syntax_error(spark):
+    f = one(spark, "import os\n  from .a import b\nx = 1\nif x == 1\nclass C:\n    async def g(self):\n        y == 2\n").withColumn("file_type", F.lit("python"))
+    n = parsers.nodes(f, "python").cache()
+    assert n.where("node_type = 'Error'").count() == 1
+    assert {(r.target, r.line, r.is_relative) for r in parsers.python_edges(n).collect()} == {("os", 1, False), (".a", 2, True)}
+    assert {(r.kind, r.name) for r in parsers.python_symbols(n).collect()} == {("variable", "x"), ("class", "C"), ("function", "g")}
+    assert parsers.python_complexity(n).first().complexity == 1
+    r = pipeline.detect(f).collect()
+    assert [(x.pattern_name, x.severity, x.line) for x in r] == [("analysis_error", "error", 2)] and r[0].message.startswith("Analysis failed: ")
+    deep = one(spark, "a = " + "-" * 200_000 + "1")
+    assert [x.pattern_name for x in parsers.structural_findings(deep).collect()] == ["analysis_error"]
+
+
 def test_other_parsers(spark):
     j = parsers.nodes(one(spark, '{"a":{"b":1},"c":[{"d":2}]}'), "json")
     assert {r.key for r in parsers.key_paths(j).collect()} == {"a", "a.b", "c", "c[0].d"}
