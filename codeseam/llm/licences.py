@@ -7,9 +7,9 @@ wording is then confirmed: the block's words are aligned with the template's and
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections import Counter
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -84,6 +84,43 @@ def word(text: str) -> str:
     return "<year>" if _YEAR.fullmatch(text) else text.lower()
 
 
+def cores(got: list[str], want: list[str], least: int) -> list[tuple[int, int]]:
+    """Places (in got, in want) of the longest runs of equal words, longest first; runs below least are left out.
+    A wording with few differences has a run of at least (words - differences) / (differences + 1)."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(want):
+        places.setdefault(w, []).append(j)
+    runs, before = [], {}  # before: place in want -> length of the run that ends there
+    for i, w in enumerate([*got, None]):
+        now = {j: before.get(j - 1, 0) + 1 for j in places.get(w, ())}
+        runs += [(-n, i - n, j - n + 1) for j, n in before.items() if n >= least and j + 1 not in now]
+        before = now
+    return [(i, j) for _, i, j in sorted(runs)]
+
+
+def align(got: list[str], want: list[str]) -> list[tuple[int | None, int | None, bool]]:
+    """The pairs (place in got, in want, equal) of the fewest changes that make want of a part of got."""
+    rows = [[0] * (len(got) + 1)]
+    for j, w in enumerate(want):
+        up, row = rows[-1], [j + 1]
+        for i, g in enumerate(got):
+            row.append(min(up[i] + (g != w), up[i + 1] + 1, row[i] + 1))
+        rows.append(row)
+    i, j, out = rows[-1].index(min(rows[-1])), len(want), []
+    while j:
+        here = rows[j][i]
+        if i and here == rows[j - 1][i - 1] + (got[i - 1] != want[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((i, j, got[i] == want[j]))
+        elif here == rows[j - 1][i] + 1:
+            j -= 1
+            out.append((None, j, False))
+        else:
+            i -= 1
+            out.append((i, None, False))
+    return out[::-1]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, min_saving: float = MIN_SAVING, max_differences: float = MAX_DIFFERENCES):
         self.min_saving, self.max_differences = min_saving, max_differences
@@ -115,26 +152,25 @@ class Scanner:
         """Range of the wording in the block and its exact differences from the template; None if too many."""
         found = [(word(m[0]), m.start(), m.end()) for m in _WORD.finditer(block)]
         want = self.templates[name][1]
-        match = difflib.SequenceMatcher(None, [w for w, _, _ in found], want, autojunk=False)
-        same = [m for m in match.get_matching_blocks() if m.size]
-        # the run of matches that is dense around the longest one
-        if not same:
+        got = [w for w, _, _ in found]
+        most = int(self.max_differences * len(want))
+        for i, j in cores(got, want, -(-(len(want) - most) // (most + 1))):
+            first = max(0, i - j - most)
+            aligned = align(got[first : i - j + len(want) + most], want)
+            same = [k for k, (x, y, equal) in enumerate(aligned) if equal]
+            # words of the template outside the first and last equal one are missing, not replaced
+            inner = range(same[0], same[-1] + 1)
+            pairs = [(x if k in inner else None, y, equal) for k, (x, y, equal) in enumerate(aligned) if k in inner or y is not None]
+            if sum(not equal for _, _, equal in pairs) <= most:
+                break
+        else:
             return None
-        core = max(range(len(same)), key=lambda i: same[i].size)
-        lo = hi = core
-        while lo and same[lo].a - (same[lo - 1].a + same[lo - 1].size) <= 3:
-            lo -= 1
-        while hi + 1 < len(same) and same[hi + 1].a - (same[hi].a + same[hi].size) <= 3:
-            hi += 1
-        a, b = same[lo].a, same[hi].a + same[hi].size
-        got = [w for w, _, _ in found[a:b]]
+        a, b = first + aligned[same[0]][0], first + aligned[same[-1]][0] + 1
         differences = []
-        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, got, want, autojunk=False).get_opcodes():
-            if op != "equal":
-                differences.append(f"{' '.join(want[j1:j2])} -> {' '.join(got[i1:i2])}")
-        changed = sum(max(len(d.split(" -> ")[0].split()), len(d.split(" -> ")[-1].split())) for d in differences)
-        if changed > self.max_differences * len(want):
-            return None
+        for equal, run in groupby(pairs, key=lambda x: x[2]):
+            if not equal:
+                run = list(run)
+                differences.append(f"{' '.join(want[y] for _, y, _ in run if y is not None)} -> {' '.join(got[first + x] for x, _, _ in run if x is not None)}")
         end = found[b - 1][2]
         if name == "SPDX" and (more := _SPDX.match(block, end)):
             end = more.end(1)

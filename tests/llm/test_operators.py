@@ -300,6 +300,19 @@ def test_licence_templates_propose_blocks(spark):
     assert [x[2] for x in licences.Scanner().scan(f"{filler}\n{late}\n{filler}")] == ["MIT-text"]
 
 
+def test_licence_alignment_is_local():
+    altered = "This text is licensed under the GNU General Public License, version 3."
+    scan = licences.Scanner().scan
+    for before in ("", "this ", "Is this the work? ", "This is what the version of 3 is under. " * 3):
+        text = f"{before}and so on:\n{altered}\nNo work of this kind."
+        found = scan(text)
+        assert [(text[s:e], name, d) for s, e, name, _, d in found] == [(altered[:-1], "GPL-3.0", ["work -> text"])]
+    copies = [altered, altered.replace("text", "work").replace("under", "by"), altered.replace("text is", "work was"), altered.replace("text", "work").replace(", version", " release")]
+    text = "\nthis is\n".join(copies)
+    assert [text[s:e] for s, e, _, _, _ in scan(text)] == [c[:-1] for c in copies]
+    assert not scan(altered.replace("GNU General", "Big Private"))
+
+
 def test_anchor_is_of_the_words():
     w = [str(k % 37).encode() for k in range(120)]
     a, p = substrings.anchors(w, 50)
