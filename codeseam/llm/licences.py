@@ -218,8 +218,25 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     return wanted.mapInArrow(run, FOUND)
 
 
+REPORT = "doc_id long, n_notices long, licences string, spans string"
+
+
 def licence_report(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_notices, licences (distinct, sorted, comma-joined), spans."""
-    found = scan_licences(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("names"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "licence", "n_differences"))), lambda s: F.concat_ws(":", s["licence"], s["start"].cast("string"), s["end"].cast("string"), s["n_differences"].cast("string"))), ",").alias("spans"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_notices"), F.coalesce("names", F.lit("")).alias("licences"), F.coalesce("spans", F.lit("")).alias("spans"))
+    """One row for each row of docs, from that row alone (ids may be null or shared): doc_id, n_notices,
+    licences (distinct, sorted, comma-joined), spans."""
+
+    def run(batches):
+        scanner = Scanner()
+        for batch in batches:
+            rows = [[] for _ in range(3)]
+            for text in batch.column(1):
+                found = scanner.scan(text.as_py())
+                spans = ",".join(f"{name}:{start}:{end}:{len(differences)}" for start, end, name, _, differences in found)
+                for col, v in zip(rows, (len(found), ",".join(sorted({x[2] for x in found})), spans)):
+                    col.append(v)
+            types = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(rows, types))], [x.split()[0] for x in REPORT.split(", ")])
+
+    # texts without a trigger word stay in the JVM
+    text = F.when(F.col("text").rlike(triggers(TEMPLATES)), F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, REPORT)

@@ -313,6 +313,13 @@ def test_licence_alignment_is_local():
     assert not scan(altered.replace("GNU General", "Big Private"))
 
 
+def test_licence_report_is_by_row(spark):
+    mit, cc = "Released under the MIT License.", "Licensed under CC BY-NC 4.0."
+    d = spark.createDataFrame([(None, mit), (None, None), (1, cc), (1, "none"), (1, f"{cc}\n{mit}\n{mit}")], "doc_id long, text string")
+    got = sorted((repr(r.doc_id), r.n_notices, r.licences, r.spans) for r in licences.licence_report(d).collect())
+    assert got == [("1", 0, "", ""), ("1", 1, "CC-BY-NC-4.0", "CC-BY-NC-4.0:0:27:0"), ("1", 3, "CC-BY-NC-4.0,MIT", "CC-BY-NC-4.0:0:27:0,MIT:29:59:0,MIT:61:91:0"), ("None", 0, "", ""), ("None", 1, "MIT", "MIT:0:30:0")]
+
+
 def test_anchor_is_of_the_words():
     w = [str(k % 37).encode() for k in range(120)]
     a, p = substrings.anchors(w, 50)
