@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ASCII_LOWER
+from .common import ASCII_LOWER, drop_stored, stored
 
 #: Every byte that isn't 0-9, a-z or part of a non-ASCII character becomes a blank; A-Z are lower-cased.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in ASCII_LOWER)
@@ -162,9 +163,10 @@ class SuffixAutomaton:
         return [tuple(s) for s in spans], items
 
 
-def automata(benchmark: DataFrame, window: int, limit: int = AUTOMATON_CHARS):
-    """Automata over all items, one at a time: the items' total size is measured first, and as many shards are
-    made as keep each of them below the limit. One shard's items are at the driver at any time."""
+def automata(benchmark: DataFrame, window: int, limit: int | None = None):
+    """(automaton, whether more follow) over all items, one at a time: the items' total size is measured first, and
+    as many shards are made as keep each of them below the limit. One shard's items are at the driver at any time."""
+    limit = AUTOMATON_CHARS if limit is None else limit
     rows = benchmark.select(F.col("item_id"), "text").where("text is not null and item_id is not null")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = -(-size // limit) or 1
@@ -173,49 +175,78 @@ def automata(benchmark: DataFrame, window: int, limit: int = AUTOMATON_CHARS):
         part = rows if shards == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         for item, text in part.toLocalIterator():
             held.add(item, words_of(text))
-        yield held.finish()
+        yield held.finish(), k + 1 < shards
 
 
 HITS = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 _HIT_TYPES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, spans (in words, merged), items (sorted ids as strings) for each row of docs.
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans of which none touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            a, b = out[-1][0], max(b, out.pop()[1])
+        out.append((a, b))
+    return out
 
-    Null texts have no words. Items without words, and with a null id, are none; items with equal texts all
-    count. Repeated rows are repeated; rows of several shards that share a doc_id and size are merged. Empty
-    tables give an empty one, or documents without hits.
-    """
-    sc, found = docs.sparkSession.sparkContext, []
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for one in automata(benchmark, window):
+
+def matched(docs: DataFrame, benchmark: DataFrame, window: int, judge, schema) -> DataFrame:
+    """judge(batch, place of text, word counts, spans, items) of each batch of docs, with what all automata found in each row.
+
+    A row goes through the automata one by one and carries its text and what was found so far, so rows need no key.
+    Between two automata the rows are written, so that a worker holds one automaton at a time."""
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
+    carried = T.StructType([*docs.schema.fields, T.StructField("__spans", T.DataType.fromDDL("array<struct<start:long,end:long>>")), T.StructField("__items", T.DataType.fromDDL("array<string>"))])
+    width, first, kept = len(docs.columns), True, None
+    for one, more in automata(benchmark, window):
         shared = sc.broadcast(one)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, first=first, more=more):
             automaton = shared.value
             for batch in batches:
                 n, spans, items = [], [], []
-                for text in batch.column(1):
+                for text in batch.column(at):
                     words = words_of(text.as_py())
                     s, i = automaton.match(words)
                     n.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in s])
-                    items.append(sorted({str(automaton.items[k][0]) for k in i}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, _HIT_TYPES[0]), pa.array(items, _HIT_TYPES[1])], ["doc_id", "n_words", "spans", "items"])
-
-        found.append(docs.mapInArrow(run, HITS))
-    if len(found) == 1:
-        return found[0]
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    merged = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.array().cast("array<struct<start:long,end:long>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    return out.groupBy("doc_id", "n_words").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+                    spans.append(s)
+                    items.append({str(automaton.items[k][0]) for k in i})
+                if not first:
+                    spans = [united([*s, *((x["start"], x["end"]) for x in old)]) for s, old in zip(spans, batch.column(width).to_pylist())]
+                    items = [found.union(old) for found, old in zip(items, batch.column(width + 1).to_pylist())]
+                own = batch.select(list(range(width)))
+                if more:
+                    yield pa.RecordBatch.from_arrays([*own.columns, *arrow_hits(spans, items)], [*own.schema.names, "__spans", "__items"])
+                else:
+                    yield judge(own, at, n, spans, items)
+
+        docs = docs.mapInArrow(run, carried if more else schema)
+        if more:
+            before, kept = kept, stored(docs)
+            docs, first = kept, False
+            shared.unpersist()
+            if before is not None:
+                drop_stored(before)
+    return docs
+
+
+def arrow_hits(spans: list, items: list) -> list[pa.Array]:
+    return [pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _HIT_TYPES[0]), pa.array([sorted(i) for i in items], _HIT_TYPES[1])]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """doc_id, n_words, spans (in words, merged), items (sorted ids as strings) for each row of docs.
+
+    Null texts have no words. Items without words, and with a null id, are none; items with equal texts all
+    count. Repeated rows are repeated. Empty tables give an empty one, or documents without hits.
+    """
+
+    def judge(batch, at, n, spans, items):
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *arrow_hits(spans, items)], ["doc_id", "n_words", "spans", "items"])
+
+    return matched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, judge, HITS)
 
 
 def digest_contamination(found: DataFrame) -> DataFrame:
@@ -228,27 +259,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     inside windows or one span is longer than max_span words; from the others the spans are cut, the rest of
     the text staying as it is. All columns are kept. With the default limits a contaminated document goes.
     """
-    sc = docs.sparkSession.sparkContext
-    names, at = docs.columns, docs.columns.index("text")
-    for one in automata(benchmark, window):
-        shared = sc.broadcast(one)
 
-        def run(batches, shared=shared):
-            automaton = shared.value
-            for batch in batches:
-                keep, texts = [], []
-                for text in batch.column(at).to_pylist():
-                    words = words_of(text)
-                    spans, _ = automaton.match(words)
-                    hit = sum(b - a for a, b in spans)
-                    go = hit > max_coverage * len(words) or max_span is not None and any(b - a > max_span for a, b in spans)
-                    keep.append(not (hit and go))
-                    texts.append(cut_words(text, spans) if hit and not go else text)
-                kept = batch.set_column(at, "text", pa.array(texts, pa.string()))
-                yield kept.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs.select(names)
+    def judge(batch, at, n, spans, items):
+        keep, left = [], []
+        for text, size, found in zip(batch.column(at).to_pylist(), n, spans):
+            hit = sum(b - a for a, b in found)
+            go = hit > max_coverage * size or max_span is not None and any(b - a > max_span for a, b in found)
+            keep.append(not (hit and go))
+            left.append(cut_words(text, found) if hit and not go else text)
+        return batch.set_column(at, "text", pa.array(left, pa.string())).filter(pa.array(keep, pa.bool_()))
+
+    return matched(docs, benchmark, window, judge, docs.schema)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

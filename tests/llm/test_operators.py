@@ -169,6 +169,27 @@ def test_decontamination(spark, docs, nothing, monkeypatch):
     assert decontaminate.cut_words("Aa, bb CC-dd e", [(1, 3)]) == "Aa, -dd e"
 
 
+def test_decontamination_in_shards(spark, docs, monkeypatch):
+    w = [f"w{k}" for k in range(400)]
+    text = " ".join(w)
+    bench = spark.createDataFrame([(k, " ".join(w[20 * k : 20 * k + 24])) for k in range(0, 16, 4)] + [(99, " ".join(w[90:120]))], "item_id long, text string")
+    rows = [(None, text), (None, text), (None, " ".join(w[::-1])), (7, text), (7, " ".join(w[:399]) + " x"), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found():
+        return sorted((repr(r.doc_id), r.n_words, [tuple(s) for s in r.spans], r.items) for r in decontaminate.contamination(d, bench).collect())
+
+    def kept(coverage, span=None):
+        return sorted((repr(r.doc_id), r.text or "") for r in decontaminate.decontaminate(d, bench, max_coverage=coverage, max_span=span).collect())
+
+    limits = [(0.0,), (0.2,), (0.3,), (0.5,), (0.5, 30)]
+    one = found(), [kept(*x) for x in limits]
+    assert len(one[0]) == 6 and [len(x) for x in one[1]] == [2, 2, 6, 6, 2]
+    monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", 150)
+    assert len(list(decontaminate.automata(bench, 10))) > 2
+    assert (found(), [kept(*x) for x in limits]) == one
+
+
 def test_pii(spark, nothing):
     texts = [None, "", "call +1 (555) 010-9999 or x@y.co.uk, a@b.c@d.e", "card 4111 1111 1111 1111, 4111-1111-1111-1112", "ip 1.2.3.4.5.6.7.8 999.1.1.1 010.000.0255.1", "é😀 u%x@h.de 12345678901234567890123", "IBAN DE89 3704 0044 0532 0130 00 konto, DE89370400440532013001", "7" * 30000 + " " + "1 " * 20000 + "a" * 30000 + "@", "4 1 1 1-1111 1111 1111 1 +123456789+12 345 678 90", "x@y.z" * 300]
 
