@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, sliced
+from .common import ASCII_LOWER, drop_stored, sliced, stored
 
 BITS = 16
-MAX_LANGUAGES = 256  # bound of the model's size: the most frequent labels are learned
+SHARD_LANGUAGES = 256  # languages whose scores are held side by side; more are dealt to several shards
+KEPT_SCORES = 8_000_000  # words x languages of one document that are kept; above that each shard's are computed anew
 EM_STEPS = 12
 _BLANK = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in ASCII_LOWER)
 
@@ -37,34 +38,83 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text)) if text else False
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities (languages x 2^BITS), from doc text and non-null lang."""
+class Shard:
+    """Log-probabilities of some languages: counted grams by gram, and each language's value of uncounted ones."""
+
+    def __init__(self, n: int, k: np.ndarray, gram: np.ndarray, count: np.ndarray, dense: bool):
+        total = np.bincount(k, count, n) + 0.05 * (1 << BITS)
+        self.base = np.log(0.05 / total).astype(np.float32)
+        order = np.argsort(gram, kind="stable")
+        self.lang, self.value = k[order].astype(np.int32), np.log((count + 0.05) / total[k])[order].astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(gram, minlength=1 << BITS))])
+        self.dense = None
+        if dense:
+            self.dense = self.of(np.arange(1 << BITS))
+
+    def __len__(self) -> int:
+        return len(self.base)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """languages x grams, for distinct grams."""
+        n = self.starts[grams + 1] - self.starts[grams]
+        flat = np.repeat(self.starts[grams] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out = np.repeat(self.base[:, None], len(grams), axis=1)
+        out[self.lang[flat], np.repeat(np.arange(len(grams)), n)] = self.value[flat]
+        return out
+
+    def scores(self, grams: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[:, grams]
+        some, back = np.unique(grams.astype(np.int64), return_inverse=True)
+        return self.of(some)[:, back]
+
+
+def train(docs: DataFrame) -> tuple[list[str], list[Shard]]:
+    """Languages (all non-null lang values, sorted) and their log-probabilities in shards, from doc text."""
     rows = docs.select("lang", "text").where("lang is not null and text is not null")
-    top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not top:
-        return [], np.zeros((0, 1 << BITS), np.float32)
-    at = {x: i for i, x in enumerate(sorted(top))}
+    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    if not names:
+        return [], []
+    at = {x: i for i, x in enumerate(names)}
 
     def run(batches):
-        sums = np.zeros((len(at), 1 << BITS), np.int64)
+        sums: dict[int, np.ndarray] = {}
+
+        def partial():
+            for k, v in sums.items():
+                held = np.flatnonzero(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), k), pa.int32()), pa.array(held, pa.int32()), pa.array(v[held], pa.int64())], ["k", "gram", "n"])
+            sums.clear()
+
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in sliced(texts):
-                for lang in set(langs[lo:hi]) & at.keys():
+                of: dict[str, list[bytes]] = {}
+                for x, t in zip(langs[lo:hi], texts[lo:hi]):
+                    of.setdefault(x, []).append(normalised(t))
+                for lang, parts in of.items():
                     # texts stand side by side with a blank between, so no n-gram crosses from word to word
-                    raw = np.frombuffer(b"".join(normalised(t) for x, t in zip(langs[lo:hi], texts[lo:hi]) if x == lang), np.uint8)
+                    raw = np.frombuffer(b"".join(parts), np.uint8)
                     if len(raw) > 2:
+                        if at[lang] not in sums:
+                            if len(sums) == SHARD_LANGUAGES:  # bounds a worker's memory
+                                yield from partial()
+                            sums[at[lang]] = np.zeros(1 << BITS, np.int64)
                         sums[at[lang]] += np.bincount(_grams(raw), minlength=1 << BITS)
-        for k, v in enumerate(sums):
-            held = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), k), pa.int32()), pa.array(held, pa.int32()), pa.array(v[held], pa.int64())], ["k", "gram", "n"])
+        yield from partial()
 
-    counts = np.zeros((len(at), 1 << BITS))
     total = rows.mapInArrow(run, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-    for k, gram, n in total.toPandas().itertuples(index=False):  # at most MAX_LANGUAGES * 2^BITS sums
-        counts[k, gram] = n
-    p = (counts + 0.05) / (counts + 0.05).sum(axis=1, keepdims=True)
-    return sorted(top), np.log(p).astype(np.float32)
+    several = len(names) > SHARD_LANGUAGES
+    if several:
+        total = stored(total)
+    shards = []
+    for lo in range(0, len(names), SHARD_LANGUAGES):  # at most SHARD_LANGUAGES * 2^BITS sums at once
+        size = min(SHARD_LANGUAGES, len(names) - lo)
+        part = (total.where(F.col("k").between(lo, lo + size - 1)) if several else total).toPandas()
+        shards.append(Shard(size, part["k"].to_numpy(np.int64) - lo, part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.float64), not several))
+    if several:
+        drop_stored(total)
+    return names, shards
 
 
 def em(like: np.ndarray, weight: np.ndarray, steps: int = EM_STEPS) -> tuple[np.ndarray, float]:
@@ -82,35 +132,65 @@ def em(like: np.ndarray, weight: np.ndarray, steps: int = EM_STEPS) -> tuple[np.
     return pi, float(weight @ np.log(like @ pi))
 
 
-def mixture(raw: bytes, logp: np.ndarray) -> np.ndarray | None:
+def mixture(raw: bytes, shards: list[Shard]) -> np.ndarray | None:
     """Proportions of all languages (zero outside the selected set); None without a word."""
     x = np.frombuffer(raw, np.uint8)
     if len(x) < 3:
         return None
-    grams = logp[:, _grams(x)]
+    grams = _grams(x)
     starts = np.flatnonzero(x[:-2] == 32)  # each word begins with its leading blank
-    words = np.add.reduceat(grams, starts, axis=1).T.astype(np.float64)
-    high = words.max(axis=1, keepdims=True)
-    like = np.exp(np.maximum(words - high, -40.0))
-    weight = np.ones(len(like))
-    n = len(logp)
-    single = weight @ np.log(like)
+    n = sum(map(len, shards))
+    kept = {} if len(starts) * n <= KEPT_SCORES or len(shards) == 1 else None
+
+    def words(k):
+        if kept is not None and k in kept:
+            return kept[k]
+        out = np.add.reduceat(shards[k].scores(grams), starts, axis=1).T.astype(np.float64)
+        if kept is not None:
+            kept[k] = out
+        return out
+
+    high = np.full((len(starts), 1), -np.inf)
+    for k in range(len(shards)):
+        high = np.maximum(high, words(k).max(axis=1, keepdims=True))
+    scaled = {}
+
+    def likes():
+        for k in range(len(shards)):
+            like = scaled[k] if k in scaled else np.exp(np.maximum(words(k) - high, -40.0))
+            if kept is not None:
+                scaled[k] = like
+                kept.pop(k, None)
+            yield like
+
+    def column(language):
+        k = language
+        for like in likes():
+            if k < like.shape[1]:
+                return like[:, k].copy()
+            k -= like.shape[1]
+
+    weight = np.ones(len(starts))
+    single = np.concatenate([weight @ np.log(like) for like in likes()])
     chosen = [int(single.argmax())]
     best, pi = float(single[chosen[0]]), np.ones(1)
+    columns = column(chosen[0])[:, None]
     while len(chosen) < n:
-        gain = np.log(like @ (0.5 * np.eye(n)) + 0.5 * (like[:, chosen] @ pi)[:, None]).sum(axis=0)
-        rest = [k for k in np.argsort(-gain) if k not in chosen]
-        trial = chosen + [int(rest[0])]
-        p, value = em(like[:, trial], weight)
-        if value - best <= 0.5 * 2 * np.log(len(like) + 1):  # a proportion and a choice of language
+        mixed = 0.5 * (columns @ pi)[:, None]
+        gain = np.concatenate([np.log(0.5 * like + mixed).sum(axis=0) for like in likes()])
+        gain[chosen] = -np.inf
+        trial = chosen + [int(gain.argmax())]
+        wider = np.column_stack([columns, column(trial[-1])])
+        p, value = em(wider, weight)
+        if value - best <= 0.5 * 2 * np.log(len(starts) + 1):  # a proportion and a choice of language
             break
-        chosen, best, pi = trial, value, p
+        chosen, best, pi, columns = trial, value, p, wider
     out = np.zeros(n)
     out[chosen] = pi
     return out
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], list[Shard]]) -> DataFrame:
     """doc_id, lang_pred, score, mixture (languages with their proportions) of each row.
 
     Only the text is used. lang_pred is the language with the largest proportion (the first by name in
@@ -120,12 +200,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        names, logp = shared.value
+        names, shards = shared.value
         for batch in batches:
             pred, score, mixed = [], [], []
             for text in batch.column(1):
                 text = text.as_py()
-                pi = mixture(normalised(text), logp) if names and has_letter(text) else None
+                pi = mixture(normalised(text), shards) if names and has_letter(text) else None
                 if pi is None and names and has_letter(text):
                     pi = np.full(len(names), 1 / len(names))
                 k = int(pi.argmax()) if pi is not None else None

@@ -296,6 +296,28 @@ def test_vector_capacities(rule):
     assert (np.bincount(b[big], (n * n)[big].astype(float)) <= 600_000).all()
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    r = random.Random(3)
+    vocab = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(300)}
+    rows = [(lang, " ".join(r.choice(v) for _ in range(60))) for lang, v in vocab.items() for _ in range(2 if lang < "l256" else 1)]
+    train = spark.createDataFrame([*rows, (None, "zz zz")], "lang string, text string")
+    d = spark.createDataFrame([(k, " ".join(v * 3)) for k, v in enumerate(vocab.values())] + [(300, " ".join(vocab["l001"] + vocab["l299"]))], "doc_id long, text string")
+
+    def found(model):
+        return {x.doc_id: (x.lang_pred, round(x.score, 6), [(m.lang, round(m.share, 6)) for m in x.mixture]) for x in language.identify(d, model).collect()}
+
+    _, shards = model = language.train(train)
+    got = found(model)
+    raw = language.normalised(" ".join(vocab["l001"] + vocab["l299"]))
+    one = language.mixture(raw, shards)
+    monkeypatch.setattr(language, "KEPT_SCORES", 0)  # scores are computed anew
+    assert len(shards) == 2 and (language.mixture(raw, shards) == one).all()
+    assert [got[k][0] for k in range(300)] == list(vocab) and {m[0] for m in got[300][2]} == {"l001", "l299"}
+    monkeypatch.setattr(language, "SHARD_LANGUAGES", 1000)  # one shard
+    names, shards = language.train(train)
+    assert len(shards) == 1 and found((names, shards)) == got
+
+
 def test_licences(spark, nothing):
     texts = ["a house\nReleased under the MIT License.\nmore", "x " * 300 + "licensed under the Apache Licence, version 2.0. And " + "y " * 300, "permission slip for the school trip", None, "", "Licensed under CC BY-NC 4.0.\n\nReleased under the MIT License."]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
