@@ -1,9 +1,9 @@
 """Language mixtures: each document's language proportions by expectation-maximisation over n-gram likelihoods.
 
-Training counts hashed byte n-grams (orders 1 to 3, with word boundaries) of every labelled text for each
-language; partitions send their sums. A word's log-likelihood under a language is the interpolated
-n-gram model's. A document is a mixture: its words are drawn from languages in unknown proportions, which EM
-estimates; languages join the set one by one as long as the penalised likelihood (BIC) gains.
+Training counts byte trigrams (with word boundaries, hashed into 2^BITS buckets) of every labelled text for each
+language; partitions send their sums. A word's log-likelihood under a language is the sum over its trigrams of the
+logarithms of their shares, with 0.05 added to each count; there are no lower orders to fall back on. A document is
+a mixture: its words are drawn from languages in unknown proportions, which EM estimates; languages join the set one by one as long as the penalised likelihood (BIC) gains.
 """
 
 from __future__ import annotations
