@@ -38,6 +38,23 @@ def findings_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """findings_v with the model's other columns."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("ingest_seq"), "event_type", _k().alias("k"))
+    k = F.col("k")
+    more = e.select(
+        "ingest_seq",
+        F.when(k % 4 != 0, F.concat(F.lit("about "), "event_type", F.lit(" "), (k % 3).cast("string"))).otherwise("").alias("description"),
+        (k % 3).alias("extent"), F.when(k % 6 != 0, k % 40).alias("column_start"), F.when(k % 6 != 0, k % 40 + k % 2).alias("column_end"),
+        F.when(k % 5 != 0, F.concat(F.lit("f"), (k % 7).cast("string"))).alias("function_name"), F.when(k % 3 == 0, F.concat(F.lit("C"), (k % 2).cast("string"))).alias("class_name"),
+        F.when(k % 3 != 0, F.concat(F.lit("do "), (k % 4).cast("string"))).otherwise("").alias("suggestion"), F.when(k % 7 == 0, "fix").otherwise("").alias("fix_recommendation"),
+        F.when(k % 9 == 0, "x = 1").alias("affected_code"), F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "critical"])), k % 4 + 1).alias("impact"),
+        F.element_at(F.array(*map(F.lit, ["low", "medium", "high"])), k % 3 + 1).alias("effort_to_fix"),
+        F.array("event_type", F.concat(F.lit("t"), (k % 3).cast("string"))).alias("tags"), F.array(F.concat(F.lit("r"), (k % 4).cast("string"))).alias("related_findings"),
+    )
+    return findings_v(spark, sf_dir).join(more, "ingest_seq").withColumn("line_end", F.col("line_start") + F.col("extent")).drop("extent")
+
+
 def usage_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("k", _k())
     return e.select(
@@ -85,6 +102,7 @@ SQL = {
         CASE WHEN k % 10 = 0 THEN NULL ELSE event_type END AS rule_id, event_type || ' issue' AS title, event_type || ' k=' || k AS message,
         least(1.0::DOUBLE, value / 500) AS confidence, ts AS detected_at, 'tool_' || (k % 3) AS tool_name
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))""",
+    "full_v": "",
     "usage_v": f"""usage_v AS (SELECT event_id AS request_id, ts AS timestamp, {_MODEL} AS model, CAST(k * 100 AS BIGINT) AS input_tokens, CAST(floor(value) AS BIGINT) AS output_tokens,
         event_type <> 'error' AS success, 'type_' || (k % 4) AS request_type FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))""",
     "packages_v": """packages_v AS (SELECT l_orderkey AS manifest, l_linenumber AS position, l_partkey AS package, CASE WHEN p_size % 10 <> 0 THEN lower(p_brand) END AS licence,
@@ -95,3 +113,10 @@ SQL = {
     "lines_v": """files_v AS (SELECT doc_id, '/' || source || '/' || lang || '/doc_' || doc_id AS path, text AS content, n_chars AS size, CAST(length(text) // 3 AS BIGINT) AS tokens FROM documents),
         lines_v AS (SELECT doc_id, path, CAST(i AS INT) AS line_no, parts[i] AS line FROM (SELECT doc_id, path, string_split(content, chr(10)) AS parts, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files_v))""",
 }
+
+SQL["full_v"] = SQL["findings_v"] + """, full_v AS (SELECT f.*, CASE WHEN k % 4 = 0 THEN '' ELSE 'about ' || event_type || ' ' || (k % 3) END AS description, CAST(line_start + k % 3 AS INT) AS line_end,
+        CASE WHEN k % 6 <> 0 THEN k % 40 END AS column_start, CASE WHEN k % 6 <> 0 THEN k % 40 + k % 2 END AS column_end, CASE WHEN k % 5 <> 0 THEN 'f' || (k % 7) END AS function_name,
+        CASE WHEN k % 3 = 0 THEN 'C' || (k % 2) END AS class_name, CASE WHEN k % 3 = 0 THEN '' ELSE 'do ' || (k % 4) END AS suggestion, CASE WHEN k % 7 = 0 THEN 'fix' ELSE '' END AS fix_recommendation,
+        CASE WHEN k % 9 = 0 THEN 'x = 1' END AS affected_code, ['low','medium','high','critical'][k % 4 + 1] AS impact, ['low','medium','high'][k % 3 + 1] AS effort_to_fix,
+        [event_type, 't' || (k % 3)] AS tags, ['r' || (k % 4)] AS related_findings
+        FROM findings_v f JOIN (SELECT event_id AS ingest_seq, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) USING (ingest_seq))"""

@@ -8,13 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..schemas import FILE_TYPES, literal_map
+from ..schemas import COLOURS, DEBT_COLOURS, EMOJI, FILE_TYPES, literal_map
 
 
 def glob_regex(pattern: str) -> str:
-    """A shell glob as an anchored Java regex."""
-    out = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
-    return f"^{out}$"
+    """A shell glob as an anchored Java regex: * and ?, and [..] with ranges, negated by !."""
+    out, k = [], 0
+    while k < len(pattern):
+        c, k = pattern[k], k + 1
+        end = pattern.find("]", k + 1 + (pattern[k : k + 1] == "!")) if c == "[" else -1
+        if end > 0:
+            inner, k = pattern[k:end].replace("\\", r"\\"), end + 1
+            out.append("[" + ("^" + inner[1:] if inner.startswith("!") else "\\" + inner if inner.startswith("^") else inner) + "]")
+        else:
+            out.append(".*" if c == "*" else "." if c == "?" else re.escape(c))
+    return f"^{''.join(out)}$"
 
 
 def basename(path: Column) -> Column:
@@ -31,10 +39,50 @@ def is_test_file(path: Column) -> Column:
     return name.rlike(r"^test_|_test\.|\.test\.|\.spec\.|_spec\.") | F.exists(F.split(F.lower(path), "/"), lambda s: s.isin("test", "tests", "__tests__", "spec", "specs"))
 
 
-def location_text() -> Column:
-    """file:start-end, as far as known."""
-    end = F.when(F.col("line_end").isNotNull() & (F.col("line_end") != F.col("line_start")), F.concat(F.lit("-"), F.col("line_end").cast("string"))).otherwise("")
-    return F.concat("file_path", F.coalesce(F.concat(F.lit(":"), F.col("line_start").cast("string"), end), F.lit("")))
+def _range(start: str, end: str, have: bool) -> Column:
+    more = F.when(F.col(end).isNotNull() & (F.col(end) != F.col(start)), F.concat(F.lit("-"), F.col(end).cast("string"))).otherwise("") if have else F.lit("")
+    return F.coalesce(F.concat(F.lit(":"), F.col(start).cast("string"), more), F.lit(""))
+
+
+def location_text(columns: bool = False) -> Column:
+    """file:start-end, and with columns :first-last behind it, as far as known."""
+    parts = [F.col("file_path"), _range("line_start", "line_end", True)]
+    return F.concat(*parts, _range("column_start", "column_end", True)) if columns else F.concat(*parts)
+
+
+def title(x: Column) -> Column:
+    """Every letter after something else than a letter is a capital, all others are small; also behind digits and hyphens."""
+    parts = F.regexp_extract_all(F.lower(x), F.lit(r"[a-z]+|[^a-z]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2)))), "")
+
+
+def truncate(x: Column, length: int = 100) -> Column:
+    return F.when(F.length(x) > length, F.concat(F.substr(x, F.lit(1), F.lit(length)), F.lit("..."))).otherwise(F.coalesce(x, F.lit("")))
+
+
+def percentage(x: Column) -> Column:
+    """One decimal and a percent sign; what is no number counts as none."""
+    return F.concat(F.format_string("%.1f", F.bround(F.coalesce(x.try_cast("double"), F.lit(0.0)), 1)), F.lit("%"))
+
+
+def minute(x: Column) -> Column:
+    """Times in ISO form as yyyy-mm-dd hh:mm; other texts as they are."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(F.regexp_replace(x, "Z$", "+00:00")), "yyyy-MM-dd HH:mm"), x)
+
+
+def severity_colour(x: Column) -> Column:
+    return F.coalesce(literal_map(COLOURS)[F.lower(x)], F.lit("secondary"))
+
+
+def debt_colour(x: Column) -> Column:
+    value, out = x.try_cast("double"), F
+    for least, colour in DEBT_COLOURS:
+        out = out.when(value >= least, colour)
+    return out.when(value.isNotNull(), "success").otherwise("secondary")
+
+
+def emoji(x: Column) -> Column:
+    return F.coalesce(literal_map(EMOJI)[F.lower(x)], F.lit("\u26aa"))
 
 
 def slug(x: Column) -> Column:
@@ -45,8 +93,19 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
-def backoff(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
-    return F.least(base * F.pow(F.lit(2), attempt), F.lit(most))
+def backoff(attempt: Column, base: float = 1.0, most: float = 60.0, jitter: float = 0.0, key: Column | None = None) -> Column:
+    """Seconds before an attempt. jitter: a share by which they may be longer or shorter, by a checksum of key, so that
+    runs can be repeated."""
+    wait = F.least(base * F.pow(F.lit(2), attempt), F.lit(most))
+    if not jitter:
+        return wait
+    share = F.crc32((key if key is not None else attempt).cast("string")) / (2**32 - 1) * 2 - 1
+    return wait * (1 + jitter * share)
+
+
+def sorted_json(values: dict[str, Column]) -> Column:
+    """A JSON object with its keys in order and without blanks."""
+    return F.to_json(F.struct(*(values[k].alias(k) for k in sorted(values))))
 
 
 def keyword_count(text: Column, word: str) -> Column:
