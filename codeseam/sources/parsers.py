@@ -1,244 +1,218 @@
-"""Parsing table functions: files to dependency edges, symbols, syntax nodes and detector findings."""
+"""Parsing table functions over trees and texts: dependency edges, imports, exports, symbols, key paths, metrics."""
 
 from __future__ import annotations
 
-import ast
-import json
-import re
-from html.parser import HTMLParser
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions.text import lines_of_code, slug
+from ..functions.text import lines as lines_of
+from .detectors import structural_findings
+from .trees import PARSERS, nodes, parse, register
+
+__all__ = ["PARSERS", "nodes", "parse", "register", "structural_findings"]
+
+#: Modules that come with Python and with Node.
+STANDARD = {
+    "python": [
+        "os", "sys", "json", "datetime", "time", "math", "random", "collections", "itertools", "functools", "operator", "copy", "pickle", "re",
+        "glob", "shutil", "subprocess", "threading", "multiprocessing", "logging", "unittest", "argparse", "configparser", "urllib", "http",
+        "email", "html", "xml", "sqlite3", "csv", "hashlib", "uuid", "base64", "zlib", "gzip", "tarfile", "zipfile",
+    ],
+    "javascript": [
+        "fs", "path", "os", "crypto", "http", "https", "url", "util", "events", "stream", "buffer", "child_process", "cluster", "dgram", "dns",
+        "net", "readline", "repl", "tls", "tty", "vm", "zlib", "assert", "querystring", "string_decoder",
+    ],
+}
+_WEB = r"^(?:https?:)?//"
 
-NODE = "path string, node_id int, parent_id int, depth int, node_type string, name string, line int, end_line int"
-_NODE = pa.schema([("path", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("node_type", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32())])
 
+def is_standard(target: Column, file_type: str) -> Column:
+    top = F.substring_index(target, ".", 1) if file_type == "python" else target
+    return top.isin(STANDARD["python" if file_type == "python" else "javascript"])
 
-def assigned(node: ast.Assign) -> list[str]:
-    """The names among an assignment's targets, and in its tuple and list targets."""
-    parts = [e for t in node.targets for e in (t.elts if isinstance(t, (ast.Tuple, ast.List)) else [t])]
-    return [e.id for e in parts if isinstance(e, ast.Name)]
 
+def is_external(target: Column, file_type: str) -> Column:
+    """Whether a target lies outside the project: by its address for pages, style sheets and notes, else a module that
+    comes with the language or a name that is no path of more than two slashes."""
+    if file_type in ("html", "css"):
+        return target.rlike(_WEB)
+    if file_type == "markdown":
+        return target.rlike("^(?:https?://|ftp://|mailto:)")
+    plain = ~target.rlike(r"^[./]") & (F.length(target) - F.length(F.replace(target, F.lit("/"))) <= 2)
+    return (target != "") & (is_standard(target, file_type) | plain)
 
-#: What ast.parse raises for texts that aren't Python, or nest too deep.
-UNPARSED = (SyntaxError, ValueError, RecursionError, MemoryError)
 
+# Python
 
-def _recovered(source: str) -> list[dict]:
-    """Import, definition and assignment nodes of a text that can't be parsed, by the regex forms."""
-    out = []
-    forms = [*EDGE_FORMS["python"], *SYMBOL_FORMS["python"]]
-    for kind, m in sorted(((kind, m) for kind, rx in forms for m in re.finditer(rx, source)), key=lambda x: x[1].start(1)):
-        node_type = {"import": "Import", "from": "ImportFrom", "function": "FunctionDef", "class": "ClassDef", "variable": "Assign"}[kind]
-        line, me = source.count("\n", 0, m.start(1)) + 1, len(out) + 1
-        out.append(dict(node_id=me, parent_id=0, depth=1, node_type=node_type, name=None if kind == "import" else m[1], line=line, end_line=None))
-        if kind in ("import", "from"):  # the forms name the module only
-            out.append(dict(node_id=me + 1, parent_id=me, depth=2, node_type="alias", name=m[1] if kind == "import" else "*", line=line, end_line=None))
-    return out
 
+def _kind(n: str) -> Column:
+    return F.col("node_type") == n
 
-def python_nodes_of(source: str) -> list[dict]:
-    """Flat syntax nodes with a name or a statement's place; a syntax error gives a node Error, and below it what
-    the regex forms find of imports and symbols."""
-    try:
-        top = ast.parse(source)
-    except UNPARSED as e:
-        return [dict(node_id=0, parent_id=None, depth=0, node_type="Error", name=str(e), line=getattr(e, "lineno", None), end_line=None), *_recovered(source)]
-    out, todo = [], [(top, None, 0)]
-    while todo:
-        node, parent, depth = todo.pop()
-        me = len(out)
-        name = getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None)
-        if isinstance(node, ast.alias):
-            name = node.name
-        if isinstance(node, ast.ImportFrom):
-            name = "." * node.level + (node.module or "")
-        if isinstance(node, ast.BoolOp):
-            name = str(len(node.values))
-        if isinstance(node, ast.Assign):
-            name = ",".join(assigned(node)) or None
-        out.append(dict(node_id=me, parent_id=parent, depth=depth, node_type=type(node).__name__, name=name if isinstance(name, str) else None, line=getattr(node, "lineno", None), end_line=getattr(node, "end_lineno", None)))
-        todo.extend((c, me, depth + 1) for c in reversed(list(ast.iter_child_nodes(node))))
-    return out
 
+def python_edges(tree: DataFrame) -> DataFrame:
+    """path -> module: import a gives a, from m import n gives m.n (m for *); one row for each name of a statement."""
+    module = F.col("parent_name")
+    full = (
+        F.when(F.col("parent_type") == "Import", F.col("name")).when(F.col("name") == "*", module)
+        .when(module.rlike(r"^\.*$"), F.concat(module, "name")).otherwise(F.concat(module, F.lit("."), "name"))
+    )
+    relative = F.coalesce(module.startswith("."), F.lit(False))
+    rows = tree.where(_kind("alias") & F.col("parent_type").isin("Import", "ImportFrom"))
+    return rows.select("path", full.alias("target"), F.coalesce("parent_line", "line").alias("line"), relative.alias("is_relative")).withColumn("is_external", ~F.col("is_relative") & is_external(F.col("target"), "python"))
 
-class _Tags(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.out, self.stack = [], []
 
-    def handle_starttag(self, tag, attrs):
-        me, a = len(self.out), dict(attrs)
-        self.out.append(dict(node_id=me, parent_id=self.stack[-1] if self.stack else None, depth=len(self.stack), node_type=tag, name=a.get("id") or a.get("href") or a.get("src"), line=self.getpos()[0], end_line=None))
-        if tag not in ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"):
-            self.stack.append(me)
+def python_imports(tree: DataFrame) -> DataFrame:
+    """The modules that a file imports, each once, without the names taken from them and without leading dots."""
+    module = F.when(_kind("alias") & (F.col("parent_type") == "Import"), F.col("name")).when(_kind("ImportFrom"), F.regexp_replace("name", r"^\.+", ""))
+    return tree.select("path", module.alias("module")).where("module <> ''").distinct()
 
-    def handle_endtag(self, tag):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.out[self.stack[k]]["node_type"] == tag:
-                del self.stack[k:]
-                break
 
+def python_exports(tree: DataFrame) -> DataFrame:
+    """The names in lists that are assigned to __all__."""
+    names = F.from_json("attrs", "exports array<string>")["exports"]
+    return tree.where(_kind("Assign") & F.col("attrs").contains('"exports"')).select("path", F.explode(names).alias("name")).distinct()
 
-def html_nodes_of(source: str) -> list[dict]:
-    p = _Tags()
-    p.feed(source)
-    return p.out
 
+def python_symbols(tree: DataFrame) -> DataFrame:
+    """Functions, classes and assigned names (an Assign node's name has all of its targets')."""
+    t = F.col("node_type")
+    kind = F.when(t.isin("FunctionDef", "AsyncFunctionDef"), "function").when(t == "ClassDef", "class").when(t == "Assign", "variable")
+    return tree.where(kind.isNotNull() & F.col("name").isNotNull()).select("path", kind.alias("kind"), F.explode(F.split("name", ",")).alias("name")).distinct()
 
-def _flat(value, name=None):
-    out, todo = [], [(value, name, None, 0)]
-    while todo:
-        v, key, parent, depth = todo.pop()
-        me = len(out)
-        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "null" if v is None else type(v).__name__
-        out.append(dict(node_id=me, parent_id=parent, depth=depth, node_type=kind, name=key, line=None, end_line=None))
-        items = v.items() if isinstance(v, dict) else ((f"[{i}]", x) for i, x in enumerate(v)) if isinstance(v, list) else ()
-        todo.extend((x, str(k), me, depth + 1) for k, x in reversed(list(items)))
-    return out
 
+def _complexity() -> Column:
+    t = F.col("node_type")
+    branches = F.count_if(t.isin("If", "While", "For", "AsyncFor", "ExceptHandler", "With"))
+    return (1 + branches + F.coalesce(F.sum(F.when(t == "BoolOp", F.col("name").cast("int") - 1)), F.lit(0))).alias("complexity")
 
-def json_nodes_of(source: str) -> list[dict]:
-    return _flat(json.loads(source))
 
+def python_complexity(tree: DataFrame) -> DataFrame:
+    return tree.groupBy("path").agg(_complexity())
 
-def yaml_nodes_of(source: str) -> list[dict]:
-    import yaml
 
-    return _flat(yaml.safe_load(source))
+def python_metrics(files: DataFrame) -> DataFrame:
+    """path, loc, functions, classes, imports (distinct names), complexity; of a file that can't be parsed only
+    total_lines, the lines with text, is known."""
+    tree, ok = nodes(files, "python"), F.max((F.col("node_type") == "Error").cast("int")) == 0
+    t = F.col("node_type")
+    module = F.when(_kind("alias") & (F.col("parent_type") == "Import"), F.col("name")).when(_kind("ImportFrom"), F.nullif(F.regexp_replace("name", r"^\.+", ""), F.lit("")))
+    counted = tree.groupBy("path").agg(
+        ok.alias("parsed"), F.countDistinct(F.when(t.isin("FunctionDef", "AsyncFunctionDef"), F.col("name"))).alias("functions"),
+        F.countDistinct(F.when(t == "ClassDef", F.col("name"))).alias("classes"), F.countDistinct(module).alias("imports"), _complexity(),
+    )
+    text = F.filter(F.transform(F.split("content", "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    sizes = files.select("path", F.size(text).cast("long").alias("total"), F.size(F.filter(text, lambda x: ~x.startswith("#"))).cast("long").alias("loc"))
+    known = {c: F.when(F.col("parsed"), F.col(c)).alias(c) for c in ("loc", "functions", "classes", "imports", "complexity")}
+    return sizes.join(counted, "path").select("path", *known.values(), F.when(~F.col("parsed"), F.col("total")).alias("total_lines"))
 
 
-#: file type -> parser of one text; register() adds more.
-PARSERS = {"python": python_nodes_of, "html": html_nodes_of, "json": json_nodes_of, "yaml": yaml_nodes_of}
+def _finding(rows: DataFrame, kind: str, name: str, severity: str, message: Column) -> DataFrame:
+    return rows.select(F.col("path").alias("file_path"), "line", F.lit(kind).alias("pattern_type"), F.lit(name).alias("pattern_name"), F.lit(severity).alias("severity"), message.alias("message"))
 
 
-def register(file_type: str, parser) -> None:
-    PARSERS[file_type] = parser
-
-
-def nodes(files: DataFrame, file_type: str) -> DataFrame:
-    """Syntax nodes of the files (path, content) of one type; a text that can't be parsed gives an Error node."""
-    parser = PARSERS[file_type]
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    found = parser(content or "")
-                except Exception as e:  # noqa: BLE001
-                    found = [dict(node_id=0, parent_id=None, depth=0, node_type="Error", name=str(e), line=None, end_line=None)]
-                rows += [{"path": path, **n} for n in found]
-            yield pa.RecordBatch.from_pylist(rows, schema=_NODE)
-
-    return files.select("path", "content").mapInArrow(run, NODE)
+def long_methods(tree: DataFrame, most: int = 50) -> DataFrame:
+    size = F.col("end_line") - F.col("line") + 1
+    rows = tree.where(F.col("node_type").isin("FunctionDef", "AsyncFunctionDef") & (size > most))
+    return _finding(rows, "code_smell", "long_method", "warning", F.concat("name", F.lit(" has "), size.cast("string"), F.lit(" lines")))
 
 
-def python_edges(ast_nodes: DataFrame) -> DataFrame:
-    """path -> module: import a gives a, from m import n gives m.n (m for *)."""
-    n = ast_nodes.where(F.col("node_type").isin("Import", "ImportFrom"))
-    names = ast_nodes.where("node_type = 'alias'").select(F.col("path").alias("p"), F.col("parent_id").alias("pid"), F.col("name").alias("what"))
-    full = F.when(F.col("node_type") == "Import", F.col("what")).when(F.col("what") == "*", F.col("name")).when(F.col("name").rlike(r"^\.*$"), F.concat("name", "what")).otherwise(F.concat("name", F.lit("."), "what"))
-    return n.join(names, (n.path == names.p) & (n.node_id == names.pid)).select("path", full.alias("target"), "line", F.coalesce(F.col("name").startswith("."), F.lit(False)).alias("is_relative"))
+def god_classes(tree: DataFrame, methods: int = 20, attributes: int = 15) -> DataFrame:
+    """Classes of many methods or assigned attributes; members know their class, so one aggregation does."""
+    t = F.col("node_type")
+    own = tree.where((F.col("parent_type") == "ClassDef") & t.isin("FunctionDef", "AsyncFunctionDef", "Assign"))
+    n = own.groupBy("path", "parent_id", F.col("parent_name").alias("name"), F.col("parent_line").alias("line")).agg(F.count_if(t != "Assign").alias("m"), F.count_if(t == "Assign").alias("a"))
+    return _finding(n.where((F.col("m") > methods) | (F.col("a") > attributes)), "anti_pattern", "god_class", "warning", F.concat("name", F.lit(" does too much")))
 
 
-def python_symbols(ast_nodes: DataFrame) -> DataFrame:
-    """Functions, classes and assigned names (an Assign node's name has all of its targets')."""
-    t = F.col("node_type")
-    kind = F.when(t.isin("FunctionDef", "AsyncFunctionDef"), "function").when(t == "ClassDef", "class").when(t == "Assign", "variable")
-    return ast_nodes.where(kind.isNotNull() & F.col("name").isNotNull()).select("path", kind.alias("kind"), F.explode(F.split("name", ",")).alias("name")).distinct()
+# keys
 
 
-def python_complexity(ast_nodes: DataFrame) -> DataFrame:
-    t = F.col("node_type")
-    return ast_nodes.groupBy("path").agg((1 + F.count_if(t.isin("If", "While", "For", "AsyncFor", "ExceptHandler", "With")) + F.coalesce(F.sum(F.when(t == "BoolOp", F.col("name").cast("int") - 1)), F.lit(0))).alias("complexity"))
+def key_paths(tree: DataFrame) -> DataFrame:
+    """a, a.b, c, c[0].d of JSON and YAML nodes; of texts that can't be parsed see ``loose_keys``."""
+    return tree.where(F.col("parent_type").isin("object", "mapping") & F.col("key_path").isNotNull()).select("path", F.col("key_path").alias("key"))
 
 
-def _finding(rows: DataFrame, kind: str, name: str, severity: str, message: Column) -> DataFrame:
-    return rows.select(F.col("path").alias("file_path"), "line", F.lit(kind).alias("pattern_type"), F.lit(name).alias("pattern_name"), F.lit(severity).alias("severity"), message.alias("message"))
+#: Forms of keys in texts that can't be parsed.
+LOOSE_KEYS = {"json": r"""['"]([^'":]+)['"]\s*:""", "yaml": r"(?m)^\s*([a-zA-Z_][a-zA-Z0-9_-]*)\s*:"}
 
 
-def long_methods(ast_nodes: DataFrame, most: int = 50) -> DataFrame:
-    size = F.col("end_line") - F.col("line") + 1
-    return _finding(ast_nodes.where(F.col("node_type").isin("FunctionDef", "AsyncFunctionDef") & (size > most)), "code_smell", "long_method", "warning", F.concat("name", F.lit(" has "), size.cast("string"), F.lit(" lines")))
+def loose_keys(files: DataFrame, file_type: str) -> DataFrame:
+    """Distinct keys by the form of a type, for texts that no parser takes."""
+    return files.select("path", F.explode(F.array_distinct(_all(F.col("content"), LOOSE_KEYS[file_type]))).alias("key"))
 
 
-def god_classes(ast_nodes: DataFrame, methods: int = 20, attributes: int = 15) -> DataFrame:
-    c, m = ast_nodes.where("node_type = 'ClassDef'"), ast_nodes.select(F.col("path").alias("p"), F.col("parent_id").alias("pid"), F.col("node_type").alias("t"))
-    n = c.join(m, (c.path == m.p) & (c.node_id == m.pid)).groupBy("path", "name", "line").agg(F.count_if(F.col("t").isin("FunctionDef", "AsyncFunctionDef")).alias("m"), F.count_if(F.col("t") == "Assign").alias("a"))
-    return _finding(n.where((F.col("m") > methods) | (F.col("a") > attributes)), "anti_pattern", "god_class", "warning", F.concat("name", F.lit(" does too much")))
+def keys(files: DataFrame, file_type: str) -> DataFrame:
+    """Key paths of files that can be parsed, loose keys of the others."""
+    tree = nodes(files, file_type)
+    failed = files.join(tree.where("node_type = 'Error'").select("path"), "path", "left_semi")
+    return key_paths(tree).distinct().unionByName(loose_keys(failed, file_type))
+
+
+def package_edges(files: DataFrame) -> DataFrame:
+    """path, kind, target of the package objects of JSON manifests and of their import maps."""
+    kinds = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies", "bundledDependencies", "imports"]
+    doc = F.from_json("content", ", ".join(f"{k} map<string,string>" for k in kinds))
+
+    def named(k):
+        kind = F.lit("import" if k == "imports" else k).alias("kind")
+        return F.transform(F.coalesce(F.map_keys(doc[k]), F.array().cast("array<string>")), lambda n: F.struct(kind, n.alias("target")))
+
+    found = F.flatten(F.array(*(named(k) for k in kinds)))
+    e = files.select("path", F.explode(found).alias("e")).select("path", "e.kind", "e.target")
+    return e.withColumn("is_external", (F.col("kind") != "import") | ~F.col("target").startswith("."))
+
 
+def yaml_edges(tree: DataFrame) -> DataFrame:
+    """path, kind, target by structure: images and builds of services, images of a pod's containers, actions of jobs and steps."""
+    k, n, scalar = F.col("key_path"), F.col("name"), F.col("value").isNotNull()
+    service = k.startswith("services.") & (F.col("depth") == 3)
+    build = (service & (n == "build") & scalar) | (k.startswith("services.") & (F.col("depth") == 4) & (F.col("parent_name") == "build") & (n == "context"))
+    kind = (
+        F.when(service & (n == "image"), "docker_image").when(build, "build_context")
+        .when(k.rlike(r"^spec\.containers\[[0-9]+\]\.image$"), "container_image")
+        .when(k.startswith("jobs.") & (n == "uses") & ((F.col("depth") == 3) | ((F.col("depth") == 5) & k.rlike(r"\.steps\[[0-9]+\]\.uses$"))), "github_action")
+    )
+    return tree.where(kind.isNotNull() & scalar).select("path", kind.alias("kind"), F.col("value").alias("target"), (kind != "build_context").alias("is_external"))
 
-def structural_findings_of(source: str) -> list[tuple]:
-    """Detectors that need the shape of the tree: singleton, factory, observer, deep nesting, duplicate code; a text
-    that can't be parsed gives analysis_error."""
-    try:
-        top = ast.parse(source)
-    except UNPARSED as e:
-        return [(getattr(e, "lineno", None), "code_smell", "analysis_error", "error", f"Analysis failed: {e}")]
-    out, bodies = [], {}
-    for node in ast.walk(top):
-        if isinstance(node, ast.ClassDef):
-            methods = [n for n in node.body if isinstance(n, ast.FunctionDef)]
-            if any(m.name == "__new__" and any(isinstance(s, ast.If) for s in m.body) for m in methods):
-                out.append((node.lineno, "design_pattern", "singleton", "info", node.name))
-            names = [m.name.lower() for m in methods]
-            held = [t.id.lower() for n in node.body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)]
-            held += [t.attr.lower() for m in methods for n in ast.walk(m) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Attribute)]
-            if any("observer" in h or "listener" in h for h in held) and any("notify" in n for n in names) and any("add" in n and ("observer" in n or "listener" in n) for n in names):
-                out.append((node.lineno, "design_pattern", "observer", "info", node.name))
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            name = node.name.lower()
-            if (name.startswith(("create_", "make_")) or name.endswith("_factory")) and any(isinstance(n, ast.If) and any(isinstance(r, ast.Return) for r in ast.walk(n)) for n in ast.walk(node)):
-                out.append((node.lineno, "design_pattern", "factory_method", "info", node.name))
-            depth = nesting(node)
-            if depth > 4:
-                out.append((node.lineno, "code_smell", "deep_nesting", "warning", f"{node.name} nests {depth} deep"))
-            body = node.body[1:] if node.body and isinstance(node.body[0], ast.Expr) and isinstance(getattr(node.body[0], "value", None), ast.Constant) else node.body
-            kinds = tuple(type(s).__name__ for s in body)
-            if len(kinds) > 3:
-                if kinds in bodies:
-                    out.append((node.lineno, "code_smell", "duplicate_code", "warning", f"{node.name} is built as {bodies[kinds]}"))
-                else:
-                    bodies[kinds] = node.name
-    return sorted(out)
-
-
-def nesting(node) -> int:
-    best, todo = 0, [(node, 0)]
-    while todo:
-        n, d = todo.pop()
-        best = max(best, d)
-        todo += [(c, d + isinstance(c, (ast.If, ast.For, ast.While, ast.With, ast.Try))) for c in ast.iter_child_nodes(n)]
-    return best
-
-
-FINDING = "file_path string, line int, pattern_type string, pattern_name string, severity string, message string"
-
-
-def structural_findings(files: DataFrame) -> DataFrame:
-    def run(batches):
-        names = ("file_path", "line", "pattern_type", "pattern_name", "severity", "message")
-        for batch in batches:
-            rows = [dict(zip(names, (p, *f))) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for f in structural_findings_of(c or "")]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.int32() if n == "line" else pa.string()) for n in names]))
-
-    return files.select("path", "content").mapInArrow(run, FINDING)
-
-
-def key_paths(text_nodes: DataFrame) -> DataFrame:
-    """a, a.b, c, c[0].d of JSON and YAML nodes: paths are joined level by level."""
-    level = text_nodes.where("depth = 0").select("path", "node_id", F.lit("").alias("key"))
-    top = text_nodes.agg(F.max("depth")).first()[0] or 0
-    out = None
-    for d in range(1, top + 1):
-        c = text_nodes.where(F.col("depth") == d).select(F.col("path").alias("p"), F.col("node_id").alias("id"), "parent_id", "name")
-        key = F.when(F.col("key") == "", F.col("name")).when(F.col("name").startswith("["), F.concat("key", "name")).otherwise(F.concat("key", F.lit("."), "name"))
-        level = level.join(c, (level.path == c.p) & (level.node_id == c.parent_id)).select("path", F.col("id").alias("node_id"), key.alias("key"))
-        out = level if out is None else out.unionByName(level)
-    rows = out if out is not None else level
-    return rows.where(~F.col("key").endswith("]")).select("path", "key")
+
+# pages
+
+
+def page_edges(tree: DataFrame) -> DataFrame:
+    """path, kind, target by elements: a style sheet is a resource too, as any link is."""
+    a = F.from_json("attrs", "map<string,string>")
+    sheet = F.array_contains(F.split(F.lower(F.coalesce(a["rel"], F.lit(""))), r"\s+"), "stylesheet")
+    found = F.array(
+        F.when(_kind("link") & sheet, F.struct(F.lit("stylesheet").alias("kind"), a["href"].alias("target"))),
+        *(F.when(_kind(tag), F.struct(F.lit(kind).alias("kind"), a[attr].alias("target"))) for tag, attr, kind in (
+            ("script", "src", "script"), ("img", "src", "image"), ("link", "href", "resource"), ("source", "src", "media"),
+            ("track", "src", "track"), ("embed", "src", "embed"), ("object", "data", "object"),
+        )),
+    )
+    e = tree.where(F.col("node_type").isin("script", "img", "link", "source", "track", "embed", "object")).select("path", F.explode(F.array_compact(found)).alias("e"))
+    return e.select("path", "e.kind", "e.target").where("target <> ''").withColumn("is_external", is_external(F.col("target"), "html"))
+
+
+#: Forms of functions inside scripts of pages.
+PAGE_FUNCTIONS = [r"function\s+([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\(", r"([a-zA-Z_$][a-zA-Z0-9_$]*)\s*=\s*function\s*\(", r"([a-zA-Z_$][a-zA-Z0-9_$]*)\s*:\s*function\s*\("]
+
+
+def _names(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+
+def page_symbols(tree: DataFrame) -> DataFrame:
+    """Class tokens, ids and functions of scripts by elements."""
+    a = F.from_json("attrs", "map<string,string>")
+    classes = F.filter(F.split(F.coalesce(a["class"], F.lit("")), r"\s+"), lambda x: x != "")
+    script = F.when(_kind("script"), F.coalesce("value", F.lit(""))).otherwise("")
+    found = F.concat(_names("class", classes), _names("variable", F.array_compact(F.array(F.nullif(a["id"], F.lit(""))))), *(_names("function", _all(script, rx)) for rx in PAGE_FUNCTIONS))
+    return tree.select("path", F.explode(found).alias("s")).select("path", "s.kind", "s.name").distinct()
+
+
+# forms
 
 
 def _all(text: Column, regex: str, group: int = 1) -> Column:
@@ -248,57 +222,89 @@ def _all(text: Column, regex: str, group: int = 1) -> Column:
 #: Forms in which scripts, pages, style sheets and notes name others.
 EDGE_FORMS = {
     "javascript": [("import", r"import\s[^'\"\n;]*?from\s+['\"]([^'\"]+)['\"]"), ("dynamic_import", r"import\(\s*['\"]([^'\"]+)['\"]\s*\)"), ("require", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)")],
-    "typescript": [("type_import", r"import\s+type\s[^'\"\n;]*?from\s+['\"]([^'\"]+)['\"]"), ("reference", r"///\s*<reference\s+(?:path|types)=['\"]([^'\"]+)['\"]")],
-    "html": [("script", r"(?i)<script[^>]+src=['\"]([^'\"]+)"), ("stylesheet", r"(?i)<link[^>]+href=['\"]([^'\"]+)"), ("image", r"(?i)<img[^>]+src=['\"]([^'\"]+)"), ("anchor", r"(?i)<a\s[^>]*href=['\"]([^'\"]+)")],
-    "css": [("import", r"@import\s+(?:url\()?['\"]?([^'\")\s;]+)")],
+    "typescript": [
+        ("type_import", r"import\s+type\s[^'\"\n;]*?from\s+['\"]([^'\"]+)['\"]"), ("type_import", r"import\s+\{[^'\"\n;]*?type\s+[^'\"\n;]*?\}\s+from\s+['\"]([^'\"]+)['\"]"),
+        ("reference", r"///\s*<reference\s+(?:path|types)\s*=\s*['\"]([^'\"]+)['\"]"),
+    ],
+    "html": [
+        ("script", r"(?i)<script[^>]+src\s*=\s*['\"]([^'\"]+)"), ("stylesheet", r"(?i)<link[^>]+href\s*=\s*['\"]([^'\"]+)"), ("image", r"(?i)<img[^>]+src\s*=\s*['\"]([^'\"]+)"),
+        ("media", r"(?i)<source[^>]+src\s*=\s*['\"]([^'\"]+)"), ("track", r"(?i)<track[^>]+src\s*=\s*['\"]([^'\"]+)"), ("anchor", r"(?i)<a\s[^>]*href=['\"]([^'\"]+)"),
+    ],
+    "css": [("import", r"(?i)@import\s+(?:url\s*\(\s*)?['\"]?([^'\")\s;]+)")],
     "markdown": [("link", r"\[[^\]]*\]\(\s*([^)\s]+)[^)]*\)"), ("image", r"!\[[^\]]*\]\(\s*([^)\s]+)[^)]*\)"), ("reference_definition", r"(?m)^\[[^\]]+\]:\s*(\S+)"), ("autolink", r"<(https?://[^>]+)>")],
-    "yaml": [("image", r"(?m)^\s*image:\s*['\"]?([^\s'\"]+)"), ("uses", r"(?m)^\s*-?\s*uses:\s*['\"]?([^\s'\"]+)")],
-    "python": [("import", r"(?m)^\s*import\s+([A-Za-z0-9_.]+)"), ("from", r"(?m)^\s*from\s+([A-Za-z0-9_.]+)\s+import")],
+    "yaml": [("image", r"(?mi)^\s*image:\s*['\"]?([^\s'\"]+)"), ("uses", r"(?mi)^\s*-?\s*uses:\s*['\"]?([^\s'\"]+)"), ("build", r"(?mi)^\s*build:\s*['\"]?([^\s'\"]+)")],
 }
 
 
 def edges(files: DataFrame, file_type: str) -> DataFrame:
-    """path, kind, target by the forms of a file type (TypeScript also has JavaScript's)."""
+    """path, kind, target, is_external by the forms of a file type (TypeScript also has JavaScript's)."""
     forms = EDGE_FORMS[file_type] + (EDGE_FORMS["javascript"] if file_type == "typescript" else [])
-    found = F.flatten(F.array(*(_named(kind, rx) for kind, rx in forms)))
+    found = F.flatten(F.array(*(_named(kind, rx, F.col("content")) for kind, rx in forms)))
     e = files.select("path", F.explode(found).alias("e")).select("path", "e.kind", "e.target")
-    outside = ~F.col("target").rlike(r"^[./]") & (F.length("target") - F.length(F.replace("target", F.lit("/"))) <= 2)
-    return e.withColumn("is_external", outside)
+    return e.withColumn("is_external", is_external(F.col("target"), file_type))
+
+
+def script_imports(files: DataFrame) -> DataFrame:
+    """The modules that a script names in any form, each once; a statement may go over lines."""
+    forms = [r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", r"import\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"]
+    return files.select("path", F.explode(F.array_distinct(F.flatten(F.array(*(_all(F.col("content"), rx) for rx in forms))))).alias("module"))
 
 
-def _named(kind: str, regex: str) -> Column:
-    return F.transform(_all(F.col("content"), regex), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target")))
+#: Forms of exports; names in braces are divided by commas.
+EXPORT_FORMS = [
+    r"export\s+(?:function|class|const|let|var)\s+([a-zA-Z_$][a-zA-Z0-9_$]*)", r"export\s*\{\s*([a-zA-Z_$][a-zA-Z0-9_$,\s]*)\s*\}",
+    r"export\s+default\s+(?:function\s+)?([a-zA-Z_$][a-zA-Z0-9_$]*)",
+]
 
 
-#: Forms in which symbols are declared.
+def script_exports(files: DataFrame) -> DataFrame:
+    listed = F.flatten(F.array(*(_all(F.col("content"), rx) for rx in EXPORT_FORMS)))
+    names = F.transform(F.flatten(F.transform(listed, lambda x: F.split(x, ","))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return files.select("path", F.explode(F.array_distinct(names)).alias("name")).where("name <> ''")
+
+
+def _named(kind: str, regex: str, text: Column) -> Column:
+    return F.transform(_all(text, regex), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target")))
+
+
+_NAME = r"([a-zA-Z_$][a-zA-Z0-9_$]*)"
+#: Forms in which symbols are declared. Whatever stands before braces with arguments counts as a function.
 SYMBOL_FORMS = {
-    "python": [("function", r"(?m)^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("), ("class", r"(?m)^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)\s*[:(]"), ("variable", r"(?m)^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=(?!=)")],
-    "javascript": [("function", r"function\s+([A-Za-z_$][\w$]*)"), ("function", r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)\n]*\)\s*=>"), ("class", r"class\s+([A-Za-z_$][\w$]*)"), ("variable", r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)")],
-    "typescript": [("class", r"(?:interface|enum|namespace)\s+([A-Za-z_$][\w$]*)"), ("class", r"type\s+([A-Za-z_$][\w$]*)\s*=")],
-    "css": [("class", r"\.([A-Za-z_-][\w-]*)\s*[,{:]"), ("variable", r"(--[\w-]+)\s*:")],
-    "markdown": [("function", r"`([A-Za-z_]\w*)\(\)`")],
+    "javascript": [
+        ("function", rf"function\s+{_NAME}\s*\("), ("function", rf"(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s*)?\(.*?\)\s*=>"), ("function", rf"{_NAME}\s*\(.*?\)\s*\{{"),
+        ("class", rf"class\s+{_NAME}"), ("variable", rf"(?:const|let|var)\s+{_NAME}"),
+    ],
+    "typescript": [("class", rf"(?:interface|enum|namespace)\s+{_NAME}"), ("class", rf"type\s+{_NAME}\s*="), ("class", rf"abstract\s+class\s+{_NAME}")],
+    "css": [("class", r"\.([a-zA-Z_-][a-zA-Z0-9_-]*)"), ("variable", r"(--[a-zA-Z_-][a-zA-Z0-9_-]*)"), ("function", r"([a-zA-Z-]+)\s*\(")],
 }
+#: Names before brackets in style sheets that are no functions.
+NO_FUNCTIONS = ["color", "background", "border", "margin", "padding", "font"]
 
 
 def symbols(files: DataFrame, file_type: str) -> DataFrame:
+    """path, kind, name, each once; lines of scripts that begin as comments don't count."""
     forms = SYMBOL_FORMS[file_type] + (SYMBOL_FORMS["javascript"] if file_type == "typescript" else [])
-    found = F.array_distinct(F.flatten(F.array(*(_named(kind, rx) for kind, rx in forms))))
+    text = F.col("content") if file_type == "css" else F.regexp_replace("content", r"(?m)^[ \t]*(?://|/\*).*$", "")
+    found = F.array_distinct(F.flatten(F.array(*(_named(kind, rx, text) for kind, rx in forms))))
+    if file_type == "css":
+        found = F.array_except(found, F.array(*(F.struct(F.lit("function").alias("kind"), F.lit(n).alias("target")) for n in NO_FUNCTIONS)))
     return files.select("path", F.explode(found).alias("e")).select("path", "e.kind", F.col("e.target").alias("name"))
 
 
 def html_symbols(files: DataFrame) -> DataFrame:
-    """Class tokens, ids, and functions inside scripts."""
+    """Class tokens, ids, and functions inside scripts, by forms."""
     c = F.col("content")
-    classes = F.flatten(F.transform(_all(c, r"(?i)class=['\"]([^'\"]+)['\"]"), lambda x: F.split(x, r"\s+")))
+    classes = F.flatten(F.transform(_all(c, r"(?i)class\s*=\s*['\"]([^'\"]+)['\"]"), lambda x: F.split(x, r"\s+")))
     scripts = F.array_join(_all(c, r"(?is)<script[^>]*>(.*?)</script>"), "\n")
-    parts = F.concat(F.transform(classes, lambda n: F.struct(F.lit("class").alias("kind"), n.alias("name"))), F.transform(_all(c, r"(?i)\sid=['\"]([^'\"]+)['\"]"), lambda n: F.struct(F.lit("variable").alias("kind"), n.alias("name"))), F.transform(_all(scripts, r"function\s+(\w+)"), lambda n: F.struct(F.lit("function").alias("kind"), n.alias("name"))))
+    parts = F.concat(_names("class", classes), _names("variable", _all(c, r"(?i)id\s*=\s*['\"]([^'\"]+)['\"]")), *(_names("function", _all(scripts, rx)) for rx in PAGE_FUNCTIONS))
     return files.select("path", F.explode(F.array_distinct(parts)).alias("s")).select("path", "s.kind", "s.name").where("name <> ''")
 
 
+# notes
+
+
 def markdown_sections(lines: DataFrame) -> DataFrame:
     """Each line with its fence state and the header it stands under: running sums and last values."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     t = lines.withColumn("fenced", F.sum(F.col("line").rlike("^```").cast("int")).over(w) % 2 == 1)
     header = F.when(~F.col("fenced") & F.col("line").rlike("^#{1,6} "), F.regexp_extract("line", r"^#{1,6} +(.*)$", 1))
@@ -306,7 +312,23 @@ def markdown_sections(lines: DataFrame) -> DataFrame:
 
 
 def markdown_headers(lines: DataFrame) -> DataFrame:
-    from ..functions.text import slug
-
+    """h{level}-{slug} of each header; lines inside fences are none."""
     n = F.length(F.regexp_extract("line", r"^(#{1,6}) ", 1))
-    return lines.where("line rlike '^#{1,6} '").select("path", "line_no", F.concat(F.lit("h"), n.cast("string"), F.lit("-"), slug(F.regexp_extract("line", r"^#{1,6} +(.*)$", 1))).alias("symbol"))
+    rows = markdown_sections(lines).where(~F.col("fenced") & F.col("line").rlike("^#{1,6} "))
+    return rows.select("path", "line_no", F.concat(F.lit("h"), n.cast("string"), F.lit("-"), slug(F.regexp_extract("line", r"^#{1,6} +(.*)$", 1))).alias("symbol"))
+
+
+def markdown_symbols(files: DataFrame) -> DataFrame:
+    """path, kind, name: headers are variables, languages of code blocks classes, calls in inline code functions."""
+    t = lines_of(files)
+    heads = markdown_headers(t).select("path", F.lit("variable").alias("kind"), F.col("symbol").alias("name"))
+    fences = t.select("path", F.lit("class").alias("kind"), F.concat(F.lit("code-"), F.regexp_extract("line", r"^\s*```(\w+)", 1)).alias("name")).where("name <> 'code-'")
+    calls = t.select("path", F.explode(_all(F.col("line"), r"`([a-zA-Z_][a-zA-Z0-9_]*)\s*\([^`]*\)[^`]*`")).alias("name")).select("path", F.lit("function").alias("kind"), "name")
+    return heads.unionByName(fences).unionByName(calls).distinct()
+
+
+def script_metrics(files: DataFrame) -> DataFrame:
+    """Lines of code, functions, classes, imports and complexity of scripts."""
+    from ..functions.text import js_complexity, js_counts
+
+    return lines_of_code(lines_of(files), "//").select("path", "loc").join(js_counts(files), "path").join(js_complexity(files), "path")
