@@ -6,15 +6,63 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import literal_map
+
+
+def token_count(text: Column) -> Column:
+    """Tokens of a text, estimated as a third of its characters."""
+    return F.floor(F.length(text) / 3).cast("long")
+
 
 def chunks(files: DataFrame, lines_per_chunk: int = 40, overlap: int = 5, min_tokens: int = 10) -> DataFrame:
     """Overlapping line chunks of each file: number, first line, text, tokens (a third of the characters)."""
-    step = max(1, lines_per_chunk - overlap)
+    return _cut(files, F.lit(lines_per_chunk), F.lit(max(1, lines_per_chunk - overlap)), min_tokens)
+
+
+def _cut(files: DataFrame, lines: Column, step: Column, min_tokens: int) -> DataFrame:
     parts = F.split("content", "\n")
-    starts = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(step))
-    c = files.select("path", parts.alias("p"), F.posexplode(starts).alias("chunk", "start"))
-    text = F.array_join(F.slice("p", F.col("start") + 1, F.lit(lines_per_chunk)), "\n")
-    return c.select("path", "chunk", (F.col("start") + 1).alias("first_line"), text.alias("text"), F.floor(F.length(text) / 3).cast("long").alias("tokens")).where(F.col("tokens") >= min_tokens)
+    c = files.select("path", parts.alias("p"), lines.cast("int").alias("n"), F.posexplode(F.sequence(F.lit(0), F.size(parts) - 1, step.cast("int"))).alias("chunk", "start"))
+    text = F.array_join(F.slice("p", F.col("start") + 1, F.col("n")), "\n")
+    return c.select("path", "chunk", (F.col("start") + 1).alias("first_line"), text.alias("text"), token_count(text).alias("tokens")).where(F.col("tokens") >= min_tokens)
+
+
+def token_chunks(files: DataFrame, max_tokens: int = 8000, overlap_tokens: int = 200, min_tokens: int = 100) -> DataFrame:
+    """Line chunks of about max_tokens, by the average tokens of a line of the file, that overlap by about overlap_tokens."""
+    average = F.greatest(F.floor(F.length("content") / 3), F.lit(1)) / F.size(F.split("content", "\n"))
+    lines = F.greatest(F.floor(max_tokens / average), F.lit(1))
+    return _cut(files.where(F.length("content") > 0), lines, F.greatest(lines - F.floor(overlap_tokens / average), F.lit(1)), min_tokens)
+
+
+#: Syntax nodes that make snippets, and what they are called.
+SNIPPET_NODES = {"FunctionDef": "function", "AsyncFunctionDef": "function", "ClassDef": "class", "Module": "module"}
+
+
+def tree_snippets(tree: DataFrame, files: DataFrame, min_tokens: int = 100, max_tokens: int = 8000, context: int = 10) -> DataFrame:
+    """Snippets of functions and classes: path, type, name, lines and text, from a node's line to the last line that a
+    child begins on and some lines after it; those outside the band of tokens are left out."""
+    kinds = literal_map(SNIPPET_NODES)
+    own = tree.where(F.col("node_type").isin(list(SNIPPET_NODES)) & F.col("line").isNotNull()).select("path", "node_id", kinds[F.col("node_type")].alias("snippet_type"), "name", "line")
+    last = tree.where("parent_id is not null and line is not null").groupBy("path", F.col("parent_id").alias("node_id")).agg(F.max("line").alias("last"))
+    spans = own.join(last, ["path", "node_id"], "left").join(files.select("path", F.split("content", "\r?\n").alias("lines")), "path")
+    end = F.least(F.size("lines"), F.greatest("line", F.coalesce("last", "line")) + context)
+    text = F.array_join(F.slice("lines", F.col("line"), F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(0))), "\n")
+    cut = spans.withColumn("end_line", end).where("end_line > line").select("path", "snippet_type", F.coalesce("name", F.lit("anonymous")).alias("name"), F.col("line").alias("start_line"), "end_line", text.alias("text"))
+    return cut.withColumn("tokens", token_count(F.col("text"))).where(F.col("tokens").between(min_tokens, max_tokens))
+
+
+def whole_files(files: DataFrame, max_tokens: int = 8000) -> DataFrame:
+    """One snippet for each file that fits a batch; larger files are for the cutters."""
+    t = token_count(F.col("content"))
+    lines = F.size(F.split(F.regexp_replace("content", r"\r?\n$", ""), "\n"))
+    return files.where((F.length("content") > 0) & (t <= max_tokens)).select("path", F.lit("full_file").alias("snippet_type"), F.lit(1).alias("start_line"), lines.alias("end_line"), F.col("content").alias("text"), t.alias("tokens"))
+
+
+def snippets(files: DataFrame, max_tokens: int = 8000, chunk_large_files: bool = True, **options) -> DataFrame:
+    """path, tokens and text: whole files where they fit and chunking isn't asked for, else chunks of lines."""
+    whole = whole_files(files, max_tokens) if not chunk_large_files else None
+    rest = files if whole is None else files.where(token_count(F.col("content")) > max_tokens)
+    cut = token_chunks(rest, max_tokens, **options).select("path", F.lit("chunk").alias("snippet_type"), F.col("first_line").alias("start_line"), "text", "tokens")
+    return cut if whole is None else whole.select(cut.columns).unionByName(cut)
 
 
 def priority(pattern_hits: Column, type_weight: Column, dependencies: Column) -> Column:
@@ -50,7 +98,64 @@ def next_fit(snippets: DataFrame, order: str, tokens: str, budget: int, scope: l
 
 
 def batch_totals(batched: DataFrame) -> DataFrame:
-    return batched.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    """Snippets and tokens of each batch, and its files and lines where the snippets tell."""
+    more = [F.countDistinct("path").alias("files")] if "path" in batched.columns else []
+    more += [F.sum("lines").alias("lines")] if "lines" in batched.columns else []
+    return batched.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), *more)
+
+
+def batch_metadata(batched: DataFrame) -> DataFrame:
+    """Of each batch: distinct files, languages and snippet types (sorted), and the number of distinct dependencies."""
+    g = batched.groupBy("batch_id").agg(F.countDistinct("path").alias("file_count"), F.array_sort(F.collect_set("language")).alias("languages"), F.array_sort(F.collect_set("snippet_type")).alias("snippet_types"))
+    d = batched.select("batch_id", F.explode("dependencies").alias("d")).groupBy("batch_id").agg(F.countDistinct("d").alias("total_dependencies"))
+    return g.join(d, "batch_id", "left").fillna(0, ["total_dependencies"])
+
+
+def batch_name(batch_id: Column) -> Column:
+    """batch_001 for the first."""
+    return F.format_string("batch_%03d", batch_id + 1)
+
+
+def save_batches(batched: DataFrame, path: str) -> None:
+    """All snippets, texts included, by batch, and the totals beside them."""
+    batched.withColumn("id", batch_name(F.col("batch_id"))).write.mode("overwrite").partitionBy("batch_id").parquet(f"{path}/snippets")
+    totals(batched).write.mode("overwrite").json(f"{path}/totals")
+
+
+def load_batches(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/snippets")
+
+
+def totals(batched: DataFrame) -> DataFrame:
+    return batched.agg(F.countDistinct("batch_id").alias("total_batches"), F.count("*").alias("total_snippets"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
+
+
+def analysed(prompts: DataFrame, analyser, key: str = "batch_id", attempts: int = 3) -> DataFrame:
+    """key, response, error of each prompt (key, content): analyser is any function of a text, called up to that many times;
+    a prompt that fails each time gives a row with its error, and the others go on."""
+
+    def run(batches):
+        for batch in batches:
+            responses, errors = [], []
+            for text in batch.column(1).to_pylist():
+                for k in range(attempts):
+                    try:
+                        response, error = analyser(text), None
+                        break
+                    except Exception as e:  # noqa: BLE001  one prompt's failure isn't the job's
+                        response, error = None, str(e)
+                responses.append(response)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(responses, pa.string()), pa.array(errors, pa.string())], [key, "response", "error"])
+
+    rows = prompts.select(key, "content")
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, response string, error string")
+
+
+def with_batch(results: DataFrame, batches: DataFrame, key: str = "batch_id") -> DataFrame:
+    """Results with their batch's columns; of several rows of one key the first by its columns counts."""
+    first = batches.groupBy(key).agg(F.min(F.struct(*[c for c in batches.columns if c != key])).alias("b"))
+    return results.join(first, key).select(*results.columns, "b.*")
 
 
 def prompt(snippets: DataFrame, key: str, order: str) -> DataFrame:
@@ -67,5 +172,13 @@ def processing_seconds(n: int, batch: int, per_minute: float, concurrency: int)
     return -(-n // batch) / (min(per_minute, batch * concurrency * 60) / batch) * 60
 
 
+def run_estimates(snippets: DataFrame, batch: int, per_minute: float, concurrency: int, price_in: float, price_out: float) -> DataFrame:
+    """Seconds and costs of a whole run by the formulas above, from the sums of one pass."""
+    n, t = F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))
+    rate = min(per_minute, batch * concurrency * 60) / batch
+    out = F.floor(t * 0.2)
+    return snippets.agg(n.alias("snippets"), t.alias("tokens"), (F.ceil(t / batch) / rate * 60).alias("seconds"), out.alias("tokens_out"), ((t * price_in + out * price_out) / 1e6).alias("cost"))
+
+
 def estimate_cost(tokens_in: int, price_in: float, price_out: float, share_out: float = 0.2) -> float:
     return (tokens_in * price_in + int(share_out * tokens_in) * price_out) / 1e6

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .findings import numbered
+
 
 def upsert(cache: DataFrame, new: DataFrame, key: str = "key", order: str = "timestamp") -> DataFrame:
     """Of each key the newest row; new rows win ties."""
@@ -54,6 +56,43 @@ def stats(cache: DataFrame, now) -> DataFrame:
     return cache.agg(F.count("*").alias("size"), F.count_if(dead).alias("expired"), F.count_if(~dead).alias("active"))
 
 
+def lookups(keys: DataFrame, cache: DataFrame, now, key: str = "key") -> DataFrame:
+    """Hits, misses and hit rate of looking keys up in the live part of a cache."""
+    found = keys.select(key).join(live(cache, now).select(key, F.lit(True).alias("hit")), key, "left")
+    n = found.agg(F.count_if("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
+    return n.withColumn("hit_rate", F.when(F.col("hits") + F.col("misses") > 0, F.round(F.col("hits") / (F.col("hits") + F.col("misses")), 6)).otherwise(0.0))
+
+
+def invalidate(cache: DataFrame, key: str) -> DataFrame:
+    return cache.where(F.col("key") != key)
+
+
+def cleanup(cache: DataFrame, now) -> DataFrame:
+    """The rows that have expired."""
+    return cache.join(live(cache, now).select("key"), "key", "left_anti")
+
+
+def history_add(history: DataFrame, new: DataFrame) -> DataFrame:
+    """A history with new analyses, numbered on from its largest id in the order of their time."""
+    last = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    rows = numbered(new, ["timestamp"], "at", 8)
+    return history.unionByName(rows.join(F.broadcast(last)).withColumn("id", F.col("last") + F.col("at") + 1).drop("last", "at"), allowMissingColumns=True)
+
+
+def history_get(history: DataFrame, key: int) -> DataFrame:
+    return history.where(F.col("id") == key)
+
+
+def history_count(history: DataFrame) -> DataFrame:
+    return history.agg(F.count("*").alias("n"))
+
+
+def history_delete(history: DataFrame, keys: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is left without some analyses (all if None), and how many are gone."""
+    gone = F.lit(True) if keys is None else F.col("id").isin(keys)
+    return history.where(~gone), history.agg(F.count_if(gone).alias("deleted"))
+
+
 def history_append(path: str, rows: DataFrame) -> None:
     rows.write.mode("append").parquet(path)
 

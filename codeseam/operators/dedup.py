@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..schemas import SEVERITIES, severity_ordinal, type_group
+from ..schemas import DEPENDENCY_TYPES, PERFORMANCE_TYPES, QUALITY_TYPES, SECURITY_TYPES, SEVERITIES, STYLE_TYPES, complete, severity_ordinal, type_group
 
 
 def content_id() -> Column:
@@ -21,21 +21,32 @@ def _either_way(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
+def _scopes(findings: DataFrame) -> list[Column]:
+    """function_name and class_name, null where findings have none."""
+    return [(F.col(c) if c in findings.columns else F.lit(None).cast("string")).alias(c) for c in ("function_name", "class_name")]
+
+
 def similar_pairs(findings: DataFrame, tolerance: int = 5) -> DataFrame:
-    """(a, b) by ingest_seq, a < b: same file, compatible types, near lines (or both without), like content.
+    """(a, b) by ingest_seq, a < b: same file, compatible types, near places, like content.
 
-    The equi-key is (file, type group); findings with lines are also keyed by blocks of lines, each row meeting
-    its own and the next block, so that a hot file isn't compared with itself as a whole."""
-    f = findings.select("ingest_seq", "file_path", type_group("finding_type").alias("grp"), "line_start", "rule_id", "title", "message")
+    Places are near if their lines are; where one has no line, if function or class are the same, also if neither
+    has one. The equi-key is (file, type group); findings with lines are also keyed by blocks of lines, each row
+    meeting its own and the neighbouring ones, so that a hot file isn't compared with itself as a whole."""
+    f = findings.select("ingest_seq", "file_path", type_group("finding_type").alias("grp"), "line_start", "rule_id", "title", "message", *_scopes(findings))
     step = max(1, tolerance)
-    block = F.floor(F.col("line_start") / step)
-    left = f.withColumn("block", block).withColumn("meet", F.when(F.col("line_start").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    x = left.withColumn("meet", F.explode("meet")).alias("x")
-    y = f.withColumn("block", block).alias("y")
-    near = (F.col("x.file_path") == F.col("y.file_path")) & (F.col("x.grp") == F.col("y.grp")) & F.col("x.meet").eqNullSafe(F.col("y.block"))
+    lined = f.where("line_start is not null").withColumn("block", F.floor(F.col("line_start") / step))
+    blocks = F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)
+    x, y = lined.withColumn("meet", F.explode(blocks)).alias("x"), lined.alias("y")
+    same = (F.col("x.file_path") == F.col("y.file_path")) & (F.col("x.grp") == F.col("y.grp"))
     like = ((F.col("x.rule_id") == F.col("y.rule_id")) & (F.length("x.rule_id") > 0)) | _either_way(F.col("x.title"), F.col("y.title")) | _either_way(F.col("x.message"), F.col("y.message"))
-    cond = near & (F.col("x.ingest_seq") < F.col("y.ingest_seq")) & F.coalesce(F.abs(F.col("x.line_start") - F.col("y.line_start")) <= tolerance, F.lit(True)) & F.coalesce(like, F.lit(False))
-    return x.join(y, cond).select(F.col("x.ingest_seq").alias("a"), F.col("y.ingest_seq").alias("b"))
+    like = F.coalesce(like, F.lit(False))
+    near = (F.col("x.meet") == F.col("y.block")) & (F.abs(F.col("x.line_start") - F.col("y.line_start")) <= tolerance)
+    pairs = x.join(y, same & near & like & (F.col("x.ingest_seq") < F.col("y.ingest_seq"))).select(F.col("x.ingest_seq").alias("a"), F.col("y.ingest_seq").alias("b"))
+    x, y = f.where("line_start is null").alias("x"), f.alias("y")
+    scope = F.col("x.function_name").eqNullSafe(F.col("y.function_name")) | F.col("x.class_name").eqNullSafe(F.col("y.class_name"))
+    once = (F.col("x.ingest_seq") < F.col("y.ingest_seq")) | ((F.col("x.ingest_seq") > F.col("y.ingest_seq")) & F.col("y.line_start").isNotNull())
+    loose = x.join(y, same & scope & like & once).select(F.least("x.ingest_seq", "y.ingest_seq").alias("a"), F.greatest("x.ingest_seq", "y.ingest_seq").alias("b"))
+    return pairs.union(loose)
 
 
 def leader_groups(findings: DataFrame, tolerance: int = 5) -> DataFrame:
@@ -43,54 +54,96 @@ def leader_groups(findings: DataFrame, tolerance: int = 5) -> DataFrame:
 
     Order-dependent and not transitive, so a fold in arrival order. Only findings of one (file, type group) can
     resemble each other, so that is the partition; rows stream in order and leaders are held by line."""
-    rows = findings.select("file_path", type_group("finding_type").alias("grp"), "ingest_seq", "line_start", "rule_id", "title", "message")
+    rows = findings.select("file_path", type_group("finding_type").alias("grp"), "ingest_seq", "line_start", "rule_id", "title", "message", *_scopes(findings))
     rows = rows.repartition("file_path", "grp").sortWithinPartitions("file_path", "grp", "ingest_seq")
 
+    def alike(x, rule, title, message):
+        return (rule and rule == x[2]) or (title and x[3] and (title in x[3] or x[3] in title)) or (message and x[4] and (message in x[4] or x[4] in message))
+
     def run(batches):
         at, leaders, order = None, {}, 0
         for batch in batches:
             seqs, heads = [], []
-            for file, grp, seq, line, rule, title, message in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for file, grp, seq, line, rule, title, message, *scope in zip(*(batch.column(i).to_pylist() for i in range(9))):
                 if (file, grp) != at:
                     at, leaders, order = (file, grp), {}, 0
                 t, m = (title or "").lower(), (message or "").lower()
-                near = leaders.get(None, []) if line is None else [x for k in range(line - tolerance, line + tolerance + 1) for x in leaders.get(k, ())]
-                head = next((x[1] for x in sorted(near) if (rule and rule == x[2]) or t in x[3] or x[3] in t or m in x[4] or x[4] in m), None)
+                lines = leaders if line is None else (*range(line - tolerance, line + tolerance + 1), None)
+                near = (x for k in lines for x in leaders.get(k, ()) if (line is not None and k is not None) or x[5][0] == scope[0] or x[5][1] == scope[1])
+                head = min((x[:2] for x in near if alike(x, rule, t, m)), default=None)
                 if head is None:
-                    head = seq
-                    leaders.setdefault(line, []).append((order, seq, rule, t, m))
+                    head = (order, seq)
+                    leaders.setdefault(line, []).append((order, seq, rule, t, m, scope))
                     order += 1
                 seqs.append(seq)
-                heads.append(head)
+                heads.append(head[1])
             yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(heads, pa.int64())], ["ingest_seq", "leader"])
 
     return rows.mapInArrow(run, "ingest_seq long, leader long")
 
 
+def _joined(acc: Column, x: Column) -> Column:
+    """Texts joined by a bar; an empty one, or one that all so far already is, adds nothing."""
+    return F.when((x == "") | (x == acc), acc).when(acc == "", x).otherwise(F.concat(acc, F.lit(" | "), x))
+
+
+_FIRST = ("title", "message", "rule_id", "affected_code", "fix_recommendation")
+_OWN = ("finding_type", "file_path", "line_start", "line_end", "column_start", "column_end", "function_name", "class_name", "source", "impact", "effort_to_fix", "severity")
+
+
 def merged(findings: DataFrame, groups: DataFrame) -> DataFrame:
     """One finding for each group: the primary (severity, then confidence, then arrival) with what the others add.
 
-    Members with the primary's content id aren't folded. Order of folding: arrival."""
-    f = findings.join(groups, "ingest_seq").withColumn("id", content_id())
-    member = F.struct((-severity_ordinal()).alias("s"), (-F.col("confidence")).alias("c"), F.col("ingest_seq").alias("q"), "id", "severity", "confidence", "finding_type", "file_path", "line_start", "title", "rule_id", "message", "source", "tool_name", "detected_at")
-    g = f.groupBy("leader").agg(F.array_sort(F.collect_list(member)).alias("m"), F.count("*").alias("group_size"))
-    p = F.element_at("m", 1)
-    others = F.array_sort(F.transform(F.filter("m", lambda x: x["id"] != p["id"]), lambda x: F.struct(x["q"], x["tool_name"], x["message"], x["severity"], x["confidence"], x["detected_at"], x["rule_id"])))
-    tools = F.concat(F.array(p["tool_name"]), F.transform(others, lambda x: x["tool_name"]))
-    texts = F.array_distinct(F.concat(F.array(p["message"]), F.transform(others, lambda x: x["message"])))
-    return g.select(
-        "leader", "group_size", p["q"].alias("primary"), p["id"].alias("id"), p["file_path"].alias("file_path"), p["line_start"].alias("line_start"), p["finding_type"].alias("finding_type"), p["severity"].alias("severity"),
-        F.aggregate(others, p["confidence"], lambda a, x: F.greatest(a, x["confidence"])).alias("confidence"), F.array_join(tools, ", ").alias("tool_name"), F.array_join(texts, " | ").alias("message"),
-        F.aggregate(others, p["detected_at"], lambda a, x: F.least(a, x["detected_at"])).alias("detected_at"), F.coalesce(p["rule_id"], F.get(F.filter(F.transform(others, lambda x: x["rule_id"]), lambda r: r.isNotNull()), F.lit(0))).alias("rule_id"), p["title"].alias("title"), p["source"].alias("source"),
+    Members with the primary's content id aren't folded. The others fold in arrival order: descriptions and
+    suggestions are joined, tools listed, tags and related findings united (sorted), the largest confidence and the
+    earliest time kept, and of other texts the first that isn't empty; place, type, impact and effort are the
+    primary's. merged_from names sources, tools and rules of all that were folded, merged_findings the members' ids."""
+    f = complete(findings).join(groups, "ingest_seq").withColumn("id", content_id())
+    columns = ["id", *_OWN, *_FIRST, "confidence", "tool_name", "description", "suggestion", "tags", "related_findings", "detected_at"]
+    rank = F.struct((-severity_ordinal()).alias("s"), (-F.col("confidence")).alias("c"), F.col("ingest_seq").alias("q"))
+    member = F.struct(F.col("ingest_seq").alias("q"), *columns)
+    g = f.groupBy("leader").agg(F.min_by(member, rank).alias("p"), F.array_sort(F.collect_list(member)).alias("m"))
+    p = F.col("p")
+    folded = g.withColumn("o", F.filter("m", lambda x: x["id"] != p["id"]))
+    o = F.col("o")
+    every = F.concat(F.array(p), o)
+
+    def first(name):
+        return F.get(F.filter(F.transform(every, lambda x: x[name]), lambda v: F.length(v) > 0), F.lit(0))
+
+    def united(name):
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(every, lambda x: x[name]))))
+
+    empty = {n: F.coalesce(first(n), F.lit("")) if n in ("title", "message", "fix_recommendation") else first(n) for n in _FIRST}
+    return folded.select(
+        "leader", F.size("m").cast("long").alias("group_size"), p["q"].alias("primary"), p["id"].alias("id"), *(p[n].alias(n) for n in _OWN), *(v.alias(n) for n, v in empty.items()),
+        F.aggregate(o, p["confidence"], lambda a, x: F.greatest(a, x["confidence"])).alias("confidence"), F.aggregate(o, p["detected_at"], lambda a, x: F.least(a, x["detected_at"])).alias("detected_at"),
+        F.array_join(F.transform(every, lambda x: x["tool_name"]), ", ").alias("tool_name"), F.aggregate(o, p["description"], lambda a, x: _joined(a, x["description"])).alias("description"),
+        F.aggregate(o, p["suggestion"], lambda a, x: _joined(a, x["suggestion"])).alias("suggestion"), united("tags").alias("tags"), united("related_findings").alias("related_findings"),
+        F.transform(every, lambda x: F.struct(x["source"].alias("source"), x["tool_name"].alias("tool"), x["rule_id"].alias("rule_id"))).alias("merged_from"),
+        F.transform("m", lambda x: x["id"]).alias("merged_findings"), (F.size("m") > 1).alias("is_merged"),
     )
 
 
+#: Groups of types that count as compatible where reasons are given: wider than those that let findings meet.
+REASON_GROUPS = {"security": SECURITY_TYPES, "quality": QUALITY_TYPES, "style": STYLE_TYPES, "dependency": DEPENDENCY_TYPES, "performance": PERFORMANCE_TYPES}
+
+
+def within_one_group(types: Column) -> Column:
+    """Whether an array of types is a subset of one of the groups."""
+    out = F.size(F.array_distinct(types)) <= 1
+    for names in REASON_GROUPS.values():
+        out = out | (F.size(F.array_except(types, F.array(*map(F.lit, names)))) == 0)
+    return out
+
+
 def merge_reasons(findings: DataFrame, groups: DataFrame, tolerance: int = 5) -> DataFrame:
     """Why the members of a group of two and more were joined."""
-    f = findings.join(groups, "ingest_seq").withColumn("grp", type_group("finding_type"))
+    f = complete(findings).join(groups, "ingest_seq")
+    place = F.struct("line_start", "column_start")
     g = f.groupBy("leader").agg(
-        F.count("*").alias("n"), F.countDistinct(F.coalesce(F.col("line_start"), F.lit(-1))).alias("places"), F.countDistinct("line_start").alias("lines"), F.countDistinct("rule_id").alias("rules"),
-        F.countDistinct("finding_type").alias("types"), F.countDistinct("grp").alias("grps"), F.collect_set(F.lower("title")).alias("t"), F.collect_set(F.lower("message")).alias("m"),
+        F.count("*").alias("n"), F.size(F.collect_set(place)).alias("places"), F.countDistinct("line_start").alias("lines"), F.countDistinct(F.nullif("rule_id", F.lit(""))).alias("rules"),
+        F.collect_set("finding_type").alias("types"), F.collect_set(F.lower(F.nullif("title", F.lit("")))).alias("t"), F.collect_set(F.lower(F.nullif("message", F.lit("")))).alias("m"),
     ).where("n > 1")
 
     def inside(c):
@@ -98,11 +151,17 @@ def merge_reasons(findings: DataFrame, groups: DataFrame, tolerance: int = 5) ->
 
     reasons = F.array_compact(F.array(
         F.when(F.col("places") == 1, "exact_location_match").when(F.col("lines") <= tolerance, "nearby_location_match"), F.when(F.col("rules") == 1, "same_rule_id"),
-        F.when(F.col("types") == 1, "same_finding_type").when(F.col("grps") == 1, "compatible_finding_types"), F.when(inside("t"), "similar_titles"), F.when(inside("m"), "similar_messages"),
+        F.when(F.size("types") == 1, "same_finding_type").when(within_one_group(F.col("types")), "compatible_finding_types"),
+        F.when(inside("t"), "similar_titles"), F.when(inside("m"), "similar_messages"),
     ))
     return g.select("leader", F.col("n").alias("group_size"), F.array_join(F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("similarity_match"))), ",").alias("reasons"))
 
 
+def deduplicate(findings: DataFrame, tolerance: int = 5) -> DataFrame:
+    """Findings merged by their leader groups, in one call."""
+    return merged(findings, leader_groups(findings, tolerance))
+
+
 def dedup_stats(groups: DataFrame) -> DataFrame:
     """before, after (groups), merged groups, kept alone, reduction in percent."""
     g = groups.groupBy("leader").count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -43,8 +43,8 @@ def unlicensed(packages: DataFrame) -> DataFrame:
 
 
 def licence_names(packages: DataFrame) -> DataFrame:
-    """licence -> its packages, distinct and in order."""
-    return packages.where("licence is not null").groupBy("licence").agg(F.array_sort(F.collect_set("package")).alias("p")).select("licence", F.size("p").cast("long").alias("n"), F.md5(F.array_join(F.transform("p", lambda x: x.cast("string")), ",")).alias("names_md5"))
+    """licence, package: each package of a licence once; lists of names are made where they are shown."""
+    return packages.where("licence is not null").select("licence", "package").distinct()
 
 
 def graph(packages: DataFrame) -> DataFrame:
@@ -52,18 +52,19 @@ def graph(packages: DataFrame) -> DataFrame:
     return packages.select(F.concat(F.lit("manifest:"), F.col("manifest").cast("string")).alias("source"), F.concat(F.lit("package:"), F.col("package").cast("string")).alias("target")).distinct()
 
 
-def closure(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Reachable (source, target) pairs, by doubling; stops when nothing new is found."""
-    seen = edges.select("source", "target").distinct()
+def closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """Reachable (source, target) pairs, by doubling until nothing new is found; each round is checkpointed, which needs
+    a checkpoint folder. More rounds than allowed is an error, never a part of the result."""
+    seen = edges.select("source", "target").distinct().checkpoint()
     n = seen.count()
     for _ in range(rounds):
         more = seen.alias("a").join(seen.alias("b"), F.col("a.target") == F.col("b.source")).select(F.col("a.source"), F.col("b.target"))
-        seen = seen.union(more).distinct().checkpoint() if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else seen.union(more).distinct()
+        seen = seen.union(more).distinct().checkpoint()
         m = seen.count()
         if m == n:
             return seen
         n = m
-    return seen
+    raise RuntimeError(f"edges reach further than {rounds} rounds")
 
 
 def out_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -83,3 +84,53 @@ def report_rows(packages: DataFrame, advisories: DataFrame) -> DataFrame:
 def direct_tree(packages: DataFrame) -> DataFrame:
     """manifest -> its packages, distinct and in order."""
     return packages.groupBy("manifest").agg(F.array_sort(F.collect_set("package")).alias("packages"))
+
+
+def _package_objects() -> Column:
+    return F.struct(F.col("package").cast("string").alias("name"), F.col("version").cast("string").alias("version"), F.coalesce("licence", F.lit("Unknown")).alias("licence"), F.col("dev").alias("dev"), F.col("optional").alias("optional"))
+
+
+def manifest_documents(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+    """One document for each manifest: its statistics and its packages as JSON, in order of mention."""
+    p = vulnerable(packages, advisories)
+    objects = F.transform(F.array_sort(F.collect_list(F.struct("position", _package_objects().alias("p")))), lambda x: x["p"])
+    return p.groupBy("manifest").agg(
+        F.count("*").alias("total_dependencies"), F.count_if(~F.col("dev")).alias("production_dependencies"), F.count_if("dev").alias("dev_dependencies"),
+        F.count_if("optional").alias("optional_dependencies"), F.count_if("has_vulnerabilities").alias("vulnerabilities"), F.countDistinct("licence").alias("unique_licenses"), F.to_json(objects).alias("dependencies"),
+    )
+
+
+def manifest_sections(packages: DataFrame) -> DataFrame:
+    """The Markdown section of each manifest: a table of its packages."""
+    kind = F.concat(F.when(F.col("dev"), "dev").otherwise("prod"), F.when(F.col("optional"), " (optional)").otherwise(""))
+    row = F.concat_ws(" | ", F.concat(F.lit("| "), F.col("package").cast("string")), F.col("version").cast("string"), kind, F.concat(F.coalesce("licence", F.lit("Unknown")), F.lit(" |")))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", row.alias("row")))), lambda x: x["row"]), "\n")
+    head = "| Package | Version | Type | License |\n|---------|---------|------|---------|\n"
+    return packages.groupBy("manifest").agg(F.concat(F.lit("### "), F.first("manifest").cast("string"), F.lit("\n\n" + head), rows).alias("section"))
+
+
+def report_summary(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+    """(part, name, n): totals, advisories by severity, packages by licence, manifests by manager."""
+    hit = advisories_of(packages.select("manifest", "package"), advisories)
+    total = packages.agg(F.countDistinct("manifest").alias("total_files"), F.count("*").alias("total_dependencies"), F.countDistinct("licence").alias("total_license_types"))
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in total.columns))
+    parts = [
+        total.select(F.explode(pairs).alias("p")).select(F.lit("total").alias("part"), "p.name", "p.n"),
+        hit.agg(F.count("*").alias("n")).select(F.lit("total").alias("part"), F.lit("total_vulnerabilities").alias("name"), "n"),
+        hit.groupBy("severity").agg(F.count("*").alias("n")).select(F.lit("severity").alias("part"), F.col("severity").alias("name"), "n"),
+        packages.where("licence is not null").groupBy("licence").agg(F.count("*").alias("n")).select(F.lit("licence").alias("part"), F.col("licence").alias("name"), "n"),
+        packages.groupBy("package_manager").agg(F.countDistinct("manifest").alias("n")).select(F.lit("manager").alias("part"), F.col("package_manager").alias("name"), "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def only(view: str, packages: DataFrame, advisories: DataFrame) -> DataFrame:
+    """One side of a dependency report: vulnerabilities or licenses."""
+    if view == "vulnerabilities":
+        return advisories_of(packages.select("manifest", "package"), advisories)
+    if view == "licenses":
+        return licence_distribution(packages)
+    raise ValueError(f"unknown view {view!r}")

@@ -22,7 +22,43 @@ def counts(findings: DataFrame, column: str) -> DataFrame:
 
 
 def affected_files(findings: DataFrame) -> DataFrame:
-    return findings.agg(F.countDistinct("file_path").alias("n_files"), F.array_join(F.array_sort(F.collect_set("file_path")), ",").alias("files"))
+    """file_path, n: each file with findings once; its rows are the count of files."""
+    return findings.groupBy("file_path").agg(F.count("*").alias("n"))
+
+
+def report_summary(findings: DataFrame) -> DataFrame:
+    """(part, name, n) of a report's summary: the total, all five severities, types and sources that occur, affected files."""
+    total = findings.agg(F.count("*").alias("total"), F.countDistinct("file_path").alias("affected_files_count"))
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in total.columns))
+    out = total.select(F.explode(pairs).alias("p")).select(F.lit("total").alias("part"), "p.name", "p.n")
+    out = out.unionByName(by_severity(findings).select(F.lit("severity").alias("part"), F.col("severity").alias("name"), "n"))
+    for part, column in (("type", "finding_type"), ("source", "source")):
+        out = out.unionByName(counts(findings, column).select(F.lit(part).alias("part"), F.col(column).alias("name"), "n"))
+    return out
+
+
+def dashboard(enriched: DataFrame) -> DataFrame:
+    """The dashboard's figures over enriched findings: totals, files, findings with a weakness and different weaknesses,
+    and the average debt of those that have some."""
+    d = F.col("technical_debt_score")
+    base = enriched.agg(
+        F.count("*").alias("total_findings"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.countDistinct("file_path").alias("affected_files"),
+        F.count_if(F.size("cwe_ids") > 0).alias("security_findings"), F.coalesce(F.round(F.avg(F.when(d != 0, d)), 2), F.lit(0.0)).alias("average_debt"), F.size(F.array_distinct(F.flatten(F.collect_set("cwe_ids")))).cast("long").alias("unique_cwes"),
+    )
+    return base
+
+
+def chart_rows(enriched: DataFrame) -> DataFrame:
+    """(chart, label, n) of the charts: severities, types, the ten files with most findings by their name, impacts."""
+    parts = [
+        counts(enriched, "severity").select(F.lit("severity").alias("chart"), F.col("severity").alias("label"), "n"), counts(enriched, "finding_type").select(F.lit("type").alias("chart"), F.col("finding_type").alias("label"), "n"),
+        top(enriched, "file_path").select(F.lit("files").alias("chart"), F.substring_index("file_path", "/", -1).alias("label"), "n"),
+        impact_matrix(enriched).select(F.lit("impact").alias("chart"), F.concat_ws(":", "kind", "level").alias("label"), "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def top(findings: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -89,11 +125,22 @@ def risk(findings: DataFrame) -> DataFrame:
 
 def code_quality(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """Findings per thousand lines, debt 10 per critical and 5 per high, and the grade of debt per thousand lines."""
-    f = findings.agg(F.count("*").alias("n"), (10 * F.count_if(F.col("severity") == "critical") + 5 * F.count_if(F.col("severity") == "high")).alias("debt"))
+    s = F.col("severity")
+    marks = findings.select(F.lit(1).alias("f"), (10 * (s == "critical").cast("int") + 5 * (s == "high").cast("int")).alias("d"), F.lit(0).alias("l"))
+    both = marks.unionByName(lines.select(F.lit(0).alias("f"), F.lit(0).alias("d"), F.lit(1).alias("l")))
+    a = both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("f", "n"), ("d", "debt"), ("l", "total_lines"))))
     kloc = F.greatest(F.col("total_lines") / 1000, F.lit(1.0))
-    ratio = F.col("debt") / (F.col("total_lines") / 1000)
-    grade = F.when(F.col("total_lines") == 0, "N/A").when(ratio <= 1, "A").when(ratio <= 3, "B").when(ratio <= 7, "C").when(ratio <= 15, "D").otherwise("F")
-    return f.join(lines.agg(F.count("*").alias("total_lines"))).select("total_lines", F.round(F.col("n") / kloc, 2).alias("findings_per_kloc"), "debt", grade.alias("grade"))
+    return a.select("total_lines", F.round(F.col("n") / kloc, 2).alias("findings_per_kloc"), "debt", grade(F.col("debt"), F.col("total_lines")).alias("grade"))
+
+
+def debt_score(findings: DataFrame) -> DataFrame:
+    s = F.col("severity")
+    return findings.agg((10 * F.count_if(s == "critical") + 5 * F.count_if(s == "high")).alias("debt"))
+
+
+def debt_timeline(findings: DataFrame, severity: str = "critical") -> DataFrame:
+    """Day and debt of each finding of a severity."""
+    return findings.where(F.col("severity") == severity).select(F.to_date("detected_at").alias("day"), "ingest_seq", debt(False).alias("debt"))
 
 
 def file_order(findings: DataFrame) -> DataFrame:
@@ -135,6 +182,17 @@ def profile(samples: DataFrame, name: str, value: str) -> DataFrame:
     return samples.groupBy(name).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.bround(F.avg(value), 6).alias("mean"), F.sum(value).alias("total"), F.percentile(value, F.lit(0.5)).alias("median"))
 
 
+def benchmark(samples: DataFrame, value: str) -> DataFrame:
+    """Mean, median, most and least of all samples, in one row."""
+    return samples.agg(F.bround(F.avg(value), 6).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("most"), F.min(value).alias("least"))
+
+
+def benchmark_markdown(samples: DataFrame, name: str, value: str) -> DataFrame:
+    """A line of the benchmark report for each name."""
+    p = profile(samples, name, value)
+    return p.select(name, F.format_string("- %s: mean %.1f, median %.1f, max %.1f, min %.1f", F.col(name), "mean", F.col("median").cast("double"), F.col("most").cast("double"), F.col("least").cast("double")).alias("line"))
+
+
 def fastest(samples: DataFrame, name: str, value: str) -> DataFrame:
     return samples.agg(F.min_by(name, F.struct(value, name)).alias("best"), F.min(value).alias("value"))
 

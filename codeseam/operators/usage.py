@@ -30,6 +30,45 @@ def usage_summary(usage: DataFrame) -> DataFrame:
     return priced(usage).agg(F.count("*").alias("requests"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"), F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.lit(0)).alias("tokens"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.coalesce(F.round(F.avg("cost"), 2), F.lit(0.0)).alias("avg_cost"))
 
 
+#: Columns of a history, and of its table form.
+HISTORY = "timestamp string, model string, input_tokens long, output_tokens long, cost double, request_type string, duration double, success boolean, error_message string"
+HISTORY_COLUMNS = [x.split()[0] for x in HISTORY.split(", ")]
+
+
+def history_from(raw: DataFrame) -> DataFrame:
+    """Usage rows of stored histories (column json); a text that is none gives no rows."""
+    rows = F.from_json("json", f"usage_history array<struct<{HISTORY.replace(' ', ':').replace(',:', ',')}>>")["usage_history"]
+    return raw.select(F.explode(rows).alias("u")).select("u.*").withColumn("timestamp", F.to_timestamp_ntz("timestamp"))
+
+
+def load_history(spark, path: str) -> DataFrame:
+    return history_from(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
+
+
+def export_rows(usage: DataFrame) -> DataFrame:
+    """The table form of a history: times in ISO form, cost in dollars; columns that aren't there are null."""
+    p = priced(usage) if "cost" not in usage.columns else usage
+    have = {"timestamp": iso(F.col("timestamp")), "cost": F.col("cost") / 1e6 if "cost" not in usage.columns else F.col("cost")}
+    return p.select(*((have[c] if c in have else F.col(c) if c in p.columns else F.lit(None).cast("string")).alias(c) for c in HISTORY_COLUMNS))
+
+
+def iso(t: Column) -> Column:
+    """yyyy-mm-ddThh:mm:ss, with microseconds where there are some."""
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(t, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(t, "SSSSSS"))).otherwise(""))
+
+
+def export_history(usage: DataFrame, path: str, form: str = "json", as_of: str | None = None) -> None:
+    """Writes a history: as CSV, or as JSON lines with the summary of the year before as_of beside them."""
+    rows = export_rows(usage)
+    if form == "csv":
+        rows.write.mode("overwrite").option("header", True).csv(path)
+    elif form == "json":
+        rows.write.mode("overwrite").json(f"{path}/usage_history")
+        usage_summary(since(usage, as_of, 365) if as_of else usage).write.mode("overwrite").json(f"{path}/summary")
+    else:
+        raise ValueError(f"unsupported form {form!r}")
+
+
 def usage_by(usage: DataFrame, column: str) -> DataFrame:
     return priced(usage).groupBy(column).agg(F.count("*").alias("requests"), F.sum("cost").alias("cost"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
 
