@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..adapters import ORD, SQL, advisories_v, files_v, findings_v, lines_v, packages_v, table, usage_v
+from ..adapters import ORD, SQL, advisories_v, files_v, findings_v, full_v, lines_v, packages_v, table, usage_v
 from ..functions import text
 from ..operators import batching, cachetable, dedup, deps, enrich, findings, stats, usage
 from ..schemas import DEBT_BASE, DEBT_FACTOR, QUALITY_TYPES, SECURITY_TYPES
 from ..sinks import reports
 from ..sources import files as scans
 from ..sources import parsers
-from . import details, pipeline
+from . import details, extended, pipeline
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,7 +37,7 @@ _DIM = "(VALUES ('info'),('low'),('medium'),('high'),('critical')) d(severity)"
 _f("i01_severity_zero_filled", lambda f: stats.by_severity(findings.with_severity(f, ["critical", "high", "low"])), f"SELECT d.severity, count(f.ingest_seq) AS n FROM {_DIM} LEFT JOIN (SELECT * FROM findings_v WHERE severity IN ('critical','high','low')) f ON f.severity = d.severity GROUP BY 1")
 _f("i02_type_counts", lambda f: stats.counts(f, "finding_type"), "SELECT finding_type, count(*) AS n FROM findings_v GROUP BY 1")
 _f("i03_source_counts", lambda f: stats.counts(f, "source"), "SELECT source, count(*) AS n FROM findings_v GROUP BY 1")
-_f("i04_affected_files", stats.affected_files, "SELECT count(DISTINCT file_path) AS n_files, string_agg(DISTINCT file_path, ',' ORDER BY file_path) AS files FROM findings_v")
+_f("i04_affected_files", stats.affected_files, "SELECT file_path, count(*) AS n FROM findings_v GROUP BY 1")
 _f("i07_debt_stats", stats.debt_stats, f"SELECT round(sum(d), 1) AS total, round(avg(d), 2) AS average, max(d) AS highest, min(d) AS lowest FROM (SELECT {_DEBT} AS d FROM findings_v)")
 _f("i11_top_files", lambda f: stats.top(f, "file_path"), "SELECT file_path, count(*) AS n FROM findings_v GROUP BY 1 ORDER BY n DESC, file_path LIMIT 10")
 _f("j04_top_types", lambda f: stats.top(f, "finding_type", 5), "SELECT finding_type, count(*) AS n FROM findings_v GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")
@@ -61,29 +61,65 @@ _f("o10_business", lambda f: f.select("ingest_seq", enrich.business_impact().ali
 _f("g04_filter", lambda f: findings.search(f, ["high", "critical"], ["security_vulnerability", "code_smell"], "k=1").select("ingest_seq", "file_path", "severity"), "SELECT ingest_seq, file_path, severity FROM findings_v WHERE severity IN ('high','critical') AND finding_type IN ('security_vulnerability','code_smell') AND (contains(lower(title),'k=1') OR contains(lower(message),'k=1'))")
 _f("m01_ids", lambda f: f.select("ingest_seq", dedup.content_id().alias("id")), "SELECT ingest_seq, substr(sha256(concat_ws(':', finding_type, file_path, coalesce(CAST(line_start AS VARCHAR),'None'), title, coalesce(rule_id,'None'))), 1, 16) AS id FROM findings_v")
 _SIM = "((a.rule_id = b.rule_id AND b.rule_id <> '') OR contains(lower(a.title), lower(b.title)) OR contains(lower(b.title), lower(a.title)) OR contains(lower(a.message), lower(b.message)) OR contains(lower(b.message), lower(a.message)))"
-_NEAR = "(abs(a.line_start - b.line_start) <= 5 OR (a.line_start IS NULL AND b.line_start IS NULL))"
+_NEAR = "(abs(a.line_start - b.line_start) <= 5 OR a.line_start IS NULL OR b.line_start IS NULL)"
 _f("m03_similar_pairs", dedup.similar_pairs, f", g AS (SELECT *, {_GRP} AS grp FROM findings_v) SELECT a.ingest_seq AS a, b.ingest_seq AS b FROM g a JOIN g b ON a.file_path = b.file_path AND a.grp = b.grp AND a.ingest_seq < b.ingest_seq AND {_NEAR} AND coalesce({_SIM}, false)")
-_CLUSTER = f""", g AS (SELECT *, {_GRP} AS grp, row_number() OVER (PARTITION BY file_path, {_GRP} ORDER BY ingest_seq) AS rn FROM findings_v),
+
+
+def _cluster(view: str, function: str = "NULL::VARCHAR", class_: str = "NULL::VARCHAR") -> str:
+    """lead(ingest_seq, leader): the fold in arrival order, as a recursion over each file and type group."""
+    item = f"struct_pack(q := {{0}}ingest_seq, l := line_start, r := rule_id, t := lower(title), m := lower(message), f := {function}, c := {class_})"
+    near = f"(abs(x.l - g.line_start) <= 5 OR ((x.l IS NULL OR g.line_start IS NULL) AND (x.f IS NOT DISTINCT FROM g.{function} OR x.c IS NOT DISTINCT FROM g.{class_})))" if "NULL" not in function else "(abs(x.l - g.line_start) <= 5 OR x.l IS NULL OR g.line_start IS NULL)"
+    like = "(x.r = g.rule_id OR contains(x.t, lower(g.title)) OR contains(lower(g.title), x.t) OR contains(x.m, lower(g.message)) OR contains(lower(g.message), x.m))"
+    return f""", g AS (SELECT *, {_GRP} AS grp, row_number() OVER (PARTITION BY file_path, {_GRP} ORDER BY ingest_seq) AS rn FROM {view}),
     lead(file_path, grp, rn, ls, ingest_seq, leader) AS (
-      SELECT file_path, grp, rn, [struct_pack(q := ingest_seq, l := line_start, r := rule_id, t := lower(title), m := lower(message))], ingest_seq, ingest_seq FROM g WHERE rn = 1
+      SELECT file_path, grp, rn, [{item.format('')}], ingest_seq, ingest_seq FROM g WHERE rn = 1
       UNION ALL
-      SELECT g.file_path, g.grp, g.rn, CASE WHEN h.q IS NULL THEN list_append(ls, struct_pack(q := g.ingest_seq, l := line_start, r := rule_id, t := lower(title), m := lower(message))) ELSE ls END, g.ingest_seq, coalesce(h.q, g.ingest_seq)
+      SELECT g.file_path, g.grp, g.rn, CASE WHEN h.q IS NULL THEN list_append(ls, {item.format('g.')}) ELSE ls END, g.ingest_seq, coalesce(h.q, g.ingest_seq)
       FROM lead JOIN g ON g.file_path = lead.file_path AND g.grp = lead.grp AND g.rn = lead.rn + 1,
-      LATERAL (SELECT list_filter(ls, lambda x: coalesce((abs(x.l - g.line_start) <= 5 OR (x.l IS NULL AND g.line_start IS NULL)) AND ((x.r = g.rule_id) OR contains(x.t, lower(g.title)) OR contains(lower(g.title), x.t) OR contains(x.m, lower(g.message)) OR contains(lower(g.message), x.m)), false))[1].q AS q) h)"""
+      LATERAL (SELECT list_filter(ls, lambda x: coalesce({near} AND {like}, false))[1].q AS q) h)"""
+
+
+_CLUSTER = _cluster("findings_v")
+_ID = "substr(sha256(concat_ws(':', finding_type, file_path, coalesce(CAST(line_start AS VARCHAR),'None'), title, coalesce(rule_id,'None'))), 1, 16)"
+# members of groups; of each the primary; all that fold (the primary first, then those with another id by arrival)
+_MEMBERS = f"""j AS (SELECT f.*, l.leader, {ORD} AS o, {_ID} AS id FROM {{view}} f JOIN (SELECT ingest_seq, leader FROM lead) l USING (ingest_seq)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY o DESC, confidence DESC, ingest_seq) AS rn FROM j), pr AS (SELECT * FROM p WHERE rn = 1),
+    q AS (SELECT p.*, (p.rn > 1)::INT AS k FROM p JOIN pr USING (leader) WHERE p.rn = 1 OR p.id <> pr.id), sizes AS (SELECT leader, count(*) AS group_size FROM j GROUP BY 1)"""
+_BAR = "list_reduce(list({0} ORDER BY k, ingest_seq), lambda a, b: CASE WHEN b = '' OR b = a THEN a WHEN a = '' THEN b ELSE a || ' | ' || b END)"
+_FIRST = "list_filter(list({0} ORDER BY k, ingest_seq), lambda x: x <> '')[1]"
+_SET = "array_to_string(list_sort(list_distinct(flatten(list({0})))), ',')"
 ORACLES["m05_clusters"] = f"WITH RECURSIVE {SQL['findings_v']}{_CLUSTER} SELECT ingest_seq, leader FROM lead"
-ORACLES["m11_stats"] = f"WITH RECURSIVE {SQL['findings_v']}{_CLUSTER}, n AS (SELECT leader, count(*) AS n FROM lead GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS before_count, count(*) AS total_groups, count(*) FILTER (n > 1) AS merged_count, count(*) FILTER (n = 1) AS kept_count, round(100.0::DOUBLE * (sum(n) - count(*)) / sum(n), 2) AS reduction_percent FROM n"
+ORACLES["m11_stats"] = (
+    f"WITH RECURSIVE {SQL['findings_v']}{_CLUSTER}, n AS (SELECT leader, count(*) AS n FROM lead GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS before_count, count(*) AS total_groups, "
+    "count(*) FILTER (n > 1) AS merged_count, count(*) FILTER (n = 1) AS kept_count, round(100.0::DOUBLE * (sum(n) - count(*)) / sum(n), 2) AS reduction_percent FROM n"
+)
 ORACLES["m10_duplicates"] = f"WITH RECURSIVE {SQL['findings_v']}{_CLUSTER} SELECT ingest_seq, leader AS duplicate_of FROM lead WHERE ingest_seq <> leader"
-ORACLES["m06_merged"] = f"WITH RECURSIVE {SQL['findings_v']}{_CLUSTER}, j AS (SELECT f.*, l.leader, {ORD} AS o, substr(sha256(concat_ws(':', finding_type, f.file_path, coalesce(CAST(line_start AS VARCHAR),'None'), title, coalesce(rule_id,'None'))), 1, 16) AS id FROM findings_v f JOIN lead l USING (ingest_seq)), p AS (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY o DESC, confidence DESC, ingest_seq) AS rn FROM j), pr AS (SELECT * FROM p WHERE rn = 1) SELECT pr.leader, pr.ingest_seq AS \"primary\", pr.id, pr.severity, count(*) AS group_size, max(CASE WHEN p.id <> pr.id OR p.rn = 1 THEN p.confidence END) AS confidence, min(CASE WHEN p.id <> pr.id OR p.rn = 1 THEN p.detected_at END) AS detected_at FROM pr JOIN p ON p.leader = pr.leader GROUP BY ALL"
+_MERGED = ["leader", "primary", "id", "severity", "group_size", "confidence", "detected_at", "tool_name", "description", "suggestion", "title", "message", "rule_id", "impact", "effort_to_fix", "line_start", "affected_code", "fix_recommendation"]
+ORACLES["m06_merged"] = f"""WITH RECURSIVE {SQL['full_v']}{_cluster('full_v', 'function_name', 'class_name')}, {_MEMBERS.format(view='full_v')},
+    a AS (SELECT leader, max(confidence) AS confidence, min(detected_at) AS detected_at, string_agg(tool_name, ', ' ORDER BY k, ingest_seq) AS tool_name, {_BAR.format('description')} AS description, {_BAR.format('suggestion')} AS suggestion,
+        {_FIRST.format('title')} AS title, {_FIRST.format('message')} AS message, {_FIRST.format('rule_id')} AS rule_id, {_FIRST.format('affected_code')} AS affected_code, coalesce({_FIRST.format('fix_recommendation')}, '') AS fix_recommendation,
+        {_SET.format('tags')} AS tags, {_SET.format('related_findings')} AS related FROM q GROUP BY 1)
+    SELECT a.leader, pr.ingest_seq AS "primary", pr.id, pr.severity, group_size, a.confidence, a.detected_at, a.tool_name, a.description, a.suggestion, a.title, a.message, a.rule_id, pr.impact, pr.effort_to_fix, pr.line_start,
+        a.affected_code, a.fix_recommendation, a.tags, a.related FROM a JOIN pr USING (leader) JOIN sizes USING (leader)"""
+ORACLES["t_pipeline"] = f"""WITH RECURSIVE {SQL['findings_v']}{_CLUSTER}, {_MEMBERS.format(view='findings_v')}, c AS (SELECT leader, max(confidence) AS best FROM q GROUP BY 1),
+    m AS (SELECT finding_type, severity, group_size, best AS confidence FROM pr JOIN c USING (leader) JOIN sizes USING (leader))
+    SELECT finding_type, severity, count(*) AS n, CAST(sum(group_size) AS BIGINT) AS raw, round(sum({_DEBT}), 1) AS debt, count(*) FILTER (finding_type IN ('security_vulnerability','performance_issue','memory_leak') AND severity IN ('high','critical')) AS urgent FROM m GROUP BY 1, 2"""
+_INSIDE = "len(list_filter({0}, lambda a: len(list_filter({0}, lambda b: a <> b AND contains(b, a))) > 0)) > 0"
+_SUBSET = " OR ".join(f"len(list_filter(types, lambda t: NOT list_contains({names!r}, t))) = 0" for names in dedup.REASON_GROUPS.values())
+ORACLES["m08_merge_reasons"] = f"""WITH RECURSIVE {SQL['full_v']}{_cluster('full_v', 'function_name', 'class_name')}, j AS (SELECT f.*, l.leader FROM full_v f JOIN (SELECT ingest_seq, leader FROM lead) l USING (ingest_seq)),
+    s AS (SELECT leader, count(*) AS n, count(DISTINCT coalesce(line_start::VARCHAR, '-') || ':' || coalesce(column_start::VARCHAR, '-')) AS places, count(DISTINCT line_start) AS lines, count(DISTINCT rule_id) AS rules,
+        list(DISTINCT finding_type) AS types, list(DISTINCT lower(title)) AS t, list(DISTINCT lower(message)) AS m FROM j GROUP BY 1 HAVING count(*) > 1),
+    r AS (SELECT leader, n, list_filter([CASE WHEN places = 1 THEN 'exact_location_match' WHEN lines <= 5 THEN 'nearby_location_match' END, CASE WHEN rules = 1 THEN 'same_rule_id' END,
+        CASE WHEN len(types) = 1 THEN 'same_finding_type' WHEN {_SUBSET} THEN 'compatible_finding_types' END, CASE WHEN {_INSIDE.format('t')} THEN 'similar_titles' END, CASE WHEN {_INSIDE.format('m')} THEN 'similar_messages' END], lambda x: x IS NOT NULL) AS rs FROM s)
+    SELECT leader, n AS group_size, CASE WHEN len(rs) = 0 THEN 'similarity_match' ELSE array_to_string(rs, ',') END AS reasons FROM r"""
 _f("m05_clusters", dedup.leader_groups)
 _f("m11_stats", lambda f: dedup.dedup_stats(dedup.leader_groups(f)))
 _f("m10_duplicates", lambda f: dedup.duplicates(dedup.leader_groups(f)))
-_f("m06_merged", lambda f: dedup.merged(f, dedup.leader_groups(f)).select("leader", "primary", "id", "severity", "group_size", "confidence", "detected_at"))
-_f("m08_merge_reasons", lambda f: dedup.merge_reasons(f, dedup.leader_groups(f)))
+_add("m06_merged", full_v, lambda f: dedup.deduplicate(f).select(*_MERGED, F.array_join("tags", ",").alias("tags"), F.array_join("related_findings", ",").alias("related")))
+_add("m08_merge_reasons", full_v, lambda f: dedup.merge_reasons(f, dedup.leader_groups(f)))
 _f("j01_file_order", stats.file_order, f"SELECT file_path, ingest_seq, row_number() OVER (PARTITION BY file_path ORDER BY {ORD} DESC, coalesce(line_start,0) DESC, ingest_seq) AS place FROM findings_v")
 _f("j07_page", lambda f: stats.page(f.select("ingest_seq", "title"), "ingest_seq", 50, 25), "SELECT ingest_seq, title FROM findings_v ORDER BY ingest_seq DESC LIMIT 25 OFFSET 50")
 _f("k04_first_per_rule", lambda f: dedup.first_per(f.where("rule_id is not null"), ["tool_name", "rule_id"]).select("tool_name", "rule_id", "ingest_seq"), "SELECT tool_name, rule_id, min(ingest_seq) AS ingest_seq FROM findings_v WHERE rule_id IS NOT NULL GROUP BY 1, 2")
-_f("b03_markdown", reports.markdown_files, f"SELECT file_path, '## ' || file_path || chr(10) || chr(10) || string_agg('- **' || severity || '** ' || title || ': ' || message, chr(10) ORDER BY {ORD} DESC, coalesce(line_start,0) DESC, ingest_seq) AS section FROM findings_v GROUP BY 1")
-_f("b05_sarif", reports.sarif_runs)
 _f("b21_issues", lambda f: reports.issues(f, f.where("ingest_seq % 2 = 0").select(F.concat("file_path", F.lit(":"), "title").alias("signature"))).select("signature", "severity"), "SELECT file_path || ':' || title AS signature, severity FROM findings_v WHERE severity IN ('critical','high') AND file_path || ':' || title NOT IN (SELECT file_path || ':' || title FROM findings_v WHERE ingest_seq % 2 = 0) ORDER BY ingest_seq LIMIT 20")
 _f("t_pipeline", pipeline.flagship)
 
@@ -124,7 +160,7 @@ _p("i14_manifest_stats", deps.manifest_stats, f"SELECT manifest, count(*) AS tot
 _p("i15_advisory_severity", lambda p, a: stats.counts(a, "severity"), "SELECT severity, count(*) AS n FROM advisories_v GROUP BY 1")
 _p("i16_licences", lambda p, a: deps.licence_distribution(p), "SELECT licence, count(*) AS n, count(DISTINCT package) AS packages FROM packages_v WHERE licence IS NOT NULL GROUP BY 1")
 _p("i17_managers", lambda p, a: stats.counts(p, "package_manager"), "SELECT package_manager, count(*) AS n FROM packages_v GROUP BY 1")
-_p("i18_licence_names", lambda p, a: deps.licence_names(p), "SELECT licence, count(DISTINCT package) AS n, md5(string_agg(CAST(package AS VARCHAR), ',' ORDER BY package)) AS names_md5 FROM (SELECT DISTINCT licence, package FROM packages_v WHERE licence IS NOT NULL) GROUP BY 1")
+_p("i18_licence_names", lambda p, a: deps.licence_names(p), "SELECT DISTINCT licence, package FROM packages_v WHERE licence IS NOT NULL")
 _p("i19_unlicensed", lambda p, a: deps.unlicensed(p), "SELECT count(*) FILTER (coalesce(licence,'') = '') AS unlicensed, count(*) AS total FROM packages_v")
 _p("o12_graph", lambda p, a: deps.graph(p), "SELECT DISTINCT 'manifest:' || manifest AS source, 'package:' || package AS target FROM packages_v")
 
@@ -135,9 +171,7 @@ def _l(name, build, sql=None):
 
 _l("e01_loc", lambda x: text.lines_of_code(x, "#"), "SELECT path, count(*) FILTER (t <> '' AND NOT starts_with(t, '#')) AS loc, count(*) AS total_lines FROM (SELECT path, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t FROM lines_v) GROUP BY 1")
 _l("d07_duplicate_lines", lambda x: text.repeated_lines(x).select("path", "line_no", "first_line"), "SELECT path, line_no, first_line FROM (SELECT path, line_no, row_number() OVER w AS rn, first(line_no) OVER w AS first_line FROM lines_v WHERE length(line) > 0 WINDOW w AS (PARTITION BY path, line ORDER BY line_no)) WHERE rn > 1")
-_l("d09_gap", lambda x: text.gaps(x, "^[A-Z]", 2), "SELECT path, line_no, gap FROM (SELECT path, line_no, CAST(lead(line_no) OVER (PARTITION BY path ORDER BY line_no) - line_no AS INT) AS gap FROM lines_v WHERE regexp_matches(line, '^[A-Z]')) WHERE gap > 2")
 _l("d11_numbers", lambda x: text.magic_numbers(x).groupBy("number").agg(F.count("*").alias("n")), "SELECT number, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(line, '[^A-Za-z0-9_]+'), lambda t: regexp_full_match(t, '[0-9]{2,}'))) AS number FROM lines_v) WHERE number NOT IN ('100','1000') GROUP BY 1")
-_l("d12_chains", lambda x: x.where(F.regexp_count("line", F.lit(",")) > 12).select("path", "line_no"), "SELECT path, line_no FROM lines_v WHERE len(regexp_extract_all(line, ',')) > 12")
 _l("k03_lookahead", lambda x: x.withColumn("ahead", F.max(F.contains("line", F.lit("the")).cast("int")).over(W.partitionBy("path").orderBy("line_no").rowsBetween(1, 5))).select("path", "line_no", "ahead"), "SELECT path, line_no, max(CAST(contains(line,'the') AS INT)) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS ahead FROM lines_v")
 _l("f07_linter_norm", lambda x: findings.from_linter(x.select(F.col("path").alias("file_path"), F.col("line_no").alias("line"), F.lit(1).alias("column"), F.when(F.col("line_no") % 3 == 0, "error").when(F.col("line_no") % 3 == 1, "note").otherwise("odd").alias("severity"), F.lit(None).cast("string").alias("rule"), F.replace("line", F.lit("the "), F.lit("format ")).alias("message")), "tool").select("file_path", "line_start", "severity", "finding_type", "title"), "SELECT path AS file_path, line_no AS line_start, CASE line_no % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'info' ELSE 'medium' END AS severity, CASE WHEN contains(m,'security') OR contains(m,'vulnerability') THEN 'security_vulnerability' WHEN contains(m,'performance') THEN 'performance_issue' WHEN contains(m,'syntax') THEN 'syntax_error' WHEN contains(m,'format') THEN 'formatting_issue' ELSE 'style_violation' END AS finding_type, 'Linter Issue' AS title FROM (SELECT *, lower(replace(line, 'the ', 'format ')) AS m FROM lines_v)")
 
@@ -146,7 +180,6 @@ def _d(name, build, sql=None):
     _add(name, files_v, build, "files_v", sql)
 
 
-_d("e07_keyword_complexity", lambda f: f.select("path", sum((text.keyword_count(F.col("content"), w) for w in ("for", "the", "is")), F.lit(1)).cast("long").alias("complexity")), "SELECT path, 1 + len(list_filter(regexp_split_to_array(content, '[^A-Za-z0-9_]+'), lambda t: t IN ('for','the','is'))) AS complexity FROM files_v")
 _d("e11_file_stats", scans.statistics, "SELECT count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_size, (SELECT path FROM files_v ORDER BY size DESC, path DESC LIMIT 1) AS largest, max(size) AS largest_size FROM files_v")
 _d("e12_type_histogram", lambda f: scans.by_type(f.withColumn("file_type", F.element_at(F.split("path", "/"), 3))), "SELECT string_split(path,'/')[3] AS file_type, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM files_v GROUP BY 1")
 _d("a10_tree", lambda f: scans.tree(f).select("path", "parent", "depth", "children", "size"), """, n AS (SELECT split_part(path,'/',2) AS a, split_part(path,'/',3) AS b, split_part(path,'/',4) AS c, size FROM files_v)
@@ -168,11 +201,19 @@ def _page_files(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
 
 
-QUERIES["c17_page_links"] = lambda spark, sf_dir: parsers.edges(_page_files(spark, sf_dir), "html").where("kind = 'anchor'").groupBy("path", "target").agg(F.count("*").alias("n"))
-ORACLES["c17_page_links"] = "SELECT CAST(page_id AS VARCHAR) AS path, t AS target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href=[''\"]([^''\"]+)', 1)) AS t FROM pages) GROUP BY 1, 2"
-QUERIES["c19_page_symbols"] = lambda spark, sf_dir: parsers.html_symbols(_page_files(spark, sf_dir)).where("kind = 'class'").select("path", "name")
-ORACLES["c19_page_symbols"] = "SELECT DISTINCT CAST(page_id AS VARCHAR) AS path, name FROM (SELECT page_id, unnest(regexp_split_to_array(c, '\\s+')) AS name FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)class=[''\"]([^''\"]+)[''\"]', 1)) AS c FROM pages)) WHERE name <> ''"
+QUERIES["c17_page_links"] = lambda spark, sf_dir: parsers.edges(_page_files(spark, sf_dir), "html").groupBy("path", "kind", "target").agg(F.count("*").alias("n"))
+ORACLES["c17_page_links"] = "SELECT CAST(page_id AS VARCHAR) AS path, kind, t AS target, count(*) AS n FROM (" + " UNION ALL ".join(
+    "SELECT page_id, '{}' AS kind, unnest(regexp_extract_all(html, '{}', 1)) AS t FROM pages".format(kind, form.replace("'", "''")) for kind, form in parsers.EDGE_FORMS["html"]
+) + ") GROUP BY ALL"
+QUERIES["c19_page_symbols"] = lambda spark, sf_dir: parsers.html_symbols(_page_files(spark, sf_dir))
+_SCRIPT = "(SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), chr(10)) AS s FROM pages)"
+ORACLES["c19_page_symbols"] = (
+    "SELECT DISTINCT CAST(page_id AS VARCHAR) AS path, kind, name FROM (SELECT page_id, 'class' AS kind, unnest(regexp_split_to_array(c, '\\s+')) AS name FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)class\\s*=\\s*[''\"]([^''\"]+)[''\"]', 1)) AS c FROM pages) "
+    "UNION ALL SELECT page_id, 'variable', unnest(regexp_extract_all(html, '(?i)id\\s*=\\s*[''\"]([^''\"]+)[''\"]', 1)) FROM pages "
+    + "".join(f"UNION ALL SELECT page_id, 'function', unnest(regexp_extract_all(s, '{form}', 1)) FROM {_SCRIPT} " for form in parsers.PAGE_FUNCTIONS) + ") WHERE name <> ''"
+)
 QUERIES["c21_page_nodes"] = lambda spark, sf_dir: parsers.nodes(_page_files(spark, sf_dir), "html").groupBy("node_type").agg(F.count("*").alias("n"))
+ORACLES["c21_page_nodes"] = "SELECT lower(t) AS node_type, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(?is)(<script[^>]*>).*?</script>', '\\1</script>', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages) GROUP BY 1"
 QUERIES["c26_json_keys"] = lambda spark, sf_dir: parsers.key_paths(parsers.nodes(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.col("props").alias("content")), "json"))
 ORACLES["c26_json_keys"] = "SELECT CAST(event_id AS VARCHAR) AS path, unnest(json_keys(props)) AS key FROM events"
 QUERIES["r05_prompts"] = lambda spark, sf_dir: batching.prompt(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", F.md5("content").alias("content_md5"))
@@ -180,5 +221,5 @@ ORACLES["r05_prompts"] = "SELECT conv_id, md5(string_agg('// ' || role || chr(10
 QUERIES["e08_code_quality"] = lambda spark, sf_dir: stats.code_quality(findings_v(spark, sf_dir), lines_v(spark, sf_dir))
 ORACLES["e08_code_quality"] = f"WITH {SQL['findings_v']}, {SQL['lines_v']}, a AS (SELECT count(*) AS n, 10 * count(*) FILTER (severity='critical') + 5 * count(*) FILTER (severity='high') AS debt FROM findings_v), b AS (SELECT count(*) AS l FROM lines_v) SELECT l AS total_lines, round(n / greatest(l / 1000.0, 1.0)::DOUBLE, 2) AS findings_per_kloc, debt, CASE WHEN debt / (l / 1000.0) <= 1 THEN 'A' WHEN debt / (l / 1000.0) <= 3 THEN 'B' WHEN debt / (l / 1000.0) <= 7 THEN 'C' WHEN debt / (l / 1000.0) <= 15 THEN 'D' ELSE 'F' END AS grade FROM a, b"
 
-QUERIES |= details.QUERIES
-ORACLES |= details.ORACLES
+QUERIES |= details.QUERIES | extended.QUERIES
+ORACLES |= details.ORACLES | extended.ORACLES

@@ -13,6 +13,7 @@ from ..functions import text
 from ..operators import batching, cachetable, deps, enrich, findings, stats, usage
 from ..schemas import DEBT_BASE, DEBT_FACTOR, SECURITY_TYPES, type_group
 from ..sinks import reports
+from ..sources import files as scans
 from ..sources import linters, manifests, parsers
 
 QUERIES: dict = {}
@@ -78,7 +79,7 @@ def _tree(build):
 _code("c01_python_edges", python_code, _tree(lambda t: parsers.python_edges(t).select("path", "target", "is_relative")), "SELECT path, 'm' || n AS target, false AS is_relative FROM part_v UNION ALL SELECT path, 'pkg' || (n % 7) || '.x' || (p % 5), false FROM part_v")
 _code("c03_python_symbols", python_code, _tree(lambda t: parsers.python_symbols(t).where("kind <> 'variable'").groupBy("path", "kind").agg(F.count("*").alias("n"))), "SELECT path, 'function' AS kind, CAST(2 + n + (p % 3 = 0)::INT + 2 * (p % 5 = 0)::INT AS BIGINT) AS n FROM part_v UNION ALL SELECT path, 'class', CAST(1 + (p % 3 = 0)::INT + (p % 5 = 0)::INT AS BIGINT) FROM part_v")
 _code("c03_python_variables", python_code, _tree(lambda t: parsers.python_symbols(t).where("kind = 'variable'").select("path", "name")), "SELECT path, 'a' AS name FROM part_v WHERE n > 0 UNION ALL SELECT path, 'observers' FROM part_v WHERE p % 5 = 0")
-_code("c05_python_nodes", python_code, _tree(lambda t: t.where("node_type in ('FunctionDef', 'ClassDef', 'If', 'ImportFrom')").groupBy("node_type").agg(F.count("*").alias("n"))), """SELECT 'FunctionDef' AS node_type, CAST(sum(2 + n + (p % 3 = 0)::INT + 2 * (p % 5 = 0)::INT) AS BIGINT) AS n FROM part_v
+_code("c05_python_nodes", python_code, _tree(lambda t: t.where("node_type in ('FunctionDef', 'ClassDef', 'If', 'ImportFrom')").where("attrs is not null or node_type = 'If'").groupBy("node_type").agg(F.count("*").alias("n"))), """SELECT 'FunctionDef' AS node_type, CAST(sum(2 + n + (p % 3 = 0)::INT + 2 * (p % 5 = 0)::INT) AS BIGINT) AS n FROM part_v
     UNION ALL SELECT 'ClassDef', CAST(sum(1 + (p % 3 = 0)::INT + (p % 5 = 0)::INT) AS BIGINT) FROM part_v UNION ALL SELECT 'If', CAST(sum(1 + n % 8 + (p % 3 = 0)::INT) AS BIGINT) FROM part_v UNION ALL SELECT 'ImportFrom', count(*) FROM part_v""")
 _code("c01_import_counts", python_code, _tree(lambda t: parsers.python_edges(t).where("not is_relative").groupBy("target").agg(F.count("*").alias("n"))), "SELECT target, count(*) AS n FROM (SELECT 'm' || n AS target FROM part_v UNION ALL SELECT 'pkg' || (n % 7) || '.x' || (p % 5) FROM part_v) GROUP BY 1")
 _code("e02_python_complexity", python_code, _tree(lambda t: parsers.python_complexity(t)), "SELECT path, CAST(2 + n % 8 + (p % 3 = 0)::INT AS BIGINT) AS complexity FROM part_v")
@@ -88,22 +89,28 @@ for _name, _kind, _when, _message in (("d01_singleton", "singleton", "p % 3 = 0"
     _code(_name, python_code, lambda files, k=_kind: parsers.structural_findings(files).where(F.col("pattern_name") == k).select("file_path", "message"), f"SELECT path AS file_path, {_message} AS message FROM part_v WHERE {_when}")
 _code("f01_static_findings", python_code, lambda files: findings.from_static(parsers.structural_findings(files)).groupBy("finding_type", "severity", "rule_id").agg(F.count("*").alias("n")), """SELECT * FROM (SELECT 'design_pattern' AS finding_type, 'info' AS severity, 'singleton' AS rule_id, count(*) AS n FROM part_v WHERE p % 3 = 0
     UNION ALL SELECT 'design_pattern', 'info', 'factory_method', count(*) FROM part_v WHERE p % 2 = 0 UNION ALL SELECT 'design_pattern', 'info', 'observer', count(*) FROM part_v WHERE p % 5 = 0
-    UNION ALL SELECT 'code_smell', 'medium', 'deep_nesting', count(*) FROM part_v WHERE n % 8 > 4) WHERE n > 0""")
+    UNION ALL SELECT 'code_smell', 'medium', 'deep_nesting', count(*) FROM part_v WHERE n % 8 > 4 UNION ALL SELECT 'code_smell', 'medium', 'long_method', count(*) FROM part_v WHERE n + 3 > 50
+    UNION ALL SELECT 'anti_pattern', 'medium', 'god_class', count(*) FROM part_v WHERE n > 20) WHERE n > 0""")
 
 # scripts
 _code("c09_script_edges", script_code, lambda files: parsers.edges(files, "javascript").select("path", "kind", "target", "is_external"), "SELECT path, 'import' AS kind, './lib' || (p % 7) AS target, false AS is_external FROM part_v UNION ALL SELECT path, 'require', 'pkg' || n, true FROM part_v")
-_code("c10_script_symbols", script_code, lambda files: parsers.symbols(files, "javascript").where("name <> 'e'"), "SELECT path, 'function' AS kind, 'f' || p AS name FROM part_v UNION ALL SELECT path, 'class', 'K' || p FROM part_v UNION ALL SELECT path, 'variable', 'x' || p FROM part_v")
-_code("c14_typed_edges", lambda: _text("import type { A } from './t", _s("p % 9"), "'\n/// <reference path='r", _s("n"), ".d.ts' />\n"), lambda files: parsers.edges(files, "typescript").select("path", "kind", "target"), "SELECT path, 'type_import' AS kind, './t' || (p % 9) AS target FROM part_v UNION ALL SELECT path, 'import', './t' || (p % 9) FROM part_v UNION ALL SELECT path, 'reference', 'r' || n || '.d.ts' FROM part_v")
-_code("c15_typed_symbols", lambda: _text("interface I", _s("p"), " {}\nenum E", _s("n"), " {}\ntype T", _s("p"), " = string\n"), lambda files: parsers.symbols(files, "typescript"), "SELECT path, 'class' AS kind, unnest(['I' || p, 'E' || n, 'T' || p]) AS name FROM part_v")
+_code("c10_script_symbols", script_code, lambda files: parsers.symbols(files, "javascript"), "SELECT path, 'function' AS kind, unnest(['f' || p, 'go']) AS name FROM part_v UNION ALL SELECT path, 'class', 'K' || p FROM part_v UNION ALL SELECT path, 'variable', 'x' || p FROM part_v")
+_code("c14_typed_edges", lambda: _text("import type { A } from './t", _s("p % 9"), "'\nimport { type B, c } from './u", _s("n"), "'\n/// <reference path='r", _s("n"), ".d.ts' />\n/// <reference types='y' />\n"), lambda files: parsers.edges(files, "typescript").select("path", "kind", "target"), "SELECT path, k AS kind, './t' || (p % 9) AS target FROM part_v, unnest(['type_import', 'import']) u(k) UNION ALL SELECT path, k, './u' || n FROM part_v, unnest(['type_import', 'import']) u(k) UNION ALL SELECT path, 'reference', unnest(['r' || n || '.d.ts', 'y']) FROM part_v")
+_code("c15_typed_symbols", lambda: _text("interface I", _s("p"), " {}\nenum E", _s("n"), " {}\ntype T", _s("p"), " = string\n// class Z\nabstract class A", _s("n"), " {}\nnamespace N {}\n"), lambda files: parsers.symbols(files, "typescript"), "SELECT path, 'class' AS kind, unnest(['I' || p, 'E' || n, 'T' || p, 'A' || n, 'N']) AS name FROM part_v")
 _code("d08_deep_callbacks", script_code, lambda files: text.deep_indents(text.lines(files)).select("path", "line_no"), "SELECT path, 6 AS line_no FROM part_v WHERE n > 16")
 _code("d10_unused_variables", script_code, lambda files: text.unused_variables(text.lines(files)).select("path", "name", "line_no"), "SELECT path, 'x' || p AS name, 2 AS line_no FROM part_v WHERE p % 2 = 1")
 _code("d13_unhandled_promises", script_code, lambda files: text.unhandled_promises(text.lines(files)).select("path", "line_no"), "SELECT path, 4 AS line_no FROM part_v WHERE n % 5 > 0 AND 4 < 7 + n % 10 - 5")
 _code("d12_promise_chains", script_code, lambda files: text.promise_chains(text.lines(files)).select("path", "line_no"), "SELECT path, 4 AS line_no FROM part_v WHERE n % 5 > 2")
 _code("e05_script_lines", script_code, lambda files: text.lines_of_code(text.lines(files), "//").select("path", "loc"), "SELECT path, CAST(6 AS BIGINT) AS loc FROM part_v")
 _code("e06_script_counts", script_code, lambda files: text.js_counts(files).select("path", "functions", "classes"), "SELECT path, CAST(1 AS BIGINT) AS functions, CAST(1 AS BIGINT) AS classes FROM part_v")
-_code("c22_style_imports", lambda: _text("@import url('b", _s("p % 7"), ".css');\n.c", _s("n"), " { --v", _s("p % 9"), ": 1 }\n"), lambda files: parsers.edges(files, "css").select("path", "target"), "SELECT path, 'b' || (p % 7) || '.css' AS target FROM part_v")
-_code("c23_style_symbols", lambda: _text(".c", _s("n"), " { --v", _s("p % 9"), ": 1 }\n"), lambda files: parsers.symbols(files, "css"), "SELECT path, 'class' AS kind, 'c' || n AS name FROM part_v UNION ALL SELECT path, 'variable', '--v' || (p % 9) FROM part_v")
-_code("c30_yaml_uses", lambda: _text("image: repo/i", _s("n"), "\nsteps:\n  - uses: act/a", _s("p % 7"), "@v1\n"), lambda files: parsers.edges(files, "yaml").select("path", "kind", "target"), "SELECT path, 'image' AS kind, 'repo/i' || n AS target FROM part_v UNION ALL SELECT path, 'uses', 'act/a' || (p % 7) || '@v1' FROM part_v")
+def style_code():
+    return _text("@import url('b", _s("p % 7"), ".css');\n@import \"a", _s("n"), ".css\";\n@IMPORT url(c.css);\n.c", _s("n"), ", .d:hover { --v", _s("p % 9"), ": 1; width: calc(1px + var(--w)); color (2) }\n")
+
+
+_code("c22_style_imports", style_code, lambda files: parsers.edges(files, "css").select("path", "target", "is_external"), "SELECT path, unnest(['b' || (p % 7) || '.css', 'a' || n || '.css', 'c.css']) AS target, false AS is_external FROM part_v")
+_code("c23_style_symbols", style_code, lambda files: parsers.symbols(files, "css"), "SELECT path, 'class' AS kind, unnest(['css', 'c' || n, 'd']) AS name FROM part_v UNION ALL SELECT path, 'variable', unnest(['--v' || (p % 9), '--w']) FROM part_v UNION ALL SELECT path, 'function', unnest(['url', 'calc', 'var']) FROM part_v")
+_code("c24_style_nodes", style_code, lambda files: parsers.nodes(files, "css").groupBy("path", "node_type").agg(F.count("*").alias("n")), "SELECT path, t AS node_type, CASE WHEN t IN ('import_rule') THEN 3 WHEN t = 'property' THEN 2 ELSE 1 END::BIGINT AS n FROM part_v, unnest(['stylesheet', 'import_rule', 'style_rule', 'property']) u(t)")
+_code("c30_yaml_uses", lambda: _text("image: repo/i", _s("n"), "\nbuild: ./d", _s("p % 3"), "\nsteps:\n  - uses: act/a", _s("p % 7"), "@v1\n"), lambda files: parsers.edges(files, "yaml").select("path", "kind", "target"), "SELECT path, 'image' AS kind, 'repo/i' || n AS target FROM part_v UNION ALL SELECT path, 'build', './d' || (p % 3) FROM part_v UNION ALL SELECT path, 'uses', 'act/a' || (p % 7) || '@v1' FROM part_v")
 _code("c31_yaml_keys", lambda: _text("a: ", _s("n"), "\nb:\n  k", _s("p % 7"), ": 1\n"), lambda files: parsers.key_paths(parsers.nodes(files, "yaml")), "SELECT path, unnest(['a', 'b', 'b.k' || (p % 7)]) AS key FROM part_v")
 
 
@@ -112,7 +119,7 @@ def notes():
 
 
 _code("c32_note_edges", notes, lambda files: parsers.edges(files, "markdown").select("path", "kind", "target"), "SELECT path, 'link' AS kind, 'x' || (p % 7) || '.md' AS target FROM part_v UNION ALL SELECT path, 'link', 'y.png' FROM part_v UNION ALL SELECT path, 'image', 'y.png' FROM part_v")
-_code("c33_note_symbols", notes, lambda files: parsers.markdown_headers(text.lines(files).where("line <> '# no'")).select("path", "symbol"), "SELECT path, 'h1-title-' || n AS symbol FROM part_v UNION ALL SELECT path, 'h2-part-' || (p % 3) FROM part_v")
+_code("c33_note_symbols", notes, lambda files: parsers.markdown_headers(text.lines(files)).select("path", "symbol"), "SELECT path, 'h1-title-' || n AS symbol FROM part_v UNION ALL SELECT path, 'h2-part-' || (p % 3) FROM part_v")
 _code("k08_note_sections", notes, lambda files: parsers.markdown_sections(text.lines(files)).where("line like 'see%' or line = '# no'").select("path", "line_no", "fenced", "section"), "SELECT path, 4 AS line_no, true AS fenced, 'Title ' || n || '!' AS section FROM part_v UNION ALL SELECT path, 7, false, 'Part ' || (p % 3) FROM part_v")
 
 # manifests, advisories, linter output
@@ -162,13 +169,13 @@ _IMPACT = {"o05_maintainability": ("maintainability_impact", f"CASE WHEN finding
 for _name, (_k, _sql) in _IMPACT.items():
     _f(_name, lambda f, k=_k: f.select("ingest_seq", enrich.impacts()[k].alias("impact")), f"SELECT ingest_seq, {_sql} AS impact FROM findings_v")
 _f("o09_impact_map", lambda f: enrich.enrich(f).select("ingest_seq", F.col("impact_analysis")["security_impact"].alias("security"), F.size(F.map_keys("impact_analysis")).cast("long").alias("kinds")), f"SELECT ingest_seq, {_IMPACT['o06_security'][1]} AS security, CAST(4 AS BIGINT) AS kinds FROM findings_v")
-_f("o11_debt_timeline", lambda f: f.where("severity = 'critical'").select(F.to_date("detected_at").alias("day"), "ingest_seq", enrich.debt(False).alias("debt")), f"SELECT CAST(detected_at AS DATE) AS day, ingest_seq, {_DEBT} AS debt FROM findings_v WHERE severity = 'critical'")
+_f("o11_debt_timeline", stats.debt_timeline, f"SELECT CAST(detected_at AS DATE) AS day, ingest_seq, {_DEBT} AS debt FROM findings_v WHERE severity = 'critical'")
 _f("h12_remediation", lambda f: enrich.remediation(f, f.sparkSession.createDataFrame([("code_smell", "refactor", 2), ("security_vulnerability", "patch", 8)], "finding_type string, steps string, effort int")).select("ingest_seq", "steps", "effort"), "SELECT ingest_seq, CASE finding_type WHEN 'code_smell' THEN 'refactor' WHEN 'security_vulnerability' THEN 'patch' END AS steps, CASE finding_type WHEN 'code_smell' THEN 2 WHEN 'security_vulnerability' THEN 8 END AS effort FROM findings_v")
 _f("n15_levels", lambda f: f.select("ingest_seq", F.create_map(*(F.lit(x) for kv in reports.LEVELS.items() for x in kv))[F.col("severity")].alias("level")), "SELECT ingest_seq, CASE WHEN severity IN ('critical','high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level FROM findings_v")
 _f("n04_slugs", lambda f: f.select(text.slug("message").alias("slug")).groupBy("slug").agg(F.count("*").alias("n")), "SELECT regexp_replace(regexp_replace(lower(message), '[^a-z0-9 _-]', '', 'g'), '[ _-]+', '-', 'g') AS slug, count(*) AS n FROM findings_v GROUP BY 1")
 _f("b23_chat_message", lambda f: reports.chat_message(f).select("total", "urgent", "more"), "SELECT count(*) AS total, count(*) FILTER (severity IN ('critical','high')) AS urgent, greatest(count(*) FILTER (severity IN ('critical','high')) - 10, 0) AS more FROM findings_v")
 _f("b01_json", lambda f: reports.as_json(f.select("ingest_seq", "severity", "rule_id")), "SELECT ingest_seq, '{\"severity\":\"' || severity || '\"' || coalesce(',\"rule_id\":\"' || rule_id || '\"', '') || '}' AS json FROM findings_v")
-_f("e09_debt_score", lambda f: f.agg((10 * F.count_if(F.col("severity") == "critical") + 5 * F.count_if(F.col("severity") == "high")).alias("debt")), "SELECT 10 * count(*) FILTER (severity='critical') + 5 * count(*) FILTER (severity='high') AS debt FROM findings_v")
+_f("e09_debt_score", stats.debt_score, "SELECT 10 * count(*) FILTER (severity='critical') + 5 * count(*) FILTER (severity='high') AS debt FROM findings_v")
 
 
 # usage
@@ -196,8 +203,8 @@ _p("h01_out_edges", lambda p, a: deps.out_edges(deps.graph(p), p.select(F.concat
 _p("h02_in_edges", lambda p, a: deps.in_edges(deps.graph(p), p.join(a, "package", "left_semi").select(F.concat(F.lit("package:"), F.col("package").cast("string")).alias("node"))), f"SELECT * FROM ({_NODES}) WHERE target IN (SELECT 'package:' || package FROM advisories_v)")
 _p("b12_dependency_rows", lambda p, a: deps.report_rows(p, a), "SELECT manifest, position, package_manager, package, version, coalesce(licence, 'Unknown') AS licence, CASE WHEN dev THEN 'development' ELSE 'production' END AS type, CASE WHEN optional THEN 'Yes' ELSE 'No' END AS optional, CASE WHEN package IN (SELECT package FROM advisories_v) THEN 'Yes' ELSE 'No' END AS vulnerable FROM packages_v")
 _p("o13_direct_tree", lambda p, a: deps.direct_tree(p).select("manifest", F.array_join(F.transform("packages", lambda x: x.cast("string")), ",").alias("packages")), "SELECT manifest, string_agg(CAST(package AS VARCHAR), ',' ORDER BY package) AS packages FROM (SELECT DISTINCT manifest, package FROM packages_v) GROUP BY 1")
-_p("f02_vulnerability_findings", lambda p, a: findings.from_vulnerability(deps.advisories_of(p, a).select(F.col("manifest").cast("string").alias("file_path"), "severity", F.col("package").cast("string").alias("title"), F.lit("").alias("description"), F.lit(None).cast("string").alias("cve_id"), F.lit("A1").alias("advisory_id"))).groupBy("severity", "rule_id").agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles")), "SELECT a.severity, 'A1' AS rule_id, count(*) AS n, count(DISTINCT p.package) AS titles FROM packages_v p JOIN advisories_v a USING (package) GROUP BY 1")
-_p("f03_outdated_findings", lambda p, a: findings.from_outdated(p.where("version < 5").select(F.col("manifest").cast("string").alias("file_path"), F.col("package").cast("string").alias("package"))).groupBy("title", "severity").agg(F.count("*").alias("n")), "SELECT 'Outdated Dependency: ' || package AS title, 'low' AS severity, count(*) AS n FROM packages_v WHERE version < 5 GROUP BY 1")
+_p("f02_vulnerability_findings", lambda p, a: findings.from_vulnerability(deps.advisories_of(p, a).select(F.col("manifest").cast("string").alias("file_path"), "severity", F.col("package").cast("string").alias("title"), F.lit("").alias("description"), F.lit(None).cast("string").alias("cve_id"), F.lit("A1").alias("advisory_id"))).groupBy("severity", "rule_id").agg(F.count("*").alias("n"), F.countDistinct("title", "message").alias("titles"), F.first(F.array_join("tags", ",")).alias("tags")), "SELECT a.severity, 'A1' AS rule_id, count(*) AS n, count(DISTINCT p.package) AS titles, 'dependency,security,vulnerability' AS tags FROM packages_v p JOIN advisories_v a USING (package) GROUP BY 1")
+_p("f03_outdated_findings", lambda p, a: findings.from_outdated(p.where("version < 5").select(F.col("manifest").cast("string").alias("file_path"), F.col("package").cast("string").alias("package"))).groupBy("title", "severity").agg(F.count("*").alias("n")), "SELECT 'Outdated Package: ' || package AS title, 'low' AS severity, count(*) AS n FROM packages_v WHERE version < 5 GROUP BY 1")
 
 
 # files: tables of a cache, paths, batches
@@ -218,9 +225,9 @@ _d("s08_history", lambda f: cachetable.history_page(f.select(F.col("doc_id").ali
 _d("n18_paths", lambda f: f.select("path", text.basename(F.col("path")).alias("basename"), F.regexp_extract("path", r"^/([^/]*)/", 1).alias("top")), "SELECT path, string_split(path, '/')[-1] AS basename, string_split(path, '/')[2] AS top FROM files_v")
 _d("a05_file_types", lambda f: f.select("path", text.file_type(F.concat("path", F.lit("."), F.element_at(F.array(*map(F.lit, ["PY", "tsx", "yml", "zip"])), (F.col("doc_id") % 4 + 1).cast("int")))).alias("file_type")), "SELECT path, ['python','typescript','yaml','unknown'][CAST(doc_id % 4 + 1 AS INT)] AS file_type FROM files_v")
 _d("e13_test_files", lambda f: f.select("doc_id", text.is_test_file(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("/tests"), "path")).when(F.col("doc_id") % 4 == 1, F.concat("path", F.lit("_test.py"))).otherwise(F.col("path"))).alias("is_test")), "SELECT doc_id, doc_id % 4 < 2 AS is_test FROM files_v")
-_d("a11_directories", lambda f: f.select(F.element_at(F.split("path", "/"), 2).alias("name")).distinct(), "SELECT DISTINCT string_split(path, '/')[2] AS name FROM files_v")
-_d("g09_size_band", lambda f: f.where(F.col("tokens").between(50, 400)).select("path"), "SELECT path FROM files_v WHERE tokens BETWEEN 50 AND 400")
-_d("n11_tokens", lambda f: f.select("path", "tokens"), "SELECT path, tokens FROM files_v")
+_d("a11_directories", lambda f: scans.directories(f, "/src1"), "SELECT DISTINCT string_split(path, '/')[3] AS name FROM files_v WHERE starts_with(path, '/src1/')")
+_d("g09_size_band", lambda f: batching.whole_files(f, 400).where("tokens >= 50").select("path", "end_line"), "SELECT path, CAST(len(string_split(regexp_replace(content, '\\r?\\n$', ''), chr(10))) AS INT) AS end_line FROM files_v WHERE tokens BETWEEN 50 AND 400")
+_d("n11_tokens", lambda f: f.select("path", batching.token_count(F.col("content")).alias("tokens")), "SELECT path, tokens FROM files_v")
 _d("j06_priority", lambda f: f.select("path", batching.priority((F.col("doc_id") % 7 == 0).cast("long"), F.col("doc_id") % 5, F.col("doc_id") % 3).alias("score")), "SELECT path, CAST(1000 * (doc_id % 7 = 0)::INT + doc_id % 5 + 10 * (doc_id % 3) AS BIGINT) AS score FROM files_v")
 _d("i32_batch_totals", lambda f: batching.batch_totals(f.select((F.col("doc_id") % 10).alias("batch_id"), "tokens")), "SELECT doc_id % 10 AS batch_id, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM files_v GROUP BY 1")
 _add("e10_grade", "lines_v", lambda x: x.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", stats.grade(F.col("doc_id") % 20, F.col("n")).alias("grade")), "SELECT doc_id, CASE WHEN doc_id % 20 / greatest(n / 1000.0, 1) <= 1 THEN 'A' WHEN doc_id % 20 / greatest(n / 1000.0, 1) <= 3 THEN 'B' WHEN doc_id % 20 / greatest(n / 1000.0, 1) <= 7 THEN 'C' WHEN doc_id % 20 / greatest(n / 1000.0, 1) <= 15 THEN 'D' ELSE 'F' END AS grade FROM (SELECT doc_id, count(*) AS n FROM lines_v GROUP BY 1)")
