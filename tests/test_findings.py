@@ -1,6 +1,7 @@
 """Worked cases of the findings operators."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -60,12 +61,48 @@ def test_limiter():
 
 
 def test_reports(spark, tmp_path):
-    f = make(spark, [{}, dict(severity="high", rule_id=None)])
-    assert '"version": "2.1.0"' in reports.sarif(f)
-    assert reports.export(f, str(tmp_path), ["json", "csv", "nope"])["csv"] == "written"
-    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
-    assert "<table>" in reports.html_report(f)
-    assert reports.chat_message(f).first().urgent == 1
+    f = make(spark, [{}, dict(severity="high", rule_id=None, message='say "</script>"'), dict(source="custom", line_start=0)])
+    doc = json.loads("".join(reports.sarif(f)))
+    assert doc["version"] == "2.1.0" and [len(r["results"]) for r in doc["runs"]] == [1, 2] and doc["runs"][1]["tool"]["driver"]["rules"][0]["id"] == "r"
+    assert "startLine" not in doc["runs"][0]["results"][0]["locations"][0]["physicalLocation"].get("region", {})
+    assert json.loads("".join(reports.sarif(f.limit(0)))) == {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": []}
+    out = reports.export(f, str(tmp_path), ["json", "csv", "sarif", "html", "markdown", "report", "enhanced", "nope"])
+    assert out.pop("nope").startswith("failed") and set(out.values()) == {"written"} and reports.export(f, "x", ["csv"], dry_run=True) == {"csv": "planned"}
+    back = spark.read.option("header", True).csv(f"{tmp_path}/csv")
+    assert back.count() == 3 and back.columns == list(reports.CSV_COLUMNS)
+    assert "<table>" in reports.html_report(f) and "high: 1" in reports.html_report(f, severities=["high"]) and "medium: 0" in reports.html_report(f, severities=["high"])
+    assert "</script>\"" not in reports.interactive_html(f).split("const data")[1].split(";</script>")[0] and "heatmap" in reports.enhanced_html(f)
+    r = reports.chat_message(f).first()
+    assert (r.total, r.urgent, r.items, r.more) == (3, 1, "t in /a.py", 0)
+    whole = json.loads(reports.json_report(f, {"run": 1}))
+    assert whole["metadata"]["total_findings"] == 3 and whole["summary"]["severity_counts"]["high"] == 1 and len(whole["findings"]) == 3
+    assert json.loads(reports.webhook(f, "2024-01-01", '{"n": {total_findings}, "h": {high_count}}')) == {"n": 3, "h": 1}
+    assert json.loads(reports.webhook(f, "2024-01-01", "{broken"))["summary"]["total"] == 3 and len(json.loads(reports.webhook(f, "2024-01-01", full=True))["findings"]) == 3
+    assert "*Total Findings:* 3" in reports.epic(f, "2024-01-01")
+    assert reports.text_summary(f).splitlines()[:2] == ["Total findings: 3", "Files affected: 1"]
+
+
+def test_places_without_lines(spark):
+    """Where a line is missing, findings are near if function or class are the same, none included."""
+    rows = [dict(line_start=None), dict(line_start=90), dict(line_start=None, title="z", message="z", rule_id="q")]
+    f = make(spark, rows)
+    assert {tuple(r) for r in dedup.similar_pairs(f).collect()} == {(0, 1)}
+    named = f.withColumn("function_name", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("ingest_seq") + 1).cast("int"))).withColumn("class_name", F.col("function_name"))
+    assert dedup.similar_pairs(named).count() == 0 and dedup.leader_groups(named).where("ingest_seq <> leader").count() == 0
+
+
+def test_merge_of_texts(spark):
+    f = make(spark, [dict(severity="high"), dict(line_start=2), dict(line_start=3), dict(line_start=4)])
+    f = f.withColumn("description", F.element_at(F.array(*map(F.lit, ["one", "two", "one", "two"])), (F.col("ingest_seq") + 1).cast("int"))).withColumn("tags", F.array(F.col("ingest_seq").cast("string")))
+    r = dedup.deduplicate(f).first()
+    assert (r.description, r.tags, r.group_size, r.is_merged) == ("one | two | one | two", ["0", "1", "2", "3"], 4, True) and len(r.merged_from) == 4
+
+
+def test_numbered(spark):
+    f = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("ingest_seq"))
+    got = findings.numbered(f, ["k"], "n", 7).collect()
+    assert sorted((r.k, r.n) for r in got) == [(k, k) for k in range(5000)]
+    assert findings.numbered(f.limit(0), ["k"], "n").count() == 0
 
 
 def test_normalise(spark):
