@@ -103,7 +103,7 @@ ORACLES["m06_merged"] = f"""WITH RECURSIVE {SQL['full_v']}{_cluster('full_v', 'f
         a.affected_code, a.fix_recommendation, a.tags, a.related FROM a JOIN pr USING (leader) JOIN sizes USING (leader)"""
 ORACLES["t_pipeline"] = f"""WITH RECURSIVE {SQL['findings_v']}{_CLUSTER}, {_MEMBERS.format(view='findings_v')}, c AS (SELECT leader, max(confidence) AS best FROM q GROUP BY 1),
     m AS (SELECT finding_type, severity, group_size, best AS confidence FROM pr JOIN c USING (leader) JOIN sizes USING (leader))
-    SELECT finding_type, severity, count(*) AS n, CAST(sum(group_size) AS BIGINT) AS raw, round(sum({_DEBT}), 1) AS debt, count(*) FILTER (finding_type IN ('security_vulnerability','performance_issue','memory_leak') AND severity IN ('high','critical')) AS urgent FROM m GROUP BY 1, 2"""
+    SELECT finding_type, severity, count(*) AS n, CAST(sum(group_size) AS BIGINT) AS raw, round(sum({_DEBT}), 2) AS debt, count(*) FILTER (finding_type IN ('security_vulnerability','performance_issue','memory_leak') AND severity IN ('high','critical')) AS urgent FROM m GROUP BY 1, 2"""
 _INSIDE = "len(list_filter({0}, lambda a: len(list_filter({0}, lambda b: a <> b AND contains(b, a))) > 0)) > 0"
 _SUBSET = " OR ".join(f"len(list_filter(types, lambda t: NOT list_contains({names!r}, t))) = 0" for names in dedup.REASON_GROUPS.values())
 ORACLES["m08_merge_reasons"] = f"""WITH RECURSIVE {SQL['full_v']}{_cluster('full_v', 'function_name', 'class_name')}, j AS (SELECT f.*, l.leader FROM full_v f JOIN (SELECT ingest_seq, leader FROM lead) l USING (ingest_seq)),

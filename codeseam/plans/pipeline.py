@@ -74,4 +74,4 @@ def flagship(f: DataFrame, tolerance: int = 5) -> DataFrame:
     """Normalised findings -> leader groups -> merged -> debt and impact -> totals per type and severity."""
     merged = dedup.merged(f, dedup.leader_groups(f, tolerance))
     e = merged.select("finding_type", "severity", "group_size", enrich.debt(False).alias("debt"), enrich.business_impact().alias("business"))
-    return e.groupBy("finding_type", "severity").agg(F.count("*").alias("n"), F.sum("group_size").alias("raw"), F.round(F.sum("debt"), 1).alias("debt"), F.count_if(F.col("business") == "high").alias("urgent"))
+    return e.groupBy("finding_type", "severity").agg(F.count("*").alias("n"), F.sum("group_size").alias("raw"), F.round(F.sum("debt"), 2).alias("debt"), F.count_if(F.col("business") == "high").alias("urgent"))
