@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, some, stored
 
 
 def _canonical(e: DataFrame) -> DataFrame:
@@ -43,4 +43,23 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         before = now
     else:
         raise RuntimeError("components did not converge")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = stored(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    drop_stored(e)
+    return out
+
+
+def extended(label: DataFrame | None, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) after further edges: they are drawn between the roots known so far, so that old links aren't gone over again."""
+    if label is None:
+        return components(edges, a, b)
+    ends = [label.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")) for c in ("x", "y")]
+    drawn = edges.join(ends[0], F.col(a) == F.col("x_node"), "left").join(ends[1], F.col(b) == F.col("y_node"), "left")
+    drawn = stored(drawn.select(F.coalesce("x_root", a).alias("p"), F.coalesce("y_root", b).alias("q")).where("p <> q").distinct())
+    if not some(drawn):
+        drop_stored(drawn)
+        return label
+    top = components(drawn, "p", "q")
+    moved = label.join(top.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    out = stored(moved.union(top.join(label.select("node"), "node", "left_anti")))
+    drop_stored(drawn, top)
+    return out
