@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, small_batches, stored
 
 FEATURES, RIDGE, SEED = 256, 1e-3, 97
-#: Bound of the labelled rows that a fit uses; the rows with the smallest checksums are taken.
+#: Bound of the labelled rows that a fit uses; where there are more, a checksum thins them.
 MAX_TRAINING_ROWS = 200_000
 BINS, LOW, HIGH = 1024, -1.0, 2.0
 NAMES = ("log_bytes", "log_words", "log_lines", "upper", "digit", "space", "symbol", "stop_marks", "non_ascii", "commas", "symbol_words", "mean_word", "sd_word", "distinct_words", "top_word", "repeated_neighbours", "distinct_lines", "mean_line", "sentence_ends", "capital_words", "entropy", "compression")
@@ -58,15 +58,6 @@ def statistics(text: str | None) -> np.ndarray:
     return out
 
 
-def statistics_of(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            stats = [statistics(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float32()))], ["doc_id", "stats"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, stats array<float>")
-
-
 def expand(stats: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
     """Random Fourier features of standardised statistics, and a constant."""
     rng = np.random.default_rng(SEED)
@@ -92,14 +83,28 @@ def isotonic(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.repeat(value, [b for _, _, b in blocks]))
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> dict:
-    """A model from statistics and labels (doc_id, label 0/1); without two classes, the constant share of ones."""
-    rows = stats.join(labels.where("doc_id is not null and label is not null"), "doc_id")
-    order = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")))
-    n = rows.count()
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """stats, label, fold of the labelled rows of docs that a fit uses: labels are thinned by a checksum to
+    MAX_TRAINING_ROWS at most (98 % of that are expected), which bounds their broadcast; texts aren't shuffled."""
+    known = labels.where("doc_id is not null and label is not null").select("doc_id", F.col("label").cast("double").alias("label"))
+    n = known.count()
     if n > MAX_TRAINING_ROWS:
-        rows = rows.orderBy(order, "doc_id").limit(MAX_TRAINING_ROWS)
-    rows = stored(rows.select("stats", F.col("label").cast("double").alias("label"), (order % 2).cast("int").alias("fold")))
+        most = int(0.98 * MAX_TRAINING_ROWS / n * (1 << 32))
+        known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 32)) < most)
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int").alias("fold")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "label", fold)
+
+    def run(batches):
+        for batch in batches:
+            stats = [statistics(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(stats, pa.list_(pa.float32())), batch.column(1), batch.column(2)], ["stats", "label", "fold"])
+
+    return own.mapInArrow(run, "stats array<float>, label double, fold int")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """A model from texts and labels (doc_id, label 0/1); without two classes, the constant share of ones."""
+    rows = stored(training_rows(docs, labels))
     d = len(NAMES)
     sums = rows.agg(F.count("*"), F.sum("label"), *[F.avg(F.col("stats")[i]) for i in range(d)], *[F.stddev_pop(F.col("stats")[i]) for i in range(d)]).first()
     if not sums[0] or sums[1] in (0, sums[0]):
@@ -151,18 +156,6 @@ def predict(stats: np.ndarray, model: dict) -> np.ndarray:
     return np.clip(np.interp(raw, middle, model["curve"]), 0, 1)
 
 
-def score_statistics(stats: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score of each row."""
-    d = len(NAMES)
-
-    def run(batches):
-        for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predict(x, model), pa.float64())], ["doc_id", "score"])
-
-    return stats.mapInArrow(run, "doc_id long, score double")
-
-
 def not_held_out(labels: DataFrame, column: str = "quality", modulus: int = 3, remainder: int = 1) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % modulus != remainder).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("label"))
 
@@ -170,25 +163,34 @@ def not_held_out(labels: DataFrame, column: str = "quality", modulus: int = 3, r
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score for each row of docs; only the text is used for a score.
 
-    labels: doc_id, label. Null and empty texts have zero statistics and get a score like others. Labels that are
-    null or of absent documents are ignored; several labels of a document all count; without labels of two
-    classes every score is their share (0.5 without any); an empty table gives an empty one.
+    labels: doc_id, label. Null and empty texts have zero statistics and get a score like others; statistics are
+    those of whole texts of any length. Labels that are null or of absent documents are ignored; several labels of
+    a document all count, as do repeated rows; without labels of two classes every score is their share (0.5
+    without any); an empty table gives an empty one; other columns are ignored.
     """
-    stats = stored(statistics_of(docs))
-    return score_statistics(stats, fit(stats, labels))
+    small_batches(docs.sparkSession)
+    model = fit(docs, labels)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predict(matrix(batch.column(1)), model), pa.float64())], ["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs with a score of at least threshold, all columns; texts aren't shuffled."""
-    stats = stored(statistics_of(docs))
-    model = fit(stats, labels)
-    drop_stored(stats)
+    small_batches(docs.sparkSession)
+    model = fit(docs, labels)
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.array([statistics(t.as_py()) for t in batch.column(at)], float)
-                yield batch.filter(pa.array(predict(x, model) >= threshold))
+                yield batch.filter(pa.array(predict(matrix(batch.column(at)), model) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def matrix(texts: pa.Array) -> np.ndarray:
+    return np.array([statistics(t.as_py()) for t in texts], float).reshape(-1, len(NAMES))
