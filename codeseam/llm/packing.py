@@ -9,114 +9,145 @@ leaves at most about one part-filled bin.
 
 from __future__ import annotations
 
+import json
 import re
-import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, row_slices, small_batches, stored, texts_of
 
 CAPACITY, END_ID = 4096, 1
 BLOCK_TOKENS = 16_000_000
-#: Size of a generation of remembered words, of which a task holds two.
-CACHE_WORDS = 400_000
+#: Size of a generation of remembered words, of which a worker holds two (about 20 MB each).
+CACHE_WORDS = 100_000
+#: Characters of text that are looked up at once, and bytes of ids that go into one batch.
+SLICE, OUT_BYTES = 1_000_000, 8_000_000
 #: Characters for which Python's and the library's normalisation, lower-casing and classes agree
 #: (one code point stays one code point; checked by tests): ASCII, Latin-1 letters and Latin Extended-A but for dotted and dotless I.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u00b1\u00b4\u00b6\u00b7\u00bb\u00bf-\u012f\u0132-\u0148\u014a-\u017e\u2010-\u2027\u2030-\u205e\u20ac]*")
-#: Fixed value: the split pattern of the tokenizer file, for lower-cased plain text.
+#: What the file of a tokenizer says whose words can be looked up one by one, and its split for lower-cased plain text.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The characters that stand for bytes in byte-level tokenizers: printable ones for themselves, others from 256 on.
+_SELF = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
+_BYTE_CHARS = {c: c for c in _SELF} | {c: 256 + k for k, c in enumerate(sorted(set(range(256)) - set(_SELF)))}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether ids of plain text are those of its words, one by one: a byte-level BPE over lower-cased words and marks."""
+    told = json.loads(tokenizer.to_str())
+    normal, split, model = (told.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    cut = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+    rest = [x for x in split.get("pretokenizers", []) if x != cut]
+    return (
+        normal.get("normalizers") == _NORMAL and cut in split.get("pretokenizers", []) and [x.get("type") for x in rest] == ["ByteLevel"]
+        and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"] and model.get("type") == "BPE" and not model.get("dropout")
+        and not model.get("ignore_merges") and not any(told.get(k) for k in ("post_processor", "truncation", "padding"))
+    )
 
 
 class WordIds:
-    """ids of words as little-endian unsigned 32-bit bytes, remembered in two generations of bounded size.
+    """ids of texts as little-endian unsigned 32-bit bytes; those of words are remembered in two generations of bounded size.
 
-    White space always separates words of the split, and words don't affect each other's ids, so what lies
-    between white space can be looked up as a whole."""
+    White space always separates words of the split, and words don't affect each other's ids, so what lies between
+    white space can be looked up as a whole. Texts with other characters or with the string of a special token, and
+    all texts of a tokenizer that works otherwise, go through the library whole."""
 
     def __init__(self, tokenizer):
         self.tokenizer, self.young, self.old = tokenizer, {}, {}
-        vocabulary = tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
-        for token, i in vocabulary.items():
-            self.ends[i] = token.endswith("</w>")
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.lower().split()
-        try:
-            return b"".join(map(self.young.__getitem__, chunks))
-        except KeyError:
-            if len(self.young) > CACHE_WORDS:
-                self.young, self.old = {}, self.young
-            self.learn({c for c in chunks if c not in self.young})
-            return b"".join(map(self.young.__getitem__, chunks))
-
-    def learn(self, chunks: set) -> None:
+        self.model = tokenizer.model if by_words(tokenizer) else None
+        added = [x.content.lower() for x in tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.raw = [i.to_bytes(4, "little") for i in range(max(tokenizer.get_vocab().values()) + 1)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        chunks = [self.chunks(t) for t in texts]
+        self.learn(set().union(*(c for c in chunks if c)).difference(self.young))
+        get = self.young.__getitem__
+        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
+
+    def chunks(self, text: str) -> list[str] | None:
+        if self.model and _PLAIN.fullmatch(text):
+            low = text.lower()
+            if not self.special.search(low):
+                return low.split()
+        return None
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
         young, old = self.young, self.old
-        parts = {}
         for c in chunks:
-            if c in old:
-                young[c] = old[c]
-            else:
-                parts[c] = _SPLIT.findall(c)
-        words = list({w for p in parts.values() for w in p if w not in young})
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(words):
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(words, (4 * cuts).tolist()):
-                young[w] = raw[at:cut]
-                at = cut
-        else:  # a tokenizer without word ends
-            young.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
-        for c, p in parts.items():
-            if len(p) != 1:
-                young[c] = b"".join([young[w] for w in p])
-
-
-def load_tokenizer(path: str):
+            known = old.get(c)
+            if known is None:
+                known = self.word(c) if c.isalpha() else b"".join([young.get(w) or self.part(w) for w in _SPLIT.findall(c)])
+            young[c] = known
+
+    def part(self, word: str) -> bytes:
+        out = self.young[word] = self.old.get(word) or self.word(word)
+        return out
+
+    def word(self, word: str) -> bytes:
+        chars = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(chars)])
+
+
+def load_tokenizer(path: str, control_as_text: bool = False):
+    """control_as_text: strings of special tokens in a document are ordinary text (by default the library's rule holds)."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a document are ordinary text
+    out.encode_special_tokens = control_as_text
     return out
 
 
-def encode(text: str, words: WordIds) -> bytes:
-    """Ids of a text; plain text through the word cache, any other text whole through the library."""
-    if _PLAIN.fullmatch(text):
-        return words.encode(text)
-    return np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+#: The words of this worker's process, by tokenizer: tasks that follow each other go on with them.
+_HELD: dict[tuple, WordIds] = {}
+
+
+def held_words(path: str, control_as_text: bool = False) -> WordIds:
+    if (path, control_as_text) not in _HELD:
+        _HELD.clear()
+        _HELD[path, control_as_text] = WordIds(load_tokenizer(path, control_as_text))
+    return _HELD[path, control_as_text]
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, control_as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit): documents of more than capacity
     ids are cut. Null text is empty: its only id is end_id."""
 
     def run(batches):
-        words = WordIds(load_tokenizer(tokenizer_path))
+        words = held_words(tokenizer_path, control_as_text)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            doc, piece, start, length, ids = [], [], [], [], []
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+            rows: list[list] = [[], [], [], [], []]
             size = 0
-            for d, text in zip(batch.column(0), batch.column(1)):
-                raw = encode(text.as_py() or "", words) + tail
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    cut = raw[at : at + 4 * capacity]
-                    for col, v in ((doc, d.as_py()), (piece, k), (start, at // 4), (length, len(cut) // 4), (ids, cut)):
-                        col.append(v)
-                    size += len(cut)
-                if size > 16_000_000:
-                    yield _pieces(doc, piece, start, length, ids)
-                    doc, piece, start, length, ids, size = [], [], [], [], [], 0
-            yield _pieces(doc, piece, start, length, ids)
-
+            for lo, hi in row_slices(texts_of(texts), SLICE):
+                for d, raw in zip(docs[lo:hi], words.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])):
+                    raw += tail
+                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        cut = raw[at : at + 4 * capacity]
+                        for col, v in zip(rows, (d, k, at // 4, len(cut) // 4, cut)):
+                            col.append(v)
+                    size += len(raw)
+                    if size > OUT_BYTES:
+                        yield _pieces(*rows)
+                        rows, size = [[], [], [], [], []], 0
+            yield _pieces(*rows)
+
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
@@ -174,11 +205,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = Non
     """pieces with sequence_id and offset: every piece in exactly one sequence, gapless from 0.
 
     max_docs and max_cost bound the documents and the summed squared lengths of a sequence (default: what
-    the token capacity allows anyway). Repeated rows are packed each on their own; an empty table gives an
-    empty one.
+    the token capacity allows anyway, so that they only rank bins). A piece that no sequence can take, for its
+    length or its cost, is an error. Ties go by doc_id and piece; repeated rows are packed each on their own; an
+    empty table gives an empty one.
     """
     max_docs, max_cost = max_docs or capacity, max_cost or capacity * capacity
-    total = pieces.agg(F.sum("length")).first()[0] or 0
+    total, longest = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
+    if longest > capacity or longest * longest > max_cost:
+        raise ValueError(f"a piece of {longest} tokens is beyond the capacity of {capacity} tokens or the cost of {max_cost}")
     blocks = max(1, round(total / block_tokens))
     names = pieces.columns
     key = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int")
@@ -211,12 +245,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = Non
     return rows.mapInArrow(run, schema)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, **limits) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, control_as_text: bool = False, **limits) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs.
 
-    Every row of docs gives at least one piece (null text: empty); other columns are ignored."""
-    pieces = pieces_of(docs, tokenizer_path, capacity, end_id).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(stored(pieces), capacity, **limits)
+    Every row of docs gives at least one piece (null text: empty; null doc_ids stay null; repeated rows are packed
+    each on their own); texts may be of any length; an empty table gives an empty one; other columns are ignored,
+    whatever their names. Only narrow rows are packed: the pieces' ids stay with the documents."""
+    pieces = pieces_of(docs, tokenizer_path, capacity, end_id, control_as_text).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    held = stored(pieces)
+    out = stored(pack(held, capacity, **limits))
+    drop_stored(held)
+    return out
 
 
 def materialise(pieces: DataFrame, packed: DataFrame) -> DataFrame:
