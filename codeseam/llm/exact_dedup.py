@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, drop_stored, mix, stored
 
-SHARD_KEYS = 4_096  # digests in a shard of the index, about
+SHARD_KEYS = 1_024  # digests in a shard of the index, about: small, so that shards spread evenly over tasks
 GAMMA, MAX_LEVELS = 2.0, 64
 
 
@@ -73,9 +73,13 @@ def _unpack(blob: bytes):
 
 
 def digests_of(docs: DataFrame, history: Column) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text with A-Z lower-cased; null is empty), old (row is historical)."""
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.coalesce(history, F.lit(False)).alias("old"))
+    """doc_id, text_hash, digest (SHA-256 of the text with A-Z lower-cased; null is empty), old (row is historical)."""
+    text = normalised(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.unhex(F.sha2(text, 256)).alias("digest"), F.coalesce(history, F.lit(False)).alias("old"))
+
+
+def normalised(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
 def groups_of(digests: DataFrame) -> DataFrame:
@@ -146,13 +150,14 @@ def lookup_index(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, history: Column | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, text_hash (xxhash64 of the normalised text): one row for each row of docs.
 
     history marks the rows that earlier loads brought; their digests form the index. Without it, half of
     the rows (by a checksum of doc_id) take that part. The groups don't depend on the split. Texts are
     equal if identical after lower-casing A-Z; null is empty. The largest doc_id of a group stays; null
     ids never win over others, and a group of null ids keeps them all; repeated rows count in group_size
-    and share one decision; an empty table gives an empty one; other columns are ignored.
+    and share one decision; texts of any length are hashed in the JVM, whole; an empty table gives an empty one;
+    other columns are ignored, whatever their names.
     """
     if history is None:
         history = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
@@ -164,6 +169,8 @@ def exact_duplicates(docs: DataFrame, history: Column | None = None) -> DataFram
     joined = found.select("digest", F.greatest("keep", "old_keep").alias("keep_id"), (F.col("size") + F.coalesce("old_size", F.lit(0))).alias("group_size"))
     members = found.where("old_size is not null").select("digest")
     untouched = old.join(members, "digest", "left_anti").select("digest", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"))
-    groups = stored(joined.union(untouched))
-    drop_stored(old, found)
-    return digests.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    groups = joined.union(untouched)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    out = stored(digests.join(groups, "digest").select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"), "text_hash"))
+    drop_stored(digests, old, found)
+    return out
