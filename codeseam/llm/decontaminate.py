@@ -17,12 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, drop_stored, stored
+from .common import ASCII_LOWER, bitmap_of, hashed_words, in_bitmap, row_slices, shingle_hashes, small_batches, stored, texts_of
 
 #: Every byte that isn't 0-9, a-z or part of a non-ASCII character becomes a blank; A-Z are lower-cased.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in ASCII_LOWER)
-#: Item text, in characters, that one automaton holds; more items are dealt to several, used one by one.
-AUTOMATON_CHARS = 8_000_000
+_IS_WORD = np.array([c != 32 for c in _WORDS])
+#: Item text, in characters, that one automaton holds (about 100 bytes of memory for each); more items are dealt to several.
+AUTOMATON_CHARS = 1_000_000
+#: Bits of the map of the windows of all items, at most (16 MB); a fuller map only lets more documents be looked at closely.
+MOST_BITS = 1 << 27
+#: Documents that one task matches with one automaton, about.
+TASK_DOCUMENTS = 20_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -163,22 +168,16 @@ class SuffixAutomaton:
         return [tuple(s) for s in spans], items
 
 
-def automata(benchmark: DataFrame, window: int, limit: int | None = None):
-    """(automaton, whether more follow) over all items, one at a time: the items' total size is measured first, and
-    as many shards are made as keep each of them below the limit. One shard's items are at the driver at any time."""
-    limit = AUTOMATON_CHARS if limit is None else limit
-    rows = benchmark.select(F.col("item_id"), "text").where("text is not null and item_id is not null")
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = -(-size // limit) or 1
-    for k in range(shards):
-        held = SuffixAutomaton(window)
-        part = rows if shards == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        for item, text in part.toLocalIterator():
-            held.add(item, words_of(text))
-        yield held.finish(), k + 1 < shards
+def build(items, window: int) -> SuffixAutomaton:
+    """The automaton over (item_id, text) pairs."""
+    out = SuffixAutomaton(window)
+    for item, text in items:
+        out.add(item, words_of(text))
+    return out.finish()
 
 
 HITS = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_SPANS = "array<struct<start:long,end:long>>"
 _HIT_TYPES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 
 
@@ -193,43 +192,144 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, window: int, judge, schema) -> DataFrame:
-    """judge(batch, place of text, word counts, spans, items) of each batch of docs, with what all automata found in each row.
-
-    A row goes through the automata one by one and carries its text and what was found so far, so rows need no key.
-    Between two automata the rows are written, so that a worker holds one automaton at a time."""
-    sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
-    carried = T.StructType([*docs.schema.fields, T.StructField("__spans", T.DataType.fromDDL("array<struct<start:long,end:long>>")), T.StructField("__items", T.DataType.fromDDL("array<string>"))])
-    width, first, kept = len(docs.columns), True, None
-    for one, more in automata(benchmark, window):
-        shared = sc.broadcast(one)
-
-        def run(batches, shared=shared, first=first, more=more):
-            automaton = shared.value
-            for batch in batches:
-                n, spans, items = [], [], []
-                for text in batch.column(at):
-                    words = words_of(text.as_py())
-                    s, i = automaton.match(words)
-                    n.append(len(words))
-                    spans.append(s)
-                    items.append({str(automaton.items[k][0]) for k in i})
-                if not first:
-                    spans = [united([*s, *((x["start"], x["end"]) for x in old)]) for s, old in zip(spans, batch.column(width).to_pylist())]
-                    items = [found.union(old) for found, old in zip(items, batch.column(width + 1).to_pylist())]
-                own = batch.select(list(range(width)))
-                if more:
-                    yield pa.RecordBatch.from_arrays([*own.columns, *arrow_hits(spans, items)], [*own.schema.names, "__spans", "__items"])
-                else:
-                    yield judge(own, at, n, spans, items)
-
-        docs = docs.mapInArrow(run, carried if more else schema)
-        if more:
-            before, kept = kept, stored(docs)
-            docs, first = kept, False
-            shared.unpersist()
-            if before is not None:
-                drop_stored(before)
-    return docs
+    """judge(batch, place of text, word counts, spans, items) of each batch of docs, with what the items' automaton found in each row.
+
+    Items of up to AUTOMATON_CHARS make one automaton, which is broadcast; more are dealt to several (``matched_in_shards``)."""
+    small_batches(docs.sparkSession)
+    items = benchmark.select(F.col("item_id"), "text").where("text is not null and item_id is not null")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > AUTOMATON_CHARS:
+        return matched_in_shards(docs, items, size, window, judge, schema)
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(build(items.toLocalIterator(), window))
+
+    def run(batches):
+        automaton = shared.value
+        for batch in batches:
+            n, spans, found = [], [], []
+            for text in batch.column(at):
+                words = words_of(text.as_py())
+                s, i = automaton.match(words)
+                n.append(len(words))
+                spans.append(s)
+                found.append({str(automaton.items[k][0]) for k in i})
+            yield judge(batch, at, n, spans, found)
+
+    return docs.mapInArrow(run, schema)
+
+
+def window_hashes(texts: pa.Array, lengths: list[int]):
+    """(text number, hash) of the runs of each of these lengths of words, for all texts at once."""
+    hashes, _, _, first = hashed_words(texts, lower=True, is_word=_IS_WORD)
+    for n in lengths:
+        found = shingle_hashes(hashes, n)
+        row = np.searchsorted(first, np.arange(len(found)), "right") - 1
+        whole = np.arange(len(found)) + n <= first[row + 1]
+        yield n, row[whole], found[whole]
+
+
+def item_windows(texts: pa.Array, window: int) -> list[np.ndarray]:
+    """The hashes of each item's windows; an item shorter than a window is one as a whole."""
+    hashes, _, _, first = hashed_words(texts, lower=True, is_word=_IS_WORD)
+    return [shingle_hashes(hashes[a:b], min(window, int(b - a))) if b > a else hashes[:0] for a, b in zip(first[:-1], first[1:])]
+
+
+def matched_in_shards(docs: DataFrame, items: DataFrame, size: int, window: int, judge, schema) -> DataFrame:
+    """As ``matched``, for items beyond one automaton. Documents are read twice, however many shards there are:
+
+    1. a bitmap of the hashes of all items' windows, of bounded size, is broadcast; documents without a window in it
+       are judged at once (first reading), the others are written with a row number and their hits (second reading);
+    2. a candidate's hits say which shards have its windows; it goes to those, where tasks build the shard's
+       automaton from its items and match whole texts; a shard with many candidates is dealt to several tasks;
+    3. what a row's shards found is united and judged once, on the text as it was."""
+    spark, names, at = docs.sparkSession, {c.lower() for c in docs.columns}, docs.columns.index("text")
+    n_col, hit_col, row_col, span_col, item_col = (_free(x, names) for x in ("n", "hits", "number", "spans", "items"))
+    shards = -(-size // AUTOMATON_CHARS)
+    held = stored(items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.col("item_id").cast("string").alias("item"), "text"))
+
+    def shard_windows(batches):
+        for batch in batches:
+            found = item_windows(texts_of(batch.column(2)), window)
+            shard = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            size = pa.array(np.repeat([min(window, len(words_of(t.as_py()))) for t in batch.column(2)], [len(x) for x in found]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(shard, pa.int32()), size], ["hash", "shard", "words"])
+
+    windows = stored(held.mapInArrow(shard_windows, "hash long, shard int, words int").distinct())
+    lengths = sorted(r[0] for r in windows.select("words").distinct().collect())  # at most window different ones
+    bits = min(MOST_BITS, max(64, 1 << (8 * size).bit_length()))
+    bitmap = bitmap_of(windows, "hash", bits)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def flag(batches):
+        bitmap = shared.value
+        for batch in batches:
+            texts = texts_of(batch.column(at))
+            for lo, hi in row_slices(texts):
+                part = texts.slice(lo, hi - lo)
+                first = hashed_words(part, lower=True, is_word=_IS_WORD)[3]
+                rows, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for _, row, found in window_hashes(part, lengths):
+                    hit = in_bitmap(bitmap, found)
+                    rows.append(row[hit])
+                    hits.append(found[hit])
+                row, hit = np.concatenate(rows), np.concatenate(hits).view(np.int64)
+                order = np.argsort(row, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
+                own = batch.slice(lo, hi - lo)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hit[order]))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.diff(first), pa.int64()), lists], [*own.schema.names, n_col, hit_col])
+
+    flagged = docs.mapInArrow(flag, T.StructType([*docs.schema.fields, T.StructField(n_col, T.LongType()), T.StructField(hit_col, T.ArrayType(T.LongType()))]))
+    width = len(docs.columns)
+
+    def judged(batches):
+        for batch in batches:
+            own, n = batch.select(list(range(width))), batch.column(width).to_pylist()
+            if batch.num_columns > width + 2:
+                spans = [united([(x["start"], x["end"]) for x in s or ()]) for s in batch.column(width + 2).to_pylist()]
+                found = [set(i or ()) for i in batch.column(width + 3).to_pylist()]
+            else:
+                spans, found = [[] for _ in n], [set() for _ in n]
+            yield judge(own, at, n, spans, found)
+
+    clean = flagged.where(F.size(hit_col) == 0).mapInArrow(judged, schema)
+    wanted = stored(flagged.where(F.size(hit_col) > 0).withColumn(row_col, F.monotonically_increasing_id()))
+    asked = wanted.select(F.col(row_col).alias("row"), F.explode(F.array_distinct(hit_col)).alias("hash")).join(windows.select("hash", "shard"), "hash").select("row", "shard").distinct()
+    asked = stored(asked)
+    parts = asked.groupBy("shard").agg(F.ceil(F.count("*") / TASK_DOCUMENTS).cast("int").alias("parts"))
+    dealt = asked.join(parts, "shard").select("row", "shard", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"))
+    sent = dealt.join(wanted.select(F.col(row_col).alias("row"), F.col("text")), "row").select("shard", "part", F.lit(1).alias("kind"), "row", F.lit(None).cast("string").alias("item"), "text")
+    known = held.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), "item", "text")
+    rows = known.union(sent).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+
+    def locate(batches):
+        now, items, automaton = None, [], None
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for shard, part, kind, row, item, text in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if (shard, part) != now:
+                    now, items, automaton = (shard, part), [], None
+                if kind == 0:
+                    items.append((item, text))
+                    continue
+                if automaton is None:
+                    automaton, items = build(items, window), []
+                spans, found = automaton.match(words_of(text))
+                if spans:
+                    for col, v in zip(out, (row, spans, {automaton.items[k][0] for k in found})):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *arrow_hits(out[1], out[2])], ["row", "spans", "items"])
+
+    located = rows.mapInArrow(locate, f"row long, spans {_SPANS}, items array<string>")
+    united_rows = located.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias(span_col), F.flatten(F.collect_list("items")).alias(item_col))
+    whole = wanted.join(united_rows.withColumnRenamed("row", row_col), row_col, "left").select(*docs.columns, n_col, hit_col, span_col, item_col)
+    return clean.union(whole.mapInArrow(judged, schema))
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def arrow_hits(spans: list, items: list) -> list[pa.Array]:
@@ -239,8 +339,10 @@ def arrow_hits(spans: list, items: list) -> list[pa.Array]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, spans (in words, merged), items (sorted ids as strings) for each row of docs.
 
-    Null texts have no words. Items without words, and with a null id, are none; items with equal texts all
-    count. Repeated rows are repeated. Empty tables give an empty one, or documents without hits.
+    Null and empty texts have no words; whole texts of any length are read. Items without words, and with a null
+    id, are none; items with equal texts all count. Each row is judged on its own, so repeated rows and rows with
+    null or shared ids are all returned. Empty tables give an empty one, or documents without hits; other columns
+    are ignored, whatever their names.
     """
 
     def judge(batch, at, n, spans, items):
@@ -257,7 +359,9 @@ def digest_contamination(found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.0, max_span: int | None = None) -> DataFrame:
     """docs without what the benchmark holds: a document goes if more than max_coverage of its words are
     inside windows or one span is longer than max_span words; from the others the spans are cut, the rest of
-    the text staying as it is. All columns are kept. With the default limits a contaminated document goes.
+    the text staying as it is. All columns are kept, whatever their names. With the default limits a contaminated
+    document goes. Rows are judged on their own whole text: null and empty ones stay, repeated ones share their fate,
+    null and shared ids don't matter. An empty table gives an empty one, an empty benchmark all rows.
     """
 
     def judge(batch, at, n, spans, items):
