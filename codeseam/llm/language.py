@@ -1,32 +1,36 @@
 """Language mixtures: each document's language proportions by expectation-maximisation over n-gram likelihoods.
 
-Training counts byte trigrams (with word boundaries, hashed into 2^BITS buckets) of every labelled text for each
-language; partitions send their sums. A word's log-likelihood under a language is the sum over its trigrams of the
-logarithms of their shares, with 0.05 added to each count; there are no lower orders to fall back on. A document is
-a mixture: its words are drawn from languages in unknown proportions, which EM estimates; languages join the set one by one as long as the penalised likelihood (BIC) gains.
+Texts are read as symbols: a blank at word borders, the letters a to z, and 37 classes of other bytes (those of
+non-ASCII letters). Training counts the trigrams of the words of every labelled text for each language, exactly;
+partitions send their sums, and counts of bigrams and single symbols are their margins. A symbol's probability after two
+others interpolates the three orders, so trigrams that a language never showed fall back on shorter ones. A
+document is a mixture: its words are drawn from languages in unknown proportions, which EM estimates; languages
+join the set one by one as long as the penalised likelihood (BIC) gains.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, drop_stored, sliced, stored
-
-BITS = 16
-SHARD_LANGUAGES = 256  # languages whose scores are held side by side; more are dealt to several shards
-KEPT_SCORES = 8_000_000  # words x languages of one document that are kept; above that each shard's are computed anew
+from .common import ASCII_LOWER, drop_stored, small_batches, sliced, stored
+
+BITS = 6  # of a symbol
+TRIGRAMS, BIGRAMS, SYMBOLS = 1 << 3 * BITS, 1 << 2 * BITS, 1 << BITS
+#: Weights of trigrams, bigrams, single symbols and of the uniform distribution.
+WEIGHTS = (0.7, 0.2, 0.09, 0.01)
+SHARD_LANGUAGES = 256  # languages whose tables are held side by side; more are dealt to several shards
+DENSE_LANGUAGES = 16  # up to that many, a shard holds every trigram's value (1 MB a language), else the counted ones'
+HELD_COUNTS = 64  # languages that a worker counts at once
+BLOCK_CELLS = 1_000_000  # words x languages that are scored at once
+KEPT_CELLS = 8_000_000  # words x languages of one document that are kept; above that each pass scores anew
 EM_STEPS = 12
 _BLANK = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in ASCII_LOWER)
-
-
-def _grams(raw: np.ndarray) -> np.ndarray:
-    """A hashed index of the trigram that ends at each byte (from the third on)."""
-    x = raw.astype(np.uint32)
-    h = (x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA6B)) ^ (x[2:] * np.uint32(0xC2B2AE35))
-    return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - BITS)
+_SYMBOL = np.array([c - 96 if 97 <= c <= 122 else 27 + c % 37 if c >= 128 else 0 for c in range(256)], np.uint32)
 
 
 def normalised(text: str | None) -> bytes:
@@ -38,28 +42,48 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text)) if text else False
 
 
-class Shard:
-    """Log-probabilities of some languages: counted grams by gram, and each language's value of uncounted ones."""
+def trigrams(raw: bytes) -> np.ndarray:
+    """The number of the trigram that ends at each byte, from the third on; those that cross from word to word, which
+    have a blank in the middle, count for nothing."""
+    x = _SYMBOL[np.frombuffer(raw, np.uint8)]
+    return x[:-2] << 2 * BITS | x[1:-1] << BITS | x[2:]
+
+
+def crossing(grams: np.ndarray) -> np.ndarray:
+    return grams & (SYMBOLS - 1) << BITS == 0
+
 
-    def __init__(self, n: int, k: np.ndarray, gram: np.ndarray, count: np.ndarray, dense: bool):
-        total = np.bincount(k, count, n) + 0.05 * (1 << BITS)
-        self.base = np.log(0.05 / total).astype(np.float32)
+class Shard:
+    """Log-probabilities of some languages: those of counted trigrams, and for all others what the shorter orders say."""
+
+    def __init__(self, n: int, k: np.ndarray, gram: np.ndarray, count: np.ndarray):
+        """count of gram in language k (0 to n - 1), for all counted ones."""
+        first, last = gram >> BITS, gram & BIGRAMS - 1  # the first and the last two symbols
+        pairs = np.bincount(k * BIGRAMS + first, count, n * BIGRAMS).reshape(n, BIGRAMS)  # as contexts of a third
+        ends = np.bincount(k * BIGRAMS + last, count, n * BIGRAMS).reshape(n, SYMBOLS, SYMBOLS)
+        middle = ends.sum(axis=2, keepdims=True)
+        single = ends.sum(axis=1) / np.maximum(1, ends.sum(axis=(1, 2)))[:, None]
+        three, two, one, none = WEIGHTS
+        lower = two * ends / np.maximum(1, middle) + one * single[:, None, :] + none / SYMBOLS
+        lower = (lower / np.where(middle > 0, 1, 1 - two)).reshape(n, BIGRAMS)
+        self.lower = np.log(lower).astype(np.float32)
+        self.context = np.log(np.where(pairs > 0, 1, 1 / (1 - three))).astype(np.float32)
         order = np.argsort(gram, kind="stable")
-        self.lang, self.value = k[order].astype(np.int32), np.log((count + 0.05) / total[k])[order].astype(np.float32)
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(gram, minlength=1 << BITS))])
-        self.dense = None
-        if dense:
-            self.dense = self.of(np.arange(1 << BITS))
+        self.lang = k[order].astype(np.int32)
+        self.value = np.log(three * count / pairs[k, first] + lower[k, last])[order].astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(gram, minlength=TRIGRAMS))])
+        self.dense = self.of(np.arange(TRIGRAMS)) if n <= DENSE_LANGUAGES else None
 
     def __len__(self) -> int:
-        return len(self.base)
+        return len(self.lower)
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         """languages x grams, for distinct grams."""
         n = self.starts[grams + 1] - self.starts[grams]
         flat = np.repeat(self.starts[grams] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out = np.repeat(self.base[:, None], len(grams), axis=1)
+        out = self.lower[:, grams & BIGRAMS - 1] + self.context[:, grams >> BITS]
         out[self.lang[flat], np.repeat(np.arange(len(grams)), n)] = self.value[flat]
+        out[:, crossing(grams)] = 0
         return out
 
     def scores(self, grams: np.ndarray) -> np.ndarray:
@@ -70,7 +94,11 @@ class Shard:
 
 
 def train(docs: DataFrame) -> tuple[list[str], list[Shard]]:
-    """Languages (all non-null lang values, sorted) and their log-probabilities in shards, from doc text."""
+    """Languages (all non-null lang values, sorted) and their log-probabilities in shards, from doc text.
+
+    Null texts teach nothing; a language without a word is learned, but never likely; repeated rows count as often
+    as they stand there; without labels there are no languages."""
+    small_batches(docs.sparkSession)
     rows = docs.select("lang", "text").where("lang is not null and text is not null")
     names = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not names:
@@ -93,14 +121,14 @@ def train(docs: DataFrame) -> tuple[list[str], list[Shard]]:
                 for x, t in zip(langs[lo:hi], texts[lo:hi]):
                     of.setdefault(x, []).append(normalised(t))
                 for lang, parts in of.items():
-                    # texts stand side by side with a blank between, so no n-gram crosses from word to word
-                    raw = np.frombuffer(b"".join(parts), np.uint8)
+                    raw = b"".join(parts)
                     if len(raw) > 2:
+                        grams = trigrams(raw)
                         if at[lang] not in sums:
-                            if len(sums) == SHARD_LANGUAGES:  # bounds a worker's memory
+                            if len(sums) == HELD_COUNTS:  # bounds a worker's memory
                                 yield from partial()
-                            sums[at[lang]] = np.zeros(1 << BITS, np.int64)
-                        sums[at[lang]] += np.bincount(_grams(raw), minlength=1 << BITS)
+                            sums[at[lang]] = np.zeros(TRIGRAMS, np.int64)
+                        sums[at[lang]] += np.bincount(grams[~crossing(grams)], minlength=TRIGRAMS)
         yield from partial()
 
     total = rows.mapInArrow(run, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
@@ -108,10 +136,10 @@ def train(docs: DataFrame) -> tuple[list[str], list[Shard]]:
     if several:
         total = stored(total)
     shards = []
-    for lo in range(0, len(names), SHARD_LANGUAGES):  # at most SHARD_LANGUAGES * 2^BITS sums at once
+    for lo in range(0, len(names), SHARD_LANGUAGES):  # at most SHARD_LANGUAGES * TRIGRAMS sums at once
         size = min(SHARD_LANGUAGES, len(names) - lo)
         part = (total.where(F.col("k").between(lo, lo + size - 1)) if several else total).toPandas()
-        shards.append(Shard(size, part["k"].to_numpy(np.int64) - lo, part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.float64), not several))
+        shards.append(Shard(size, part["k"].to_numpy(np.int64) - lo, part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.float64)))
     if several:
         drop_stored(total)
     return names, shards
@@ -132,57 +160,54 @@ def em(like: np.ndarray, weight: np.ndarray, steps: int = EM_STEPS) -> tuple[np.
     return pi, float(weight @ np.log(like @ pi))
 
 
+def word_likes(raw: bytes, shards: list[Shard]) -> tuple[int, int, Iterator]:
+    """Numbers of words and languages, and a way to go over (lo, hi, words x languages): the likelihoods of a block of
+    words, each scaled by its largest (e^-40 at least). Blocks are bounded; those of a short text are kept."""
+    starts = np.flatnonzero(np.frombuffer(raw, np.uint8)[:-2] == 32)  # each word begins with its leading blank
+    words, languages = len(starts), sum(map(len, shards))
+    step = max(1, BLOCK_CELLS // languages)
+    ends = np.append(starts[1:], len(raw) - 1)
+    held: list | None = [] if words * languages <= KEPT_CELLS else None
+
+    def blocks():
+        if held:
+            yield from held
+            return
+        for lo in range(0, words, step):
+            hi = min(words, lo + step)
+            grams = trigrams(raw[starts[lo] : ends[hi - 1] + 1])
+            at = starts[lo:hi] - starts[lo]
+            score = np.concatenate([np.add.reduceat(s.scores(grams), at, axis=1) for s in shards]).T.astype(np.float64)
+            like = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -40.0))
+            if held is not None:
+                held.append((lo, hi, like))
+            yield lo, hi, like
+
+    return words, languages, blocks
+
+
 def mixture(raw: bytes, shards: list[Shard]) -> np.ndarray | None:
     """Proportions of all languages (zero outside the selected set); None without a word."""
-    x = np.frombuffer(raw, np.uint8)
-    if len(x) < 3:
+    if len(raw) < 3:
         return None
-    grams = _grams(x)
-    starts = np.flatnonzero(x[:-2] == 32)  # each word begins with its leading blank
-    n = sum(map(len, shards))
-    kept = {} if len(starts) * n <= KEPT_SCORES or len(shards) == 1 else None
-
-    def words(k):
-        if kept is not None and k in kept:
-            return kept[k]
-        out = np.add.reduceat(shards[k].scores(grams), starts, axis=1).T.astype(np.float64)
-        if kept is not None:
-            kept[k] = out
-        return out
-
-    high = np.full((len(starts), 1), -np.inf)
-    for k in range(len(shards)):
-        high = np.maximum(high, words(k).max(axis=1, keepdims=True))
-    scaled = {}
-
-    def likes():
-        for k in range(len(shards)):
-            like = scaled[k] if k in scaled else np.exp(np.maximum(words(k) - high, -40.0))
-            if kept is not None:
-                scaled[k] = like
-                kept.pop(k, None)
-            yield like
+    words, n, blocks = word_likes(raw, shards)
 
     def column(language):
-        k = language
-        for like in likes():
-            if k < like.shape[1]:
-                return like[:, k].copy()
-            k -= like.shape[1]
-
-    weight = np.ones(len(starts))
-    single = np.concatenate([weight @ np.log(like) for like in likes()])
+        return np.concatenate([like[:, language] for _, _, like in blocks()])
+
+    weight = np.ones(words)
+    single = sum(np.log(like).sum(axis=0) for _, _, like in blocks())
     chosen = [int(single.argmax())]
     best, pi = float(single[chosen[0]]), np.ones(1)
     columns = column(chosen[0])[:, None]
     while len(chosen) < n:
         mixed = 0.5 * (columns @ pi)[:, None]
-        gain = np.concatenate([np.log(0.5 * like + mixed).sum(axis=0) for like in likes()])
+        gain = sum(np.log(0.5 * like + mixed[lo:hi]).sum(axis=0) for lo, hi, like in blocks())
         gain[chosen] = -np.inf
         trial = chosen + [int(gain.argmax())]
         wider = np.column_stack([columns, column(trial[-1])])
         p, value = em(wider, weight)
-        if value - best <= 0.5 * 2 * np.log(len(starts) + 1):  # a proportion and a choice of language
+        if value - best <= 0.5 * 2 * np.log(words + 1):  # a proportion and a choice of language
             break
         chosen, best, pi, columns = trial, value, p, wider
     out = np.zeros(n)
@@ -193,10 +218,12 @@ def mixture(raw: bytes, shards: list[Shard]) -> np.ndarray | None:
 def identify(docs: DataFrame, model: tuple[list[str], list[Shard]]) -> DataFrame:
     """doc_id, lang_pred, score, mixture (languages with their proportions) of each row.
 
-    Only the text is used. lang_pred is the language with the largest proportion (the first by name in
-    a tie), or und if the text is null or has no letter, or nothing was learned; score is its proportion.
+    Only the whole text is used; a long one is scored in bounded blocks of words. lang_pred is the language with
+    the largest proportion (the first by name in a tie), or und if the text is null or has no letter, or nothing was
+    learned; score is its proportion. Every row gives one row, repeated ones too; an empty table gives an empty one;
+    other columns are ignored, whatever their names.
     """
-    languages, _ = model
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
