@@ -3,6 +3,7 @@
 Candidate blocks of a text (around words that licence notices use) are compressed by zstandard with each
 template as a raw dictionary; the template that saves most, relative to compressing without one, wins if its
 wording is then confirmed: the block's words are aligned with the template's and their exact differences counted.
+Blocks are cut at a bound, with overlaps longer than any wording, so a text full of such words takes bounded steps.
 """
 
 from __future__ import annotations
@@ -16,36 +17,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Wordings of common notices.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "All-rights-reserved": "All rights reserved.",
-    "Copyright": "Copyright <year>",
-    "Copyright-c": "Copyright (c)",
-    "SPDX": "SPDX-License-Identifier:",
-}
+from .common import small_batches
+from .licence_texts import TEMPLATES
+
 #: Words that notices use and other texts seldom do: preferred as trigger words.
 _TELLING = re.compile(r"licen[sc]e|copyright|permission|redistribut|reserved|domain|foundation")
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-/][A-Za-z0-9]+)*")
 _YEAR = re.compile(r"(?:19|20)\d\d(?:[-/](?:19|20)?\d\d)*")
 #: What follows the tag of an SPDX line: identifiers joined by operators.
 _SPDX = re.compile(r":?[ \t]*(\(*[A-Za-z0-9.+:-]*[A-Za-z0-9+]\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+:-]*[A-Za-z0-9+]\)*)*)")
-BEFORE, AFTER = 200, 480
-MIN_SAVING, MAX_DIFFERENCES = 0.25, 0.15
+#: Characters of a block around a trigger word, at least; and where a long block is cut.
+REACH, CUT = 240, 8_000
+MIN_SAVING, MAX_DIFFERENCES, MOST_DIFFERENCES = 0.25, 0.15, 10
 
 
 def wanted_words(wording: str) -> list[str]:
@@ -53,31 +36,65 @@ def wanted_words(wording: str) -> list[str]:
     return re.findall(rf"<year>|{_WORD.pattern}", wording.lower())
 
 
-def triggers(templates: dict[str, str], max_differences: float = MAX_DIFFERENCES) -> str:
-    """A regular expression (of Python and Java) that matches in every text with a wording near a template: of
-    each template it has one word more than may differ, so one of them is always left as it was."""
-    out = set()
-    for wording in templates.values():
+def allowed(words: int, max_differences: float) -> int:
+    """How many words of a wording may differ: a share of them, and not more than MOST_DIFFERENCES."""
+    return min(int(max_differences * words), MOST_DIFFERENCES)
+
+
+def reaches(templates: dict[str, str], max_differences: float = MAX_DIFFERENCES) -> dict[str, int]:
+    """Trigger words, and how far a wording may reach around each: every text with a wording near a template has a
+    word that begins with one of them. Of each template they count one more than may differ, so one is always left;
+    few words that many templates use are preferred, and words that notices use and other texts seldom do."""
+    counts, need, out = {}, {}, {}
+    for name, wording in templates.items():
         words = wanted_words(wording)
-        plain = sorted(set(words) - {"<year>"}, key=lambda w: (not _TELLING.search(w), -len(w), w))
-        out |= set(plain[: int(max_differences * len(words)) + 1])
-    least = [w for w in sorted(out) if not any(x != w and x in w for x in out)]
-    return "(?i)" + ("|".join(w.replace(".", "[.]") for w in least) or "(?!)")
+        need[name] = allowed(len(words), max_differences) + 1
+        counts[name] = Counter(w for w in words if w != "<year>")
+    vocabulary = sorted({w for c in counts.values() for w in c})
+    begun = {w: {name: n for name, c in counts.items() if (n := sum(k for x, k in c.items() if x.startswith(w)))} for w in vocabulary}
+    for least in (6, 1):  # short words serve only where there are no others
+        usable = [w for w in vocabulary if len(w) >= least or _TELLING.search(w)]
+        while usable:
+            gain = {w: sum(min(need[name], n) for name, n in begun[w].items() if need[name] > 0) * (3 if _TELLING.search(w) else 1) for w in usable}
+            best = max(usable, key=gain.__getitem__)
+            if not gain[best]:
+                break
+            usable = [w for w in usable if not w.startswith(best)]
+            for name, n in begun[best].items():
+                need[name] -= n
+                out[best] = max(out.get(best, REACH), len(templates[name]) * 5 // 4)
+    return out
+
+
+def triggers(templates: dict[str, str], max_differences: float = MAX_DIFFERENCES) -> str:
+    """A regular expression (of Python and Java) for the trigger words."""
+    words = "|".join(w.replace(".", "[.]") for w in reaches(templates, max_differences))
+    return f"(?i)(?<![A-Za-z0-9])(?:{words})" if words else "(?!)"
 
 
-def blocks(text: str, trigger: re.Pattern, before: int = BEFORE, after: int = AFTER):
-    """Character ranges around trigger words; ranges that touch are one."""
+def blocks(text: str, trigger: re.Pattern, reach: dict[str, int]):
+    """Character ranges around trigger words; ranges that touch are one, and long ones are cut into pieces that
+    overlap by more than any wording takes."""
     lo = hi = None
+    most = max(reach.values(), default=REACH)
     for m in trigger.finditer(text):
-        a, b = max(0, m.start() - before), min(len(text), m.end() + after)
+        n = reach.get(m[0].lower(), most)
+        a, b = max(0, m.start() - n), min(len(text), m.end() + n)
         if hi is not None and a <= hi:
-            hi = b
+            lo, hi = min(lo, a), max(hi, b)
         else:
             if hi is not None:
-                yield lo, hi
+                yield from pieces(lo, hi, 2 * most)
             lo, hi = a, b
     if hi is not None:
-        yield lo, hi
+        yield from pieces(lo, hi, 2 * most)
+
+
+def pieces(lo: int, hi: int, overlap: int):
+    while hi - lo > CUT + overlap:
+        yield lo, lo + CUT + overlap
+        lo += CUT
+    yield lo, hi
 
 
 def word(text: str) -> str:
@@ -125,8 +142,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, min_saving: float = MIN_SAVING, max_differences: float = MAX_DIFFERENCES):
         self.min_saving, self.max_differences = min_saving, max_differences
         self.trigger = re.compile(triggers(templates, max_differences))
-        longest = max(map(len, templates.values()), default=0) * 5 // 4  # a trigger may be a notice's last word, or its first
-        self.before, self.after = max(BEFORE, longest), max(AFTER, longest)
+        self.reach = reaches(templates, max_differences)
         self.plain = zstandard.ZstdCompressor(level=19)
         self.templates = {}
         for name, wording in templates.items():
@@ -138,7 +154,7 @@ class Scanner:
         """Templates by the size they save of the block, as a share of what they could save at most; those that
         more words of the block differ from than confirm() accepts are left out."""
         held = Counter(word(m[0]) for m in _WORD.finditer(block))
-        near = [(name, compressor, words) for name, (compressor, words, need) in self.templates.items() if (need - held).total() <= self.max_differences * len(words)]
+        near = [(name, compressor, words) for name, (compressor, words, need) in self.templates.items() if (need - held).total() <= allowed(len(words), self.max_differences)]
         return sorted(zip(self.savings(block, near), (name for name, _, _ in near)), key=lambda x: (-x[0], x[1]))
 
     def savings(self, block: str, templates: list[tuple]) -> list[float]:
@@ -148,50 +164,63 @@ class Scanner:
         base = len(self.plain.compress(raw))
         return [(base - len(compressor.compress(raw))) / max(1, min(base, sum(len(w) for w in words if w != "<year>"))) for _, compressor, words in templates]
 
-    def confirm(self, block: str, name: str) -> tuple[int, int, list[str]] | None:
-        """Range of the wording in the block and its exact differences from the template; None if too many."""
+    def confirm(self, block: str, name: str) -> list[tuple[int, int, list[str]]]:
+        """Ranges of the wording in the block, which don't overlap, and each one's exact differences from the template."""
         found = [(word(m[0]), m.start(), m.end()) for m in _WORD.finditer(block)]
         want = self.templates[name][1]
         got = [w for w, _, _ in found]
-        most = int(self.max_differences * len(want))
+        most, taken, out = allowed(len(want), self.max_differences), [False] * len(got), []
         for i, j in cores(got, want, -(-(len(want) - most) // (most + 1))):
+            if taken[i]:
+                continue
             first = max(0, i - j - most)
             aligned = align(got[first : i - j + len(want) + most], want)
             same = [k for k, (x, y, equal) in enumerate(aligned) if equal]
             # words of the template outside the first and last equal one are missing, not replaced
             inner = range(same[0], same[-1] + 1)
             pairs = [(x if k in inner else None, y, equal) for k, (x, y, equal) in enumerate(aligned) if k in inner or y is not None]
-            if sum(not equal for _, _, equal in pairs) <= most:
-                break
-        else:
-            return None
-        a, b = first + aligned[same[0]][0], first + aligned[same[-1]][0] + 1
-        differences = []
-        for equal, run in groupby(pairs, key=lambda x: x[2]):
-            if not equal:
-                run = list(run)
-                differences.append(f"{' '.join(want[y] for _, y, _ in run if y is not None)} -> {' '.join(got[first + x] for x, _, _ in run if x is not None)}")
-        end = found[b - 1][2]
-        if name == "SPDX" and (more := _SPDX.match(block, end)):
-            end = more.end(1)
-        return found[a][1], end, differences
+            a, b = first + aligned[same[0]][0], first + aligned[same[-1]][0] + 1
+            if sum(not equal for _, _, equal in pairs) > most or any(taken[a:b]):
+                continue
+            taken[a:b] = [True] * (b - a)
+            differences = []
+            for equal, run in groupby(pairs, key=lambda x: x[2]):
+                if not equal:
+                    run = list(run)
+                    wanted, there = (want[y] for _, y, _ in run if y is not None), (got[first + x] for x, _, _ in run if x is not None)
+                    differences.append(f"{' '.join(wanted)} -> {' '.join(there)}")
+            end = found[b - 1][2]
+            if name == "SPDX" and (more := _SPDX.match(block, end)):
+                end = more.end(1)
+            out.append((found[a][1], end, differences))
+        return sorted(out)
 
     def scan(self, text: str | None):
         """(start, end, template, saving, differences) in text order; ranges don't overlap."""
-        out = []
-        for lo, hi in blocks(text or "", self.trigger, self.before, self.after):
-            rest = [(lo, hi)]
+        text, out = text or "", {}
+        for piece in blocks(text, self.trigger, self.reach):
+            rest = [piece]
             while rest:
                 a, b = rest.pop()
                 for saving, name in self.ranked(text[a:b]):
-                    got = self.confirm(text[a:b], name)
-                    if got and saving < self.min_saving:  # in a long block a short notice saves little: it's measured alone
-                        saving = self.savings(text[a + got[0] : a + got[1]], [(name, *self.templates[name][:2])])[0]
-                    if got and saving >= self.min_saving:
-                        out.append((a + got[0], a + got[1], name, saving, got[2]))
-                        rest += [(x, y) for x, y in ((a, a + got[0]), (a + got[1], b)) if self.trigger.search(text, x, y)]
+                    sure = []
+                    for start, end, differences in self.confirm(text[a:b], name):
+                        # in a long block a short notice saves little: it's measured alone
+                        own = saving if saving >= self.min_saving else self.savings(text[a + start : a + end], [(name, *self.templates[name][:2])])[0]
+                        if own >= self.min_saving:
+                            sure.append((a + start, a + end))
+                            out[a + start, a + end] = (name, own, differences)
+                    if sure:
+                        edges = [a, *(x for s in sure for x in s), b]
+                        rest += [(x, y) for x, y in zip(edges[::2], edges[1::2]) if x < y and self.trigger.search(text, x, y)]
                         break
-        return sorted(out)
+        # pieces overlap: what one of them found in part, another found whole
+        last, kept = 0, []
+        for start, end in sorted(out, key=lambda x: (x[0], -x[1])):
+            if start >= last:
+                kept.append((start, end, *out[start, end]))
+                last = end
+        return kept
 
 
 FOUND = "doc_id long, start long, end long, licence string, saving double, n_differences long, differences array<string>"
@@ -201,7 +230,9 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     """One row for each confirmed notice of each row of docs: place in code points, template, share of the
     template's size that it saved, and the exact differences in wording ("template -> text").
 
-    Null and empty texts have none; repeated rows are repeated; other columns are ignored."""
+    Null and empty texts have none; texts may be of any length; repeated rows are repeated; an empty table has none;
+    other columns are ignored, whatever their names."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         scanner = Scanner(templates)
@@ -223,7 +254,9 @@ REPORT = "doc_id long, n_notices long, licences string, spans string"
 
 def licence_report(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, from that row alone (ids may be null or shared): doc_id, n_notices,
-    licences (distinct, sorted, comma-joined), spans."""
+    licences (distinct, sorted, comma-joined), spans. Null and empty texts have no notices; repeated rows are
+    repeated; an empty table gives an empty one; other columns are ignored, whatever their names."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         scanner = Scanner()
