@@ -17,13 +17,13 @@ PATTERNS = {
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){11}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
+    "iban": (r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: Words near a span that speak for its kind.
 CONTEXT = {
     "email": "(?i)e-?mail|contact|write to|correo|courriel|address",
-    "ip": r"(?i)\bip\b|server|host|addr|network",
+    "ip": r"(?i)(?<!\w)ip(?!\w)|server|host|addr|network",
     "card": "(?i)card|visa|credit|debit|karte|carte|tarjeta|payment",
     "phone": "(?i)phone|call|tel|mobile|fax|anruf|appel",
     "iban": "(?i)iban|account|bank|konto|compte|cuenta",
@@ -65,36 +65,54 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+#: Matches whose places are summed up one by one; longer lists go block by block, so work stays in proportion.
+BLOCK = 256
+
+
+PLACED = "array<struct<start:int,end:int,value:string,around:string>>"
+
+
 def _spans(text: Column, kind: str) -> Column:
-    """Confirmed spans of one kind, offsets in code points: the text between matches gives their places."""
+    """Confirmed spans of one kind, offsets in code points: the text between matches gives their places. The words
+    that adjust a score stand at most WINDOW characters away, and not beyond the next match of the kind."""
     pattern, test = PATTERNS[kind]
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast(SPAN)
-    placed = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.lit(START_SCORE[kind]).alias("score")))).cast(SPAN),
-        ),
+    empty = F.array().cast(PLACED)
+    steps = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("before"), F.slice(gaps, 2, F.size(found)).alias("after"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, BLOCK))
+    sizes = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.length(x["before"]) + F.length(x["m"])))
+    starts = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
         lambda acc: acc["out"],
     )
+
+    def place(acc, x):
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["m"])
+        near = F.substr(x["before"], F.greatest(F.length(x["before"]) - WINDOW, F.lit(0)) + 1)
+        around = F.concat(near, F.lit(" "), F.substr(x["after"], F.lit(1), F.lit(WINDOW)))
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), around.alias("around"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).cast(PLACED).alias("out"))
+
+    placed = F.flatten(F.zip_with(parts, starts, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), empty.alias("out")), place, lambda acc: acc["out"])))
     checked = F.filter(placed, lambda s: _valid(kind, s["value"]))
-    sure = CONFIRMED if kind in ("card", "iban") else 0.0
+    base = START_SCORE[kind] + (CONFIRMED if kind in ("card", "iban") else 0.0)
 
     def scored(s):
-        lo = F.greatest(s["start"] - WINDOW, F.lit(0))
-        around = F.concat(F.substr(text, lo + 1, s["start"] - lo), F.lit(" "), F.substr(text, s["end"] + 1, F.lit(WINDOW)))
-        return s.withField("score", F.least(F.lit(1.0), s["score"] + sure + F.when(around.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0)))
+        score = F.least(F.lit(1.0), base + F.when(s["around"].rlike(CONTEXT[kind]), NEARBY).otherwise(0.0))
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
 
-    return F.when(text.rlike(test), F.transform(checked, scored)).otherwise(empty)
+    return F.when(text.rlike(test), F.transform(checked, scored).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with pii: all confirmed spans (kind, start, end, value, score) by start, then kind as in PATTERNS.
 
-    Null text has none (as empty text); every row gives one row; a column named pii is replaced.
+    Null text has none (as empty text); whole texts of any length are read, in time in proportion; every row gives
+    one row, repeated ones too; an empty table gives an empty one; other columns stay, but one named pii is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = F.create_map(*(x for i, k in enumerate(PATTERNS) for x in (F.lit(k), F.lit(i))))
@@ -108,7 +126,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def digest_pii(found: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, hash of the base spans, all spans as text."""
+    """doc_id, counts of the base kinds, hash of the base spans, all spans as text and their scores in percent."""
     def told(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -117,7 +135,8 @@ def digest_pii(found: DataFrame) -> DataFrame:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("pii")).alias("spans"))
+    scores = F.transform("pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string"))
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("pii")).alias("spans"), F.array_join(scores, ",").alias("scores"))
 
 
 def redact(found: DataFrame, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
