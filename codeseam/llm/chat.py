@@ -2,9 +2,10 @@
 
 A turn is written as ``<|turn|>role<|body|>content<|end|>``. Content comes from typed parts: a visitor
 turns text into escaped text and image, audio and document parts into ordered placeholders, recording
-the attachment and the number of tokens it will expand to. Escaping breaks every control string (ours
-and those of common chat templates) with a backslash after its first character and doubles backslashes,
-so the text can be read back exactly and no control string can be injected.
+the attachment and the number of tokens it will expand to; parts of unknown types get placeholders of no
+tokens, null parts none. Escaping breaks every control string (ours and those of common chat templates)
+with a backslash after its first character and doubles backslashes, so the text can be read back exactly
+and no control string, placeholders included, can be injected.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: First characters of control strings, where a rest follows that makes them one.
 _CONTROL = re.compile(r"\\|<(?=\||/?s>)|\[(?=/?INST\]|/?(?:SYSTEM|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)[\]_])|<(?=</?SYS>>|/?(?:start|end)_of_turn>|[｜])")
 _ESCAPED = re.compile(r"\\(\\?)")
 _MARK = re.compile(r"<\|(turn|body|end)\|>")
+_PLACE = re.compile(r"<\|(?:image|audio|document|other):\d+\|>")
 PART_TYPE = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
 
@@ -50,32 +54,44 @@ class PartVisitor:
     expansion: Expansion
     first: int = 0  # number of the next attachment of the conversation
     out: list[str] = field(default_factory=list)
+    text: list[str] = field(default_factory=list)  # neighbouring texts are escaped as one: a control string may cross from part to part
     attachments: list[tuple] = field(default_factory=list)
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.text.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         p = self.expansion.patch
-        self._attach("image", part, math.ceil((part.get("width") or p) / p) * math.ceil((part.get("height") or p) / p))
+        self._attach("image", part, math.prod(math.ceil(max(1, part.get(side) or p) / p) for side in ("width", "height")))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, math.ceil((part.get("seconds") or 0) * self.expansion.audio_tokens_per_second))
+        seconds = part.get("seconds") or 0.0
+        self._attach("audio", part, math.ceil(seconds * self.expansion.audio_tokens_per_second) if 0 < seconds < math.inf else 0)
 
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, max(1, part.get("pages") or 1) * self.expansion.document_tokens_per_page)
 
     def visit_other(self, part: dict) -> None:
-        raise ValueError(f"unknown part type {part.get('type')!r}")
+        self._attach("other", part, 0)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         n = self.first + len(self.attachments)
+        self.flush()
         self.out.append(f"<|{kind}:{n}|>")
         self.attachments.append((n, kind, part.get("ref"), tokens))
 
+    def flush(self) -> None:
+        self.out.append(escape("".join(self.text)))
+        self.text.clear()
+
+    def content(self) -> str:
+        self.flush()
+        return "".join(self.out)
+
 
 SEGMENT = "conv_id long, seq long, role string, segment string, mask_from long, mask_to long, attachments array<struct<n:int,kind:string,ref:string,tokens:long>>"
 _ATTACHMENTS = pa.list_(pa.struct([("n", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
@@ -90,8 +106,11 @@ def format_chat(turns: DataFrame, expansion: Expansion = Expansion(), parallelis
     other turns). Rows of a conversation are sorted by turn, then role, text; null turns come first, null
     text and role are empty, repeated rows are repeated turns, null conv_id is a conversation of its own,
     an empty table gives an empty one. Rows stream through a task in order, so a conversation of any length
-    needs the memory of one batch. Other columns are ignored.
+    needs the memory of one batch. A part of an unknown type is an attachment "other" of no tokens; null parts are
+    nothing; sizes that are null, negative or no numbers count as least ones. Other columns are ignored, whatever
+    their names.
     """
+    small_batches(turns.sparkSession)
     parts = F.col("parts") if "parts" in turns.columns else F.lit(None)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), parts.cast(PART_TYPE).alias("parts"))
     rows = (rows.repartition(parallelism, "conv_id") if parallelism else rows.repartition("conv_id")).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
@@ -106,9 +125,10 @@ def format_chat(turns: DataFrame, expansion: Expansion = Expansion(), parallelis
                 visitor = PartVisitor(expansion, n)
                 for part in parts if parts is not None else [{"type": "text", "text": text}]:
                     visitor.visit(part)
-                head, content = f"{TURN}{escape(role)}{BODY}", "".join(visitor.out)
+                head, content = f"{TURN}{escape(role)}{BODY}", visitor.content()
                 loss = role == "assistant"
-                for k, v in (("seq", seq), ("segment", head + content + END), ("from", len(head) if loss else None), ("to", len(head) + len(content) if loss else None), ("attachments", [dict(zip(("n", "kind", "ref", "tokens"), a)) for a in visitor.attachments])):
+                found = [dict(zip(("n", "kind", "ref", "tokens"), a)) for a in visitor.attachments]
+                for k, v in zip(cols, (seq, head + content + END, len(head) if loss else None, len(head) + len(content) if loss else None, found)):
                     cols[k].append(v)
                 seq, n = seq + 1, n + len(visitor.attachments)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols["seq"], pa.int64()), batch.column(2), pa.array(cols["segment"], pa.string()), pa.array(cols["from"], pa.int64()), pa.array(cols["to"], pa.int64()), pa.array(cols["attachments"], _ATTACHMENTS)], ["conv_id", "seq", "role", "segment", "mask_from", "mask_to", "attachments"])
@@ -117,44 +137,55 @@ def format_chat(turns: DataFrame, expansion: Expansion = Expansion(), parallelis
 
 
 def read_turn(segment: str) -> tuple[str, str]:
-    """Role and text of a formatted turn, unescaped (placeholders stay)."""
+    """Role and text of a formatted turn, unescaped and without placeholders."""
     marks = [(m[1], m.start(), m.end()) for m in _MARK.finditer(segment)]
     if [m[0] for m in marks] != ["turn", "body", "end"] or marks[0][1] or marks[2][2] != len(segment):
         raise ValueError("not one formatted turn")
-    return unescape(segment[marks[0][2] : marks[1][1]]), unescape(segment[marks[1][2] : marks[2][1]])
+    return read_text(segment[marks[0][2] : marks[1][1]]), read_text(segment[marks[1][2] : marks[2][1]])
+
+
+def read_text(content: str) -> str:
+    """The text of a turn's content: no text holds a placeholder, for its escape breaks them."""
+    return unescape(_PLACE.sub("", content))
 
 
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachment_tokens long"
+DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachments long, attachment_tokens long, attachments_sha256 string"
 
 
 def digest_chat(segments: DataFrame) -> DataFrame:
     """Reads format_chat's segments back, conversation by conversation, keeping running hashes only.
 
-    It follows format_chat's partitioning and order and so adds no shuffle."""
+    attachments_sha256 is that of a line ``number:kind:reference:tokens`` for each attachment, in order. It follows
+    format_chat's partitioning and order and so adds no shuffle."""
 
     def run(batches):
         names = [x.split()[0] for x in DIGEST.split(", ")]
+        schema = pa.schema([(k, pa.string() if "sha256" in k else pa.int64()) for k in names])
         at, state = None, None
 
         def result():
-            n, turns, chars, loss, size, tokens = state
-            return pa.RecordBatch.from_pylist([dict(zip(names, (at[0], n, turns.hexdigest(), chars, loss.hexdigest(), size, tokens)))], schema=pa.schema([(k, pa.string() if "sha256" in k else pa.int64()) for k in names]))
+            n, turns, chars, loss, size, many, tokens, held = state
+            values = (at[0], n, turns.hexdigest(), chars, loss.hexdigest(), size, many, tokens, held.hexdigest())
+            return pa.RecordBatch.from_pylist([dict(zip(names, values))], schema=schema)
 
         for batch in batches:
             for conv, segment, lo, hi, attachments in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6))):
                 if at is None or at[0] != conv:
                     if at is not None:
                         yield result()
-                    at, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                    at, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0, hashlib.sha256()]
                 role, text = read_turn(segment)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 if lo is not None:
-                    under = unescape(segment[lo:hi])
+                    under = read_text(segment[lo:hi])
                     state[2] += len(under)
                     state[3].update(under.encode("utf-8", "surrogatepass"))
                 state[4] += len(segment)
-                state[5] += sum(a["tokens"] for a in attachments or ())
+                for a in attachments or ():
+                    state[5] += 1
+                    state[6] += a["tokens"]
+                    state[7].update(f"{a['n']}:{a['kind']}:{a['ref'] or ''}:{a['tokens']}\n".encode("utf-8", "surrogatepass"))
         if at is not None:
             yield result()
 
