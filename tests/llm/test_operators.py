@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeseam.llm import chat, decontaminate, language, licences, packing, pii, quality, substrings
+from codeseam.llm import chat, common, decontaminate, language, licences, packing, pii, quality, substrings
 from codeseam.llm.components import components
 from codeseam.llm.exact_dedup import build_mph, exact_duplicates, lookup_mph
 from codeseam.llm.near_dedup import near_duplicates
@@ -93,20 +94,54 @@ def near_brute(n, percent=80):
     return {(i, len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+NEAR = ["doc_id", "n_shingles", "component_id", "kept"]
+
+
 @pytest.mark.parametrize("n", [4, 5])
 def test_near(docs, nothing, n, monkeypatch):
     want = near_brute(n)
     assert len({c for _, _, c, _ in want}) < len(want)
-    assert {tuple(r) for r in near_duplicates(docs, n).collect()} == want
+    assert {tuple(r) for r in near_duplicates(docs, n).select(NEAR).collect()} == want
     if n == 4:
         from codeseam.llm import near_dedup
 
-        monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 1)  # every unfinished bucket by bounded tasks
-        monkeypatch.setattr(near_dedup, "TASK_MEMBERS", 2)
-        assert {tuple(r) for r in near_duplicates(docs, n).collect()} == want
+        monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 1)  # every unfinished bucket is large: exact keys first
+        monkeypatch.setattr(near_dedup, "FREQUENT", 2)
+        assert {tuple(r) for r in near_duplicates(docs, n).select(NEAR).collect()} == want
+        monkeypatch.setattr(near_dedup, "TASK_MEMBERS", 2)  # by bounded tasks at once
+        assert {tuple(r) for r in near_duplicates(docs, n, exact_keys=False).select(NEAR).collect()} == want
         assert near_duplicates(nothing, n).count() == 0
 
 
+def test_near_by_row(spark):
+    """Rows that share a doc_id are compared by their own texts; repeats share a decision; null ids stay alone."""
+    words = [f"w{k}" for k in range(60)]
+    one, near, other, third = " ".join(words), " ".join([*words[:58], "x", "y"]), " ".join(words[::-1]), "a b c d e f g"
+    rows = [(5, one), (5, one), (5, other), (3, near), (None, one), (None, None), (7, other), (8, third), (8, None), (9, "")]
+    d = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, count long, root string")
+    got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in near_duplicates(d).collect())
+    assert got == sorted([("5", 56, "3", False)] * 2 + [("5", 56, "5", True), ("3", 56, "3", True), ("None", 56, "None", True), ("None", 0, "None", True), ("7", 56, "5", False), ("8", 3, "8", True), ("8", 0, "8", True), ("9", 0, "9", True)])
+
+
+def test_stars_of_cut_buckets(spark):
+    """A bucket that lies in many ranges still hangs together."""
+    from codeseam.llm import near_dedup as nd
+
+    rows = [(k, 1, 7) for k in range(4000)] + [(k, 1, 8 + k // 2) for k in range(600)] + [(k, 1, -k) for k in range(50)]
+    keyed = spark.createDataFrame(rows, "rep long, n long, key long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        star = nd.stars(keyed).cache()
+        members = nd.members_of(star).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {r.rep for r in members if r.key == 7} == set(range(4000)) and len({r.hub for r in members if r.key == 7}) > 1
+    label = {r.node: r.root for r in components(spark.createDataFrame([(r.hub, r.rep) for r in members if r.key == 7 and r.hub != r.rep], "a long, b long"), "a", "b").collect()}
+    assert label == dict.fromkeys(range(4000), 0)
+    assert sorted((r.key, r.hub, r.rep) for r in members if r.key >= 8) == sorted((8 + k // 2, k // 2 * 2, k) for k in range(600))
+    assert not [r for r in members if r.key <= 0]
+
+
 def test_components(spark):
     r = random.Random(2)
     e = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
@@ -118,22 +153,45 @@ def test_components(spark):
     assert got == {k: v for k, v in top.items() if k in got} and all(top[k] == k for k in top if k not in got)
 
 
-def test_substrings(docs, nothing):
-    words = {i: WORDS.findall(t or "") for i, t in corpus()}
+def substrings_brute(rows, window=50):
+    words = [(i, WORDS.findall(t or "")) for i, t in rows]
     first = {}
-    for i in sorted(words):
-        for k in range(len(words[i]) - 49):
-            first.setdefault(tuple(words[i][k : k + 50]), i)
-    want = set()
-    for i, w in words.items():
+    for i, w in words:
+        if i is not None:
+            for k in range(len(w) - window + 1):
+                key = tuple(w[k : k + window])
+                first[key] = min(i, first.get(key, i))
+    want = []
+    for i, w in words:
         drop = [False] * len(w)
-        for k in range(len(w) - 49):
-            if first[tuple(w[k : k + 50])] < i:
-                drop[k : k + 50] = [True] * 50
-        want.add((i, len(w), sum(drop), " ".join(x for x, d in zip(w, drop) if not d)))
+        for k in range(len(w) - window + 1 if i is not None else 0):
+            if first[tuple(w[k : k + window])] < i:
+                drop[k : k + window] = [True] * window
+        want.append((repr(i), len(w), sum(drop), " ".join(x for x, d in zip(w, drop) if not d)))
+    return sorted(want)
+
+
+def substrings_of(d):
+    return sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substrings.dedup_substrings(d).collect())
+
+
+def test_substrings(docs, nothing, monkeypatch):
+    want = substrings_brute(corpus())
     assert sum(x[2] for x in want) > 500
-    assert {tuple(r) for r in substrings.dedup_substrings(docs).collect()} == want
+    assert substrings_of(docs) == want
     assert substrings.dedup_substrings(nothing).count() == 0
+    monkeypatch.setattr(substrings, "MOST_ANCHORS", 0)  # anchors are joined to documents
+    monkeypatch.setattr(substrings, "HOT_STRETCHES", 1)  # windows row by row
+    monkeypatch.setattr(substrings, "SHARD_STRETCHES", 3)
+    assert substrings_of(docs) == want
+
+
+def test_substrings_by_row(spark):
+    """Rows that share a doc_id lose only windows of their own text; null ids lose nothing; repeats are repeated."""
+    w = [f"w{k}" for k in range(160)]
+    rows = [(1, " ".join(w[:70])), (2, " ".join(["x", *w[:60], "y"])), (2, " ".join(w[80:160])), (2, " ".join(w[80:160])), (None, " ".join(w[:70])), (3, " ".join(w[75:150])), (4, None), (4, ""), (5, " ".join(["a"] * 200)), (6, " ".join(["a"] * 120 + w[:20]))]
+    d = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, runs string")
+    assert substrings_of(d) == substrings_brute(rows)
 
 
 def test_decontamination(spark, docs, nothing, monkeypatch):
@@ -186,7 +244,6 @@ def test_decontamination_in_shards(spark, docs, monkeypatch):
     one = found(), [kept(*x) for x in limits]
     assert len(one[0]) == 6 and [len(x) for x in one[1]] == [2, 2, 6, 6, 2]
     monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", 150)
-    assert len(list(decontaminate.automata(bench, 10))) > 2
     assert (found(), [kept(*x) for x in limits]) == one
 
 
@@ -310,7 +367,7 @@ def test_every_language_is_learned(spark, monkeypatch):
     got = found(model)
     raw = language.normalised(" ".join(vocab["l001"] + vocab["l299"]))
     one = language.mixture(raw, shards)
-    monkeypatch.setattr(language, "KEPT_SCORES", 0)  # scores are computed anew
+    monkeypatch.setattr(language, "KEPT_CELLS", 0)  # scores are computed anew
     assert len(shards) == 2 and (language.mixture(raw, shards) == one).all()
     assert [got[k][0] for k in range(300)] == list(vocab) and {m[0] for m in got[300][2]} == {"l001", "l299"}
     monkeypatch.setattr(language, "SHARD_LANGUAGES", 1000)  # one shard
@@ -364,10 +421,24 @@ def test_licence_report_is_by_row(spark):
 
 
 def test_anchor_is_of_the_words():
-    w = [str(k % 37).encode() for k in range(120)]
-    a, p = substrings.anchors(w, 50)
-    b, q = substrings.anchors([b"zz"] + w, 50)
-    assert (p[a] == q[b][1:]).all() and Counter(a).most_common(1)[0][1] <= 43
+    w = [str(k % 37) for k in range(120)]
+    (a,), (b,) = (substrings.anchors(pa.array([" ".join(x)]), 50) for x in (w, ["zz", *w]))
+    assert len(a) == 71 and (a == b[1:]).all() and Counter(a.tolist()).most_common(1)[0][1] <= 71
+    x = np.random.default_rng(2).integers(0, 9, 100)
+    assert all((substrings.sliding_min(x, n) == [x[k : k + n].min() for k in range(101 - n)]).all() for n in (1, 2, 3, 7, 43, 64, 100))
+
+
+def test_hashed_words():
+    """Hashes are those of the words' bytes, wherever they stand and however long they are."""
+    r = random.Random(7)
+    texts = [None, "", "x" * 300_000 + " y " + "x" * 300_000, "a b" * 60_000] + ["".join(r.choice(["a", "B", "\u00e9", " ", "\t", "zz", "\n"]) for _ in range(r.randint(0, 40))) for _ in range(200)]
+    for column in (pa.array(texts), pa.array(["before", *texts]).slice(1)):
+        for lower in (False, True):
+            words = [common.ascii_words(t, lower) for t in texts]
+            hashes, starts, ends, first = common.hashed_words(common.texts_of(column), lower)
+            assert np.diff(first).tolist() == [len(w) for w in words]
+            seen = {}
+            assert all(seen.setdefault(w, h) == h for w, h in zip([w for ws in words for w in ws], hashes.tolist())) and len(set(seen.values())) == len(seen)
 
 
 @pytest.mark.parametrize("bands, rows", [(32, 4), (5, 3), (7, 2)])
