@@ -239,7 +239,7 @@ def identify(docs: DataFrame, model: tuple[list[str], list[Shard]]) -> DataFrame
                 pred.append("und" if k is None else names[k])
                 score.append(0.0 if k is None else float(min(1.0, pi[k])))
                 mixed.append([] if k is None else [{"lang": names[i], "share": float(pi[i])} for i in np.flatnonzero(pi)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score, pa.float64()), pa.array(mixed, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], ["doc_id", "lang_pred", "score", "mixture"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], ["doc_id", "lang_pred", "score", "mixture"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 

@@ -173,7 +173,7 @@ def stars(keyed: DataFrame) -> DataFrame:
 
     def run(batches):
         def rows(key, hub, rep, n, border):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, hub, rep, n)] + [pa.array([border] * len(key))], STAR_NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, hub, rep, n)] + [pa.array([border] * len(key), pa.bool_())], STAR_NAMES)
 
         key = hub = hub_n = None
         told = True  # whether the last bucket's hub has been given as a member
@@ -351,7 +351,8 @@ def _extend(label: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, exact_keys: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text): one row for each row of docs.
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text), root (tells components apart, also where
+    ids are shared; null without a set or an id): one row for each row of docs.
 
     Words are runs without ASCII white space, A-Z lower-cased. Two documents are linked if
     100 * |A & B| >= percent * |A | B| over their whole shingle sets; component_id is the smallest doc_id
@@ -372,6 +373,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     keyed, sets, label, over = reps.select("rep", "n", F.explode("keys").alias("key")), None, None, []
     while keyed is not None:
         star = stored(stars(keyed))
+        if not some(star.where("not border or hub <> rep")) and not some(members_of(star)):
+            drop_stored(star)
+            break
         members = members_of(star)
         if sets is None:
             involved = members.select("rep").distinct().join(reps, "rep").select(F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"), "rep")
@@ -394,13 +398,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
             links = stored(more)
             label = _extend(label, links)
         drop_stored(rest, star)
-    root = reps.join(label, reps.rep == label.node, "left").select("set_key", "low", "copies", F.coalesce("root", "rep").alias("root"), (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("grouped"))
+    if label is None:
+        root = reps.withColumn("root", F.lit(None).cast("long"))
+    else:
+        root = reps.join(label, reps.rep == label.node, "left")
+    grouped = (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("grouped")
+    root = root.select("set_key", "low", F.coalesce("root", "rep").alias("root"), grouped)
     if shared:
         root = root.join(root.groupBy("root").agg(F.min("low").alias("component")), "root")
     else:
         root = root.withColumn("component", F.col("root"))
-    out = sig.select("doc_id", "n_shingles", "set_key", "text_hash").join(root.where("grouped").select("set_key", "component"), "set_key", "left")
+    known = sig.select("doc_id", "n_shingles", "set_key", "text_hash", "node")
+    out = known.join(root.where("grouped").select("set_key", "component", "root"), "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    out = stored(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash"))
+    own = F.when(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull(), F.coalesce("root", "node"))
+    out = stored(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash", own.alias("root")))
     drop_stored(raw, reps, sets, label, *over)
     return out

@@ -43,7 +43,7 @@ def chat_typed_parts(spark, sf_dir):
 
 
 def op2_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("text_hash", "root")
 
 
 def op3_language_id(spark, sf_dir):

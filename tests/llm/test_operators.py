@@ -140,6 +140,8 @@ def test_stars_of_cut_buckets(spark):
     assert label == dict.fromkeys(range(4000), 0)
     assert sorted((r.key, r.hub, r.rep) for r in members if r.key >= 8) == sorted((8 + k // 2, k // 2 * 2, k) for k in range(600))
     assert not [r for r in members if r.key <= 0]
+    alone = nd.stars(spark.createDataFrame([(k, 1, k) for k in range(300)], "rep long, n long, key long"))
+    assert alone.where("not border").count() == 0 and nd.members_of(alone).count() == 0
 
 
 def test_components(spark):
