@@ -24,14 +24,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def first_copies(docs: DataFrame, decided: DataFrame, group: str, text_hash: Column) -> DataFrame:
-    """The rows of docs that decided keeps. decided: doc_id, text_hash, kept and the group's id, one row for each row of docs.
+    """The rows of docs that decided keeps. decided: doc_id, text_hash, kept and what tells groups apart (null: no group),
+    one row for each row of docs.
 
     Rows go by doc_id and the hash of their text, so a dropped text stays dropped where its doc_id also has another
     one. Of repeated rows, and of rows of one doc_id in one group, one stays. Texts are shuffled once at most:
     only the dropped rows' keys meet them. Null ids: each text is kept once."""
     key = decided.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.min(group).alias("of"), F.count("*").alias("copies"))
     key = stored(key.select(F.coalesce("kept", F.lit(True)).alias("kept"), "of", "copies", F.col("doc_id").alias("d"), F.col("text_hash").alias("h")))
-    twice = key.where("kept and d is not null").groupBy("d", "of").agg(F.min("h").alias("first"), F.count("*").alias("n")).where("n > 1")
+    twice = key.where("kept and d is not null and of is not null").groupBy("d", "of").agg(F.min("h").alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = key.where("not kept").select("d", "h")
     if some(twice):
         t = twice.select(F.col("d").alias("td"), F.col("of").alias("tof"), "first")
@@ -45,13 +46,13 @@ def first_copies(docs: DataFrame, decided: DataFrame, group: str, text_hash: Col
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the largest doc_id; of repeated rows one. Null text is empty."""
-    return first_copies(docs, exact_duplicates(docs), "keep_id", F.xxhash64(normalised(docs["text"])))
+    return first_copies(docs, exact_duplicates(docs), "text_hash", F.xxhash64(normalised(docs["text"])))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (5-word shingles, similarity 0.8): the smallest doc_id; of repeated
     rows one. Null and wordless texts are near nothing and stay."""
-    return first_copies(docs, near_duplicates(docs, shingle=5, percent=80), "component_id", F.xxhash64(docs["text"]))
+    return first_copies(docs, near_duplicates(docs, shingle=5, percent=80), "root", F.xxhash64(docs["text"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
