@@ -112,3 +112,34 @@ def test_normalise(spark):
     d = spark.createDataFrame([("f", 1, "code_smell", "long_method", "warning", "m")], "file_path string, line int, pattern_type string, pattern_name string, severity string, message string")
     assert findings.from_static(d).first().title == "Long Method"
     assert findings.from_static(d.withColumn("severity", F.lit("error")), compat=True).first().severity == "medium"
+
+
+def test_limiters_replay(spark):
+    """Waits and grants of a day's requests by a naive simulation, one request after the other."""
+    import random
+
+    r = random.Random(3)
+    rows = [(k, f"m{r.randrange(3)}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r.randrange(4000) / 2), r.randrange(30) * 100) for k in range(600)]
+    u = spark.createDataFrame(rows, "request_id long, model string, timestamp timestamp, input_tokens long")
+    waits, grants = {}, {}
+    for model in ("m0", "m1", "m2"):
+        held, tokens, at = [], 5.0, None
+        for k, _, t, n in sorted((x for x in rows if x[1] == model), key=lambda x: (x[2], x[0])):
+            now, wait = t.timestamp(), 0.0
+            inside = [(s, m) for s, m in held if s >= now - 60]
+            if inside and sum(m for _, m in inside) + n > 6000:
+                wait, freed = 60.0, 0
+                for s, m in inside:
+                    freed += m
+                    if freed >= sum(m for _, m in inside) + n - 6000:
+                        wait = max(0.0, s + 60 + 0.1 - now)
+                        break
+            held = [x for x in inside if x[0] >= now + wait - 60] if wait else inside
+            held.append((now + wait, n))
+            waits[k] = round(wait, 6)
+            tokens = min(5.0, tokens + (0 if at is None else now - at) * 0.01)
+            at = now
+            grants[k] = tokens >= 1
+            tokens -= grants[k]
+    assert {x.request_id: x.wait for x in usage.replay_limiter(u, 6000).collect()} == waits and any(waits.values())
+    assert {x.request_id: x.granted for x in usage.replay_bucket(u, 0.01, 5.0).collect()} == grants and len(set(grants.values())) == 2
