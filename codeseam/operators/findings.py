@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,12 +132,16 @@ def engine_rows(static: DataFrame, vulnerabilities: DataFrame | None = None) ->
 
 def numbered(rows: DataFrame, order: list[str], name: str = "ingest_seq", partitions: int = 64) -> DataFrame:
     """rows with a running number from 0 in an order: rows are dealt by ranges, and each range's begin is the sum of the
-    sizes of those before. No task sees more than its range, and the sizes are one row for each."""
+    sizes of those before. No task sees more than its range, and the sizes are one row for each.
+
+    Ranges come from a sample, so rows are held once they are dealt: in the checkpoint folder, or on the executors'
+    disks where there is none."""
     dealt = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     local = dealt.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1))
-    sizes = local.groupBy("__part").agg(F.count("*").alias("__n")).agg(F.map_from_entries(F.collect_list(F.struct("__part", "__n"))).alias("__sizes"))  # one row, at most partitions entries
+    held = local.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else local.persist(StorageLevel.DISK_ONLY)
+    sizes = held.groupBy("__part").agg(F.count("*").alias("__n")).agg(F.map_from_entries(F.collect_list(F.struct("__part", "__n"))).alias("__sizes"))  # one row, at most partitions entries
     before = F.aggregate(F.map_entries("__sizes"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] < F.col("__part"), e["value"]).otherwise(0))
-    return local.join(F.broadcast(sizes)).select(*rows.columns, (before + F.col("__at")).alias(name))
+    return held.join(F.broadcast(sizes)).select(*rows.columns, (before + F.col("__at")).alias(name))
 
 
 def with_severity(findings: DataFrame, wanted: list[str]) -> DataFrame:

@@ -99,9 +99,8 @@ def test_merge_of_texts(spark):
 
 
 def test_numbered(spark):
-    f = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("ingest_seq"))
-    got = findings.numbered(f, ["k"], "n", 7).collect()
-    assert sorted((r.k, r.n) for r in got) == [(k, k) for k in range(5000)]
+    f = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"), F.col("id").cast("string").alias("ingest_seq"))
+    assert findings.numbered(f, ["k"], "n", 7).where("k <> n").count() == 0
     assert findings.numbered(f.limit(0), ["k"], "n").count() == 0
 
 
