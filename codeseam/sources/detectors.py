@@ -88,9 +88,9 @@ def _where(lines: Column, test, hit) -> Column:
     return F.array_compact(F.transform(lines, lambda x, i: F.when(test(x, i), hit(i + 1))))
 
 
-def script_hits(content: Column) -> Column:
-    """The findings of one script's lines as an array; no line leaves its row, so nothing is shuffled."""
-    lines = F.split(content, "\r?\n")
+def script_hits(lines: Column) -> Column:
+    """The findings of one script's lines as an array; no line leaves its row, so nothing is shuffled. lines is a column:
+    an expression would be computed anew for each line."""
     n = F.size(lines)
     numbers = F.flatten(
         F.transform(
@@ -120,15 +120,20 @@ def script_hits(content: Column) -> Column:
     return F.concat(*(x.cast(_HIT) for x in (numbers, chains, unhandled, deep, large)))
 
 
-def unused_hits(content: Column) -> Column:
-    """Declared names that stand on no other line than that of their last declaration."""
-    lines = F.split(content, "\r?\n")
-    declared = F.flatten(
-        F.transform(lines, lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)), lambda v: F.struct(v.alias("name"), (i + 1).alias("line"))))
-    )
+def declarations(lines: Column) -> Column:
+    """Names with the line that declares them."""
+    form = F.lit(r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)")
+    return F.flatten(F.transform(lines, lambda x, i: F.transform(F.regexp_extract_all(x, form, F.lit(1)), lambda v: F.struct(v.alias("name"), (i + 1).alias("line")))))
+
+
+def line_words(lines: Column) -> Column:
+    return F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.regexp_extract_all(x, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)).alias("words")))
+
+
+def unused_hits(declared: Column, words: Column) -> Column:
+    """Declared names that stand on no other line than that of their last declaration. Both are columns."""
     # of each name the last declaration: a later one with the same name rules it out
     last = F.filter(declared, lambda d, k: ~F.exists(F.slice(declared, k + 2, F.size(declared)), lambda e: e["name"] == d["name"]))
-    words = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.regexp_extract_all(x, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)).alias("words")))
     unused = F.filter(last, lambda d: ~F.exists(words, lambda w: (w["line"] != d["line"]) & F.array_contains(w["words"], d["name"])))
     return F.transform(unused, lambda d: _hit(d["line"], "code_smell", "unused_variable", "info", F.concat(F.lit("Unused variable "), d["name"]))).cast(_HIT)
 
@@ -139,8 +144,9 @@ def detect(files: DataFrame, rules: list[str] | None = None, disabled: list[str]
     rules: names to keep (all if None), disabled: names to leave out; disabled wins. Scripts are judged by
     expressions in the JVM, only Python files' contents go to a Python worker."""
     script = F.col("file_type").isin("javascript", "typescript")
-    hits = F.when(script, F.concat(script_hits(F.col("content")), unused_hits(F.col("content"))))
-    rows = files.where(script | (F.col("file_type") == "python")).select("path", F.when(~script, F.coalesce("content", F.lit(""))).alias("source"), hits.alias("hits"))
+    cut = files.where(script | (F.col("file_type") == "python")).select("path", F.when(~script, F.coalesce("content", F.lit(""))).alias("source"), F.when(script, F.split("content", "\r?\n")).alias("lines"))
+    told = cut.select("path", "source", "lines", declarations(F.col("lines")).alias("declared"), line_words(F.col("lines")).alias("words"))
+    rows = told.select("path", "source", F.concat(script_hits(F.col("lines")), unused_hits(F.col("declared"), F.col("words"))).alias("hits"))
 
     def run(batches):
         for batch in batches:
