@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, licences, packing, pii, quality, substrings
+from . import alignment, chat, decontaminate, language, licences, outliers, packing, pii, prefix_trie, quality, substrings
 from .common import table
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_chat_format(spark, sf_dir):
@@ -83,11 +83,24 @@ def op10_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.digest_trie(prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")))
+
+
+def op12_token_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return alignment.cross_tokenizer_alignment(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_quality_rules(spark, sf_dir):
+    return outliers.digest_outliers(outliers.outlier_scores(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_near_dedup, op3_language_id, op4_license_scan, op5_decontaminate, op6_pii, op7_quality, op8_substring_dedup,
-        op9_exact_dedup, op10_packing, chat_typed_parts,
+        op9_exact_dedup, op10_packing, op11_prefix_trie, op12_token_alignment, op13_quality_rules, chat_typed_parts,
     )
 }
 
@@ -139,6 +152,12 @@ def _pii() -> str:
     )
 
 
+#: CRC-32 of the decimal digits of c, bit by bit: the state is divided by the reflected polynomial after each digit.
+_CRC = (
+    "(xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]), lambda s, x: "
+    + "list_reduce([xor(s, x)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295))"
+)
+
 #: Where DuckDB can express the result over whole tables.
 ORACLES = {
     "op1_chat_format": r"""
@@ -189,6 +208,21 @@ ORACLES = {
         SELECT doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
                sha256(array_to_string(CASE WHEN ks IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(ks, i)] END, ' ')) AS kept_sha256
         FROM d LEFT JOIN held USING (doc_id)""",
+    "op11_prefix_trie": """
+        WITH t AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS size, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS k, g, size FROM t),
+        h AS (SELECT DISTINCT c, {crc} % 9 AS h FROM o),
+        r AS (SELECT h.c, k, g, size FROM h JOIN o ON o.c = h.c - h.c % 5 AND k <= h UNION ALL SELECT h.c, k, g, size FROM h JOIN o ON o.c = h.c AND k > h),
+        s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, g, size FROM r),
+        p AS (SELECT a.c, a.d, any_value(a.size) AS size, sha256(string_agg(b.g, '' ORDER BY b.d)) AS key FROM s a JOIN s b ON a.c = b.c AND b.d <= a.d GROUP BY ALL
+              UNION ALL SELECT c, 0, 0, '' FROM h),
+        f AS (SELECT c, max(d) AS len FROM p GROUP BY 1),
+        n AS (SELECT key, d, min(p.c) AS c, count(*) AS n, any_value(size) AS size, sha256(coalesce(string_agg(CASE WHEN len = d THEN p.c::VARCHAR END, ',' ORDER BY p.c), '')) AS ends FROM p JOIN f ON f.c = p.c GROUP BY ALL),
+        e AS (SELECT x.key, x.d, y.key AS up FROM n x LEFT JOIN p y ON y.c = x.c AND y.d = x.d - 1),
+        kids AS (SELECT up, count(*) AS k FROM e WHERE up IS NOT NULL GROUP BY 1),
+        a AS (SELECT y.key, sum(CASE WHEN kids.k IS NULL THEN 1 ELSE 0 END)::BIGINT AS leaves, sum((x.n - 1) * x.size)::BIGINT AS saved FROM n x LEFT JOIN kids ON kids.up = x.key JOIN p y ON y.c = x.c AND y.d <= x.d GROUP BY 1)
+        SELECT n.c AS conv_id, n.d AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, n.ends AS ends_sha256
+        FROM n JOIN e USING (key) LEFT JOIN n u ON u.key = e.up LEFT JOIN kids ON kids.up = n.key JOIN a ON a.key = n.key""".replace("{crc}", _CRC),
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents),
              g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY h)
