@@ -12,7 +12,7 @@ from ..schemas import DEBT_BASE, DEBT_FACTOR, QUALITY_TYPES, SECURITY_TYPES
 from ..sinks import reports
 from ..sources import files as scans
 from ..sources import parsers
-from . import details, extended, pipeline
+from . import details, extended, projects, pipeline
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -221,5 +221,5 @@ ORACLES["r05_prompts"] = "SELECT conv_id, md5(string_agg('// ' || role || chr(10
 QUERIES["e08_code_quality"] = lambda spark, sf_dir: stats.code_quality(findings_v(spark, sf_dir), lines_v(spark, sf_dir))
 ORACLES["e08_code_quality"] = f"WITH {SQL['findings_v']}, {SQL['lines_v']}, a AS (SELECT count(*) AS n, 10 * count(*) FILTER (severity='critical') + 5 * count(*) FILTER (severity='high') AS debt FROM findings_v), b AS (SELECT count(*) AS l FROM lines_v) SELECT l AS total_lines, round(n / greatest(l / 1000.0, 1.0)::DOUBLE, 2) AS findings_per_kloc, debt, CASE WHEN debt / (l / 1000.0) <= 1 THEN 'A' WHEN debt / (l / 1000.0) <= 3 THEN 'B' WHEN debt / (l / 1000.0) <= 7 THEN 'C' WHEN debt / (l / 1000.0) <= 15 THEN 'D' ELSE 'F' END AS grade FROM a, b"
 
-QUERIES |= details.QUERIES | extended.QUERIES
-ORACLES |= details.ORACLES | extended.ORACLES
+QUERIES |= details.QUERIES | extended.QUERIES | projects.QUERIES
+ORACLES |= details.ORACLES | extended.ORACLES | projects.ORACLES
