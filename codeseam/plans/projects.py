@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import table
 from ..operators import deps, filegraph
-from ..sources import parsers
+from ..sources import lexer, parsers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -72,3 +72,58 @@ _on_edges(
     _PAIRS + ", g AS (SELECT source AS node FROM e UNION SELECT target FROM e), o AS (SELECT node FROM g WHERE node LIKE '%7.py' OR node LIKE '%8.js'), "
     "t AS (SELECT node FROM o UNION SELECT b FROM r JOIN o ON o.node = r.a) SELECT t.node, coalesce(component, t.node) AS component FROM t LEFT JOIN s USING (node)",
 )
+
+
+# Scripts whose strings, comments, templates and regular expressions look like code
+
+
+def script_files(spark, sf_dir: str) -> DataFrame:
+    p, n = (F.col(c).cast("long") for c in ("p_partkey", "p_size"))
+    p_text, n_text = p.cast("string"), n.cast("string")
+    parts = [
+        F.lit('// function fake(a) { if (a) {} }\nconst s'), p_text, F.lit(' = "function no() { return a && b; }"; /* class Hidden {\n} */ const re = /[/}]"{/g;\nfunction outer'), n_text, F.lit("(a, b) {\n"),
+        F.repeat(F.lit('  step(a, "if (b) {");\n'), n.cast("int")), F.lit("  if (a && b || s"), p_text, F.lit(') { return `x ${a ? `y${b}` : "}"} {`; }\n}\n'),
+        F.when(p % 2 == 1, F.concat(F.lit("class K"), (p % 5).cast("string"), F.lit(" extends B {\n  async m"), (p % 3).cast("string"), F.lit("() { for (;;) { while (re) { go("), p_text, F.lit(" + 10); } } }\n}\n"))).otherwise(""),
+        F.when(p % 3 == 0, F.lit("const f = x => x > 77 ? x : go(x).then(a)\n  .then(b).then(c);\n")).otherwise(""),
+    ]
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("/web/s"), p_text, F.lit(".js")).alias("path"), F.concat(*parts).alias("content"))
+
+
+def _on_scripts(name: str, build, sql: str) -> None:
+    def run(spark, sf_dir):
+        files = script_files(spark, sf_dir)
+        return build(files, lexer.syntax(files))
+
+    QUERIES[name] = run
+    ORACLES[name] = "WITH s AS (SELECT p_partkey AS p, p_size AS n, '/web/s' || p_partkey || '.js' AS path, p_size + 7 + CASE WHEN p_partkey % 2 = 1 THEN 3 ELSE 0 END AS tail FROM part) " + sql
+
+
+_UNITS = """SELECT path, 'function' AS kind, 'outer' || n AS name, 4 AS first_line, n + 6 AS last_line FROM s
+    UNION ALL SELECT path, 'class', 'K' || p % 5, n + 7, n + 9 FROM s WHERE p % 2 = 1 UNION ALL SELECT path, 'method', 'm' || p % 3, n + 8, n + 8 FROM s WHERE p % 2 = 1
+    UNION ALL SELECT path, 'function', 'f', tail, tail + 1 FROM s WHERE p % 3 = 0"""
+_on_scripts(
+    "c10_lexed_symbols", lambda f, x: lexer.symbols(x).drop("level"),
+    _UNITS + " UNION ALL SELECT path, 'variable', 's' || p, 2, 2 FROM s UNION ALL SELECT path, 'variable', 're', 3, 3 FROM s UNION ALL SELECT path, 'variable', 'f', tail, tail FROM s WHERE p % 3 = 0",
+)
+_on_scripts(
+    "e07_lexed_complexity", lambda f, x: lexer.complexity(x).select("path", "complexity", "most", "functions"),
+    "SELECT path, 5 + CASE WHEN p % 2 = 1 THEN 2 ELSE 0 END + CASE WHEN p % 3 = 0 THEN 1 ELSE 0 END AS complexity, 5 AS most, 1 + p % 2 + CASE WHEN p % 3 = 0 THEN 1 ELSE 0 END AS functions FROM s",
+)
+_on_scripts(
+    "d08_lexed_findings", lambda f, x: lexer.findings(x).select("file_path", "line", "pattern_name", "message"),
+    """SELECT path AS file_path, 4 AS line, 'large_function' AS pattern_name, 'outer' || n || ' has ' || (n + 3) || ' lines' AS message FROM s WHERE n > 47
+    UNION ALL SELECT path, n + 8, 'magic_number', 'Magic number 10' FROM s WHERE p % 2 = 1 UNION ALL SELECT path, n + 8, 'magic_number', 'Magic number ' || p FROM s WHERE p % 2 = 1 AND p > 9
+    UNION ALL SELECT path, tail, 'magic_number', 'Magic number 77' FROM s WHERE p % 3 = 0 UNION ALL SELECT path, tail, 'promise_hell', '3 calls of then in a chain' FROM s WHERE p % 3 = 0
+    UNION ALL SELECT path, tail, 'missing_error_handling', 'No catch for a promise' FROM s WHERE p % 3 = 0 UNION ALL SELECT path, tail, 'unused_variable', 'Unused variable f' FROM s WHERE p % 3 = 0
+    UNION ALL SELECT path, 3, 'unused_variable', 'Unused variable re' FROM s WHERE p % 2 = 0""",
+)
+_METHOD = "'  async m' || p % 3 || '() { for (;;) { while (re) { go(' || p || ' + 10); } } }'"
+_on_scripts(
+    "r01_script_snippets", lambda f, x: lexer.snippets(f, x).select("path", "kind", "name", "first_line", "last_line", F.md5("text").alias("text_md5")),
+    f"""SELECT path, CASE WHEN name = 'f' THEN 'arrow' ELSE kind END AS kind, name, first_line, last_line, md5(CASE
+        WHEN name = 'f' THEN 'const f = x => x > 77 ? x : go(x).then(a)' || chr(10) || '  .then(b).then(c);'
+        WHEN kind = 'function' THEN 'function outer' || n || '(a, b) {{' || chr(10) || repeat('  step(a, "if (b) {{");' || chr(10), n) || '  if (a && b || s' || p || ') {{ return `x ${{a ? `y${{b}}` : "}}"}} {{`; }}' || chr(10) || '}}'
+        WHEN kind = 'class' THEN 'class K' || p % 5 || ' extends B {{' || chr(10) || {_METHOD} || chr(10) || '}}'
+        ELSE {_METHOD} END) AS text_md5
+    FROM ({_UNITS}) JOIN s USING (path)""",
+)
