@@ -120,22 +120,33 @@ def script_hits(lines: Column) -> Column:
     return F.concat(*(x.cast(_HIT) for x in (numbers, chains, unhandled, deep, large)))
 
 
+_AT = "\x00"  # between a name and its line: sorts before all characters of names
+
+
 def declarations(lines: Column) -> Column:
-    """Names with the line that declares them."""
+    """Names with the line that declares them, as texts."""
     form = F.lit(r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)")
-    return F.flatten(F.transform(lines, lambda x, i: F.transform(F.regexp_extract_all(x, form, F.lit(1)), lambda v: F.struct(v.alias("name"), (i + 1).alias("line")))))
+    return F.flatten(F.transform(lines, lambda x, i: F.transform(F.regexp_extract_all(x, form, F.lit(1)), lambda v: F.concat(v, F.lit(_AT), (i + 1).cast("string")))))
+
+
+def words_at(lines: Column) -> Column:
+    """All words with their lines, as texts, each once, in order: a word's lines are neighbours."""
+    word = F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*")
+    return F.sort_array(F.flatten(F.transform(lines, lambda x, i: F.transform(F.array_distinct(F.regexp_extract_all(x, word, F.lit(0))), lambda v: F.concat(v, F.lit(_AT), (i + 1).cast("string"))))))
 
 
-def line_words(lines: Column) -> Column:
-    return F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.regexp_extract_all(x, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)).alias("words")))
+def word_of(told: Column) -> Column:
+    return F.substring_index(told, _AT, 1)
 
 
 def unused_hits(declared: Column, words: Column) -> Column:
-    """Declared names that stand on no other line than that of their last declaration. Both are columns."""
-    # of each name the last declaration: a later one with the same name rules it out
-    last = F.filter(declared, lambda d, k: ~F.exists(F.slice(declared, k + 2, F.size(declared)), lambda e: e["name"] == d["name"]))
-    unused = F.filter(last, lambda d: ~F.exists(words, lambda w: (w["line"] != d["line"]) & F.array_contains(w["words"], d["name"])))
-    return F.transform(unused, lambda d: _hit(d["line"], "code_smell", "unused_variable", "info", F.concat(F.lit("Unused variable "), d["name"]))).cast(_HIT)
+    """Declared names that stand on one line only, that of their declaration. Both are columns; linear but for the sort of words."""
+    n = F.size(words)
+    none = F.array(F.lit(None).cast("string"))
+    near = F.arrays_zip(words.alias("w"), F.concat(none, F.slice(words, 1, F.greatest(n - 1, F.lit(0)))).alias("before"), F.slice(words, 2, n).alias("after"))
+    alone = F.filter(near, lambda x: ~word_of(x["w"]).eqNullSafe(word_of(x["before"])) & ~word_of(x["w"]).eqNullSafe(word_of(x["after"])))
+    unused = F.array_intersect(declared, F.transform(alone, lambda x: x["w"]))
+    return F.transform(unused, lambda d: _hit(F.substring_index(d, _AT, -1), "code_smell", "unused_variable", "info", F.concat(F.lit("Unused variable "), word_of(d)))).cast(_HIT)
 
 
 def detect(files: DataFrame, rules: list[str] | None = None, disabled: list[str] = ()) -> DataFrame:
@@ -145,7 +156,7 @@ def detect(files: DataFrame, rules: list[str] | None = None, disabled: list[str]
     expressions in the JVM, only Python files' contents go to a Python worker."""
     script = F.col("file_type").isin("javascript", "typescript")
     cut = files.where(script | (F.col("file_type") == "python")).select("path", F.when(~script, F.coalesce("content", F.lit(""))).alias("source"), F.when(script, F.split("content", "\r?\n")).alias("lines"))
-    told = cut.select("path", "source", "lines", declarations(F.col("lines")).alias("declared"), line_words(F.col("lines")).alias("words"))
+    told = cut.select("path", "source", "lines", declarations(F.col("lines")).alias("declared"), words_at(F.col("lines")).alias("words"))
     rows = told.select("path", "source", F.concat(script_hits(F.col("lines")), unused_hits(F.col("declared"), F.col("words"))).alias("hits"))
 
     def run(batches):

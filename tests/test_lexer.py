@@ -91,3 +91,17 @@ def test_frames(spark):
     assert told["K"] == "\n".join(CODE.split("\n")[10:15]) and told["outer"].endswith("inner;\n}")
     assert lexer.findings(found).count() == 7
     assert lexer.syntax(files.limit(0)).count() == 0
+
+
+def test_unused_by_lines_is_linear(spark):
+    """The rule over lines that detect() applies: names on one line only; time grows with the file."""
+    from codeseam.sources import detectors
+
+    lines = ["let a = 1; let a = 2", "const b = a", "var c", "let c", "let $d = $d", "const e", "", "letter e2", "const f = 1; f()"]
+    long = [x for i in range(8000) for x in (f"const v{i} = 1;", f"use(v{i - 1});")]
+    files = spark.createDataFrame([("/a.js", "javascript", "\n".join(lines)), ("/long.js", "javascript", "\n".join(long))], "path string, file_type string, content string")
+    detectors.detect(files.where("path = '/a.js'")).collect()
+    began = time.monotonic()
+    got = {(r.file_path, r.line, r.message) for r in detectors.detect(files, ["unused_variable"]).collect()}
+    assert got == {("/a.js", 2, "Unused variable b"), ("/a.js", 5, "Unused variable $d"), ("/a.js", 6, "Unused variable e"), ("/a.js", 9, "Unused variable f"), ("/long.js", 15999, "Unused variable v7999")}
+    assert time.monotonic() - began < 20
