@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import literal_map
+from ..storage import dropped, written
 
 
 def token_count(text: Column) -> Column:
@@ -70,13 +72,17 @@ def priority(pattern_hits: Column, type_weight: Column, dependencies: Column) ->
 
 
 def next_fit(snippets: DataFrame, order: str, tokens: str, budget: int, scope: list[str] = ()) -> DataFrame:
-    """batch_id of each snippet: batches are filled in order and closed when the next one doesn't fit.
+    """batch_id of each snippet: batches are filled in order and closed when the next one doesn't fit (one that is larger than
+    the budget is a batch of its own).
 
-    Whether a batch closes depends on all before it, so each scope (default: the whole input) is one ordered
-    stream of two narrow columns; only a running total is held. Give a scope, such as a source, to spread it."""
+    With a scope, such as a source, each scope is one ordered stream of two narrow columns; without one the order is that
+    of the whole input, and ranges of it are worked on at once (_next_fit_by_ranges). Null tokens count as none."""
     keys = list(scope)
-    rows = snippets.select(*keys, F.col(order).cast("long").alias("__o"), F.col(tokens).cast("long").alias("__t"))
-    rows = (rows.repartition(*keys).sortWithinPartitions(*keys, "__o") if keys else rows.repartition(1).sortWithinPartitions("__o"))
+    tokens_of = F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("__t")
+    rows = snippets.select(*keys, F.col(order).cast("long").alias("__o"), tokens_of)
+    if not keys:
+        return _next_fit_by_ranges(rows, order, budget)
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "__o", "__t")
     k = len(keys)
 
     def run(batches):
@@ -97,6 +103,107 @@ def next_fit(snippets: DataFrame, order: str, tokens: str, budget: int, scope: l
     return rows.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keys] + [f"`{order}` long", "batch_id long"]))
 
 
+def _next_fit_by_ranges(rows: DataFrame, order: str, budget: int) -> DataFrame:
+    """Next fit over one global order (__o, __t) without one task that reads it all.
+
+    Rows are dealt by ranges and held, so that places and running sums are fixed. A batch that begins after a sum s of
+    tokens ends before the first row whose running sum passes s + budget: a search in the range where that sum lies, for
+    each distinct s. In a range these pointers are shortened to the first start behind it; from the first row on,
+    pointers between ranges are doubled until every range knows where its first batch begins (as many rounds as the
+    logarithm of the number of ranges); then all ranges walk at once. The driver sees a few numbers of each range."""
+    spark = rows.sparkSession
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    held = written(rows.repartitionByRange("__o", "__t").sortWithinPartitions("__o", "__t").select(F.spark_partition_id().cast("long").alias("p"), place.alias("k"), "__o", "__t"))
+    ranges = held.groupBy("p").agg(F.count("*").alias("n"), F.sum("__t").alias("t")).orderBy("p").collect()  # a row of each range
+    if not ranges:
+        return held.select(F.col("__o").alias(order), F.col("p").alias("batch_id"))
+    number = {r.p: i for i, r in enumerate(ranges)}
+    first = np.cumsum([0, *(r.n for r in ranges)])
+    upto = np.cumsum([0, *(r.t for r in ranges)])
+    grouped = held.groupBy("p")
+
+    def sums(rows: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+        """The range's number, its rows' tokens in order, and the sums before them."""
+        rows = rows.sort_by("k")
+        at, t = number[rows["p"][0].as_py()], rows["__t"].to_numpy()
+        return at, t, upto[at] + np.cumsum(t) - t
+
+    def asked(rows: pa.Table) -> pa.Table:
+        at, _, s = sums(rows)
+        s = np.unique(s)
+        to = np.searchsorted(upto[1:], s + budget, "right")  # the range whose running sums pass it first
+        keep = to < len(ranges)
+        ids = np.array([r.p for r in ranges], np.int64)
+        return pa.table({"p": pa.array(ids[to[keep]]), "asker": pa.array(np.full(keep.sum(), ids[at])), "s": pa.array(s[keep])})
+
+    def answered(rows: pa.Table, questions: pa.Table) -> pa.Table:
+        out = {"p": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "next": pa.array([], pa.int64()), "crosses": pa.array([], pa.bool_())}
+        if rows.num_rows and questions.num_rows:
+            at, t, before = sums(rows)
+            s = questions["s"].to_numpy()
+            hit = np.searchsorted(before + t, s + budget, "right")
+            to = first[at] + hit + (before[hit] <= s)  # an oversize row joins a batch that has no tokens yet
+            asker = questions["asker"].to_numpy()
+            ends = first[[number[a] + 1 for a in asker.tolist()]]
+            keep = to < first[-1]
+            out = {"p": pa.array(asker[keep]), "s": pa.array(s[keep]), "next": pa.array(to[keep]), "crosses": pa.array((to >= ends)[keep])}
+        return pa.table(out)
+
+    def pointers(rows: pa.Table, found: pa.Table) -> tuple[int, np.ndarray]:
+        """The range's number and each row's next start (-1: none)."""
+        at, _, before = sums(rows)
+        found = found.sort_by("s")
+        s, to = found["s"].to_numpy(), found["next"].to_numpy()
+        where = np.searchsorted(s, before)
+        known = where < len(s)
+        known[known] = s[where[known]] == before[known]
+        out = np.full(len(before), -1, np.int64)
+        out[known] = to[where[known]]
+        return at, out
+
+    def exits(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"i": pa.array([], pa.int64()), "exit": pa.array([], pa.int64())})
+        at, to = pointers(rows, found)
+        low, high = int(first[at]), int(first[at + 1])
+        out = to.tolist()
+        for k in range(len(out) - 1, -1, -1):
+            if low <= out[k] < high:
+                out[k] = out[out[k] - low]
+        return pa.table({"i": pa.array(np.arange(low, high)), "exit": pa.array(out, pa.int64())})
+
+    questions = grouped.applyInArrow(asked, "p long, asker long, s long")
+    nexts = written(grouped.cogroup(questions.groupBy("p")).applyInArrow(answered, "p long, s long, next long, crosses boolean"))
+    by_asker = nexts.groupBy("p")
+    entries = nexts.where("crosses").select(F.col("next").alias("e")).distinct().union(spark.range(1).select(F.col("id").alias("e")))
+    jump = written(grouped.cogroup(by_asker).applyInArrow(exits, "i long, exit long").join(entries.distinct(), F.col("i") == F.col("e"), "left_semi"))
+    starts = spark.range(1).select(F.col("id").alias("i"))
+    for _ in range(len(ranges).bit_length()):
+        further = starts.join(jump, "i").where("exit >= 0").select(F.col("exit").alias("i"))
+        starts = written(starts.union(further).distinct())
+        ahead = jump.select(F.col("i").alias("exit"), F.col("exit").alias("far"))
+        jump = written(jump.join(ahead, "exit", "left").select("i", F.coalesce("far", F.lit(-1).cast("long")).alias("exit")))
+    begins = {int(np.searchsorted(first, r.i, "right")) - 1: r.i for r in starts.collect()}  # one of each range at most
+
+    def walked(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"p": pa.array([], pa.int64()), "__o": pa.array([], pa.int64()), "batch": pa.array([], pa.int64())})
+        at, to = pointers(rows, found)
+        marks, i = np.zeros(len(to), np.int64), begins.get(at, -1)
+        while first[at] <= i < first[at + 1]:
+            marks[i - first[at]] = 1
+            i = int(to[i - first[at]])
+        rows = rows.sort_by("k")
+        return pa.table({"p": rows["p"], "__o": rows["__o"], "batch": pa.array(np.cumsum(marks))})
+
+    told = written(grouped.cogroup(by_asker).applyInArrow(walked, "p long, `__o` long, batch long"))
+    counts = dict(told.groupBy("p").agg(F.max("batch")).collect())
+    before = np.cumsum([0, *(counts[r.p] for r in ranges)])
+    offsets = spark.createDataFrame([(r.p, int(before[i]) - 1) for i, r in enumerate(ranges)], "q long, earlier long")
+    dropped(held, nexts, jump)
+    return told.join(offsets, F.col("p") == F.col("q")).select(F.col("__o").alias(order), (F.col("batch") + F.col("earlier")).alias("batch_id"))
+
+
 def batch_totals(batched: DataFrame) -> DataFrame:
     """Snippets and tokens of each batch, and its files and lines where the snippets tell."""
     more = [F.countDistinct("path").alias("files")] if "path" in batched.columns else []
