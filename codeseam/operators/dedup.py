@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .likeness import Leaders, containing
 from ..schemas import DEPENDENCY_TYPES, PERFORMANCE_TYPES, QUALITY_TYPES, SECURITY_TYPES, SEVERITIES, STYLE_TYPES, complete, severity_ordinal, type_group
 
 
@@ -17,8 +20,9 @@ def content_id() -> Column:
 
 
 def _either_way(a: Column, b: Column) -> Column:
+    """Whether one text contains the other; empty ones contain and are in nothing."""
     a, b = F.lower(a), F.lower(b)
-    return F.contains(a, b) | F.contains(b, a)
+    return (F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a))
 
 
 def _scopes(findings: DataFrame) -> list[Column]:
@@ -31,21 +35,33 @@ def similar_pairs(findings: DataFrame, tolerance: int = 5) -> DataFrame:
 
     Places are near if their lines are; where one has no line, if function or class are the same, also if neither
     has one. The equi-key is (file, type group); findings with lines are also keyed by blocks of lines, each row
-    meeting its own and the neighbouring ones, so that a hot file isn't compared with itself as a whole."""
+    meeting its own and the neighbouring ones, so that a hot file isn't compared with itself as a whole; findings
+    without lines meet by rule and by rare q-grams."""
     f = findings.select("ingest_seq", "file_path", type_group("finding_type").alias("grp"), "line_start", "rule_id", "title", "message", *_scopes(findings))
     step = max(1, tolerance)
     lined = f.where("line_start is not null").withColumn("block", F.floor(F.col("line_start") / step))
     blocks = F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)
     x, y = lined.withColumn("meet", F.explode(blocks)).alias("x"), lined.alias("y")
     same = (F.col("x.file_path") == F.col("y.file_path")) & (F.col("x.grp") == F.col("y.grp"))
-    like = ((F.col("x.rule_id") == F.col("y.rule_id")) & (F.length("x.rule_id") > 0)) | _either_way(F.col("x.title"), F.col("y.title")) | _either_way(F.col("x.message"), F.col("y.message"))
-    like = F.coalesce(like, F.lit(False))
+    same_rule = (F.col("x.rule_id") == F.col("y.rule_id")) & (F.length("x.rule_id") > 0)
+    like = F.lit(False)
+    for part in (same_rule, _either_way(F.col("x.title"), F.col("y.title")), _either_way(F.col("x.message"), F.col("y.message"))):
+        like = like | F.coalesce(part, F.lit(False))
     near = (F.col("x.meet") == F.col("y.block")) & (F.abs(F.col("x.line_start") - F.col("y.line_start")) <= tolerance)
     pairs = x.join(y, same & near & like & (F.col("x.ingest_seq") < F.col("y.ingest_seq"))).select(F.col("x.ingest_seq").alias("a"), F.col("y.ingest_seq").alias("b"))
-    x, y = f.where("line_start is null").alias("x"), f.alias("y")
-    scope = F.col("x.function_name").eqNullSafe(F.col("y.function_name")) | F.col("x.class_name").eqNullSafe(F.col("y.class_name"))
-    once = (F.col("x.ingest_seq") < F.col("y.ingest_seq")) | ((F.col("x.ingest_seq") > F.col("y.ingest_seq")) & F.col("y.line_start").isNotNull())
-    loose = x.join(y, same & scope & like & once).select(F.least("x.ingest_seq", "y.ingest_seq").alias("a"), F.greatest("x.ingest_seq", "y.ingest_seq").alias("b"))
+    # without a line on one side at least: pairs by rule, and texts that hold each other by their q-grams
+    loose_files = f.where("line_start is null").select("file_path", "grp").distinct()
+    g = f.join(loose_files, ["file_path", "grp"], "left_semi")
+    scope = ["function_name", "class_name"]
+    lined = F.col("line_start").isNotNull().alias("lined")
+    ends = g.select("ingest_seq", lined, *scope)
+    ruled = g.where("length(rule_id) > 0").select("file_path", "grp", "rule_id", F.col("ingest_seq").alias("n"), lined)
+    by_rule = ruled.where("not lined").select("file_path", "grp", "rule_id", F.col("n").alias("a")).join(ruled.select("file_path", "grp", "rule_id", F.col("n").alias("b")), ["file_path", "grp", "rule_id"]).where("a <> b").select("a", "b")
+    by_text = [containing(g.select("file_path", "grp", F.col("ingest_seq").alias("n"), F.lower(c).alias("text")), ["file_path", "grp"]).select(F.col("inner").alias("a"), F.col("outer").alias("b")) for c in ("title", "message")]
+    drawn = reduce(DataFrame.union, [by_rule, *by_text]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = (ends.select(*(F.col(c).alias(f"{c}_{k}") for c in ends.columns)) for k in "ab")
+    near_scope = F.col("function_name_a").eqNullSafe(F.col("function_name_b")) | F.col("class_name_a").eqNullSafe(F.col("class_name_b"))
+    loose = drawn.join(x, F.col("a") == F.col("ingest_seq_a")).join(y, F.col("b") == F.col("ingest_seq_b")).where(near_scope & ~(F.col("lined_a") & F.col("lined_b"))).select("a", "b")
     return pairs.union(loose)
 
 
@@ -53,7 +69,9 @@ def leader_groups(findings: DataFrame, tolerance: int = 5) -> DataFrame:
     """ingest_seq, leader: each finding, in arrival order within its file, joins the first leader it resembles, else leads.
 
     Order-dependent and not transitive, so a fold in arrival order. Only findings of one (file, type group) can
-    resemble each other, so that is the partition; rows stream in order and leaders are held by line."""
+    resemble each other, so that is the partition; rows stream in order. Leaders are held by line and, for findings
+    without one, in an index of rare q-grams by function and by class, so that a manifest's findings aren't compared
+    with all before them."""
     rows = findings.select("file_path", type_group("finding_type").alias("grp"), "ingest_seq", "line_start", "rule_id", "title", "message", *_scopes(findings))
     rows = rows.repartition("file_path", "grp").sortWithinPartitions("file_path", "grp", "ingest_seq")
 
@@ -61,19 +79,26 @@ def leader_groups(findings: DataFrame, tolerance: int = 5) -> DataFrame:
         return (rule and rule == x[2]) or (title and x[3] and (title in x[3] or x[3] in title)) or (message and x[4] and (message in x[4] or x[4] in message))
 
     def run(batches):
-        at, leaders, order = None, {}, 0
+        at = None
         for batch in batches:
             seqs, heads = [], []
             for file, grp, seq, line, rule, title, message, *scope in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                if (file, grp) != at:
-                    at, leaders, order = (file, grp), {}, 0
-                t, m = (title or "").lower(), (message or "").lower()
-                lines = leaders if line is None else (*range(line - tolerance, line + tolerance + 1), None)
-                near = (x for k in lines for x in leaders.get(k, ()) if (line is not None and k is not None) or x[5][0] == scope[0] or x[5][1] == scope[1])
-                head = min((x[:2] for x in near if alike(x, rule, t, m)), default=None)
+                if (file, grp) != at:  # leaders by line; by function and by class: those without a line, and all
+                    at, by_line, loose, every, order = (file, grp), {}, {}, {}, 0
+                texts = (title or "").lower(), (message or "").lower()
+                near = (x for k in range(line - tolerance, line + tolerance + 1) for x in by_line.get(k, ())) if line is not None else ()
+                found = [x[:2] for x in near if alike(x, rule, *texts)]
+                for k in enumerate(scope):
+                    index = (every if line is None else loose).get(k)
+                    found.append(index.first(rule, texts) if index else None)
+                head = min((h for h in found if h), default=None)
                 if head is None:
                     head = (order, seq)
-                    leaders.setdefault(line, []).append((order, seq, rule, t, m, scope))
+                    if line is not None:
+                        by_line.setdefault(line, []).append((order, seq, rule, *texts))
+                    for held in (every,) if line is not None else (every, loose):
+                        for k in enumerate(scope):
+                            held.setdefault(k, Leaders()).add(head, rule, texts)
                     order += 1
                 seqs.append(seq)
                 heads.append(head[1])

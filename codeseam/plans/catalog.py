@@ -82,7 +82,7 @@ def _cluster(view: str, function: str = "NULL::VARCHAR", class_: str = "NULL::VA
 _CLUSTER = _cluster("findings_v")
 _ID = "substr(sha256(concat_ws(':', finding_type, file_path, coalesce(CAST(line_start AS VARCHAR),'None'), title, coalesce(rule_id,'None'))), 1, 16)"
 # members of groups; of each the primary; all that fold (the primary first, then those with another id by arrival)
-_MEMBERS = f"""j AS (SELECT f.*, l.leader, {ORD} AS o, {_ID} AS id FROM {{view}} f JOIN (SELECT ingest_seq, leader FROM lead) l USING (ingest_seq)),
+_MEMBERS = f"""j AS MATERIALIZED (SELECT f.*, l.leader, {ORD} AS o, {_ID} AS id FROM {{view}} f JOIN (SELECT ingest_seq, leader FROM lead) l USING (ingest_seq)),
     p AS (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY o DESC, confidence DESC, ingest_seq) AS rn FROM j), pr AS (SELECT * FROM p WHERE rn = 1),
     q AS (SELECT p.*, (p.rn > 1)::INT AS k FROM p JOIN pr USING (leader) WHERE p.rn = 1 OR p.id <> pr.id), sizes AS (SELECT leader, count(*) AS group_size FROM j GROUP BY 1)"""
 _BAR = "list_reduce(list({0} ORDER BY k, ingest_seq), lambda a, b: CASE WHEN b = '' OR b = a THEN a WHEN a = '' THEN b ELSE a || ' | ' || b END)"
