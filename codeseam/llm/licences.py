@@ -1,8 +1,8 @@
 """Licence scans by conditional compression.
 
 Candidate blocks of a text (around words that licence notices use) are compressed by zstandard with each
-template as a raw dictionary; the template that saves most, relative to compressing without one, wins if its
-wording is then confirmed: the block's words are aligned with the template's and their exact differences counted.
+template as a raw dictionary; templates are tried from the largest saving on, relative to compressing without one,
+and the first whose wording is confirmed wins: the block's words are aligned with the template's and their exact differences counted.
 Blocks are cut at a bound, with overlaps longer than any wording, so a text full of such words takes bounded steps.
 """
 
@@ -28,7 +28,7 @@ _YEAR = re.compile(r"(?:19|20)\d\d(?:[-/](?:19|20)?\d\d)*")
 _SPDX = re.compile(r":?[ \t]*(\(*[A-Za-z0-9.+:-]*[A-Za-z0-9+]\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+:-]*[A-Za-z0-9+]\)*)*)")
 #: Characters of a block around a trigger word, at least; and where a long block is cut.
 REACH, CUT = 240, 8_000
-MIN_SAVING, MAX_DIFFERENCES, MOST_DIFFERENCES = 0.25, 0.15, 10
+MIN_SAVING, MAX_DIFFERENCES = 0.25, 0.15
 
 
 def wanted_words(wording: str) -> list[str]:
@@ -37,8 +37,8 @@ def wanted_words(wording: str) -> list[str]:
 
 
 def allowed(words: int, max_differences: float) -> int:
-    """How many words of a wording may differ: a share of them, and not more than MOST_DIFFERENCES."""
-    return min(int(max_differences * words), MOST_DIFFERENCES)
+    """How many words of a wording may differ: a share of them."""
+    return int(max_differences * words)
 
 
 def reaches(templates: dict[str, str], max_differences: float = MAX_DIFFERENCES) -> dict[str, int]:
@@ -147,22 +147,21 @@ class Scanner:
         self.templates = {}
         for name, wording in templates.items():
             raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words = wanted_words(wording)
-            self.templates[name] = (zstandard.ZstdCompressor(level=19, dict_data=raw), words, Counter(words))
+            raw.precompute_compress(level=19)
+            self.templates[name] = (zstandard.ZstdCompressor(level=19, dict_data=raw), wanted_words(wording))
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the size they save of the block, as a share of what they could save at most; those that
-        more words of the block differ from than confirm() accepts are left out."""
-        held = Counter(word(m[0]) for m in _WORD.finditer(block))
-        near = [(name, compressor, words) for name, (compressor, words, need) in self.templates.items() if (need - held).total() <= allowed(len(words), self.max_differences)]
-        return sorted(zip(self.savings(block, near), (name for name, _, _ in near)), key=lambda x: (-x[0], x[1]))
-
-    def savings(self, block: str, templates: list[tuple]) -> list[float]:
-        if not templates:
-            return []
+        """All templates by the size they save of the block, as a share of what they could save at most."""
+        return sorted(zip(self.savings(block, list(self.templates)), self.templates), key=lambda x: (-x[0], x[1]))
+
+    def savings(self, block: str, names: list[str]) -> list[float]:
         raw = block.encode("utf-8", "surrogatepass")
         base = len(self.plain.compress(raw))
-        return [(base - len(compressor.compress(raw))) / max(1, min(base, sum(len(w) for w in words if w != "<year>"))) for _, compressor, words in templates]
+        out = []
+        for name in names:
+            compressor, words = self.templates[name]
+            out.append((base - len(compressor.compress(raw))) / max(1, min(base, sum(len(w) for w in words if w != "<year>"))))
+        return out
 
     def confirm(self, block: str, name: str) -> list[tuple[int, int, list[str]]]:
         """Ranges of the wording in the block, which don't overlap, and each one's exact differences from the template."""
@@ -206,7 +205,7 @@ class Scanner:
                     sure = []
                     for start, end, differences in self.confirm(text[a:b], name):
                         # in a long block a short notice saves little: it's measured alone
-                        own = saving if saving >= self.min_saving else self.savings(text[a + start : a + end], [(name, *self.templates[name][:2])])[0]
+                        own = saving if saving >= self.min_saving else self.savings(text[a + start : a + end], [name])[0]
                         if own >= self.min_saving:
                             sure.append((a + start, a + end))
                             out[a + start, a + end] = (name, own, differences)

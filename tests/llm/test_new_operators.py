@@ -296,3 +296,42 @@ def test_outliers_without_groups(spark):
     got = outliers.digest_outliers(outliers.outlier_scores(docs)).collect()
     assert sorted((r.n_words, r.base_failed, r.kept, r.distance) for r in got) == [(0, True, False, None), (3, True, False, None), (80, False, True, None)]
     assert outliers.outlier_scores(docs.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- licences: compression decides
+
+
+def test_ranking_decides(monkeypatch):
+    """Of two wordings that the exact words would both allow, the one that compresses the block best is reported."""
+    from codeseam.llm import licences
+
+    wording = "this programme is given away freely under the terms of the garden licence of the village council and nothing else at all"
+    own = {"a-near": wording.replace("garden", "meadow").replace("village", "county"), "b-exact": wording}
+    text = "some words before it " + wording + " and some behind"
+    scanner = licences.Scanner(own)
+    assert [(x[2], len(x[4])) for x in scanner.scan(text)] == [("b-exact", 0)]
+    true = scanner.savings
+    monkeypatch.setattr(scanner, "savings", lambda block, names: [s + (name == "a-near") for s, name in zip(true(block, names), names)])
+    assert [(x[2], len(x[4])) for x in scanner.scan(text)] == [("a-near", 2)]
+
+
+def test_each_template_compresses_each_block(monkeypatch):
+    from codeseam.llm import licences
+
+    scanner, asked = licences.Scanner(), []
+    true = scanner.savings
+    monkeypatch.setattr(scanner, "savings", lambda block, names: asked.append(list(names)) or true(block, names))
+    assert [x[2] for x in scanner.scan("see the words. Released under the MIT License. Bye")] == ["MIT"]
+    assert asked[0] == list(licences.TEMPLATES)
+
+
+def test_many_differences():
+    """A long text may differ by its share of words, whatever their number."""
+    from codeseam.llm import licences
+
+    r = random.Random(4)
+    words = licences.TEMPLATES["MIT-text"].replace("<year>", "2024").split()
+    for k in r.sample(range(len(words)), 12):
+        words[k] = "other"
+    found = licences.Scanner().scan(" ".join(words))
+    assert [x[2] for x in found] == ["MIT-text"] and sum(len(d.split(" -> ")[1].split()) for d in found[0][4]) >= 10
