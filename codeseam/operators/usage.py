@@ -85,10 +85,19 @@ def budget_status(usage: DataFrame, daily: int, monthly: int, total: int) -> Dat
 
 
 def trailing_tokens(usage: DataFrame, seconds: int = 60) -> DataFrame:
-    """Tokens of the trailing window up to each request, per model (the limiter's scope)."""
-    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    w = W.partitionBy("model").orderBy("__us").rangeBetween(-seconds * 1_000_000, 0)
-    return usage.withColumn("__us", at).select("request_id", "model", F.sum("input_tokens").over(w).alias("trailing"))
+    """Tokens of the trailing window up to each request, per model (the limiter's scope); null tokens count as none.
+
+    Time is cut into buckets as long as the window, so a window reaches into one bucket before its own: a request's
+    tokens are added in its bucket and, carried over, taken off in the next one just after they leave the window. A
+    task sorts a model's bucket, never all of a model."""
+    length = seconds * 1_000_000
+    rows = usage.select("request_id", "model", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), F.coalesce(F.col("input_tokens").cast("long"), F.lit(0)).alias("n"))
+    bucket = F.floor(F.col("us") / length)
+    own = rows.select("request_id", "model", bucket.alias("bucket"), (2 * F.col("us")).alias("at"), "n", F.lit(0).cast("long").alias("carried"), F.lit(True).alias("own"))
+    left = rows.select(F.lit(None).cast(dict(rows.dtypes)["request_id"]).alias("request_id"), "model", (bucket + 1).alias("bucket"), (2 * (F.col("us") + length) + 1).alias("at"), (-F.col("n")).alias("n"), F.col("n").alias("carried"), F.lit(False).alias("own"))
+    w = W.partitionBy("model", "bucket")
+    total = F.sum("n").over(w.orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)) + F.sum("carried").over(w)
+    return own.union(left).withColumn("trailing", total).where("own").select("request_id", "model", "trailing")
 
 
 def budget_alerts(usage: DataFrame, daily: int, warn: float = 0.8) -> DataFrame:

@@ -239,6 +239,12 @@ on("full_v", "f11_table", lambda f: reports.table_rows(f).drop("detected_at"), f
     effort_to_fix, source, tool_name, array_to_string(list_sort(tags), ',') AS tags, '' AS cwe_ids, '' AS owasp_categories, finding_type AS type, coalesce(CASE WHEN {_plan(0)} IS NOT NULL THEN coalesce(nullif(suggestion, ''), {_plan(2)}) END, '') AS remediation_description, coalesce({_plan(0)}, '') AS remediation_priority, '' AS pattern_name, 0.0::DOUBLE AS pattern_confidence FROM full_v""")
 on("full_v", "b14_first", lambda f: stats.arrival(f, 10).select("ingest_seq", "severity", "title"), "SELECT ingest_seq, severity, title FROM full_v ORDER BY ingest_seq LIMIT 10")
 on("full_v", "b22_tickets", lambda f: reports.tickets(f).select("ingest_seq", "summary", "priority", F.array_join("labels", ",").alias("labels")), "SELECT ingest_seq, '[' || upper(severity) || '] ' || title AS summary, CASE severity WHEN 'critical' THEN 'Highest' ELSE 'High' END AS priority, 'code-analysis,' || replace(finding_type, '_', '-') AS labels FROM full_v WHERE severity IN ('critical', 'high') ORDER BY ingest_seq LIMIT 50")
+on(
+    "full_v", "b21_contained_issues",
+    lambda f: reports.issues(f, f.where("ingest_seq % 3 = 0").select(F.concat(F.lit("Seen in "), "file_path", F.lit(":"), "title", F.lit("0 and elsewhere, see "), "tool_name").alias("body")), 1_000_000).select("signature", "severity"),
+    "SELECT file_path || ':' || title AS signature, severity FROM full_v WHERE severity IN ('critical','high') AND NOT EXISTS "
+    "(SELECT 1 FROM full_v b WHERE b.ingest_seq % 3 = 0 AND contains('Seen in ' || b.file_path || ':' || b.title || '0 and elsewhere, see ' || b.tool_name, full_v.file_path || ':' || full_v.title))",
+)
 on("full_v", "h09_open_issues", lambda f: reports.issues(f, f.where("ingest_seq % 3 = 0").select(F.concat(F.lit("Found:\n- `"), "file_path", F.lit(":"), "title", F.lit("`\nmore")).alias("body")), 1000).select("signature", F.array_join("labels", ",").alias("labels")), "SELECT file_path || ':' || title AS signature, array_to_string(list_sort(['code-analysis', severity, replace(finding_type, '_', '-')]), ',') AS labels FROM full_v WHERE severity IN ('critical','high') AND file_path || ':' || title NOT IN (SELECT file_path || ':' || title FROM full_v WHERE ingest_seq % 3 = 0) ORDER BY ingest_seq LIMIT 1000")
 on("full_v", "n02_columns", lambda f: f.select("ingest_seq", text.location_text(columns=True).alias("location")), "SELECT ingest_seq, file_path || coalesce(':' || line_start || CASE WHEN line_end <> line_start THEN '-' || line_end ELSE '' END, '') || coalesce(':' || column_start || CASE WHEN column_end <> column_start THEN '-' || column_end ELSE '' END, '') AS location FROM full_v")
 on("full_v", "n01_texts", lambda f: f.select("ingest_seq", text.title(F.replace("message", F.lit("="), F.lit("-"))).alias("title"), text.truncate(F.col("message"), 6).alias("short")), "SELECT ingest_seq, upper(left(message, 1)) || substr(split_part(message, ' ', 1), 2) || ' K-' || split_part(message, '=', 2) AS title, CASE WHEN length(message) > 6 THEN left(message, 6) || '...' ELSE message END AS short FROM full_v")

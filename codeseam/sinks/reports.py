@@ -17,6 +17,7 @@ from ..functions.text import emoji, sorted_json, title
 from ..operators import stats
 from ..operators.enrich import enrich
 from ..operators.usage import iso
+from ..operators.automata import contained
 from ..schemas import SEVERITIES, complete, literal_map, severity_ordinal
 
 #: SARIF levels.
@@ -321,12 +322,14 @@ def engine_report(results: dict, form: str = "console") -> str:
 def issues(findings: DataFrame, existing: DataFrame, most: int = 20) -> DataFrame:
     """Payload of an issue tracker: critical and high findings without an open issue of the same file and title.
 
-    existing: signature, or body: the texts of recent issues, whose lines (without list marks) are compared."""
-    if "signature" not in existing.columns:
-        lines = F.transform(F.split("body", r"\r?\n"), lambda x: F.regexp_replace(x, r"^[\s>*`-]+|[\s`]+$", ""))
-        existing = existing.select(F.explode(lines).alias("signature"))
+    existing: signature, or body: the texts of recent issues, of which none may hold ``file:title`` anywhere."""
     sign = F.concat("file_path", F.lit(":"), "title")
-    new = findings.where(F.col("severity").isin("critical", "high")).withColumn("signature", sign).join(existing.select("signature").distinct(), "signature", "left_anti")
+    new = findings.where(F.col("severity").isin("critical", "high")).withColumn("signature", sign)
+    if "signature" in existing.columns:
+        known = existing.select("signature").distinct()
+    else:
+        known = contained(new.select(F.col("signature").alias("pattern")), existing.select(F.col("body").alias("text"))).withColumnRenamed("pattern", "signature")
+    new = new.join(known, "signature", "left_anti")
     labels = F.array_sort(F.array_distinct(F.array(F.lit("code-analysis"), "severity", F.replace("finding_type", F.lit("_"), F.lit("-")))))
     return new.orderBy("ingest_seq").limit(most).select("signature", "severity", "title", labels.alias("labels"))
 
