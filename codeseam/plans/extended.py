@@ -8,7 +8,7 @@ from ..adapters import ORD, SQL, advisories_v, files_v, findings_v, full_v, pack
 from ..functions import text
 from ..operators import batching, cachetable, dedup, deps, enrich, findings, patterns, stats, usage
 from ..schemas import DEBT_BASE, DEBT_FACTOR, EMOJI
-from ..sinks import reports
+from ..sinks import documents, reports
 from ..sources import detectors, linters, manifests, parsers, readers, trees
 from ..sources import files as scans
 from .details import _repeat, _s, _text, python_code, script_code
@@ -245,6 +245,13 @@ on(
     "SELECT file_path || ':' || title AS signature, severity FROM full_v WHERE severity IN ('critical','high') AND NOT EXISTS "
     "(SELECT 1 FROM full_v b WHERE b.ingest_seq % 3 = 0 AND contains('Seen in ' || b.file_path || ':' || b.title || '0 and elsewhere, see ' || b.tool_name, full_v.file_path || ':' || full_v.title))",
 )
+on(
+    "full_v", "b05_sarif_fragments", lambda f: documents.sarif_fragments(f).groupBy("edge", "source", "tool_name", "section").agg(F.count("*").alias("n"), F.count_if(F.startswith("text", F.lit(","))).alias("commas"), F.max("seq").alias("last")),
+    """, t AS (SELECT source, tool_name, count(*) AS n, max(ingest_seq) AS last, row_number() OVER (ORDER BY source, tool_name) AS k FROM full_v GROUP BY 1, 2),
+    u AS (SELECT source, tool_name, rule_id, min(ingest_seq) AS first FROM full_v WHERE rule_id <> '' GROUP BY ALL), v AS (SELECT source, tool_name, count(*) AS n, max(first) AS last FROM u GROUP BY 1, 2)
+    SELECT 1 AS edge, source, tool_name, 0 AS section, 1 AS n, (k > 1)::BIGINT AS commas, 0 AS last FROM t UNION ALL SELECT 1, source, tool_name, 1, n, n - 1, last FROM v UNION ALL SELECT 1, source, tool_name, 2, 1, 0, 0 FROM t
+    UNION ALL SELECT 1, source, tool_name, 3, n, n - 1, last FROM t UNION ALL SELECT 1, source, tool_name, 4, 1, 0, 0 FROM t UNION ALL VALUES (0, NULL, NULL, 0, 1, 0, 0), (2, NULL, NULL, 0, 1, 0, 0)""",
+)
 on("full_v", "h09_open_issues", lambda f: reports.issues(f, f.where("ingest_seq % 3 = 0").select(F.concat(F.lit("Found:\n- `"), "file_path", F.lit(":"), "title", F.lit("`\nmore")).alias("body")), 1000).select("signature", F.array_join("labels", ",").alias("labels")), "SELECT file_path || ':' || title AS signature, array_to_string(list_sort(['code-analysis', severity, replace(finding_type, '_', '-')]), ',') AS labels FROM full_v WHERE severity IN ('critical','high') AND file_path || ':' || title NOT IN (SELECT file_path || ':' || title FROM full_v WHERE ingest_seq % 3 = 0) ORDER BY ingest_seq LIMIT 1000")
 on("full_v", "n02_columns", lambda f: f.select("ingest_seq", text.location_text(columns=True).alias("location")), "SELECT ingest_seq, file_path || coalesce(':' || line_start || CASE WHEN line_end <> line_start THEN '-' || line_end ELSE '' END, '') || coalesce(':' || column_start || CASE WHEN column_end <> column_start THEN '-' || column_end ELSE '' END, '') AS location FROM full_v")
 on("full_v", "n01_texts", lambda f: f.select("ingest_seq", text.title(F.replace("message", F.lit("="), F.lit("-"))).alias("title"), text.truncate(F.col("message"), 6).alias("short")), "SELECT ingest_seq, upper(left(message, 1)) || substr(split_part(message, ' ', 1), 2) || ' K-' || split_part(message, '=', 2) AS title, CASE WHEN length(message) > 6 THEN left(message, 6) || '...' ELSE message END AS short FROM full_v")

@@ -387,10 +387,16 @@ def _write_text(path: str, parts) -> None:
         f.writelines(parts)
 
 
+def _whole_sarif(findings: DataFrame, path: str) -> None:
+    from .documents import write_sarif as in_parts
+
+    in_parts(findings, path)
+
+
 #: form -> writer; more can be registered.
 EXPORTS: dict[str, Callable[[DataFrame, str], None]] = {
     "json": write_json, "csv": write_csv, "parquet": write_parquet, "report": write_json_report, "enhanced": write_enhanced,
-    "sarif": lambda f, path: _write_text(path, sarif(f)), "html": lambda f, path: _write_text(path, [html_report(f)]), "markdown": lambda f, path: _write_text(path, (x + "\n" for x in markdown_report(f))),
+    "sarif": lambda f, path: _whole_sarif(f, path), "html": lambda f, path: _write_text(path, [html_report(f)]), "markdown": lambda f, path: _write_text(path, (x + "\n" for x in markdown_report(f))),
 }
 
 
