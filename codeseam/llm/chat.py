@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import small_batches
 
@@ -97,11 +98,22 @@ SEGMENT = "conv_id long, seq long, role string, segment string, mask_from long,
 _ATTACHMENTS = pa.list_(pa.struct([("n", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
 
 
+def typed(turns: DataFrame) -> bool:
+    """Whether turns has typed content: a column parts, an array of structs with a text field type; others of that name are foreign."""
+    found = next((f.dataType for f in turns.schema if f.name == "parts"), None)
+    element = getattr(found, "elementType", None)
+    if not isinstance(element, StructType):
+        return False
+    wanted = StructType.fromDDL("x " + PART_TYPE)["x"].dataType.elementType
+    return [f.name for f in element] == [f.name for f in wanted] and element["type"].dataType.typeName() == "string"
+
+
 def format_chat(turns: DataFrame, expansion: Expansion = Expansion(), parallelism: int | None = None) -> DataFrame:
     """One formatted segment per turn, in order within conv_id (seq from 0); a conversation's output is the
     concatenation of its segments.
 
-    turns: conv_id, turn, role, text and optionally parts (typed content; where not null it stands for text).
+    turns: conv_id, turn, role, text and optionally parts (typed content of PART_TYPE's fields; where not null it stands
+    for text; a column parts of any other type is ignored).
     mask_from/mask_to: the range of the segment, in code points, that an assistant's loss covers (null in
     other turns). Rows of a conversation are sorted by turn, then role, text; null turns come first, null
     text and role are empty, repeated rows are repeated turns, null conv_id is a conversation of its own,
@@ -111,7 +123,7 @@ def format_chat(turns: DataFrame, expansion: Expansion = Expansion(), parallelis
     their names.
     """
     small_batches(turns.sparkSession)
-    parts = F.col("parts") if "parts" in turns.columns else F.lit(None)
+    parts = F.col("parts") if typed(turns) else F.lit(None)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), parts.cast(PART_TYPE).alias("parts"))
     rows = (rows.repartition(parallelism, "conv_id") if parallelism else rows.repartition("conv_id")).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
 

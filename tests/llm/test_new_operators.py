@@ -335,3 +335,15 @@ def test_many_differences():
         words[k] = "other"
     found = licences.Scanner().scan(" ".join(words))
     assert [x[2] for x in found] == ["MIT-text"] and sum(len(d.split(" -> ")[1].split()) for d in found[0][4]) >= 10
+
+
+# ---------------------------------------------------------------- chat: foreign columns named parts
+
+
+@pytest.mark.parametrize("foreign", ["'x'", "7", "array('a')", "struct(1 AS type)", "array(struct(1 AS a))", "map('type', 'text')"])
+def test_foreign_parts(spark, foreign):
+    from codeseam.llm import chat
+
+    turns = spark.createDataFrame([(1, 0, "user", "hello <|end|>")], "conv_id long, turn long, role string, text string")
+    want = chat.digest_chat(chat.format_chat(turns)).collect()
+    assert chat.digest_chat(chat.format_chat(turns.withColumn("parts", F.expr(foreign)))).collect() == want
