@@ -295,10 +295,15 @@ def dependency_markdown(packages: DataFrame, advisories: DataFrame) -> Iterator[
     yield "## Recommendations\n" + "\n".join(f"- {x}" for x in recommendations(s.get(("total", "total_vulnerabilities"), 0), unknown))
 
 
+#: The sentences of recommendations.
+VULNERABLE_ADVICE = "Found {} security vulnerabilities. Update affected packages immediately."
+UNLICENSED_ADVICE = "{} dependencies have unknown licenses. Review for compliance."
+ALWAYS_ADVICE = ["Regularly update dependencies to latest stable versions.", "Use semantic versioning and pin critical dependency versions."]
+
+
 def recommendations(vulnerabilities: int, unlicensed: int) -> list[str]:
-    out = [f"Found {vulnerabilities} security vulnerabilities. Update affected packages immediately."] if vulnerabilities else []
-    out += [f"{unlicensed} dependencies have unknown licenses. Review for compliance."] if unlicensed else []
-    return out + ["Regularly update dependencies to latest stable versions.", "Use semantic versioning and pin critical dependency versions."]
+    out = [VULNERABLE_ADVICE.format(vulnerabilities)] if vulnerabilities else []
+    return out + ([UNLICENSED_ADVICE.format(unlicensed)] if unlicensed else []) + ALWAYS_ADVICE
 
 
 def engine_report(results: dict, form: str = "console") -> str:
