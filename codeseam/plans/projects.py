@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..adapters import table
 from ..operators import deps, filegraph
 from ..sources import lexer, parsers
+from ..storage import fresh_folder
+from ..streaming import incremental
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -127,3 +129,37 @@ _on_scripts(
         ELSE {_METHOD} END) AS text_md5
     FROM ({_UNITS}) JOIN s USING (path)""",
 )
+
+
+# Three scans of a project that changes between them, and a stream that parses only what changed
+
+_VERSIONS = {1: "true", 2: "p % 5 <> 0", 3: "p % 5 <> 0 or p % 10 = 0"}  # the files that each scan finds
+_CHANGED = {1: "1", 2: "if(p % 3 = 0, 2, 1)", 3: "if(p % 10 = 0, 3, if(p % 3 = 0, 2, 1))"}  # the version of each
+
+
+def _scanned(rows: DataFrame, seq: int) -> DataFrame:
+    version = f"cast({_CHANGED[seq]} as string)"
+    return rows.where(_VERSIONS[seq]).selectExpr(
+        "concat('/src/m', p, '.py') AS path", f"{version} AS file_hash", f"timestamp_seconds({seq}) AS modified", "'python' AS file_type",
+        f"concat('import base', n, '\\nimport v', {version}, '_', p, '\\n', repeat('x = 1  # import none\\n', cast(n as int))) AS content",
+    )
+
+
+def incremental_imports(spark, sf_dir: str) -> DataFrame:
+    """path, target of the last versions of all modules, after three scans; each stream run parses what one of them changed."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p"), F.col("p_size").cast("long").alias("n"))
+    root = fresh_folder(spark)
+
+    def analyse(files: DataFrame) -> DataFrame:
+        return parsers.python_edges(parsers.nodes(files, "python")).select("path", "target")
+
+    for seq in _VERSIONS:
+        files = _scanned(rows, seq)
+        incremental.record(spark, root, files)
+        incremental.update(spark, root, lambda changes: files.drop("modified").join(changes.select("path", "file_hash"), ["path", "file_hash"], "left_semi"), analyse, whole_every=2)
+    return incremental.current(spark, root)
+
+
+QUERIES["t01_incremental"] = incremental_imports
+ORACLES["t01_incremental"] = """WITH f AS (SELECT p_partkey AS p, p_size AS n, CASE WHEN p_partkey % 10 = 0 THEN 3 WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS v FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 10 = 0)
+    SELECT '/src/m' || p || '.py' AS path, 'base' || n AS target FROM f UNION ALL SELECT '/src/m' || p || '.py', 'v' || v || '_' || p FROM f"""

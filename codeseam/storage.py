@@ -21,10 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._codeseam_dir
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/codeseam-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor takes nothing with it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeseam-{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._codeseam_path = path
