@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import ORD, SQL, advisories_v, files_v, findings_v, full_v, packages_v, table, usage_v
 from ..functions import text
-from ..operators import batching, cachetable, dedup, deps, enrich, findings, patterns, stats, usage
+from ..operators import batching, cachetable, dedup, deps, enrich, findings, patterns, quantiles, stats, usage
 from ..schemas import DEBT_BASE, DEBT_FACTOR, EMOJI
 from ..sinks import documents, reports
 from ..sources import detectors, linters, manifests, parsers, readers, trees
@@ -314,3 +314,21 @@ def _project(spark, sf_dir):
 
 QUERIES["a35_project"] = _project
 ORACLES["a35_project"] = "SELECT printf('/src/module_%03d.py', i) AS path, 100 AS lines, 'value_84 = \"text 84\"' AS last FROM range(40) t(i) UNION ALL SELECT printf('/src/script_%03d.js', i), 50, 'const value46 = \"text 46\";' FROM range(4) t(i)"
+
+_QS = [0.01, 0.25, 0.5, 0.75, 0.99]
+QUERIES["i29_exact_quantiles"] = lambda spark, sf_dir: quantiles.exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", _QS).withColumn("quantile", F.bround("quantile", 4))
+ORACLES["i29_exact_quantiles"] = " UNION ALL ".join(
+    f"SELECT l_returnflag, l_linestatus, CAST({q} AS DOUBLE) AS q, round_even(quantile_cont(CAST(l_extendedprice AS DOUBLE), {q}), 4) AS quantile, count(l_extendedprice) AS n FROM lineitem GROUP BY 1, 2" for q in _QS
+)
+
+
+def _sketches(spark, sf_dir):
+    """Sketches of each return flag and status, merged to one for each status; whether their ranks are within 1 %."""
+    rows = table(spark, sf_dir, "lineitem")
+    merged = quantiles.merged_sketches(quantiles.sketched(rows, ["l_linestatus", "l_returnflag"], "l_extendedprice"), ["l_linestatus"])
+    answers = quantiles.sketch_quantiles(merged, _QS)
+    return quantiles.rank_errors(rows, ["l_linestatus"], "l_extendedprice", answers).select("l_linestatus", "q", (F.col("error") < 0.01).alias("within"))
+
+
+QUERIES["i30_sketch_ranks"] = _sketches
+ORACLES["i30_sketch_ranks"] = " UNION ALL ".join(f"SELECT DISTINCT l_linestatus, CAST({q} AS DOUBLE) AS q, true AS within FROM lineitem" for q in _QS)
