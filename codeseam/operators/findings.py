@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import extensions, literal_map
+from ..storage import written
 
 #: How each source's severities map.
 STATIC = {"info": "info", "warning": "medium", "error": "high", "critical": "critical"}
@@ -134,11 +134,15 @@ def numbered(rows: DataFrame, order: list[str], name: str = "ingest_seq", partit
     """rows with a running number from 0 in an order: rows are dealt by ranges, and each range's begin is the sum of the
     sizes of those before. No task sees more than its range, and the sizes are one row for each.
 
-    Ranges come from a sample, so rows are held once they are dealt: in the checkpoint folder, or on the executors'
-    disks where there is none."""
-    dealt = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    local = dealt.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1))
-    held = local.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else local.persist(StorageLevel.DISK_ONLY)
+    Ranges come from a sample and rows that tie in the order may come either way, so the dealt rows are a table in the
+    shared folder before they are numbered: every use reads the same numbers, also after an executor was lost. The
+    other columns' hash ends the order, so that only equal rows tie. This runs a job at once; the table stays, for the
+    result reads it."""
+    spread = F.xxhash64(*(F.to_json(F.struct(c)) for c in rows.columns if c not in order)) if set(rows.columns) - set(order) else F.lit(0).cast("long")
+    keyed = rows.withColumn("__last", spread)
+    dealt = keyed.repartitionByRange(partitions, *order, "__last").sortWithinPartitions(*order, "__last").drop("__last")
+    local = dealt.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
+    held = written(local)
     sizes = held.groupBy("__part").agg(F.count("*").alias("__n")).agg(F.map_from_entries(F.collect_list(F.struct("__part", "__n"))).alias("__sizes"))  # one row, at most partitions entries
     before = F.aggregate(F.map_entries("__sizes"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] < F.col("__part"), e["value"]).otherwise(0))
     return held.join(F.broadcast(sizes)).select(*rows.columns, (before + F.col("__at")).alias(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..adapters import ORD, SQL, advisories_v, files_v, findings_v, full_v, packages_v, table, usage_v
 from ..functions import text
 from ..operators import batching, cachetable, dedup, deps, enrich, findings, patterns, quantiles, stats, usage
@@ -332,3 +333,15 @@ def _sketches(spark, sf_dir):
 
 QUERIES["i30_sketch_ranks"] = _sketches
 ORACLES["i30_sketch_ranks"] = " UNION ALL ".join(f"SELECT DISTINCT l_linestatus, CAST({q} AS DOUBLE) AS q, true AS within FROM lineitem" for q in _QS)
+
+
+def _tokenized(spark, sf_dir):
+    """Documents in batches of at most 8,000 tokens of a public tokenizer, in the order of their ids."""
+    import public_tokenizers
+
+    counted = batching.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), "text").select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    counted = storage.written(counted)
+    return counted.join(batching.next_fit(counted, "doc_id", "tokens", 8000).select("doc_id", "batch_id"), "doc_id")
+
+
+QUERIES["n11_tokenizer_batches"] = _tokenized

@@ -104,6 +104,19 @@ def test_numbered(spark):
     assert findings.numbered(f.limit(0), ["k"], "n").count() == 0
 
 
+def test_numbered_ties_keep_their_numbers(spark):
+    f = spark.range(5000).select((F.col("id") % 3).alias("k"), F.rand().alias("x"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("maybe"))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = findings.numbered(f, ["k"], "n", 5)
+    first, again = ({(r.k, r.x, r.maybe): r.n for r in got.collect()} for _ in range(2))
+    assert first == again and sorted(first.values()) == list(range(5000))
+    ks = [k for (k, _, _), _ in sorted(first.items(), key=lambda e: e[1])]
+    assert ks == sorted(ks) and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    shuffled = spark.createDataFrame(f.orderBy("x").collect(), f.schema)  # the same rows, dealt otherwise, get the same numbers
+    one, two = ({(r.k, r.maybe, r.j): r.n for r in findings.numbered(d.selectExpr("k", "maybe", "coalesce(maybe, -1) % 7 AS j").distinct(), ["k"], "n", p).collect()} for d, p in ((f, 5), (shuffled, 2)))
+    assert one == two
+
+
 def test_normalise(spark):
     rows = spark.createDataFrame([("f", 1, 1, "ERROR", "E1", "Performance and format")], "file_path string, line int, column int, severity string, rule string, message string")
     r = findings.from_linter(rows, "t").first()
