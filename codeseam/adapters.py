@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows from which long texts are made, dealt by their keys to several tasks a core: a small table may be one
+    piece of one file, and all work on its texts would be one task."""
+    tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    return rows.repartition(tasks, *keys)
+
+
 def _k():
     return F.get_json_object("props", "$.k").cast("int")
 

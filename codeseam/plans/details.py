@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import ORD, SQL, advisories_v, files_v, findings_v, lines_v, packages_v, table, usage_v
+from ..adapters import ORD, SQL, advisories_v, files_v, findings_v, lines_v, packages_v, spread, table, usage_v
 from ..functions import text
 from ..operators import batching, cachetable, deps, enrich, findings, stats, usage
 from ..schemas import DEBT_BASE, DEBT_FACTOR, SECURITY_TYPES, type_group
@@ -31,7 +31,7 @@ def _code(name: str, source, build, sql: str | None = None) -> None:
     """A query over the files that ``source`` writes from part's rows (p: key, n: size of 1 to 50)."""
 
     def run(spark, sf_dir):
-        rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("n"))
+        rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("n")), "p")
         return build(rows.select(F.col("p").cast("string").alias("path"), source().alias("content")))
 
     QUERIES[name] = run

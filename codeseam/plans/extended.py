@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..adapters import ORD, SQL, advisories_v, files_v, findings_v, full_v, packages_v, table, usage_v
+from ..adapters import ORD, SQL, advisories_v, files_v, findings_v, full_v, packages_v, spread, table, usage_v
 from ..functions import text
 from ..operators import batching, cachetable, dedup, deps, enrich, findings, patterns, quantiles, stats, usage
 from ..schemas import DEBT_BASE, DEBT_FACTOR, EMOJI
@@ -37,7 +37,7 @@ def written(name: str, source, build, sql: str) -> None:
     """A query over texts that ``source`` writes from part's rows (p: key, n: size of 1 to 50)."""
 
     def run(spark, sf_dir):
-        rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("n"))
+        rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("n")), "p")
         return build(rows.select(F.col("p").cast("string").alias("path"), source().alias("content")))
 
     QUERIES[name], ORACLES[name] = run, _PART + sql
@@ -48,8 +48,8 @@ def both(name: str, build, sql: str) -> None:
     ORACLES[name] = f"WITH {SQL['packages_v']}, {SQL['advisories_v']} {sql}"
 
 
-def tree(kind: str, build):
-    return lambda files: build(parsers.nodes(files, kind))
+def tree(kind: str, build, want: dict = {}):
+    return lambda files: build(parsers.nodes(files, kind, **want))
 
 
 # Python: fallbacks for broken files, imports, exports, metrics, rules
@@ -70,7 +70,7 @@ def module_code():
     )
 
 
-written("c06_python_imports", module_code, tree("python", parsers.python_imports), "SELECT path, unnest(['os.path', 'a' || n, 'c', 'e' || (p % 4) || '.f']) AS module FROM part_v")
+written("c06_python_imports", module_code, tree("python", parsers.python_imports, parsers.IMPORTS), "SELECT path, unnest(['os.path', 'a' || n, 'c', 'e' || (p % 4) || '.f']) AS module FROM part_v")
 written("c07_python_exports", module_code, tree("python", parsers.python_exports), "SELECT path, unnest(['x' || p, 'y']) AS name FROM part_v")
 written("c08_external", module_code, tree("python", lambda t: parsers.python_edges(t).select("path", "target", "is_external", parsers.is_standard(F.col("target"), "python").alias("is_standard"))), "SELECT path, e.t AS target, e.x AS is_external, e.t = 'os.path' AS is_standard FROM part_v, unnest([struct_pack(t := 'os.path', x := true), struct_pack(t := 'a' || n, x := true), struct_pack(t := '.b', x := false), struct_pack(t := '.c.d', x := false), struct_pack(t := 'e' || (p % 4) || '.f.g', x := true)]) u(e)")
 written("e02_all_branches", module_code, tree("python", parsers.python_complexity), "SELECT path, CAST(1 + 1 + 1 + 1 + 1 AS BIGINT) AS complexity FROM part_v")

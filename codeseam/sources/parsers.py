@@ -63,6 +63,10 @@ def python_edges(tree: DataFrame) -> DataFrame:
     return rows.select("path", full.alias("target"), F.coalesce("parent_line", "line").alias("line"), relative.alias("is_relative")).withColumn("is_external", ~F.col("is_relative") & is_external(F.col("target"), "python"))
 
 
+#: What python_imports reads of a tree.
+IMPORTS = {"kinds": ["alias", "ImportFrom"], "columns": ["path", "node_type", "name", "parent_type"]}
+
+
 def python_imports(tree: DataFrame) -> DataFrame:
     """The modules that a file imports, each once, without the names taken from them and without leading dots."""
     module = F.when(_kind("alias") & (F.col("parent_type") == "Import"), F.col("name")).when(_kind("ImportFrom"), F.regexp_replace("name", r"^\.+", ""))
