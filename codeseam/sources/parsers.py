@@ -73,6 +73,10 @@ def python_imports(tree: DataFrame) -> DataFrame:
     return tree.select("path", module.alias("module")).where("module <> ''").distinct()
 
 
+#: What python_exports reads of a tree.
+EXPORTS = {"kinds": ["Assign"], "columns": ["path", "node_type", "attrs"]}
+
+
 def python_exports(tree: DataFrame) -> DataFrame:
     """The names in lists that are assigned to __all__."""
     names = F.from_json("attrs", "exports array<string>")["exports"]

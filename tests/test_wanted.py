@@ -64,3 +64,7 @@ def test_wanted_nodes_are_those_of_whole_trees():
 
 def test_imports(spark):
     check_same(spark, parsers.python_imports, parsers.IMPORTS)
+
+
+def test_exports(spark):
+    check_same(spark, parsers.python_exports, parsers.EXPORTS)
