@@ -51,6 +51,10 @@ def _kind(n: str) -> Column:
     return F.col("node_type") == n
 
 
+#: What python_edges reads of a tree.
+EDGES = {"kinds": ["alias"], "columns": ["path", "node_type", "name", "line", "parent_type", "parent_name", "parent_line"]}
+
+
 def python_edges(tree: DataFrame) -> DataFrame:
     """path -> module: import a gives a, from m import n gives m.n (m for *); one row for each name of a statement."""
     module = F.col("parent_name")

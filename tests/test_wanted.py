@@ -68,3 +68,7 @@ def test_imports(spark):
 
 def test_exports(spark):
     check_same(spark, parsers.python_exports, parsers.EXPORTS)
+
+
+def test_edges(spark):
+    check_same(spark, parsers.python_edges, parsers.EDGES)
