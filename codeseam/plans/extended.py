@@ -128,7 +128,7 @@ written("c25_package_edges", lambda: _text('{"dependencies":{"a', _s("p"), '":"1
 written("c26_deep_keys", lambda: _text('{"a":{"b', _s("p"), '":1},"c":[{"d":2},[{"e', _s("n"), '":[]}]]}'), tree("json", parsers.key_paths), "SELECT path, unnest(['a', 'a.b' || p, 'c', 'c[0].d', 'c[1][0].e' || n]) AS key FROM part_v")
 written("c27_loose_keys", lambda: F.when(F.expr("p % 2 = 0"), _text('{"a', _s("p"), "\": 1, 'b': [}")).otherwise(_text('{"k', _s("n"), '": 1}')), lambda f: parsers.keys(f, "json"), "SELECT path, unnest(['a' || p, 'b']) AS key FROM part_v WHERE p % 2 = 0 UNION ALL SELECT path, 'k' || n FROM part_v WHERE p % 2 = 1")
 written("c28_json_tree", lambda: _text('{"a":[1,null,"x', _s("p"), '",{"b":true}]}'), tree("json", lambda t: t.select("path", "node_type", "key_path", "depth", "value")), "SELECT path, e.t AS node_type, e.k AS key_path, e.d AS depth, e.v AS value FROM part_v, unnest([struct_pack(t := 'object', k := '', d := 0, v := NULL), struct_pack(t := 'array', k := 'a', d := 1, v := NULL), struct_pack(t := 'int', k := 'a[0]', d := 2, v := '1'), struct_pack(t := 'null', k := 'a[1]', d := 2, v := 'null'), struct_pack(t := 'str', k := 'a[2]', d := 2, v := 'x' || p), struct_pack(t := 'object', k := 'a[3]', d := 2, v := NULL), struct_pack(t := 'bool', k := 'a[3].b', d := 3, v := 'True')]) u(e)")
-written("c29_yaml_edges", lambda: _text("services:\n  web:\n    image: repo/w", _s("n"), "\n    build: ./d", _s("p % 3"), "\n  db:\n    build:\n      context: ../e\nspec:\n  containers:\n    - image: c", _s("p"), "\njobs:\n  j:\n    uses: o/r@v", _s("n % 4"), "\n    steps:\n      - uses: a/b@v1\n      - run: x\n"), tree("yaml", lambda t: parsers.yaml_edges(t).select("path", "kind", "target")), "SELECT path, e.k AS kind, e.t AS target FROM part_v, unnest([struct_pack(k := 'docker_image', t := 'repo/w' || n), struct_pack(k := 'build_context', t := './d' || (p % 3)), struct_pack(k := 'build_context', t := '../e'), struct_pack(k := 'container_image', t := 'c' || p), struct_pack(k := 'github_action', t := 'o/r@v' || (n % 4)), struct_pack(k := 'github_action', t := 'a/b@v1')]) u(e)")
+written("c29_yaml_edges", lambda: _text("services:\n  web:\n    image: repo/w", _s("n"), "\n    build: ./d", _s("p % 3"), "\n  db:\n    build:\n      context: ../e\nspec:\n  containers:\n    - image: c", _s("p"), "\njobs:\n  j:\n    uses: o/r@v", _s("n % 4"), "\n    steps:\n      - uses: a/b@v1\n      - run: x\n"), tree("yaml", lambda t: parsers.yaml_edges(t).select("path", "kind", "target"), parsers.YAML_EDGES), "SELECT path, e.k AS kind, e.t AS target FROM part_v, unnest([struct_pack(k := 'docker_image', t := 'repo/w' || n), struct_pack(k := 'build_context', t := './d' || (p % 3)), struct_pack(k := 'build_context', t := '../e'), struct_pack(k := 'container_image', t := 'c' || p), struct_pack(k := 'github_action', t := 'o/r@v' || (n % 4)), struct_pack(k := 'github_action', t := 'a/b@v1')]) u(e)")
 
 
 def list_notes():

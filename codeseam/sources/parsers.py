@@ -176,6 +176,10 @@ def package_edges(files: DataFrame) -> DataFrame:
     return e.withColumn("is_external", (F.col("kind") != "import") | ~F.col("target").startswith("."))
 
 
+#: What yaml_edges reads of a tree.
+YAML_EDGES = {"columns": ["path", "name", "depth", "parent_name", "key_path", "value"]}
+
+
 def yaml_edges(tree: DataFrame) -> DataFrame:
     """path, kind, target by structure: images and builds of services, images of a pod's containers, actions of jobs and steps."""
     k, n, scalar = F.col("key_path"), F.col("name"), F.col("value").isNotNull()

@@ -72,3 +72,28 @@ def test_exports(spark):
 
 def test_edges(spark):
     check_same(spark, parsers.python_edges, parsers.EDGES)
+
+
+def test_yaml_parsers_agree(spark):
+    """The parser in C is used, and never where it differs from the other one or would fall over."""
+    import yaml
+
+    calls = []
+    loader = yaml.CSafeLoader
+    for text in ("a:\t1", "[1? ]", "[" * 900 + "]" * 900, "- " * 900, "a: [", "{a: 1}", "a:\n- b: 2020-01-01\n", "", "a: \x07", "%x"):
+        assert trees.parsed(trees.yaml_nodes_of, text) == trees.parsed(lambda s: trees.flat(yaml.safe_load(s), "mapping", "sequence"), text)
+    try:
+        yaml.CSafeLoader = lambda s: calls.append(s) or loader(s)
+        trees.yaml_nodes_of("a: 1")
+        trees.yaml_nodes_of("[" * 300 + "]" * 300)
+    except RecursionError:
+        pass
+    finally:
+        yaml.CSafeLoader = loader
+    assert calls == ["a: 1"]
+
+
+def test_yaml_edges(spark):
+    f = spark.createDataFrame([("/a", "services:\n  w:\n    image: r\n    build:\n      context: ../e\njobs:\n  j:\n    uses: o/r@v\n"), ("/b", "a: [")], "path string, content string")
+    whole, part = (sorted(map(tuple, parsers.yaml_edges(parsers.nodes(f, "yaml", **w)).collect())) for w in ({}, parsers.YAML_EDGES))
+    assert part == whole and len(part) == 3
