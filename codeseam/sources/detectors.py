@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .trees import UNPARSED
+from .trees import UNPARSED, below, statements
 
 FINDING = "file_path string, line int, pattern_type string, pattern_name string, severity string, message string"
 _NAMES = [x.split()[0] for x in FINDING.split(", ")]
@@ -19,12 +19,12 @@ LARGE_FUNCTION, DEEP_INDENT, CHAINED_CALLS, CATCH_AHEAD = 50, 16, 2, 5
 
 
 def nesting(node: ast.AST) -> int:
-    """How deep branches and loops nest below a node."""
+    """How deep branches and loops nest below a statement; expressions hold none."""
     best, todo = 0, [(node, 0)]
     while todo:
         n, d = todo.pop()
         best = max(best, d)
-        todo += [(c, d + isinstance(c, (ast.If, ast.For, ast.While, ast.With, ast.Try))) for c in ast.iter_child_nodes(n)]
+        todo += [(c, d + isinstance(c, (ast.If, ast.For, ast.While, ast.With, ast.Try))) for c in below(n)]
     return best
 
 
@@ -34,7 +34,7 @@ def _class_findings(node: ast.ClassDef):
         yield node.lineno, "design_pattern", "singleton", "info", node.name
     names = [m.name.lower() for m in methods]
     held = [t.id.lower() for n in node.body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)]
-    held += [t.attr.lower() for m in methods for n in ast.walk(m) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Attribute)]
+    held += [t.attr.lower() for m in methods for n in statements(m) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Attribute)]
     watched = ("observer", "listener")
     if any(w in h for h in held for w in watched) and any("notify" in n for n in names) and any("add" in n and any(w in n for w in watched) for n in names):
         yield node.lineno, "design_pattern", "observer", "info", node.name
@@ -46,7 +46,7 @@ def _class_findings(node: ast.ClassDef):
 def _function_findings(node: ast.FunctionDef | ast.AsyncFunctionDef):
     name = node.name.lower()
     if name.startswith(("create_", "make_")) or name.endswith("_factory"):
-        if any(isinstance(n, ast.If) and any(isinstance(r, ast.Return) for r in ast.walk(n)) for n in ast.walk(node)):
+        if any(isinstance(n, ast.If) and any(isinstance(r, ast.Return) for r in statements(n)) for n in statements(node)):
             yield node.lineno, "design_pattern", "factory_method", "info", node.name
     size = node.end_lineno - node.lineno + 1
     if size > LONG_METHOD:
@@ -61,7 +61,7 @@ def python_findings_of(source: str) -> list[tuple]:
     try:
         top = ast.parse(source)
         out, bodies = [], {}
-        for node in ast.walk(top):
+        for node in statements(top):
             if isinstance(node, ast.ClassDef):
                 out += _class_findings(node)
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):

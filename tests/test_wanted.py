@@ -97,3 +97,15 @@ def test_yaml_edges(spark):
     f = spark.createDataFrame([("/a", "services:\n  w:\n    image: r\n    build:\n      context: ../e\njobs:\n  j:\n    uses: o/r@v\n"), ("/b", "a: [")], "path string, content string")
     whole, part = (sorted(map(tuple, parsers.yaml_edges(parsers.nodes(f, "yaml", **w)).collect())) for w in ({}, parsers.YAML_EDGES))
     assert part == whole and len(part) == 3
+
+
+def test_findings_visit_statements_only(spark, monkeypatch):
+    """Rules look at statements: no expression is visited, and nested ones are found all the same."""
+    from codeseam.sources import detectors
+
+    seen = []
+    monkeypatch.setattr(detectors, "below", lambda n: seen.append(n) or trees.below(n))
+    deep = "def create_a(x):\n" + "".join("    " * k + "if x:\n" for k in range(1, 7)) + "    " * 7 + "return [lambda: y]\n"
+    assert [f[2] for f in detectors.python_findings_of(deep)] == ["deep_nesting", "factory_method"]
+    assert seen and all(isinstance(n, (ast.stmt, ast.Module)) for n in seen)
+    assert {f[2] for f in detectors.python_findings_of(CODE)} == set()
