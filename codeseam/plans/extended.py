@@ -76,7 +76,7 @@ written("c08_external", module_code, tree("python", lambda t: parsers.python_edg
 written("e02_all_branches", module_code, tree("python", parsers.python_complexity), "SELECT path, CAST(1 + 1 + 1 + 1 + 1 AS BIGINT) AS complexity FROM part_v")
 written("e03_python_metrics", lambda: F.when(F.expr("p % 7 = 0"), broken_code()).otherwise(module_code()), parsers.python_metrics, """SELECT path, CASE WHEN p % 7 <> 0 THEN 13 + n % 30 END::BIGINT AS loc, CASE WHEN p % 7 <> 0 THEN 1 END::BIGINT AS functions, CASE WHEN p % 7 <> 0 THEN 1 END::BIGINT AS classes, CASE WHEN p % 7 <> 0 THEN 4 END::BIGINT AS imports,
     CASE WHEN p % 7 <> 0 THEN 5 END::BIGINT AS complexity, CASE WHEN p % 7 = 0 THEN 7 END::BIGINT AS total_lines FROM part_v""")
-written("d04_god_class_by_attributes", module_code, tree("python", lambda t: parsers.god_classes(t).select("file_path", "message")), "SELECT path AS file_path, 'K does too much' AS message FROM part_v WHERE n % 30 + 1 > 15")
+written("d04_god_class_by_attributes", module_code, tree("python", lambda t: parsers.god_classes(t).select("file_path", "message"), parsers.GOD_CLASSES), "SELECT path AS file_path, 'K does too much' AS message FROM part_v WHERE n % 30 + 1 > 15")
 written("d07_duplicate_code", lambda: _text("def a(x):\n    \"\"\"d\"\"\"\n    y = x\n    if y:\n        pass\n    y = 1\n    return y\n\ndef b", _s("p"), "(x):\n    z = 2\n    if x:\n        z = 3\n    z = 4\n", F.expr("if(n % 2 = 0, '    return z\\n', '    z()\\n')")), lambda f: parsers.structural_findings(f).where("pattern_name = 'duplicate_code'").select("file_path", "line", "message"), "SELECT path AS file_path, 9 AS line, 'b' || p || ' is built as a' AS message FROM part_v WHERE n % 2 = 0")
 written("d14_analysis_errors", lambda: F.when(F.expr("p % 3 = 0"), _text("x = (", _s("n"))).otherwise(_text("x = ", _s("n"))), lambda f: parsers.structural_findings(f).select("file_path", "pattern_name", "severity", F.substring_index("message", ":", 1).alias("start")), "SELECT path AS file_path, 'analysis_error' AS pattern_name, 'error' AS severity, 'Analysis failed' AS start FROM part_v WHERE p % 3 = 0")
 

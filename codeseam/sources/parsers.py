@@ -130,6 +130,10 @@ def long_methods(tree: DataFrame, most: int = 50) -> DataFrame:
     return _finding(rows, "code_smell", "long_method", "warning", F.concat("name", F.lit(" has "), size.cast("string"), F.lit(" lines")))
 
 
+#: What god_classes reads of a tree.
+GOD_CLASSES = {"kinds": [], "parents": ["ClassDef"], "columns": ["path", "node_type", "parent_id", "parent_type", "parent_name", "parent_line"]}
+
+
 def god_classes(tree: DataFrame, methods: int = 20, attributes: int = 15) -> DataFrame:
     """Classes of many methods or assigned attributes; members know their class, so one aggregation does."""
     t = F.col("node_type")

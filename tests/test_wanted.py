@@ -109,3 +109,10 @@ def test_findings_visit_statements_only(spark, monkeypatch):
     assert [f[2] for f in detectors.python_findings_of(deep)] == ["deep_nesting", "factory_method"]
     assert seen and all(isinstance(n, (ast.stmt, ast.Module)) for n in seen)
     assert {f[2] for f in detectors.python_findings_of(CODE)} == set()
+
+
+def test_god_classes(spark):
+    f = spark.createDataFrame([("/a", "class A:\n" + "    x = 1\n" * 16 + "class A:\n    y = 2\n" + "def f():\n" + "    z = 1\n" * 30)], "path string, content string")
+    whole, part = (parsers.god_classes(parsers.nodes(f, "python", **w)).collect() for w in ({}, parsers.GOD_CLASSES))
+    assert part == whole and len(part) == 1
+    assert parsers.nodes(f, "python", **parsers.GOD_CLASSES).count() == 17
