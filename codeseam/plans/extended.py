@@ -73,7 +73,7 @@ def module_code():
 written("c06_python_imports", module_code, tree("python", parsers.python_imports, parsers.IMPORTS), "SELECT path, unnest(['os.path', 'a' || n, 'c', 'e' || (p % 4) || '.f']) AS module FROM part_v")
 written("c07_python_exports", module_code, tree("python", parsers.python_exports, parsers.EXPORTS), "SELECT path, unnest(['x' || p, 'y']) AS name FROM part_v")
 written("c08_external", module_code, tree("python", lambda t: parsers.python_edges(t).select("path", "target", "is_external", parsers.is_standard(F.col("target"), "python").alias("is_standard")), parsers.EDGES), "SELECT path, e.t AS target, e.x AS is_external, e.t = 'os.path' AS is_standard FROM part_v, unnest([struct_pack(t := 'os.path', x := true), struct_pack(t := 'a' || n, x := true), struct_pack(t := '.b', x := false), struct_pack(t := '.c.d', x := false), struct_pack(t := 'e' || (p % 4) || '.f.g', x := true)]) u(e)")
-written("e02_all_branches", module_code, tree("python", parsers.python_complexity), "SELECT path, CAST(1 + 1 + 1 + 1 + 1 AS BIGINT) AS complexity FROM part_v")
+written("e02_all_branches", module_code, tree("python", parsers.python_complexity, parsers.COMPLEXITY), "SELECT path, CAST(1 + 1 + 1 + 1 + 1 AS BIGINT) AS complexity FROM part_v")
 written("e03_python_metrics", lambda: F.when(F.expr("p % 7 = 0"), broken_code()).otherwise(module_code()), parsers.python_metrics, """SELECT path, CASE WHEN p % 7 <> 0 THEN 13 + n % 30 END::BIGINT AS loc, CASE WHEN p % 7 <> 0 THEN 1 END::BIGINT AS functions, CASE WHEN p % 7 <> 0 THEN 1 END::BIGINT AS classes, CASE WHEN p % 7 <> 0 THEN 4 END::BIGINT AS imports,
     CASE WHEN p % 7 <> 0 THEN 5 END::BIGINT AS complexity, CASE WHEN p % 7 = 0 THEN 7 END::BIGINT AS total_lines FROM part_v""")
 written("d04_god_class_by_attributes", module_code, tree("python", lambda t: parsers.god_classes(t).select("file_path", "message"), parsers.GOD_CLASSES), "SELECT path AS file_path, 'K does too much' AS message FROM part_v WHERE n % 30 + 1 > 15")

@@ -94,9 +94,14 @@ def python_symbols(tree: DataFrame) -> DataFrame:
     return tree.where(kind.isNotNull() & F.col("name").isNotNull()).select("path", kind.alias("kind"), F.explode(F.split("name", ",")).alias("name")).distinct()
 
 
+_BRANCHES = ["If", "While", "For", "AsyncFor", "ExceptHandler", "With"]
+#: What python_complexity reads of a tree; every file has one of its nodes.
+COMPLEXITY = {"kinds": ["Module", "BoolOp", *_BRANCHES], "columns": ["path", "node_type", "name"]}
+
+
 def _complexity() -> Column:
     t = F.col("node_type")
-    branches = F.count_if(t.isin("If", "While", "For", "AsyncFor", "ExceptHandler", "With"))
+    branches = F.count_if(t.isin(*_BRANCHES))
     return (1 + branches + F.coalesce(F.sum(F.when(t == "BoolOp", F.col("name").cast("int") - 1)), F.lit(0))).alias("complexity")
 
 

@@ -116,3 +116,7 @@ def test_god_classes(spark):
     whole, part = (parsers.god_classes(parsers.nodes(f, "python", **w)).collect() for w in ({}, parsers.GOD_CLASSES))
     assert part == whole and len(part) == 1
     assert parsers.nodes(f, "python", **parsers.GOD_CLASSES).count() == 17
+
+
+def test_complexity(spark):
+    check_same(spark, parsers.python_complexity, parsers.COMPLEXITY)
