@@ -109,15 +109,22 @@ def python_complexity(tree: DataFrame) -> DataFrame:
     return tree.groupBy("path").agg(_complexity())
 
 
+_METRICS = {"kinds": [*COMPLEXITY["kinds"], "FunctionDef", "AsyncFunctionDef", "ClassDef", "alias", "ImportFrom"], "columns": ["path", "node_type", "name", "parent_type"]}
+
+
 def python_metrics(files: DataFrame) -> DataFrame:
     """path, loc, functions, classes, imports (distinct names), complexity; of a file that can't be parsed only
     total_lines, the lines with text, is known."""
-    tree, ok = nodes(files, "python"), F.max((F.col("node_type") == "Error").cast("int")) == 0
+    tree, ok = nodes(files, "python", **_METRICS), F.max((F.col("node_type") == "Error").cast("int")) == 0
     t = F.col("node_type")
     module = F.when(_kind("alias") & (F.col("parent_type") == "Import"), F.col("name")).when(_kind("ImportFrom"), F.nullif(F.regexp_replace("name", r"^\.+", ""), F.lit("")))
+
+    def names(x: Column) -> Column:  # as count(distinct x), which would copy each row once for each of the three
+        return F.size(F.collect_set(x)).cast("long")
+
     counted = tree.groupBy("path").agg(
-        ok.alias("parsed"), F.countDistinct(F.when(t.isin("FunctionDef", "AsyncFunctionDef"), F.col("name"))).alias("functions"),
-        F.countDistinct(F.when(t == "ClassDef", F.col("name"))).alias("classes"), F.countDistinct(module).alias("imports"), _complexity(),
+        ok.alias("parsed"), names(F.when(t.isin("FunctionDef", "AsyncFunctionDef"), F.col("name"))).alias("functions"),
+        names(F.when(t == "ClassDef", F.col("name"))).alias("classes"), names(module).alias("imports"), _complexity(),
     )
     text = F.filter(F.transform(F.split("content", "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     sizes = files.select("path", F.size(text).cast("long").alias("total"), F.size(F.filter(text, lambda x: ~x.startswith("#"))).cast("long").alias("loc"))

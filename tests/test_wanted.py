@@ -120,3 +120,10 @@ def test_god_classes(spark):
 
 def test_complexity(spark):
     check_same(spark, parsers.python_complexity, parsers.COMPLEXITY)
+
+
+def test_metrics_do_not_copy_rows(spark):
+    f = texts(spark)
+    assert "Expand" not in parsers.python_metrics(f)._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.path: r.asDict() for r in parsers.python_metrics(f.where("path <> '/c'")).collect()}
+    assert (got["/a"]["functions"], got["/a"]["classes"], got["/a"]["imports"], got["/a"]["complexity"]) == (2, 1, 4, 10) and got["/b"]["total_lines"] == 7
