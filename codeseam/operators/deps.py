@@ -69,11 +69,11 @@ def closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 def out_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose source is one of nodes (column node)."""
-    return edges.join(nodes.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
+    return edges.join(nodes.select(F.col("node").alias("source")).distinct().hint("merge"), "source", "left_semi")  # nodes may be many: not by the driver
 
 
 def in_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return edges.join(nodes.select(F.col("node").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+    return edges.join(nodes.select(F.col("node").alias("target")).distinct().hint("merge"), "target", "left_semi").select("source", "target")
 
 
 def report_rows(packages: DataFrame, advisories: DataFrame) -> DataFrame:

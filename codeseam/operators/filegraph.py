@@ -95,9 +95,15 @@ def resolved(edges: DataFrame, files: DataFrame, roots: list[str] = ("",)) -> Da
     kinds = {"python": _python_candidates(F.col("name"), F.col("folder"), list(roots))} | {t: _link_candidates(F.col("name"), F.col("folder"), t, list(roots)) for t in ENDINGS}
     may = reduce(lambda c, k: c.when(F.col("file_type") == k, kinds[k]), kinds, F.when(F.lit(False), F.array().cast("array<string>")))
     ranked = words.select("folder", "file_type", "name", F.posexplode(may).alias("rank", "may")).select("folder", "file_type", "name", "rank", normal(F.col("may")).alias("may"))
-    there = ranked.join(files.select(F.col("path").alias("target")).distinct(), F.col("may") == F.col("target"))
+    there = ranked.join(files.select(F.col("path").alias("target")).distinct().transform(_by_sort), F.col("may") == F.col("target"))
     best = there.groupBy("folder", "file_type", "name").agg(F.min_by("target", "rank").alias("target"))
-    return asked.join(best, ["folder", "file_type", "name"]).select("source", "target", "name").distinct()
+    return asked.join(_by_sort(best), ["folder", "file_type", "name"]).select("source", "target", "name").distinct()
+
+
+def _by_sort(df: DataFrame) -> DataFrame:
+    """For a side of a join: Spark takes a written table for as large as its compressed files, and would send a graph's
+    nodes whole to the driver."""
+    return df.hint("merge")
 
 
 def _some(df: DataFrame) -> bool:
@@ -113,7 +119,7 @@ def _trimmed(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if not _some(free):
             dropped(free)
             return edges, gone
-        left = written(edges.join(free, edges["source"] == free["node"], "left_anti").join(free, F.col("target") == free["node"], "left_anti"))
+        left = written(edges.join(_by_sort(free), edges["source"] == free["node"], "left_anti").join(_by_sort(free), F.col("target") == free["node"], "left_anti"))
         dropped(edges)
         gone.append(free)
         edges = left
@@ -123,8 +129,8 @@ def _coloured(edges: DataFrame) -> DataFrame:
     """node, colour: the smallest node that leads to it (itself included)."""
     now = written(edges.select(F.explode(F.array(*EDGE)).alias("node")).distinct().withColumn("colour", F.col("node")))
     while True:
-        passed = edges.join(now, edges["source"] == now["node"]).groupBy(F.col("target").alias("to")).agg(F.min("colour").alias("new"))
-        after = written(now.join(passed, F.col("node") == F.col("to"), "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") < F.col("colour")).alias("moved")))
+        passed = edges.join(_by_sort(now), edges["source"] == now["node"]).groupBy(F.col("target").alias("to")).agg(F.min("colour").alias("new"))
+        after = written(now.join(_by_sort(passed), F.col("node") == F.col("to"), "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") < F.col("colour")).alias("moved")))
         moved = _some(after.where("moved"))
         dropped(now)
         now = after.drop("moved")
@@ -140,10 +146,10 @@ def _swept(edges: DataFrame, frontier: DataFrame) -> DataFrame:
     while True:
         last = seen[-1].alias("f")
         meet = F.col("f.node") == F.col("e.source")
-        met = edges.alias("e").join(last, meet & (F.col("e.tag") == F.col("f.tag")) if tagged else meet)
+        met = edges.alias("e").join(_by_sort(last), meet & (F.col("e.tag") == F.col("f.tag")) if tagged else meet)
         new = met.select(F.col("e.target").alias("node"), F.col("f.tag").alias("tag")).distinct()
         known = reduce(DataFrame.union, seen).select("node", "tag")
-        found = written(new.join(known, ["node", "tag"], "left_anti").withColumn("steps", F.lit(len(seen))))
+        found = written(new.join(_by_sort(known), ["node", "tag"], "left_anti").withColumn("steps", F.lit(len(seen))))
         if not _some(found):
             dropped(found)
             return reduce(DataFrame.union, seen)
@@ -168,7 +174,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         colour = _coloured(left)
         ends = [colour.select(F.col("node").alias(f"{c}_node"), F.col("colour").alias(f"{c}_colour")) for c in ("s", "t")]
-        inside = left.join(ends[0], F.col("source") == F.col("s_node")).join(ends[1], F.col("target") == F.col("t_node")).where("s_colour = t_colour")
+        inside = left.join(_by_sort(ends[0]), F.col("source") == F.col("s_node")).join(_by_sort(ends[1]), F.col("target") == F.col("t_node")).where("s_colour = t_colour")
         inside = written(inside.select(*EDGE, F.col("s_colour").alias("tag")))
         back = inside.select(F.col("target").alias("source"), F.col("source").alias("target"), "tag")
         own = written(_swept(back, colour.where("node = colour").select("node", F.col("colour").alias("tag"))).select("node", F.col("tag").alias("component")))
@@ -177,14 +183,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
         dropped(left, colour, inside)
         left = rest
     named = reduce(DataFrame.union, found).withColumnRenamed("node", "n") if found else every.limit(0).select(F.col("node").alias("n"), F.col("node").alias("component"))
-    return written(every.join(named, F.col("node") == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("component")))
+    return written(every.join(_by_sort(named), F.col("node") == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("component")))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """component, node: the files of each cycle of dependencies (components of two files or more)."""
     parts = strong_components(edges)
     many = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return parts.join(many, "component", "left_semi").select("component", "node")
+    return parts.join(_by_sort(many), "component", "left_semi").select("component", "node")
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -192,11 +198,11 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     fewest edges between components. Starts that no edge knows are components of their own."""
     parts = strong_components(edges)
     ends = [parts.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_part")) for c in ("s", "t")]
-    drawn = edges.join(ends[0], F.col("source") == F.col("s_node")).join(ends[1], F.col("target") == F.col("t_node")).where("s_part <> t_part")
+    drawn = edges.join(_by_sort(ends[0]), F.col("source") == F.col("s_node")).join(_by_sort(ends[1]), F.col("target") == F.col("t_node")).where("s_part <> t_part")
     drawn = written(drawn.select(F.col("s_part").alias("source"), F.col("t_part").alias("target")).distinct())
     wanted = starts.where("node is not null").select("node").distinct()
-    first = wanted.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    first = wanted.join(_by_sort(parts), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     met = written(_swept(drawn, first.select(F.col("component").alias("node"), F.lit(0).alias("tag"))).select(F.col("node").alias("component"), "steps"))
-    known = parts.join(met, "component").select("node", "component", "steps")
-    alone = first.join(parts.select("node"), "node", "left_anti").select("node", "component", F.lit(0).alias("steps"))
+    known = parts.join(_by_sort(met), "component").select("node", "component", "steps")
+    alone = first.join(_by_sort(parts.select("node")), "node", "left_anti").select("node", "component", F.lit(0).alias("steps"))
     return known.union(alone)

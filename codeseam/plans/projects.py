@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..adapters import table
+from ..adapters import spread, table
 from ..operators import deps, filegraph
 from ..sources import lexer, parsers
 from ..storage import fresh_folder
@@ -24,7 +24,7 @@ _SCRIPT = """concat('import React from "react";\\nimport a from "./s', if(p <= 9
 
 
 def project_files(spark, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p"), F.col("p_size").cast("long").alias("n"))
+    rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p"), F.col("p_size").cast("long").alias("n")), "p")
     python = rows.selectExpr("concat('/proj/pkg', p % 5, '/m', p, '.py') AS path", "'python' AS file_type", f"{_PYTHON} AS content")
     script = rows.selectExpr("concat('/proj/web/d', p % 3, '/s', p, '.js') AS path", "'javascript' AS file_type", f"{_SCRIPT} AS content")
     packages = rows.selectExpr("concat('/proj/pkg', p % 5, '/__init__.py') AS path", "'python' AS file_type", "'' AS content").distinct()
@@ -35,7 +35,7 @@ def project_files(spark, sf_dir: str) -> DataFrame:
 def project_edges(files: DataFrame) -> DataFrame:
     """source, target, name of all files: parsed, then resolved."""
     python = files.where("file_type = 'python'")
-    found = parsers.python_edges(parsers.nodes(python, "python")).select("path", F.lit("python").alias("file_type"), "target")
+    found = parsers.python_edges(parsers.nodes(python, "python", **parsers.EDGES)).select("path", F.lit("python").alias("file_type"), "target")
     for t in ("javascript",):
         found = found.union(parsers.edges(files.where(F.col("file_type") == t), t).select("path", F.lit(t).alias("file_type"), "target"))
     return filegraph.resolved(found, files, ["/proj"])

@@ -127,3 +127,14 @@ def test_metrics_do_not_copy_rows(spark):
     assert "Expand" not in parsers.python_metrics(f)._jdf.queryExecution().optimizedPlan().toString()
     got = {r.path: r.asDict() for r in parsers.python_metrics(f.where("path <> '/c'")).collect()}
     assert (got["/a"]["functions"], got["/a"]["classes"], got["/a"]["imports"], got["/a"]["complexity"]) == (2, 1, 4, 10) and got["/b"]["total_lines"] == 7
+
+
+def test_graph_is_not_sent_to_driver(spark):
+    from codeseam.operators import deps, filegraph
+
+    files = spark.createDataFrame([(f"/p/m{k}.py",) for k in range(5)], "path string")
+    edges = spark.createDataFrame([(f"/p/m{k}.py", "python", f".m{(k + 1) % 5}") for k in range(5)], "path string, file_type string, target string")
+    found = filegraph.resolved(edges, files)
+    out = deps.out_edges(found, files.withColumnRenamed("path", "node"))
+    assert out.count() == 5 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert filegraph.cycles(found.select("source", "target")).count() == 5
