@@ -147,11 +147,11 @@ def _scanned(rows: DataFrame, seq: int) -> DataFrame:
 
 def incremental_imports(spark, sf_dir: str) -> DataFrame:
     """path, target of the last versions of all modules, after three scans; each stream run parses what one of them changed."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p"), F.col("p_size").cast("long").alias("n"))
+    rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p"), F.col("p_size").cast("long").alias("n")), "p")
     root = fresh_folder(spark)
 
     def analyse(files: DataFrame) -> DataFrame:
-        return parsers.python_edges(parsers.nodes(files, "python")).select("path", "target")
+        return parsers.python_edges(parsers.nodes(files, "python", **parsers.EDGES)).select("path", "target")
 
     for seq in _VERSIONS:
         files = _scanned(rows, seq)
