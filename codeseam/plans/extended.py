@@ -92,7 +92,7 @@ _MIXED = """SELECT path AS file_path, 'singleton' AS pattern_name FROM part_v WH
     UNION ALL SELECT path, 'callback_hell' FROM part_v WHERE p % 2 = 1 AND n > 16 UNION ALL SELECT path, 'unused_variable' FROM part_v WHERE p % 2 = 1"""
 written("d16_detect", lambda: F.when(F.expr("p % 2 = 0"), python_code()).otherwise(script_code()), lambda f: detectors.detect(_mixed(f), _MIXED_RULES).select("file_path", "pattern_name"), _MIXED)
 written("d15_rules", lambda: F.when(F.expr("p % 2 = 0"), python_code()).otherwise(script_code()), lambda f: detectors.detect(_mixed(f), _MIXED_RULES, ["singleton", "callback_hell"]).select("file_path", "pattern_name"), f"SELECT * FROM ({_MIXED}) WHERE pattern_name NOT IN ('singleton', 'callback_hell')")
-written("c35_dispatch", lambda: F.when(F.expr("p % 2 = 0"), python_code()).otherwise(_text('{"a": {"b', _s("n"), '": [1]}}')), lambda f: trees.parse(_mixed(f).withColumn("file_type", F.replace("file_type", F.lit("javascript"), F.lit("json")))).where("node_type in ('ImportFrom', 'array')").select("path", "node_type", "name", "key_path"), "SELECT path, 'ImportFrom' AS node_type, 'pkg' || (n % 7) AS name, NULL::VARCHAR AS key_path FROM part_v WHERE p % 2 = 0 UNION ALL SELECT path, 'array', 'b' || n, 'a.b' || n FROM part_v WHERE p % 2 = 1")
+written("c35_dispatch", lambda: F.when(F.expr("p % 2 = 0"), python_code()).otherwise(_text('{"a": {"b', _s("n"), '": [1]}}')), lambda f: trees.parse(_mixed(f).withColumn("file_type", F.replace("file_type", F.lit("javascript"), F.lit("json"))), ["ImportFrom", "array"], columns=["path", "node_type", "name", "key_path"]).where("node_type in ('ImportFrom', 'array')").select("path", "node_type", "name", "key_path"), "SELECT path, 'ImportFrom' AS node_type, 'pkg' || (n % 7) AS name, NULL::VARCHAR AS key_path FROM part_v WHERE p % 2 = 0 UNION ALL SELECT path, 'array', 'b' || n, 'a.b' || n FROM part_v WHERE p % 2 = 1")
 
 
 # scripts
