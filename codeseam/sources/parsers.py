@@ -87,6 +87,10 @@ def python_exports(tree: DataFrame) -> DataFrame:
     return tree.where(_kind("Assign") & F.col("attrs").contains('"exports"')).select("path", F.explode(names).alias("name")).distinct()
 
 
+#: What python_symbols reads of a tree.
+SYMBOLS = {"kinds": ["FunctionDef", "AsyncFunctionDef", "ClassDef", "Assign"], "columns": ["path", "node_type", "name"]}
+
+
 def python_symbols(tree: DataFrame) -> DataFrame:
     """Functions, classes and assigned names (an Assign node's name has all of its targets')."""
     t = F.col("node_type")

@@ -138,3 +138,7 @@ def test_graph_is_not_sent_to_driver(spark):
     out = deps.out_edges(found, files.withColumnRenamed("path", "node"))
     assert out.count() == 5 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert filegraph.cycles(found.select("source", "target")).count() == 5
+
+
+def test_symbols(spark):
+    check_same(spark, parsers.python_symbols, parsers.SYMBOLS)
