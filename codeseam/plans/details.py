@@ -79,7 +79,7 @@ def _tree(build, want: dict = {}):
 _code("c01_python_edges", python_code, _tree(lambda t: parsers.python_edges(t).select("path", "target", "is_relative"), parsers.EDGES), "SELECT path, 'm' || n AS target, false AS is_relative FROM part_v UNION ALL SELECT path, 'pkg' || (n % 7) || '.x' || (p % 5), false FROM part_v")
 _code("c03_python_symbols", python_code, _tree(lambda t: parsers.python_symbols(t).where("kind <> 'variable'").groupBy("path", "kind").agg(F.count("*").alias("n")), parsers.SYMBOLS | {"kinds": ["FunctionDef", "AsyncFunctionDef", "ClassDef"]}), "SELECT path, 'function' AS kind, CAST(2 + n + (p % 3 = 0)::INT + 2 * (p % 5 = 0)::INT AS BIGINT) AS n FROM part_v UNION ALL SELECT path, 'class', CAST(1 + (p % 3 = 0)::INT + (p % 5 = 0)::INT AS BIGINT) FROM part_v")
 _code("c03_python_variables", python_code, _tree(lambda t: parsers.python_symbols(t).where("kind = 'variable'").select("path", "name"), parsers.SYMBOLS | {"kinds": ["Assign"]}), "SELECT path, 'a' AS name FROM part_v WHERE n > 0 UNION ALL SELECT path, 'observers' FROM part_v WHERE p % 5 = 0")
-_code("c05_python_nodes", python_code, _tree(lambda t: t.where("node_type in ('FunctionDef', 'ClassDef', 'If', 'ImportFrom')").where("attrs is not null or node_type = 'If'").groupBy("node_type").agg(F.count("*").alias("n"))), """SELECT 'FunctionDef' AS node_type, CAST(sum(2 + n + (p % 3 = 0)::INT + 2 * (p % 5 = 0)::INT) AS BIGINT) AS n FROM part_v
+_code("c05_python_nodes", python_code, _tree(lambda t: t.where("node_type in ('FunctionDef', 'ClassDef', 'If', 'ImportFrom')").where("attrs is not null or node_type = 'If'").groupBy("node_type").agg(F.count("*").alias("n")), {"kinds": ["FunctionDef", "ClassDef", "If", "ImportFrom"], "columns": ["path", "node_type", "attrs"]}), """SELECT 'FunctionDef' AS node_type, CAST(sum(2 + n + (p % 3 = 0)::INT + 2 * (p % 5 = 0)::INT) AS BIGINT) AS n FROM part_v
     UNION ALL SELECT 'ClassDef', CAST(sum(1 + (p % 3 = 0)::INT + (p % 5 = 0)::INT) AS BIGINT) FROM part_v UNION ALL SELECT 'If', CAST(sum(1 + n % 8 + (p % 3 = 0)::INT) AS BIGINT) FROM part_v UNION ALL SELECT 'ImportFrom', count(*) FROM part_v""")
 _code("c01_import_counts", python_code, _tree(lambda t: parsers.python_edges(t).where("not is_relative").groupBy("target").agg(F.count("*").alias("n")), parsers.EDGES), "SELECT target, count(*) AS n FROM (SELECT 'm' || n AS target FROM part_v UNION ALL SELECT 'pkg' || (n % 7) || '.x' || (p % 5) FROM part_v) GROUP BY 1")
 _code("e02_python_complexity", python_code, _tree(lambda t: parsers.python_complexity(t)), "SELECT path, CAST(2 + n % 8 + (p % 3 = 0)::INT AS BIGINT) AS complexity FROM part_v")
