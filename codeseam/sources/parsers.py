@@ -140,6 +140,10 @@ def _finding(rows: DataFrame, kind: str, name: str, severity: str, message: Colu
     return rows.select(F.col("path").alias("file_path"), "line", F.lit(kind).alias("pattern_type"), F.lit(name).alias("pattern_name"), F.lit(severity).alias("severity"), message.alias("message"))
 
 
+#: What long_methods reads of a tree.
+LONG_METHODS = {"kinds": ["FunctionDef", "AsyncFunctionDef"], "columns": ["path", "node_type", "name", "line", "end_line"]}
+
+
 def long_methods(tree: DataFrame, most: int = 50) -> DataFrame:
     size = F.col("end_line") - F.col("line") + 1
     rows = tree.where(F.col("node_type").isin("FunctionDef", "AsyncFunctionDef") & (size > most))

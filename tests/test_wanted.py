@@ -142,3 +142,9 @@ def test_graph_is_not_sent_to_driver(spark):
 
 def test_symbols(spark):
     check_same(spark, parsers.python_symbols, parsers.SYMBOLS)
+
+
+def test_long_methods(spark):
+    f = spark.createDataFrame([("/a", "def f():\n" + "    x = 1\n" * 60 + "async def g():\n" + "    x = [1, 2]\n" * 51)], "path string, content string")
+    whole, part = (sorted(parsers.long_methods(parsers.nodes(f, "python", **w)).collect()) for w in ({}, parsers.LONG_METHODS))
+    assert part == whole and len(part) == 2 and parsers.nodes(f, "python", **parsers.LONG_METHODS).count() == 2
