@@ -77,13 +77,20 @@ def token_chunks(files: DataFrame, max_tokens: int = 8000, overlap_tokens: int =
 SNIPPET_NODES = {"FunctionDef": "function", "AsyncFunctionDef": "function", "ClassDef": "class", "Module": "module"}
 
 
+#: What tree_snippets reads of a tree.
+SNIPPETS = {"kinds": list(SNIPPET_NODES), "parents": list(SNIPPET_NODES), "columns": ["path", "node_id", "parent_id", "node_type", "name", "line"]}
+
+
 def tree_snippets(tree: DataFrame, files: DataFrame, min_tokens: int = 100, max_tokens: int = 8000, context: int = 10) -> DataFrame:
     """Snippets of functions and classes: path, type, name, lines and text, from a node's line to the last line that a
     child begins on and some lines after it; those outside the band of tokens are left out."""
     kinds = literal_map(SNIPPET_NODES)
-    own = tree.where(F.col("node_type").isin(list(SNIPPET_NODES)) & F.col("line").isNotNull()).select("path", "node_id", kinds[F.col("node_type")].alias("snippet_type"), "name", "line")
-    last = tree.where("parent_id is not null and line is not null").groupBy("path", F.col("parent_id").alias("node_id")).agg(F.max("line").alias("last"))
-    spans = own.join(last, ["path", "node_id"], "left").join(files.select("path", F.split("content", "\r?\n").alias("lines")), "path")
+    own = F.when(kinds[F.col("node_type")].isNotNull(), F.struct(kinds[F.col("node_type")].alias("snippet_type"), "name", "line"))
+    ids = F.array(F.struct(F.col("node_id").alias("id"), own.alias("own"), F.lit(None).cast("int").alias("last")), F.struct(F.col("parent_id").alias("id"), F.lit(None).alias("own"), F.col("line").alias("last")))
+    # a node's row and those of its children meet in one aggregation, so that each tree is made once
+    told = tree.where("line is not null").select("path", F.explode(ids).alias("x")).where("x.own is not null or x.id is not null and x.last is not null")
+    spans = told.groupBy("path", "x.id").agg(F.max("x.own").alias("own"), F.max("x.last").alias("last")).where("own is not null").select("path", "own.*", "last")
+    spans = spans.join(files.select("path", F.split("content", "\r?\n").alias("lines")), "path")
     end = F.least(F.size("lines"), F.greatest("line", F.coalesce("last", "line")) + context)
     text = F.array_join(F.slice("lines", F.col("line"), F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(0))), "\n")
     cut = spans.withColumn("end_line", end).where("end_line > line").select("path", "snippet_type", F.coalesce("name", F.lit("anonymous")).alias("name"), F.col("line").alias("start_line"), "end_line", text.alias("text"))

@@ -82,7 +82,7 @@ _code("c03_python_variables", python_code, _tree(lambda t: parsers.python_symbol
 _code("c05_python_nodes", python_code, _tree(lambda t: t.where("node_type in ('FunctionDef', 'ClassDef', 'If', 'ImportFrom')").where("attrs is not null or node_type = 'If'").groupBy("node_type").agg(F.count("*").alias("n")), {"kinds": ["FunctionDef", "ClassDef", "If", "ImportFrom"], "columns": ["path", "node_type", "attrs"]}), """SELECT 'FunctionDef' AS node_type, CAST(sum(2 + n + (p % 3 = 0)::INT + 2 * (p % 5 = 0)::INT) AS BIGINT) AS n FROM part_v
     UNION ALL SELECT 'ClassDef', CAST(sum(1 + (p % 3 = 0)::INT + (p % 5 = 0)::INT) AS BIGINT) FROM part_v UNION ALL SELECT 'If', CAST(sum(1 + n % 8 + (p % 3 = 0)::INT) AS BIGINT) FROM part_v UNION ALL SELECT 'ImportFrom', count(*) FROM part_v""")
 _code("c01_import_counts", python_code, _tree(lambda t: parsers.python_edges(t).where("not is_relative").groupBy("target").agg(F.count("*").alias("n")), parsers.EDGES), "SELECT target, count(*) AS n FROM (SELECT 'm' || n AS target FROM part_v UNION ALL SELECT 'pkg' || (n % 7) || '.x' || (p % 5) FROM part_v) GROUP BY 1")
-_code("e02_python_complexity", python_code, _tree(lambda t: parsers.python_complexity(t)), "SELECT path, CAST(2 + n % 8 + (p % 3 = 0)::INT AS BIGINT) AS complexity FROM part_v")
+_code("e02_python_complexity", python_code, _tree(parsers.python_complexity, parsers.COMPLEXITY), "SELECT path, CAST(2 + n % 8 + (p % 3 = 0)::INT AS BIGINT) AS complexity FROM part_v")
 _code("d04_god_class", python_code, _tree(lambda t: parsers.god_classes(t).select("file_path", "message"), parsers.GOD_CLASSES), "SELECT path AS file_path, 'C' || p || ' does too much' AS message FROM part_v WHERE n > 20")
 _code("d05_long_method", python_code, _tree(lambda t: parsers.long_methods(t).select("file_path", "message"), parsers.LONG_METHODS), "SELECT path AS file_path, CASE WHEN p % 2 = 0 THEN 'create_' ELSE 'run_' END || p || ' has ' || (n + 3) || ' lines' AS message FROM part_v WHERE n + 3 > 50")
 for _name, _kind, _when, _message in (("d01_singleton", "singleton", "p % 3 = 0", "'S' || p"), ("d02_factory_method", "factory_method", "p % 2 = 0", "'create_' || p"), ("d03_observer", "observer", "p % 5 = 0", "'O' || p"), ("d06_deep_nesting", "deep_nesting", "n % 8 > 4", "'deep_' || p || ' nests ' || (n % 8) || ' deep'")):

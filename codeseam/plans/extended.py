@@ -269,7 +269,7 @@ both("b11_sections", lambda p, a: deps.manifest_sections(p).withColumn("section"
 both("b13_summary", deps.report_summary, "SELECT 'total' AS part, unnest(['total_files', 'total_dependencies', 'total_license_types']) AS name, unnest([count(DISTINCT manifest), count(*), count(DISTINCT licence)]) AS n FROM packages_v UNION ALL SELECT 'total', 'total_vulnerabilities', count(*) FROM packages_v JOIN advisories_v USING (package) UNION ALL SELECT 'severity', severity, count(*) FROM packages_v JOIN advisories_v USING (package) GROUP BY 2 UNION ALL SELECT 'licence', licence, count(*) FROM packages_v WHERE licence IS NOT NULL GROUP BY 2 UNION ALL SELECT 'manager', package_manager, count(DISTINCT manifest) FROM packages_v GROUP BY 2")
 
 # snippets and batches
-written("r01_tree_snippets", lambda: _text("import a\n\nclass C", _s("p"), ":\n", _repeat("n", "'    x = 1\\n'"), "\ndef f(a):\n    return a\n"), lambda f: batching.tree_snippets(parsers.nodes(f, "python"), f, 1, 10_000).select("path", "snippet_type", "name", "start_line", "end_line"), "SELECT path, 'class' AS snippet_type, 'C' || p AS name, 3 AS start_line, CAST(least(n + 7, n + 13) AS INT) AS end_line FROM part_v UNION ALL SELECT path, 'function', 'f', CAST(n + 5 AS INT), CAST(n + 7 AS INT) FROM part_v")
+written("r01_tree_snippets", lambda: _text("import a\n\nclass C", _s("p"), ":\n", _repeat("n", "'    x = 1\\n'"), "\ndef f(a):\n    return a\n"), lambda f: batching.tree_snippets(parsers.nodes(f, "python", **batching.SNIPPETS), f, 1, 10_000).select("path", "snippet_type", "name", "start_line", "end_line"), "SELECT path, 'class' AS snippet_type, 'C' || p AS name, 3 AS start_line, CAST(least(n + 7, n + 13) AS INT) AS end_line FROM part_v UNION ALL SELECT path, 'function', 'f', CAST(n + 5 AS INT), CAST(n + 7 AS INT) FROM part_v")
 written("r02_token_chunks", lambda: _repeat("n", "'0123456789012345678901234567\\n'"), lambda f: batching.token_chunks(f.where("length(content) > 0"), 100, 30, 1).select("path", "chunk", "first_line"), "SELECT path, CAST(s // st AS INT) AS chunk, CAST(s + 1 AS INT) AS first_line FROM (SELECT *, unnest(range(0, n + 1, st)) AS s FROM (SELECT path, n, l, greatest(l - floor(30 / a), 1)::BIGINT AS st FROM (SELECT path, n, a, greatest(floor(100 / a), 1)::BIGINT AS l FROM (SELECT path, n, greatest(29 * n // 3, 1) / (n + 1)::DOUBLE AS a FROM part_v)))) WHERE (least(l, n - s) * 28 + least(l, n + 1 - s) - 1) // 3 >= 1")
 on("files_v", "r03_whole_files", lambda f: batching.snippets(f, 300, chunk_large_files=False, min_tokens=0).groupBy("snippet_type").agg(F.countDistinct("path").alias("files")), "SELECT CASE WHEN tokens <= 300 THEN 'full_file' ELSE 'chunk' END AS snippet_type, count(DISTINCT path) AS files FROM files_v WHERE length(content) > 0 GROUP BY 1")
 

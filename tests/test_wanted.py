@@ -148,3 +148,14 @@ def test_long_methods(spark):
     f = spark.createDataFrame([("/a", "def f():\n" + "    x = 1\n" * 60 + "async def g():\n" + "    x = [1, 2]\n" * 51)], "path string, content string")
     whole, part = (sorted(parsers.long_methods(parsers.nodes(f, "python", **w)).collect()) for w in ({}, parsers.LONG_METHODS))
     assert part == whole and len(part) == 2 and parsers.nodes(f, "python", **parsers.LONG_METHODS).count() == 2
+
+
+def test_snippets_make_trees_once(spark):
+    from codeseam.operators import batching
+
+    f = texts(spark)
+    whole, part = (batching.tree_snippets(parsers.nodes(f, "python", **w), f, 1, 10_000) for w in ({}, batching.SNIPPETS))
+    assert part._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    rows = sorted(map(repr, part.collect()))
+    assert rows == sorted(map(repr, whole.collect()))
+    assert sorted((r.name, r.start_line, r.end_line) for r in part.where("path = '/a'").collect()) == [("K", 4, 16), ("m", 6, 17), ("n", 17, 22)]
