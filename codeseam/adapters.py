@@ -71,14 +71,17 @@ def usage_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packages_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus")
+def packages_v(spark: SparkSession, sf_dir: str, mention: bool = False) -> DataFrame:
+    """mention: whether a row's place in its table is told too, as a last column."""
+    place = [F.struct("_metadata.file_path", "_metadata.row_index").alias("mention")] if mention else []
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", *place)
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return li.join(pt, li.l_partkey == pt.p_partkey).join(od, li.l_orderkey == od.o_orderkey).select(
         F.col("l_orderkey").alias("manifest"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("package"),
         F.when(F.col("p_size") % 10 != 0, F.lower("p_brand")).alias("licence"), (F.col("l_returnflag") == "R").alias("dev"),
         (F.col("l_linestatus") == "O").alias("optional"), F.col("o_orderpriority").alias("package_manager"), F.col("p_size").alias("version"),
+        *(["mention"] if mention else []),
     )
 
 

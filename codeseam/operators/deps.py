@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def last_wins(packages: DataFrame) -> DataFrame:
-    """Of a package that a manifest names repeatedly, the last mention."""
-    w = W.partitionBy("manifest", "package").orderBy(F.desc("position"))
+def last_wins(packages: DataFrame, *ties: str) -> DataFrame:
+    """Of a package that a manifest names repeatedly, the last mention; of several at one position the first by ties (columns
+    that tell all rows apart), without which any may stand."""
+    w = W.partitionBy("manifest", "package").orderBy(F.desc("position"), *ties)
     return packages.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 

@@ -146,13 +146,13 @@ _u("p06_alerts", lambda u: usage.budget_alerts(u, 5_000_000), f", r AS (SELECT r
 _u("p01_limiter", usage.replay_limiter)
 
 
-def _p(name, build, sql):
-    QUERIES[name] = lambda spark, sf_dir: build(packages_v(spark, sf_dir), advisories_v(spark, sf_dir))
+def _p(name, build, sql, **view):
+    QUERIES[name] = lambda spark, sf_dir: build(packages_v(spark, sf_dir, **view), advisories_v(spark, sf_dir))
     ORACLES[name] = f"WITH {SQL['packages_v']}, {SQL['advisories_v']} {sql}"
 
 
 _HAS = "package IN (SELECT package FROM advisories_v)"
-_p("a13_last_wins", lambda p, a: deps.last_wins(p).select("manifest", "package", "position", "dev"), "SELECT manifest, package, position, dev FROM (SELECT *, row_number() OVER (PARTITION BY manifest, package ORDER BY position DESC) AS rn FROM packages_v) WHERE rn = 1")
+_p("a13_last_wins", lambda p, a: deps.last_wins(p, "mention").select("manifest", "package", "position", "dev"), "SELECT manifest, package, position, dev FROM (SELECT *, row_number() OVER (PARTITION BY manifest, package ORDER BY position DESC) AS rn FROM packages_v) WHERE rn = 1", mention=True)
 _p("h04_vulnerable_packages", lambda p, a: deps.vulnerable(p, a).select("manifest", "position", "package", "has_vulnerabilities"), f"SELECT manifest, position, package, {_HAS} AS has_vulnerabilities FROM packages_v")
 _p("h05_metadata", lambda p, a: deps.with_metadata(p, a.select("package", F.when(F.col("severity") != "low", F.col("severity")).otherwise("").alias("licence"))), "SELECT manifest, position, p.package, coalesce(nullif(CASE WHEN a.severity <> 'low' THEN a.severity ELSE '' END, ''), licence) AS licence FROM packages_v p LEFT JOIN advisories_v a ON a.package = p.package")
 _p("h06_advisories", lambda p, a: deps.advisories_of(p, a).groupBy("package_manager", "severity").agg(F.count("*").alias("n"), F.countDistinct("package").alias("packages")), "SELECT package_manager, severity, count(*) AS n, count(DISTINCT p.package) AS packages FROM packages_v p JOIN advisories_v a ON a.package = p.package GROUP BY 1, 2")
