@@ -52,7 +52,7 @@ def extended(label: DataFrame | None, edges: DataFrame, a: str, b: str) -> DataF
     """(node, root) after further edges: they are drawn between the roots known so far, so that old links aren't gone over again."""
     if label is None:
         return components(edges, a, b)
-    ends = [label.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")) for c in ("x", "y")]
+    ends = [label.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")).hint("merge") for c in ("x", "y")]
     drawn = edges.join(ends[0], F.col(a) == F.col("x_node"), "left").join(ends[1], F.col(b) == F.col("y_node"), "left")
     drawn = stored(drawn.select(F.coalesce("x_root", a).alias("p"), F.coalesce("y_root", b).alias("q")).where("p <> q").distinct())
     if not some(drawn):

@@ -13,7 +13,8 @@ full shingle sets decide. The work per step:
    that share much boilerplate, get exact keys, the shingles at the begin of each set when rare ones come first,
    and go through steps 3 to 5 again;
 6. what is large and unfinished even then is compared inside bounded tasks that count intersections by an
-   inverted index and give back a spanning forest only.
+   inverted index and give back a spanning forest only; buckets with common members are one there, and a
+   component's own members don't meet again.
 
 A pair at similarity s is missed with probability (1 - s^rows)^bands: 5e-8 at 0.8 for 32 bands of 4.
 """
@@ -23,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, drop_stored, hashed_words, in_bitmap, mix, row_slices, shingle_hashes, small_batches, some, stored, texts_of
@@ -253,8 +254,9 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int, chunk: int | None =
 
 
 def open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, rep, n, root, size) of the members of buckets that lie in several components."""
-    placed = members.join(label, members.rep == label.node, "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    """(key, rep, n, root, size) of the members of buckets that lie in several components. The file of label is far smaller than its
+    rows in memory: the join sorts both sides, as a broadcast would go through the driver."""
+    placed = members.join(label.hint("merge"), members.rep == label.node, "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     still = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
     return placed.join(still, "key")
 
@@ -264,7 +266,7 @@ def pairs_across(rest: DataFrame, percent: int) -> DataFrame:
     x = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     y = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
+    return x.join(y.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
 
 
 def _forest(ids: list, side: list, roots: list, sets: list, percent: int):
@@ -287,6 +289,8 @@ def _forest(ids: list, side: list, roots: list, sets: list, percent: int):
     own[order] = place  # entries in member order again
     ends = np.cumsum(sizes)
     for x in range(len(sets)):
+        if side[x] == 2:  # met from side 1
+            continue
         mine = own[ends[x] - sizes[x] : ends[x]]
         mine = mine[length[mine] > 1]
         if not len(mine):
@@ -295,23 +299,60 @@ def _forest(ids: list, side: list, roots: list, sets: list, percent: int):
         at = np.repeat(first[mine] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         common = np.bincount(member[at], minlength=len(sets))
         for y in np.flatnonzero(linked(common, sizes, sizes[x], percent)):
-            if y > x and (side[x] != side[y] or side[x] == 0) and find(roots[x]) != find(roots[y]):
+            if (side[y] == 2 or side[x] == 0 and y > x) and find(roots[x]) != find(roots[y]):
                 top[find(roots[x])] = find(roots[y])
                 yield ids[x], ids[y]
 
 
-def confirm_large(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join the components met in large unfinished buckets (key, rep, n, root).
+def merged_buckets(rest: DataFrame) -> DataFrame:
+    """(key, rep, n, root): rest with the buckets that hang together by common members joined into one, where that gives
+    fewer pairs: texts that share much meet in a bucket for each shingle they share, and one comparison is enough."""
+    size = stored(rest.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").cast("double").alias("size")))
+    drawn = stored(rest.join(size.hint("merge"), "key").select("hub", "rep").distinct())
+    group = components(drawn, "hub", "rep").withColumnRenamed("root", "group")
+    each = size.join(group.hint("merge"), size.hub == group.node).select("key", "size", "group")
+    pairs = each.groupBy("group").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    members = rest.select("rep", "n", "root").distinct().join(group.hint("merge"), F.col("rep") == F.col("node")).select("group", "rep", "n", "root")
+    whole = members.groupBy("group").agg(F.count("*").cast("double").alias("all")).join(pairs.hint("merge"), "group")
+    whole = stored(whole.select("group", (F.col("all") * F.col("all") <= F.col("pairs")).alias("merge")))
+    joined = members.join(whole.where("merge").hint("merge"), "group").select(F.col("group").alias("key"), "rep", "n", "root")
+    apart = each.join(whole.where("not merge").hint("merge"), "group").select("key")
+    out = stored(joined.unionByName(rest.join(apart.hint("merge"), "key").select("key", "rep", "n", "root")))
+    drop_stored(size, drawn, group, whole)
+    return out
+
 
-    A bucket's members are dealt into blocks; a task compares two blocks, so its size is bounded. Members are
-    written with their block before they are copied for each task, so a bucket's copies come from many tasks."""
-    blocks = rest.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TASK_MEMBERS), F.ceil(F.sum("n") / TASK_SHINGLES)).cast("int").alias("blocks"))
-    placed = stored(rest.join(blocks, "key").select("key", "rep", "root", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")))
-    dealt = placed.select("key", "rep", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+def block_tasks(rest: DataFrame) -> DataFrame:
+    """(key, rep, root, i, j, side): the members of each bucket (key, rep, n, root), dealt into blocks of bounded size, once
+    for each pair of blocks to compare. A component that fills blocks gets its own, which don't meet each other."""
+    fill = F.greatest(F.count("*") / TASK_MEMBERS, F.sum("n") / TASK_SHINGLES)
+    large = rest.groupBy("key", "root").agg(fill.alias("fill")).where("fill >= 1").select("key", "root", F.col("root").alias("own"))
+    placed = stored(rest.join(large.hint("merge"), ["key", "root"], "left").select("key", "rep", "n", "root", "own"))
+    blocks = placed.groupBy("key", "own").agg(F.ceil(fill).cast("int").alias("own_blocks"))
+    order = Window.partitionBy("key").orderBy(F.col("own").asc_nulls_first())  # a row for each component with blocks of its own
+    last = F.sum("own_blocks").over(order).cast("int")
+    total = F.sum("own_blocks").over(Window.partitionBy("key")).cast("int")
+    blocks = blocks.select(F.col("key").alias("of"), F.col("own").alias("by"), "own_blocks", (last - F.col("own_blocks")).alias("first"), total.alias("blocks"))
+    known = placed.join(blocks.hint("merge"), (F.col("key") == F.col("of")) & F.col("own").eqNullSafe(F.col("by")))
+    block = F.col("first") + F.pmod(F.xxhash64("rep"), F.col("own_blocks")).cast("int")
+    dealt = stored(known.select("key", "rep", "root", "own", "first", "own_blocks", "blocks", block.alias("block")))
+    drop_stored(placed)
+    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.where(F.col("own").isNull() | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("own_blocks")))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select("key", "rep", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"))
     # a block meets itself in task (i, i) only; side 0 compares all, sides 1 and 2 only each other
-    rows = dealt.join(sets, "rep").select("key", "i", "j", "rep", "root", "side", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    return spread.select("key", "rep", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"))
+
+
+def confirm_large(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join the components met in large unfinished buckets (key, rep, n, root).
+
+    Buckets that hang together become one; its members are dealt into blocks; a task compares two blocks, so its size
+    is bounded. Members are written with their block before they are copied for each task, so a bucket's copies come
+    from many tasks. How often a row is copied isn't in Spark's estimate of sizes: both sides are sorted, for as a
+    broadcast the copies would go through the driver."""
+    dealt = block_tasks(merged_buckets(rest))
+    rows = dealt.join(sets.hint("merge"), "rep").select("key", "i", "j", "rep", "root", "side", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def run(batches):
         def done(group):
@@ -401,7 +442,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     if label is None:
         root = reps.withColumn("root", F.lit(None).cast("long"))
     else:
-        root = reps.join(label, reps.rep == label.node, "left")
+        root = reps.join(label.hint("merge"), reps.rep == label.node, "left")
     grouped = (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("grouped")
     root = root.select("set_key", "low", F.coalesce("root", "rep").alias("root"), grouped)
     if shared:

@@ -113,6 +113,38 @@ def test_near(docs, nothing, n, monkeypatch):
         assert near_duplicates(nothing, n).count() == 0
 
 
+def test_large_buckets_meet_once(spark, monkeypatch):
+    """Members of many buckets are compared once, those of one component not at all, and no copies go through the driver."""
+    from codeseam.llm import near_dedup as nd
+
+    monkeypatch.setattr(nd, "TASK_MEMBERS", 4)
+    r = random.Random(3)
+    sets = {i: sorted(r.sample(range(12), r.choice([9, 10, 11]))) for i in range(-20, 40)}
+    root = {i: -20 if i < 0 else i for i in sets}  # a component of 20 members, and 40 more
+    rest = [(key, i, len(sets[i]), root[i]) for i in sets for key in (range(30) if i < 30 else (30, 31))]
+    rest += [(31, 29, len(sets[29]), 29), (99, 100, 9, 100), (99, 101, 9, 101)]
+    sets |= {100: list(range(50, 59)), 101: list(range(50, 59)), 102: list(range(50, 59))}
+    rows = [(i, np.array(s, np.uint64).tobytes()) for i, s in sets.items()]
+    rest, stored = spark.createDataFrame(rest, "key long, rep long, n long, root long"), spark.createDataFrame(rows, "rep long, shingles binary")
+    links = nd.confirm_large(rest, stored, 80)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    top = {i: root.get(i, i) for i in sets}
+
+    def joined(pairs):
+        of = dict(top)
+        for a, b in pairs:
+            x, y = of[a], of[b]
+            of = {k: min(x, y) if v in (x, y) else v for k, v in of.items()}
+        return of
+
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]}) and 102 not in (a, b)]
+    got = [(x.a, x.b) for x in links.collect()]
+    assert {(min(p), max(p)) for p in got} <= {*linked} and joined(got) == joined(linked) and len({*joined(got).values()}) < 40
+    tasks = nd.block_tasks(nd.merged_buckets(rest)).collect()
+    assert len({(x.i, x.j) for x in tasks if x.key != 99}) <= 10 * 11 // 2 + 5 * 10 and len(tasks) < 60 * 15 + 5
+    assert not [x for x in tasks if x.i == x.j and x.root == -20]
+
+
 def test_near_by_row(spark):
     """Rows that share a doc_id are compared by their own texts; repeats share a decision; null ids stay alone."""
     words = [f"w{k}" for k in range(60)]
