@@ -414,10 +414,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     keyed, sets, label, over = reps.select("rep", "n", F.explode("keys").alias("key")), None, None, []
     while keyed is not None:
         star = stored(stars(keyed))
-        if not some(star.where("not border or hub <> rep")) and not some(members_of(star)):
-            drop_stored(star)
+        members = stored(members_of(star))
+        drop_stored(star)
+        if not some(members):
+            drop_stored(members)
             break
-        members = members_of(star)
         if sets is None:
             involved = members.select("rep").distinct().join(reps, "rep").select(F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"), "rep")
             sets = stored(sets_of(docs.join(involved, ["doc_id", "text_hash"]), shingle), "none")
@@ -438,7 +439,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         if some(rest):
             links = stored(more)
             label = _extend(label, links)
-        drop_stored(rest, star)
+        drop_stored(rest, members)
     if label is None:
         root = reps.withColumn("root", F.lit(None).cast("long"))
     else:

@@ -187,6 +187,31 @@ def test_components(spark):
     assert got == {k: v for k, v in top.items() if k in got} and all(top[k] == k for k in top if k not in got)
 
 
+@pytest.mark.parametrize("most", [7, 1000])
+def test_components_in_tasks(spark, monkeypatch, most):
+    """Few edges are joined by two tables and a few jobs, however long their chains; more of them by rounds, with the same result."""
+    from codeseam.llm import components as c
+
+    monkeypatch.setattr(c, "TASK_EDGES", most)
+    r = random.Random(5)
+    e = [(k, k + 1) for k in range(-100, 0)] + [(50, 200 - k) for k in range(30)] + [(7, 7), (None, 3), (300, 301), (301, 300)]
+    r.shuffle(e)
+    want = dict.fromkeys(range(-100, 1), -100) | dict.fromkeys([50, *range(171, 201)], 50) | {300: 300, 301: 300}
+    edges = spark.createDataFrame(e, "x long, y long").repartition(3)
+    spark.sparkContext.setJobGroup(f"components-{most}", "")
+    try:
+        got = components(edges, "x", "y")
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{most}"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    assert (jobs <= 8) == (most == 1000)
+    more = spark.createDataFrame([(-50, 190), (400, 301), (500, 501)], "x long, y long")
+    want = {k: -100 if v == 50 else v for k, v in want.items()} | {400: 300, 500: 500, 501: 500}
+    assert sorted(map(tuple, c.extended(got, more, "x", "y").collect())) == sorted(want.items())
+    assert components(edges.where("x > 1000"), "x", "y").count() == 0
+
+
 def substrings_brute(rows, window=50):
     words = [(i, WORDS.findall(t or "")) for i, t in rows]
     first = {}
