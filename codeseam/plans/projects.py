@@ -80,6 +80,7 @@ _on_edges(
 
 
 def script_files(spark, sf_dir: str) -> DataFrame:
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     p, n = (F.col(c).cast("long") for c in ("p_partkey", "p_size"))
     p_text, n_text = p.cast("string"), n.cast("string")
     parts = [
@@ -88,13 +89,13 @@ def script_files(spark, sf_dir: str) -> DataFrame:
         F.when(p % 2 == 1, F.concat(F.lit("class K"), (p % 5).cast("string"), F.lit(" extends B {\n  async m"), (p % 3).cast("string"), F.lit("() { for (;;) { while (re) { go("), p_text, F.lit(" + 10); } } }\n}\n"))).otherwise(""),
         F.when(p % 3 == 0, F.lit("const f = x => x > 77 ? x : go(x).then(a)\n  .then(b).then(c);\n")).otherwise(""),
     ]
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("/web/s"), p_text, F.lit(".js")).alias("path"), F.concat(*parts).alias("content"))
+    return rows.select(F.concat(F.lit("/web/s"), p_text, F.lit(".js")).alias("path"), F.concat(*parts).alias("content"))
 
 
-def _on_scripts(name: str, build, sql: str) -> None:
+def _on_scripts(name: str, build, sql: str, **want) -> None:
     def run(spark, sf_dir):
         files = script_files(spark, sf_dir)
-        return build(files, lexer.syntax(files))
+        return build(files, lexer.syntax(files, **want))
 
     QUERIES[name] = run
     ORACLES[name] = "WITH s AS (SELECT p_partkey AS p, p_size AS n, '/web/s' || p_partkey || '.js' AS path, p_size + 7 + CASE WHEN p_partkey % 2 = 1 THEN 3 ELSE 0 END AS tail FROM part) " + sql
@@ -106,6 +107,7 @@ _UNITS = """SELECT path, 'function' AS kind, 'outer' || n AS name, 4 AS first_li
 _on_scripts(
     "c10_lexed_symbols", lambda f, x: lexer.symbols(x).drop("level"),
     _UNITS + " UNION ALL SELECT path, 'variable', 's' || p, 2, 2 FROM s UNION ALL SELECT path, 'variable', 're', 3, 3 FROM s UNION ALL SELECT path, 'variable', 'f', tail, tail FROM s WHERE p % 3 = 0",
+    parts=["unit"],
 )
 _on_scripts(
     "e07_lexed_complexity", lambda f, x: lexer.complexity(x).select("path", "complexity", "most", "functions"),

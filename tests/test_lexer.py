@@ -105,3 +105,28 @@ def test_unused_by_lines_is_linear(spark):
     got = {(r.file_path, r.line, r.message) for r in detectors.detect(files, ["unused_variable"]).collect()}
     assert got == {("/a.js", 2, "Unused variable b"), ("/a.js", 5, "Unused variable $d"), ("/a.js", 6, "Unused variable e"), ("/a.js", 9, "Unused variable f"), ("/long.js", 15999, "Unused variable v7999")}
     assert time.monotonic() - began < 60
+
+
+def test_scripts_are_dealt_to_many_tasks(spark):
+    from codeseam.plans import projects
+
+    files = projects.script_files(spark, "/root/testdata/sf0.001")
+    assert files.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert files.select("path").distinct().count() == files.count() == 200
+
+
+def test_wanted_parts_are_those_of_all(spark):
+    files = spark.createDataFrame([("/a.js", CODE), ("/b.js", None)], "path string, content string")
+    whole = lexer.syntax(files).collect()
+    for part in ("file", "unit", "finding"):
+        assert lexer.syntax(files, [part]).collect() == [r for r in whole if r.part == part] != []
+
+
+def test_brackets_that_nothing_opens_are_linear():
+    began = time.process_time()
+    assert len(lexer.tokens_of("(" * 30000 + "}" * 30000)) == 60000
+    assert time.process_time() - began < 5
+
+
+def test_arrow_without_head():
+    assert [u.lines for u in units("=> a\nb")[1]] == [(1, 1)]
