@@ -120,6 +120,7 @@ _on_scripts(
     UNION ALL SELECT path, tail, 'magic_number', 'Magic number 77' FROM s WHERE p % 3 = 0 UNION ALL SELECT path, tail, 'promise_hell', '3 calls of then in a chain' FROM s WHERE p % 3 = 0
     UNION ALL SELECT path, tail, 'missing_error_handling', 'No catch for a promise' FROM s WHERE p % 3 = 0 UNION ALL SELECT path, tail, 'unused_variable', 'Unused variable f' FROM s WHERE p % 3 = 0
     UNION ALL SELECT path, 3, 'unused_variable', 'Unused variable re' FROM s WHERE p % 2 = 0""",
+    parts=["finding"],
 )
 _METHOD = "'  async m' || p % 3 || '() { for (;;) { while (re) { go(' || p || ' + 10); } } }'"
 _on_scripts(
