@@ -112,6 +112,7 @@ _on_scripts(
 _on_scripts(
     "e07_lexed_complexity", lambda f, x: lexer.complexity(x).select("path", "complexity", "most", "functions"),
     "SELECT path, 5 + CASE WHEN p % 2 = 1 THEN 2 ELSE 0 END + CASE WHEN p % 3 = 0 THEN 1 ELSE 0 END AS complexity, 5 AS most, 1 + p % 2 + CASE WHEN p % 3 = 0 THEN 1 ELSE 0 END AS functions FROM s",
+    parts=["file"],
 )
 _on_scripts(
     "d08_lexed_findings", lambda f, x: lexer.findings(x).select("file_path", "line", "pattern_name", "message"),

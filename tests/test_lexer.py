@@ -128,5 +128,12 @@ def test_brackets_that_nothing_opens_are_linear():
     assert time.process_time() - began < 5
 
 
+def test_complexity_of_files_that_share_a_path(spark):
+    files = spark.createDataFrame([("/a.js", "if (a) {}"), ("/a.js", "function f() { if (a || b) {} }"), ("/a.js", "if (a) {}")], "path string, content string")
+    found = lexer.complexity(lexer.syntax(files, ["file"]))
+    assert sorted(map(tuple, found.collect())) == [("/a.js", 2, 0, 0), ("/a.js", 2, 0, 0), ("/a.js", 3, 3, 1)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_arrow_without_head():
     assert [u.lines for u in units("=> a\nb")[1]] == [(1, 1)]
