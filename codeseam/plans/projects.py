@@ -132,6 +132,7 @@ _on_scripts(
         WHEN kind = 'class' THEN 'class K' || p % 5 || ' extends B {{' || chr(10) || {_METHOD} || chr(10) || '}}'
         ELSE {_METHOD} END) AS text_md5
     FROM ({_UNITS}) JOIN s USING (path)""",
+    parts=["unit"],
 )
 
 

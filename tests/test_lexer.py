@@ -137,3 +137,12 @@ def test_complexity_of_files_that_share_a_path(spark):
 
 def test_arrow_without_head():
     assert [u.lines for u in units("=> a\nb")[1]] == [(1, 1)]
+
+
+def test_snippets_do_not_go_through_the_driver(spark):
+    from codeseam.plans import projects
+
+    plan = projects.QUERIES["r01_script_snippets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    files = spark.createDataFrame([("/a.js", "function f() {\n}"), ("/a.js", "function f() {\n}")], "path string, content string")
+    assert [r.text for r in lexer.snippets(files, lexer.syntax(files, ["unit"])).collect()] == ["function f() {\n}"] * 4
