@@ -174,10 +174,13 @@ def gaps(lines: DataFrame, start_regex: str, most: int) -> DataFrame:
 
 
 def unused_variables(lines: DataFrame) -> DataFrame:
-    """Declared names that stand on no other line than that of their last declaration: an anti-join on words."""
-    decl = lines.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1))).alias("name")).groupBy("path", "name").agg(F.max("line_no").alias("line_no"))
-    used = lines.select("path", F.col("line_no").alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))).alias("name"))
-    return decl.alias("d").join(used.alias("u"), (F.col("d.path") == F.col("u.path")) & (F.col("d.name") == F.col("u.name")) & (F.col("d.line_no") != F.col("u.at")), "left_anti")
+    """Declared names that stand on no other line than that of their last declaration: one aggregation of words."""
+    declared = F.regexp_extract_all("line", F.lit(r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1))
+    words = F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))
+    rows = lines.select("path", "line_no", declared.alias("declared"), F.explode(words).alias("name"))
+    last = F.max(F.when(F.array_contains("declared", F.col("name")), F.col("line_no")))
+    found = rows.groupBy("path", "name").agg(last.alias("line_no"), F.min("line_no").alias("__first"), F.max("line_no").alias("__last"))
+    return found.where("line_no = __first and line_no = __last").drop("__first", "__last")
 
 
 def repeated_lines(lines: DataFrame, key: str = "path") -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import batching, cachetable, deps, enrich, findings, stats, usa
 from ..schemas import DEBT_BASE, DEBT_FACTOR, SECURITY_TYPES, type_group
 from ..sinks import reports
 from ..sources import files as scans
-from ..sources import linters, manifests, parsers
+from ..sources import detectors, linters, manifests, parsers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -98,7 +98,7 @@ _code("c10_script_symbols", script_code, lambda files: parsers.symbols(files, "j
 _code("c14_typed_edges", lambda: _text("import type { A } from './t", _s("p % 9"), "'\nimport { type B, c } from './u", _s("n"), "'\n/// <reference path='r", _s("n"), ".d.ts' />\n/// <reference types='y' />\n"), lambda files: parsers.edges(files, "typescript").select("path", "kind", "target"), "SELECT path, k AS kind, './t' || (p % 9) AS target FROM part_v, unnest(['type_import', 'import']) u(k) UNION ALL SELECT path, k, './u' || n FROM part_v, unnest(['type_import', 'import']) u(k) UNION ALL SELECT path, 'reference', unnest(['r' || n || '.d.ts', 'y']) FROM part_v")
 _code("c15_typed_symbols", lambda: _text("interface I", _s("p"), " {}\nenum E", _s("n"), " {}\ntype T", _s("p"), " = string\n// class Z\nabstract class A", _s("n"), " {}\nnamespace N {}\n"), lambda files: parsers.symbols(files, "typescript"), "SELECT path, 'class' AS kind, unnest(['I' || p, 'E' || n, 'T' || p, 'A' || n, 'N']) AS name FROM part_v")
 _code("d08_deep_callbacks", script_code, lambda files: text.deep_indents(text.lines(files)).select("path", "line_no"), "SELECT path, 6 AS line_no FROM part_v WHERE n > 16")
-_code("d10_unused_variables", script_code, lambda files: text.unused_variables(text.lines(files)).select("path", "name", "line_no"), "SELECT path, 'x' || p AS name, 2 AS line_no FROM part_v WHERE p % 2 = 1")
+_code("d10_unused_variables", script_code, detectors.unused_variables, "SELECT path, 'x' || p AS name, 2 AS line_no FROM part_v WHERE p % 2 = 1")
 _code("d13_unhandled_promises", script_code, lambda files: text.unhandled_promises(text.lines(files)).select("path", "line_no"), "SELECT path, 4 AS line_no FROM part_v WHERE n % 5 > 0 AND 4 < 7 + n % 10 - 5")
 _code("d12_promise_chains", script_code, lambda files: text.promise_chains(text.lines(files)).select("path", "line_no"), "SELECT path, 4 AS line_no FROM part_v WHERE n % 5 > 2")
 _code("e05_script_lines", script_code, lambda files: text.lines_of_code(text.lines(files), "//").select("path", "loc"), "SELECT path, CAST(6 AS BIGINT) AS loc FROM part_v")

@@ -139,14 +139,25 @@ def word_of(told: Column) -> Column:
     return F.substring_index(told, _AT, 1)
 
 
-def unused_hits(declared: Column, words: Column) -> Column:
+def unused(declared: Column, words: Column) -> Column:
     """Declared names that stand on one line only, that of their declaration. Both are columns; linear but for the sort of words."""
     n = F.size(words)
     none = F.array(F.lit(None).cast("string"))
     near = F.arrays_zip(words.alias("w"), F.concat(none, F.slice(words, 1, F.greatest(n - 1, F.lit(0)))).alias("before"), F.slice(words, 2, n).alias("after"))
     alone = F.filter(near, lambda x: ~word_of(x["w"]).eqNullSafe(word_of(x["before"])) & ~word_of(x["w"]).eqNullSafe(word_of(x["after"])))
-    unused = F.array_intersect(declared, F.transform(alone, lambda x: x["w"]))
-    return F.transform(unused, lambda d: _hit(F.substring_index(d, _AT, -1), "code_smell", "unused_variable", "info", F.concat(F.lit("Unused variable "), word_of(d)))).cast(_HIT)
+    return F.array_intersect(declared, F.transform(alone, lambda x: x["w"]))
+
+
+def unused_hits(declared: Column, words: Column) -> Column:
+    return F.transform(unused(declared, words), lambda d: _hit(F.substring_index(d, _AT, -1), "code_smell", "unused_variable", "info", F.concat(F.lit("Unused variable "), word_of(d)))).cast(_HIT)
+
+
+def unused_variables(files: DataFrame) -> DataFrame:
+    """path, name, line_no of the declared names of each script (path, content) that stand on no other line; nothing is shuffled."""
+    cut = files.select("path", F.split("content", "\r?\n").alias("lines"))
+    told = cut.select("path", declarations(F.col("lines")).alias("declared"), words_at(F.col("lines")).alias("words"))
+    names = told.select("path", F.explode(unused(F.col("declared"), F.col("words"))).alias("told"))
+    return names.select("path", word_of(F.col("told")).alias("name"), F.substring_index("told", _AT, -1).cast("int").alias("line_no"))
 
 
 def detect(files: DataFrame, rules: list[str] | None = None, disabled: list[str] = ()) -> DataFrame:

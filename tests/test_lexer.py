@@ -146,3 +146,22 @@ def test_snippets_do_not_go_through_the_driver(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     files = spark.createDataFrame([("/a.js", "function f() {\n}"), ("/a.js", "function f() {\n}")], "path string, content string")
     assert [r.text for r in lexer.snippets(files, lexer.syntax(files, ["unit"])).collect()] == ["function f() {\n}"] * 4
+
+
+def test_unused_by_lines_joins_nothing(spark):
+    """Words of all lines met declarations by a join that Spark made through the driver."""
+    from codeseam.functions import text
+    from codeseam.plans import details
+    from codeseam.sources import detectors
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    codes = ["let a = 1; let a = 2\nconst b = a", "let c\nlet c", "const e\r\n$e", "var x = x", None, "", "let y; const y1 = y\nletter y1", "myconst z"]
+    files = spark.createDataFrame([(f"/{k}.js", code) for k, code in enumerate(codes)], "path string, content string")
+    found = [text.unused_variables(text.lines(files)), detectors.unused_variables(files)]
+    assert sorted(map(tuple, found[0].select("path", "name", "line_no").collect())) == sorted(map(tuple, found[1].collect())) == [
+        ("/0.js", "b", 2), ("/2.js", "e", 1), ("/3.js", "x", 1), ("/6.js", "y", 1), ("/7.js", "z", 1)]
+    assert "Join" not in plan(found[0]) and "Exchange" not in plan(found[1])
+    assert "Join" not in plan(details.QUERIES["d10_unused_variables"](spark, "/root/testdata/sf0.001"))
+    assert detectors.unused_variables(files.where("path = '/2.js'").union(files.where("path = '/2.js'"))).count() == 2
