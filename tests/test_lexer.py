@@ -165,3 +165,17 @@ def test_unused_by_lines_joins_nothing(spark):
     assert "Join" not in plan(found[0]) and "Exchange" not in plan(found[1])
     assert "Join" not in plan(details.QUERIES["d10_unused_variables"](spark, "/root/testdata/sf0.001"))
     assert detectors.unused_variables(files.where("path = '/2.js'").union(files.where("path = '/2.js'"))).count() == 2
+
+
+def test_remembered_lines_change_nothing(monkeypatch):
+    text = "#!x\n" + CODE + "#!x\n} else {\n((\n))\n)](\n'open\n" + "x" * 300 + "(\n\n\t\r\nlet s = `a\nb(\n${c(\n{}\n)}\n}\n`\n}\n" + CODE + "const last = [\n1]"
+    parts = [text, text * 2, CODE.replace(" ", "\n"), text.replace(" ", "\n")]
+
+    def told():
+        return [([(x.kind, x.text, x.line, x.match) for x in lexer.tokens_of(p)], list(lexer.rows_of(p))) for p in parts]
+
+    lexer._plain_line.cache_clear()
+    got = told()
+    assert lexer._plain_line.cache_info().hits > 100 and told() == got
+    monkeypatch.setattr(lexer, "_PLAIN", lexer.re.compile("(?!)"))
+    assert told() == got
